@@ -126,8 +126,8 @@ class _Block:
             used = sorted({x for f in fields if f for r in rows for x in (r[f] or [])})
             index = {x: i for i, x in enumerate(used)}
             self.labels[array] = pa.array(used, pa.string())
-            self.lists[array] = [[None if r[f] is None else np.array([index[x] for x in r[f]], dtype=np.int64)
-                                  if f else None for f in fields] for r in rows]
+            coded = lambda labels: None if labels is None else np.array([index[x] for x in labels], dtype=np.int64)
+            self.lists[array] = [[coded(r[f]) if f else None for f in fields] for r in rows]
         if with_vector:
             self.language = np.array([r["language"] for r in rows], dtype=object)
             matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64)

@@ -1,13 +1,11 @@
-"""Closed schemas of the tables. Nothing is inferred on read."""
+"""Closed schemas of the tables, as DDL. Nothing is inferred on read."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-TAG_SCORES_RAW = T.StructType.fromDDL("tag STRING, item_id STRING, score STRING")
-LINKS_RAW = T.StructType.fromDDL("movieId STRING, imdbId STRING, tmdbId STRING")
-GENRES_RAW = T.StructType.fromDDL("movieId STRING, title STRING, genres STRING")
-RATINGS_RAW = T.StructType.fromDDL("userId STRING, movieId STRING, rating STRING, timestamp STRING")
+TAG_SCORES_RAW = "tag STRING, item_id STRING, score STRING"
+LINKS_RAW = "movieId STRING, imdbId STRING, tmdbId STRING"
+GENRES_RAW = "movieId STRING, title STRING, genres STRING"
+RATINGS_RAW = "userId STRING, movieId STRING, rating STRING, timestamp STRING"
 
 BASE_FIELDS = ["movieLensId", "rawTitle", "title", "year", "imdbId", "movieLensAvgRating",
                "directedByRaw", "starringRaw"]
@@ -30,31 +28,31 @@ _CATALOG_TYPES = {
 }
 
 
-def catalog_schema(fields: list[str]) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{name}` {_CATALOG_TYPES[name]}" for name in fields))
+def catalog_schema(fields: list[str]) -> str:
+    return ", ".join(f"`{name}` {_CATALOG_TYPES[name]}" for name in fields)
 
 
-METADATA = T.StructType.fromDDL(
+METADATA = (
     "title STRING, directedBy STRING, starring STRING, avgRating DECIMAL(28,18), imdbId STRING, item_id BIGINT")
-DETAIL_CACHE = T.StructType.fromDDL(
+DETAIL_CACHE = (
     "version STRING, tmdbId INT, status STRING, runtimeMinutes INT, originalLanguage STRING, "
     "posterPath STRING, sha256 STRING")
-VECTOR_ROW = T.StructType.fromDDL(
+VECTOR_ROW = (
     "movieLensId BIGINT, fingerprint STRING, semanticTextSha256 STRING, vector ARRAY<FLOAT>")
-DICTIONARY_ENTRY = T.StructType.fromDDL(
+DICTIONARY_ENTRY = (
     "en STRING, machine STRING, sr STRING, reviewStatus STRING, manualOverride BOOLEAN")
-REVIEW_SIMPLE = T.StructType.fromDDL("en STRING, approvedSr STRING")
-REVIEW_FULL = T.StructType.fromDDL(
+REVIEW_SIMPLE = "en STRING, approvedSr STRING"
+REVIEW_FULL = (
     "en STRING, approvedSr STRING, disposition STRING, rationale STRING, confidence STRING")
 
 # One row per query; arrays are null when the group is not asked for.
-CRITERIA = T.StructType.fromDDL(
+CRITERIA = (
     "year_min INT, year_max INT, runtime_min INT, runtime_max INT, genres_all ARRAY<STRING>, "
     "genres_any ARRAY<STRING>, rating_min DECIMAL(28,18), rating_operator STRING, "
     "original_language STRING, actors_all ARRAY<STRING>, actors_any ARRAY<STRING>, "
     "actors_exclude ARRAY<STRING>")
 
-EVALUATION_CASE = T.StructType.fromDDL(
+EVALUATION_CASE = (
     "id STRING, language STRING, query STRING, category STRING, note STRING, parserEval BOOLEAN, "
     "retrievalEval BOOLEAN, parserExpected STRING, retrievalQuery STRUCT<hardFilters: STRUCT<"
     "yearMin: INT, yearMax: INT, runtimeMin: INT, runtimeMax: INT, genres: STRUCT<all: ARRAY<STRING>, "

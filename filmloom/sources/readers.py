@@ -13,10 +13,9 @@ from filmloom.operators.rules import Rule, distinct_nonblank, failed_rules, is_f
 CORRUPT = "_corrupt_record"
 
 
-def _csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def _csv(spark: SparkSession, path, schema: str) -> DataFrame:
     """Strict header, RFC-style quotes. Every field is read as text and cast by the caller."""
-    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    return (spark.read.schema(with_corrupt).option("header", True).option("enforceSchema", False)
+    return (spark.read.schema(f"{schema}, {CORRUPT} STRING").option("header", True).option("enforceSchema", False)
             .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
             .option("nullValue", "\u0000").option("emptyValue", "")
             .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
@@ -108,9 +107,9 @@ def read_metadata(spark: SparkSession, path) -> DataFrame:
         "item_id", "title", "imdbId", "avgRating", "directedBy", "starring", "failed_rules")
 
 
-def _ordered_objects(texts: DataFrame, schema: T.StructType, text: str = "value") -> DataFrame:
+def _ordered_objects(texts: DataFrame, schema: str, text: str = "value") -> DataFrame:
     """Columns of the schema plus `shape_ok`: exactly its fields, in its order, none twice at any depth."""
-    fields = F.array(*[F.lit(f.name) for f in schema.fields])
+    fields = F.array(*[F.lit(f.name) for f in T.StructType.fromDDL(schema).fields])
     ok = F.coalesce((F.json_object_keys(text) == fields) & F.try_parse_json(text).isNotNull(), F.lit(False))
     others = [c for c in texts.columns if c != text]
     return texts.select(*others, F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"}).alias("_r"),
@@ -141,7 +140,7 @@ def ascending_problems(rows: DataFrame, key: str = "movieLensId") -> DataFrame:
     return within.unionByName(across)
 
 
-def read_tolerant(spark: SparkSession, path, schema: T.StructType, shape: str) -> DataFrame:
+def read_tolerant(spark: SparkSession, path, schema: str, shape: str) -> DataFrame:
     """One JSON array ('array'), indented objects one after another ('sequence') or 'jsonl'.
 
     Indented objects end with a brace in the first column, which serves as the record separator, so the
@@ -235,13 +234,12 @@ def read_movies(spark: SparkSession, path, columns: Sequence[str] | None = None)
 def _document(spark: SparkSession, path, fields: dict[str, str]) -> DataFrame:
     """A small multi-line JSON document, its ordered keys checked on the raw text."""
     whole = spark.read.option("wholetext", True).text(path)
-    schema = T.StructType.fromDDL(", ".join(f"{k} {t}" for k, t in fields.items()))
-    return _ordered_objects(whole, schema)
+    return _ordered_objects(whole, ", ".join(f"{k} {t}" for k, t in fields.items()))
 
 
 def read_cases(spark: SparkSession, path) -> DataFrame:
     """Evaluation cases as rows, each with its schemaVersion."""
-    case = schemas.EVALUATION_CASE.simpleString()
+    case = T.StructType.fromDDL(schemas.EVALUATION_CASE).simpleString()
     whole = spark.read.option("wholetext", True).text(path)
     document = F.from_json(F.col("value"), f"struct<schemaVersion:string,cases:array<{case}>>")
     return whole.select(document.alias("d")).select("d.schemaVersion", F.explode("d.cases").alias("c")).select(
