@@ -22,7 +22,7 @@ def _first_vector(spark, sf_dir):
 _ONE = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS query_vector FROM embeddings ORDER BY vec_id LIMIT 1)"
 
 
-@query("G1_hybrid_single", M.with_sql(M.MOVIES, M.VECTORS, _ONE) + f"""SELECT m.movie_id, m.title, round({_DISTANCE}, 6) AS distance
+@query("G1_hybrid_single", M.with_sql(M.MOVIES, M.VECTORS, _ONE) + f"""SELECT m.movie_id, m.title, round({_DISTANCE}, 6) + 0.0 AS distance
 FROM movies m JOIN vectors v USING (movie_id), q WHERE v.language = 'en' AND {_SINGLE_SQL}
 ORDER BY {_DISTANCE}, m.movie_id LIMIT 10""")
 def hybrid_single(spark, sf_dir):
@@ -30,7 +30,7 @@ def hybrid_single(spark, sf_dir):
     return found.select("movie_id", "title", "distance")
 
 
-@query("G2_semantic_single", M.with_sql(M.MOVIES, M.VECTORS, _ONE) + f"""SELECT m.movie_id, round({_DISTANCE}, 6) AS distance
+@query("G2_semantic_single", M.with_sql(M.MOVIES, M.VECTORS, _ONE) + f"""SELECT m.movie_id, round({_DISTANCE}, 6) + 0.0 AS distance
 FROM movies m JOIN vectors v USING (movie_id), q WHERE v.language = 'sr' ORDER BY {_DISTANCE}, m.movie_id LIMIT 10""")
 def semantic_single(spark, sf_dir):
     found = S.search_hybrid(M.movies(spark, sf_dir), M.vectors(spark, sf_dir), {}, _first_vector(spark, sf_dir), "sr")
@@ -56,7 +56,7 @@ def _serving(spark, sf_dir):
 
 
 @query("N11_batch_hybrid", M.with_sql(M.MOVIES, M.VECTORS, M.CRITERIA, M.ASKING, _RANKED_NEAR)
-       + "SELECT query_id, rank, movie_id, round(d, 6) AS distance FROM near")
+       + "SELECT query_id, rank, movie_id, round(d, 6) + 0.0 AS distance FROM near")
 def batch_hybrid(spark, sf_dir):
     return S.batch_hybrid(_serving(spark, sf_dir), M.asking(spark, sf_dir))
 
@@ -71,7 +71,7 @@ _ROUTED = M.with_sql(M.MOVIES, M.VECTORS, M.CRITERIA, M.ASKING, _RANKED_NEAR.rep
 
 
 @query("G4_routed", _ROUTED + """SELECT query_id, 'hard_only' AS route, rank, movie_id, CAST(NULL AS DOUBLE) AS distance FROM hard
-UNION ALL SELECT query_id, 'hybrid', rank, movie_id, round(d, 6) FROM near""")
+UNION ALL SELECT query_id, 'hybrid', rank, movie_id, round(d, 6) + 0.0 FROM near""")
 def routed(spark, sf_dir):
     return S.recommend(M.movies(spark, sf_dir), _serving(spark, sf_dir), M.asking(spark, sf_dir))
 

@@ -36,7 +36,7 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(kind, (T.DecimalType, T.FloatType, T.DoubleType)):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), 6) + F.lit(0.0)  # no negative zero
         elif isinstance(kind, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), "|", "~")
         elif isinstance(kind, (T.DateType, T.TimestampType)):

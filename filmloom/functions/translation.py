@@ -26,7 +26,9 @@ MESSAGES = {
 _FOREIGN_LETTER = r"[\p{L}&&[^\x{0}-\x{24f}\x{1e00}-\x{1eff}\x{ab30}-\x{ab6f}]]"
 _NEGATION_EN = r"(?iu)(?<!\p{L})(?:no|not|without|non-)(?=\p{L}|(?U:\b))"
 _NEGATION_SR = r"(?iu)(?<!\p{L})(?:ne|bez|ni|anti-)(?=\p{L}|(?U:\b))"
-_REPEATED = r"(?U)(?:[!?.,;:]\s*){2,}"
+# Single characters and classes only: repeated groups would recurse on long texts.
+_REPEATED = r"(?U)[!?.,;:]\s*[!?.,;:]"
+_NOT_APPROVED = (r"[\p{L}&&[^A-Za-z\x{c0}-\x{24f}\x{1e00}-\x{1eff}\x{ab30}-\x{ab6f}]]|[^\p{L}\p{Nd}\p{Zs}\p{P}]")
 _SPECIAL = r"(?i)<unk>|</s>|<pad>|<s>|<<[^<>]+>>"
 _RESIDUE = "[æÆèÈ]"
 _ODD_CHARACTERS = r"[\p{Cc}\p{Cs}\p{Co}\p{Cn}]"
@@ -102,9 +104,7 @@ def with_entry_flags(df: DataFrame, en: str = "en", machine: str = "machine", sr
 
 def is_approved_serbian(text: Column, normal: Column) -> Column:
     """Equal to its normal form; Latin letters, digits, spaces and punctuation only."""
-    allowed = (r"^(?:[A-Za-z\x{c0}-\x{24f}\x{1e00}-\x{1eff}\x{ab30}-\x{ab6f}&&\p{L}]"
-               r"|[\p{Nd}\p{Zs}\p{Pc}\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pf}\p{Po}])+$")
-    return F.coalesce(~is_blank(text) & (text == normal) & text.rlike(allowed), F.lit(False))
+    return F.coalesce(~is_blank(text) & (text == normal) & ~text.rlike(_NOT_APPROVED), F.lit(False))
 
 
 def same_ignoring_case_and_space(left: Column, right: Column) -> Column:

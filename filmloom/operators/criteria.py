@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from filmloom import vocab
 from filmloom.functions.normalize import trim_space
 from filmloom.functions.text import is_blank, is_semantic_text, rating_threshold
-from filmloom.operators.filters import FIELDS, columns_of, contradicts, criteria_rules, has_active_filter
+from filmloom.operators.filters import FIELDS, contradicts, criteria_rules, has_active_filter
 from filmloom.operators.rules import Rule, failed_rules
 
 _TEXT = "(?:VOID|STRING)"
@@ -63,12 +63,13 @@ def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool =
     df = answers.withColumn("_answer", F.try_parse_json(F.col(json)))
     shape_ok = F.coalesce(F.schema_of_variant("_answer").rlike(_answer_shape(with_actors, with_language)), F.lit(False))
     df = df.withColumn("_shape", shape_ok)
-    df = df.withColumn("_a", F.when(F.col("_shape"), F.struct(
-        _text_at("type").alias("type"), _text_at("alertCode").alias("alert"),
-        (_text_at("languageCheck") if with_language else F.lit("match")).alias("check"),
-        F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("_answer"), "$.query", "variant")) != "VOID",
-                   F.lit(False)).alias("has_query"))))
-    is_query = F.col("_a.has_query")
+    # Plain columns between the stages: structs would be taken apart and inlined again and again.
+    df = df.withColumns({
+        "_type": F.when(F.col("_shape"), _text_at("type")), "_alert": F.when(F.col("_shape"), _text_at("alertCode")),
+        "_check": F.when(F.col("_shape"), _text_at("languageCheck") if with_language else F.lit("match")),
+        "_is_query": F.when(F.col("_shape"), F.coalesce(
+            F.schema_of_variant(F.try_variant_get(F.col("_answer"), "$.query", "variant")) != "VOID", F.lit(False)))})
+    is_query = F.col("_is_query")
     whole = lambda p: F.when(is_query, F.variant_get(F.col("_answer"), f"$.query.{p}", "bigint"))
     text = lambda p: F.when(is_query, _text_at(f"query.{p}"))
     labels = lambda p: F.when(is_query, _list_at(p))
@@ -87,9 +88,9 @@ def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool =
     for group in ("all", "any", "exclude"):
         fields[f"actors_{group}"] = labels(f"actors.{group}") if with_actors else none
     fields["actors_status"] = text("actors.status") if with_actors else F.lit("absent")
-    df = df.withColumn("_q", F.struct(*[value.alias(name) for name, value in fields.items()]))
-    df = df.withColumn("_semantic", trim_space(F.col("_q.semantic")))
-    q = {name: F.col(f"_q.{name}") for name in fields}
+    df = df.withColumns({f"_q_{name}": value for name, value in fields.items()})
+    df = df.withColumn("_semantic", trim_space(F.col("_q_semantic")))
+    q = {name: F.col(f"_q_{name}") for name in fields}
 
     bounded = lambda v, low, high: v.isNull() | v.between(low, high)
     has = {
@@ -127,7 +128,7 @@ def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool =
     rules += [Rule(f"actors_{g}", when_query(_clean_list(q[f"actors_{g}"]) & ~F.exists(
         q[f"actors_{g}"], lambda n: is_blank(n) | n.rlike(r"\p{Cc}")))) for g in ("all", "any", "exclude")]
 
-    kind, code, check = F.col("_a.type"), F.col("_a.alert"), F.col("_a.check")
+    kind, code, check = F.col("_type"), F.col("_alert"), F.col("_check")
     envelope = [
         Rule("shape", F.col("_shape")),
         Rule("type", kind.isin("query", "alert")),
@@ -153,9 +154,10 @@ def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool =
     unsupported = F.lit(False)
     for name in has:
         unsupported = unsupported | F.coalesce(q[f"{name}_status"] == "unsupported", F.lit(False))
-    no_scale = (q["rating_status"] == "present") & threshold.isNull()
-    df = df.withColumn("_f", F.struct(*[v.alias(k) for k, v in columns.items()]))
-    active = has_active_filter(columns_of("_f"))
+    no_scale = (q["rating_status"] == "present") & F.col("_f_rating_min").isNull()
+    df = df.withColumns({f"_f_{k}": v for k, v in columns.items()})
+    f = {name: F.col(f"_f_{name}") for name in columns}
+    active = has_active_filter(f)
     ok = F.size("failed") == 0
     alerting = F.coalesce(is_query & (unsupported | no_scale), F.lit(False))
     empty_query = F.coalesce(is_query, F.lit(False)) & ~alerting & F.col("_semantic").isNull() & ~active
@@ -182,7 +184,7 @@ def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool =
         *answers.columns, "type",
         F.when(ok, F.when(alerting, "UNSUPPORTED_REQUEST").otherwise(code)).alias("alert_code"),
         F.when(ok, check).alias("language_check"),
-        *[F.when(is_row, F.col(f"_f.{f}")).alias(f) for f in FIELDS],
+        *[F.when(is_row, f[name]).alias(name) for name in FIELDS],
         F.when(is_row, F.col("_semantic")).alias("semantic_query"), checklist.alias("checklist"), "failed")
 
 
