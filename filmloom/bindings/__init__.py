@@ -1,4 +1,4 @@
 """Queries over the driver tables, each with its ANSI SQL twin."""
 
-from filmloom.bindings import filters, functions, ranking  # noqa: F401
+from filmloom.bindings import filters, functions, joins, ranking, sources  # noqa: F401
 from filmloom.bindings.registry import ORACLES, QUERIES  # noqa: F401

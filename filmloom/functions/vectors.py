@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from filmloom.functions.binding import let
 from filmloom.functions.normalize import nfc
 from filmloom.functions.text import document_input
 from filmloom.operators.rules import is_finite
@@ -27,12 +28,11 @@ def cosine_distance(a: Column, b: Column, norm_a: Column | None = None, norm_b:
 
 def is_valid_vector(v: Column, dimension: int, unit_tolerance: float | None = None) -> Column:
     """Right size, finite, not zero, and near unit length when a tolerance is given."""
-    norm = l2_norm(v)
-    ok = (v.isNotNull() & (F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & is_finite(x))
-          & is_finite(norm) & (norm > 0))
-    if unit_tolerance is not None:
-        ok = ok & (F.abs(norm - 1) <= unit_tolerance)
-    return F.coalesce(ok, F.lit(False))
+    def check(x: Column) -> Column:
+        entries = x.isNotNull() & (F.size(x) == dimension) & F.forall(x, lambda e: e.isNotNull() & is_finite(e))
+        near = lambda n: F.abs(n - 1) <= unit_tolerance if unit_tolerance is not None else F.lit(True)
+        return entries & let(l2_norm(x), lambda n: is_finite(n) & (n > 0) & near(n))
+    return F.coalesce(let(v, check), F.lit(False))
 
 
 def text_hash(text: Column) -> Column:
@@ -50,14 +50,15 @@ def document_fingerprint(text: Column, language: Column, text_format: Column, pr
 
 def pseudo_vector(fingerprint: Column, dimension: int) -> Column:
     """Deterministic stand-in vector: byte i mod 32 of the fingerprint's hash, scaled to [-1, 1]."""
-    seed = F.sha2(fingerprint, 256)
-    at = lambda i: F.conv(F.substr(seed, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), at)
+    def values(seed: Column) -> Column:
+        byte = lambda i: F.conv(F.substr(seed, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: byte(i) / 127.5 - 1.0)
+    return let(F.sha2(fingerprint, 256), values)
 
 
 def unit(v: Column) -> Column:
-    norm = l2_norm(v)
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), norm).cast("float"))
+    return let(v, lambda x: let(l2_norm(x), lambda n: F.transform(
+        x, lambda e: F.try_divide(e.cast("double"), n).cast("float"))))
 
 
 def max_abs_difference(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filmloom import vocab
+from filmloom.functions.binding import let
 from filmloom.functions.normalize import trim_space
 from filmloom.functions.text import is_blank, is_semantic_text, rating_threshold
 from filmloom.operators.filters import FIELDS, contradicts, criteria_rules, has_active_filter
@@ -44,67 +45,59 @@ def _answer_shape(with_actors: bool, with_language: bool) -> str:
     return "^" + _object(type="STRING", alertCode=_TEXT, query=query, **extra) + "$"
 
 
-def _text_at(path: str) -> Column:
-    return F.variant_get(F.col("_answer"), f"$.{path}", "string")
+def _extend(bound: Column, names: list[str], **more: Column) -> Column:
+    return F.struct(*[bound[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
 
 
-def _list_at(path: str) -> Column:
-    return F.variant_get(F.col("_answer"), f"$.query.{path}", "array<string>")
+_TEXTS = {"year_status": "year.status", "runtime_status": "runtime.status", "genres_status": "genres.status",
+          "rating_status": "rating.status", "rating_operator": "rating.operator", "rating_scale": "rating.scale",
+          "language_status": "originalLanguage.status", "language": "originalLanguage.value",
+          "semantic": "semanticQuery"}
+_WHOLES = {"year_min": "year.min", "year_max": "year.max", "runtime_min": "runtime.min", "runtime_max": "runtime.max"}
+_LISTS = {"genres_all": "genres.all", "genres_any": "genres.any"}
+_ACTOR_LISTS = {"actors_all": "actors.all", "actors_any": "actors.any", "actors_exclude": "actors.exclude"}
+_HEAD = ["type", "alert", "check", "is_query"]
+_BODY = [*_TEXTS, *_WHOLES, *_LISTS, *_ACTOR_LISTS, "actors_status", "rating_value"]
+_GROUPS = ["year", "runtime", "genres", "rating", "language", "actors"]
+
+
+def _fields(answer: Column, with_actors: bool, with_language: bool) -> Column:
+    """Values of an answer whose shape is right; those of the query are null in an alert."""
+    at = lambda path, kind: F.variant_get(answer, f"$.{path}", kind)
+    is_query = F.schema_of_variant(at("query", "variant")) != "VOID"
+    inside = lambda path, kind: F.when(is_query, F.try_variant_get(answer, f"$.query.{path}", kind))
+    none = F.array().cast("array<string>")
+    values = {"type": at("type", "string"), "alert": at("alertCode", "string"),
+              "check": at("languageCheck", "string") if with_language else F.lit("match"), "is_query": is_query}
+    values |= {name: inside(path, "string") for name, path in _TEXTS.items()}
+    values |= {name: inside(path, "bigint") for name, path in _WHOLES.items()}
+    values |= {name: inside(path, "array<string>") for name, path in _LISTS.items()}
+    values |= {name: inside(path, "array<string>") if with_actors else none for name, path in _ACTOR_LISTS.items()}
+    values["actors_status"] = inside("actors.status", "string") if with_actors else F.lit("absent")
+    values["rating_value"] = inside("rating.value", "decimal(28,10)")
+    return F.struct(*[c.alias(n) for n, c in values.items()])
 
 
 def _clean_list(values: Column) -> Column:
     return ~F.exists(values, lambda x: x.isNull()) & (F.size(F.array_distinct(values)) == F.size(values))
 
 
-def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool = True,
-                   with_language: bool = True) -> DataFrame:
-    """Adds type ('query', 'alert' or 'invalid'), alert_code, language_check, the filter columns,
-    semantic_query, checklist (the accepted fields as JSON) and failed (names of broken rules)."""
-    df = answers.withColumn("_answer", F.try_parse_json(F.col(json)))
-    shape_ok = F.coalesce(F.schema_of_variant("_answer").rlike(_answer_shape(with_actors, with_language)), F.lit(False))
-    df = df.withColumn("_shape", shape_ok)
-    # Plain columns between the stages: structs would be taken apart and inlined again and again.
-    df = df.withColumns({
-        "_type": F.when(F.col("_shape"), _text_at("type")), "_alert": F.when(F.col("_shape"), _text_at("alertCode")),
-        "_check": F.when(F.col("_shape"), _text_at("languageCheck") if with_language else F.lit("match")),
-        "_is_query": F.when(F.col("_shape"), F.coalesce(
-            F.schema_of_variant(F.try_variant_get(F.col("_answer"), "$.query", "variant")) != "VOID", F.lit(False)))})
-    is_query = F.col("_is_query")
-    whole = lambda p: F.when(is_query, F.variant_get(F.col("_answer"), f"$.query.{p}", "bigint"))
-    text = lambda p: F.when(is_query, _text_at(f"query.{p}"))
-    labels = lambda p: F.when(is_query, _list_at(p))
-    fields = {
-        "year_status": text("year.status"), "year_min": whole("year.min"), "year_max": whole("year.max"),
-        "runtime_status": text("runtime.status"), "runtime_min": whole("runtime.min"),
-        "runtime_max": whole("runtime.max"), "genres_status": text("genres.status"),
-        "genres_all": labels("genres.all"), "genres_any": labels("genres.any"),
-        "rating_status": text("rating.status"),
-        "rating_value": F.when(is_query, F.try_variant_get(F.col("_answer"), "$.query.rating.value", "decimal(28,10)")),
-        "rating_operator": text("rating.operator"), "rating_scale": text("rating.scale"),
-        "language_status": text("originalLanguage.status"), "language": text("originalLanguage.value"),
-        "semantic": text("semanticQuery"),
-    }
-    none = F.array().cast("array<string>")
-    for group in ("all", "any", "exclude"):
-        fields[f"actors_{group}"] = labels(f"actors.{group}") if with_actors else none
-    fields["actors_status"] = text("actors.status") if with_actors else F.lit("absent")
-    df = df.withColumns({f"_q_{name}": value for name, value in fields.items()})
-    df = df.withColumn("_semantic", trim_space(F.col("_q_semantic")))
-    q = {name: F.col(f"_q_{name}") for name in fields}
-
+def _rules(q: Column) -> list[Rule]:
+    """All rules of an answer with the right shape; rules of the query pass in an alert."""
+    when_query = lambda ok: ~q["is_query"] | ok
     bounded = lambda v, low, high: v.isNull() | v.between(low, high)
+    not_blank = lambda v: v.isNull() | ~is_blank(v)
+    rating = ["rating_value", "rating_operator", "rating_scale"]
+    given, touched = [q[r].isNotNull() for r in rating], F.lit(False)
+    for g in given:
+        touched = touched | g
     has = {
         "year": q["year_min"].isNotNull() | q["year_max"].isNotNull(),
         "runtime": q["runtime_min"].isNotNull() | q["runtime_max"].isNotNull(),
         "genres": F.size(q["genres_all"]) + F.size(q["genres_any"]) > 0,
-        "rating": q["rating_value"].isNotNull() & q["rating_operator"].isNotNull() & q["rating_scale"].isNotNull(),
-        "language": q["language"].isNotNull(),
+        "rating": given[0] & given[1] & given[2], "language": q["language"].isNotNull(),
         "actors": F.size(q["actors_all"]) + F.size(q["actors_any"]) + F.size(q["actors_exclude"]) > 0,
     }
-    rating_touched = q["rating_value"].isNotNull() | q["rating_operator"].isNotNull() | q["rating_scale"].isNotNull()
-    known_genres = F.array(*map(F.lit, vocab.GENRES))
-    not_blank = lambda v: v.isNull() | ~is_blank(v)
-    when_query = lambda ok: ~is_query | ok
     rules = [Rule(f"{name}_status", when_query(q[f"{name}_status"].isin("present", "absent", "unsupported")
                                                & ((q[f"{name}_status"] == "present") == value)))
              for name, value in has.items()]
@@ -114,78 +107,93 @@ def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool =
         Rule("runtime_range", when_query(bounded(q["runtime_min"], 1, 2147483647)
                                          & bounded(q["runtime_max"], 1, 2147483647))),
         Rule("runtime_order", when_query(F.coalesce(q["runtime_min"] <= q["runtime_max"], F.lit(True)))),
-        Rule("rating_parts", when_query(
-            (q["rating_status"] == "present") | ~rating_touched)),
+        Rule("rating_parts", when_query((q["rating_status"] == "present") | ~touched)),
         Rule("rating_words", when_query((q["rating_status"] != "present") | (
             q["rating_operator"].isin("gte", "gt") & q["rating_scale"].isin("five", "ten", "unspecified")))),
         Rule("rating_blank", when_query(not_blank(q["rating_operator"]) & not_blank(q["rating_scale"]))),
         Rule("language_code", when_query(q["language"].isNull() | q["language"].isin(vocab.LANGUAGES))),
-        Rule("semantic_text", when_query(q["semantic"].isNull() | is_semantic_text(F.col("_semantic")))),
+        Rule("semantic_text", when_query(q["semantic"].isNull() | is_semantic_text(trim_space(q["semantic"])))),
     ]
-    rules += [Rule(f"genres_{g}", when_query(_clean_list(q[f"genres_{g}"])
-                                             & (F.size(F.array_except(q[f"genres_{g}"], known_genres)) == 0)))
-              for g in ("all", "any")]
-    rules += [Rule(f"actors_{g}", when_query(_clean_list(q[f"actors_{g}"]) & ~F.exists(
-        q[f"actors_{g}"], lambda n: is_blank(n) | n.rlike(r"\p{Cc}")))) for g in ("all", "any", "exclude")]
-
-    kind, code, check = F.col("_type"), F.col("_alert"), F.col("_check")
-    envelope = [
-        Rule("shape", F.col("_shape")),
+    known = F.array(*map(F.lit, vocab.GENRES))
+    rules += [Rule(n, when_query(_clean_list(q[n]) & (F.size(F.array_except(q[n], known)) == 0))) for n in _LISTS]
+    rules += [Rule(n, when_query(_clean_list(q[n]) & ~F.exists(q[n], lambda x: is_blank(x) | x.rlike(r"\p{Cc}"))))
+              for n in _ACTOR_LISTS]
+    kind, code, check = q["type"], q["alert"], q["check"]
+    return rules + [
         Rule("type", kind.isin("query", "alert")),
         Rule("language_check", check.isin("match", "mismatch", "unclear")),
-        Rule("branch", (F.when(kind == "query", is_query & code.isNull() & (check == "match"))
-                        .when(kind == "alert", ~is_query & code.isNotNull()))),
+        Rule("branch", F.when(kind == "query", q["is_query"] & code.isNull() & (check == "match"))
+             .when(kind == "alert", ~q["is_query"] & code.isNotNull())),
         Rule("alert_code", (kind != "alert")
              | F.when(check == "mismatch", code == "LANGUAGE_MISMATCH")
              .when(check == "unclear", code == "QUERY_UNCLEAR").otherwise(code.isin(vocab.ALERT_CODES))),
     ]
-    df = df.withColumn("failed", failed_rules(envelope + rules))
 
+
+def _outcome(q: Column) -> dict[str, Column]:
+    """Filter columns and flags of an answer whose rules hold."""
     given = lambda v: F.when(F.size(v) > 0, v)
-    threshold = F.when(q["rating_status"] == "present", rating_threshold(q["rating_value"], q["rating_scale"]))
-    columns = {
-        "year_min": q["year_min"].cast("int"), "year_max": q["year_max"].cast("int"),
-        "runtime_min": q["runtime_min"].cast("int"), "runtime_max": q["runtime_max"].cast("int"),
-        "genres_all": given(q["genres_all"]), "genres_any": given(q["genres_any"]), "rating_min": threshold,
-        "rating_operator": F.when(q["rating_status"] == "present", q["rating_operator"]),
-        "original_language": q["language"], "actors_all": given(q["actors_all"]),
-        "actors_any": given(q["actors_any"]), "actors_exclude": given(q["actors_exclude"]),
-    }
+    present = q["rating_status"] == "present"
     unsupported = F.lit(False)
-    for name in has:
+    for name in _GROUPS:
         unsupported = unsupported | F.coalesce(q[f"{name}_status"] == "unsupported", F.lit(False))
-    no_scale = (q["rating_status"] == "present") & F.col("_f_rating_min").isNull()
-    df = df.withColumns({f"_f_{k}": v for k, v in columns.items()})
-    f = {name: F.col(f"_f_{name}") for name in columns}
-    active = has_active_filter(f)
-    ok = F.size("failed") == 0
-    alerting = F.coalesce(is_query & (unsupported | no_scale), F.lit(False))
-    empty_query = F.coalesce(is_query, F.lit(False)) & ~alerting & F.col("_semantic").isNull() & ~active
-    df = df.withColumn("failed", F.when(ok & empty_query, F.array(F.lit("nothing_asked"))).otherwise(F.col("failed")))
-    ok = F.size("failed") == 0
-    df = df.withColumn("type", F.when(~ok, "invalid").when(alerting, "alert").otherwise(kind))
-    is_row = F.col("type") == "query"
-    # Unresolved by design: names are resolved against the catalog by `resolve_actors`.
-    checklist = F.when(ok & F.coalesce(is_query, F.lit(False)), F.to_json(F.struct(
-        kind.alias("type"),
-        F.struct(q["year_status"].alias("status"), q["year_min"].alias("min"), q["year_max"].alias("max")).alias("year"),
-        F.struct(q["runtime_status"].alias("status"), q["runtime_min"].alias("min"),
-                 q["runtime_max"].alias("max")).alias("runtime"),
-        F.struct(q["genres_status"].alias("status"), q["genres_all"].alias("all"),
-                 q["genres_any"].alias("any")).alias("genres"),
-        F.struct(q["rating_status"].alias("status"), q["rating_value"].alias("value"),
-                 q["rating_operator"].alias("operator"), q["rating_scale"].alias("scale")).alias("rating"),
-        F.struct(q["language_status"].alias("status"), q["language"].alias("value")).alias("originalLanguage"),
-        F.when(F.col("_semantic").isNull(), "absent").otherwise("present").alias("semanticQuery"),
-        *([F.struct(q["actors_status"].alias("status"), q["actors_all"].alias("all"), q["actors_any"].alias("any"),
-                    q["actors_exclude"].alias("exclude")).alias("actors")] if with_actors else []),
-    ), {"ignoreNullFields": "false"})).when(ok, F.to_json(F.struct(kind.alias("type"), code.alias("alertCode"))))
-    return df.select(
-        *answers.columns, "type",
-        F.when(ok, F.when(alerting, "UNSUPPORTED_REQUEST").otherwise(code)).alias("alert_code"),
-        F.when(ok, check).alias("language_check"),
-        *[F.when(is_row, f[name]).alias(name) for name in FIELDS],
-        F.when(is_row, F.col("_semantic")).alias("semantic_query"), checklist.alias("checklist"), "failed")
+    out = {n: q[n].cast("int") for n in _WHOLES}
+    out |= {n: given(q[n]) for n in [*_LISTS, *_ACTOR_LISTS]}
+    out |= {"rating_min": F.when(present, rating_threshold(q["rating_value"], q["rating_scale"])),
+            "rating_operator": F.when(present, q["rating_operator"]), "original_language": q["language"],
+            "semantic_query": trim_space(q["semantic"]), "unsupported": unsupported,
+            "unscaled": F.coalesce(present & rating_threshold(q["rating_value"], q["rating_scale"]).isNull(), F.lit(False))}
+    return out
+
+
+def _checklist(q: Column, with_actors: bool) -> Column:
+    """The accepted fields as JSON; semantic text only as present or absent."""
+    group = lambda name, **parts: F.struct(q[f"{name}_status"].alias("status"),
+                                           *[q[v].alias(k) for k, v in parts.items()])
+    parts = [q["type"].alias("type"), group("year", min="year_min", max="year_max").alias("year"),
+             group("runtime", min="runtime_min", max="runtime_max").alias("runtime"),
+             group("genres", all="genres_all", any="genres_any").alias("genres"),
+             group("rating", value="rating_value", operator="rating_operator", scale="rating_scale").alias("rating"),
+             group("language", value="language").alias("originalLanguage"),
+             F.when(q["semantic"].isNull(), "absent").otherwise("present").alias("semanticQuery")]
+    if with_actors:
+        parts.append(group("actors", all="actors_all", any="actors_any", exclude="actors_exclude").alias("actors"))
+    alert = F.to_json(F.struct(q["type"].alias("type"), q["alert"].alias("alertCode")))
+    return F.when(q["is_query"], F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})).otherwise(alert)
+
+
+def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool = True,
+                   with_language: bool = True) -> DataFrame:
+    """Adds type ('query', 'alert' or 'invalid'), alert_code, language_check, the filter columns,
+    semantic_query, checklist (the accepted fields as JSON) and failed (names of broken rules).
+
+    Proposed actor names stay as they are; `resolve_actors` looks them up in the catalog. Several steps read
+    the result, so write it once (`session.materialize`) rather than filter the unparsed answers again.
+    """
+    shape = _answer_shape(with_actors, with_language)
+    fields = let(F.try_parse_json(F.col(json)), lambda a: F.when(
+        F.coalesce(F.schema_of_variant(a).rlike(shape), F.lit(False)), _fields(a, with_actors, with_language)))
+    judged = let(fields, lambda q: F.when(q.isNotNull(), _extend(
+        q, _HEAD + _BODY, failed=failed_rules(_rules(q)), **{f"out_{n}": c for n, c in _outcome(q).items()})))
+
+    def result(q: Column) -> Column:
+        f = {n: q[f"out_{n}"] for n in FIELDS}
+        ok = q.isNotNull() & (F.size(q["failed"]) == 0)
+        alerting = q["is_query"] & (q["out_unsupported"] | q["out_unscaled"])
+        nothing = q["is_query"] & ~alerting & q["out_semantic_query"].isNull() & ~has_active_filter(f)
+        good = F.coalesce(ok & ~nothing, F.lit(False))
+        is_row = good & q["is_query"] & ~alerting
+        broken = (F.when(q.isNull(), F.array(F.lit("shape"))).when(ok & nothing, F.array(F.lit("nothing_asked")))
+                  .otherwise(q["failed"]))
+        return F.struct(
+            F.when(~good, "invalid").when(alerting, "alert").otherwise(q["type"]).alias("type"),
+            F.when(good, F.when(alerting, "UNSUPPORTED_REQUEST").otherwise(q["alert"])).alias("alert_code"),
+            F.when(good, q["check"]).alias("language_check"),
+            *[F.when(is_row, f[n]).alias(n) for n in FIELDS],
+            F.when(is_row, q["out_semantic_query"]).alias("semantic_query"),
+            F.when(good, _checklist(q, with_actors)).alias("checklist"), broken.alias("failed"))
+
+    return answers.withColumn("_r", let(judged, result)).select(*answers.columns, "_r.*")
 
 
 # The language checks and alert codes that may stand together.
