@@ -112,10 +112,10 @@ def catalog_file(spark, sf_dir):
 
 @query("W7_ascending_ids", "SELECT o_orderkey - 1 AS movie_id FROM orders WHERE o_orderkey % 1000 = 500")
 def ascending_ids(spark, sf_dir):
-    """One sorted file in which each id that ends in 500 is written after its successor's place."""
+    """Sorted files in which each id that ends in 500 is written two too low."""
     ids = M.table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 1000 == 500, F.col("o_orderkey") - 2).otherwise(F.col("o_orderkey")).alias("id"), F.col("o_orderkey").alias("place"))
     fields = [F.col("id").alias("movieLensId")]
-    lines = ids.orderBy("place").coalesce(1).select(F.to_json(F.struct(*fields)).alias("value"))
+    lines = ids.repartitionByRange("place").sortWithinPartitions("place").select(F.to_json(F.struct(*fields)).alias("value"))
     rows = readers.read_catalog(spark, _lines(lines, "ascending"), ["movieLensId"])
     return readers.ascending_problems(rows).select((F.col("movieLensId") + 1).alias("movie_id"))
 
@@ -128,8 +128,8 @@ def tolerant_shapes(spark, sf_dir):
     records = M.table(spark, sf_dir, "supplier").select(s.alias("id"), inner.alias("inner"))
     compact = records.select(F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "inner": '), "inner", F.lit("}")).alias("value"))
     indented = records.select(F.concat(F.lit('{\n  "id": '), F.col("id").cast("string"), F.lit(',\n  "inner": '), "inner", F.lit("\n}")).alias("value"))
-    # One array file per range of suppliers, as one file is one record of that shape.
-    arrays = compact.withColumn("file", F.pmod(F.xxhash64("value"), F.lit(8))).groupBy("file").agg(F.array_join(F.collect_list("value"), ",\n").alias("v")).select(F.concat(F.lit("["), "v", F.lit("]")).alias("value"))
+    # One array file per fifty suppliers, as one file is one record of that shape.
+    arrays = compact.withColumn("file", F.floor(F.get_json_object("value", "$.id").cast("bigint") / 50)).groupBy("file").agg(F.array_join(F.collect_list("value"), ",\n").alias("v")).select(F.concat(F.lit("["), "v", F.lit("]")).alias("value"))
     ddl, out = "id BIGINT, inner STRING", None
     for shape, frame in (("jsonl", compact), ("sequence", indented), ("array", arrays)):
         write = _documents if shape == "array" else _lines
@@ -205,9 +205,9 @@ def _entries(spark, sf_dir):
 
 @query("A13_dictionary_document", M.with_sql(M.DICTIONARY) + "SELECT en, sr, CASE WHEN en LIKE '%4' THEN 'status' ELSE '' END AS failed FROM dictionary")
 def dictionary_document(spark, sf_dir):
-    """Dictionary documents per hash range; entries whose key ends in 4 have an unknown status."""
+    """Dictionary documents of fifty keys; entries whose key ends in 4 have an unknown status."""
     entry = F.when(F.col("en").endswith("4"), F.regexp_replace("value", '"reviewStatus":"[a-z_]+"', '"reviewStatus":"odd"')).otherwise(F.col("value"))
-    groups = _entries(spark, sf_dir).select(F.pmod(F.xxhash64("en"), F.lit(8)).alias("g"), entry.alias("e")).groupBy("g").agg(F.array_join(F.collect_list("e"), ",\n").alias("body"))
+    groups = _entries(spark, sf_dir).select(F.floor(F.substr("en", F.lit(5)).cast("bigint") / 50).alias("g"), entry.alias("e")).groupBy("g").agg(F.array_join(F.collect_list("e"), ",\n").alias("body"))
     head = '{"schemaVersion":"tag-translations-sr-v1","sourceTagsSha256":"x","translator":{"modelId":"m"},"normalizationVersion":"v","entries":['
     path = _documents(groups.select(F.concat(F.lit(head), "body", F.lit("]}")).alias("value")), "dictionary")
     return readers.read_dictionary(spark, path).select("en", "sr", F.col("failed_rules").alias("failed"))
@@ -215,30 +215,31 @@ def dictionary_document(spark, sf_dir):
 
 @query("A14_review_document", "SELECT 'tag ' || s_suppkey AS en, 'oznaka ' || s_suppkey AS approved, true AS shape_ok FROM supplier")
 def review_document(spark, sf_dir):
-    rows = M.table(spark, sf_dir, "supplier").select(F.to_json(F.struct(M.text("tag ", F.col("s_suppkey")).alias("en"), M.text("oznaka ", F.col("s_suppkey")).alias("approvedSr"), F.lit("corrected").alias("disposition"),
+    rows = M.table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 50).alias("g"), F.to_json(F.struct(M.text("tag ", F.col("s_suppkey")).alias("en"), M.text("oznaka ", F.col("s_suppkey")).alias("approvedSr"), F.lit("corrected").alias("disposition"),
                                                                         F.lit("r").alias("rationale"), F.lit("high").alias("confidence"))).alias("d"))
-    document = rows.agg(F.array_join(F.collect_list("d"), ",").alias("body")).select(F.concat(
+    document = rows.groupBy("g").agg(F.array_join(F.collect_list("d"), ",").alias("body")).select(F.concat(
         F.lit('{"schemaVersion":"v","candidateSha256":"a","baselineSha256":"b","proposalsSha256":"c","sourceTagsSha256":"d","decisions":['), "body", F.lit("]}")).alias("value"))
-    read = readers.read_review(spark, _lines(document, "review"), full=True)
+    read = readers.read_review(spark, _documents(document, "review"), full=True)
     return read.select("en", F.col("approvedSr").alias("approved"), "shape_ok")
 
 
 @query("A15_tag_list", "SELECT DISTINCT p_name AS tag, false AS blank, count(*) OVER (PARTITION BY p_name) > 1 AS repeated FROM part")
 def tag_list(spark, sf_dir):
-    """A list per brand, each a JSON string array."""
-    names = M.table(spark, sf_dir, "part").groupBy("p_brand", (F.col("p_partkey") % 64).alias("slice")).agg(F.to_json(F.collect_list("p_name")).alias("value"))
+    """A JSON string array per thousand parts."""
+    names = M.table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 1000).alias("slice")).agg(F.to_json(F.collect_list("p_name")).alias("value"))
     return readers.read_tags(spark, _documents(names, "tags"))
 
 
 # --- sinks ----------------------------------------------------------------------------------------------
 
-@query("B1_ordered_jsonl", "SELECT o_orderkey, o_orderstatus, o_orderkey > 0 AS follows FROM orders")
+@query("B1_ordered_jsonl", "SELECT count(*) AS records, sum(o_orderkey) AS ids, CAST(0 AS BIGINT) AS out_of_order FROM orders".replace("sum(o_orderkey)", "CAST(sum(o_orderkey) AS BIGINT)"))
 def ordered_jsonl(spark, sf_dir):
-    """Read back with the reader; every row but the first follows a smaller id of its file."""
+    """Written in id order and read back by the strict reader."""
     path = new_dir(spark, "jsonl")
-    sinks.write_jsonl(M.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path, "o_orderkey")
-    rows = spark.read.schema("o_orderkey BIGINT, o_orderstatus STRING").json(path)
-    return rows.select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") > 0).alias("follows"))
+    sinks.write_jsonl(M.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("movieLensId")), path, "movieLensId")
+    rows = readers.read_catalog(spark, path, ["movieLensId"])
+    facts = rows.where("shape_ok").agg(F.count(F.lit(1)).alias("records"), F.sum("movieLensId").alias("ids"))
+    return RU.one_row(facts, readers.ascending_problems(rows).agg(F.count(F.lit(1)).alias("out_of_order")))
 
 
 @query("B2_manifest", """SELECT count(*) AS records, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, sha256('catalog-v1|abc') AS fingerprint, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS excluded

@@ -152,7 +152,7 @@ def read_tolerant(spark: SparkSession, path, schema: str, shape: str) -> DataFra
         chunks = spark.read.option("lineSep", "\n}").text(path).where(~is_blank(F.col("value")))
         return _ordered_objects(chunks.select(F.concat("value", F.lit("\n}")).alias("value")), schema)
     if shape == "array":
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         items = F.from_json(F.col("value"), "array<string>")
         return _ordered_objects(whole.select(F.explode(items).alias("value")), schema)
     raise ValueError(f"unknown shape {shape}")
@@ -233,14 +233,14 @@ def read_movies(spark: SparkSession, path, columns: Sequence[str] | None = None)
 
 def _document(spark: SparkSession, path, fields: dict[str, str]) -> DataFrame:
     """A small multi-line JSON document, its ordered keys checked on the raw text."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return _ordered_objects(whole, ", ".join(f"{k} {t}" for k, t in fields.items()))
 
 
 def read_cases(spark: SparkSession, path) -> DataFrame:
     """Evaluation cases as rows, each with its schemaVersion."""
     case = T.StructType.fromDDL(schemas.EVALUATION_CASE).simpleString()
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     document = F.from_json(F.col("value"), f"struct<schemaVersion:string,cases:array<{case}>>")
     return whole.select(document.alias("d")).select("d.schemaVersion", F.explode("d.cases").alias("c")).select(
         "schemaVersion", "c.*")
@@ -279,7 +279,7 @@ def read_review(spark: SparkSession, path, full: bool = False) -> DataFrame:
 
 def read_tags(spark: SparkSession, path) -> DataFrame:
     """(tag, blank, repeated) of a JSON string array."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     tags = whole.select(F.explode(F.from_json(F.col("value"), "array<string>")).alias("tag"))
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).select(
         "tag", is_blank(F.col("tag")).alias("blank"), (F.col("n") > 1).alias("repeated"))

@@ -10,7 +10,7 @@ PERMITS, WINDOW_SECONDS = 30, 60
 
 
 def window_start(ts: Column, seconds: int = WINDOW_SECONDS) -> Column:
-    epoch = F.unix_seconds(ts)
+    epoch = F.unix_seconds(ts.cast("timestamp"))
     return (F.floor(epoch / seconds) * seconds).cast("bigint")
 
 
@@ -41,7 +41,8 @@ def rejected_requests(log: DataFrame, request_id: str = "request_id", **kwargs)
 def stream_window_counts(log: DataFrame, client: str = "client", ts: str = "ts", late: str = "2 minutes",
                          seconds: int = WINDOW_SECONDS, permits: int = PERMITS) -> DataFrame:
     """The same counts over a stream; a window is final once the watermark has passed it."""
-    counted = (log.withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds"), F.col(client))
+    timed = log.withColumn(ts, F.col(ts).cast("timestamp"))
+    counted = (timed.withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds"), F.col(client))
                .agg(F.count(F.lit(1)).alias("requests")))
     admitted = F.least(F.col("requests"), F.lit(permits).cast("bigint"))
     return counted.select(client, F.unix_seconds("window.start").alias("window_start"), "requests",
@@ -54,7 +55,7 @@ def usage(log: DataFrame, ts: str = "ts", tokens: str = "tokens", zone: str = "A
     The log is first summed per second. The sliding minute looks at one minute bucket and the one before;
     running totals add a day's prefix to the prefix of the days before. No window grows with the log.
     """
-    per_second = log.groupBy(F.unix_seconds(ts).alias("second")).agg(
+    per_second = log.groupBy(F.unix_seconds(F.col(ts).cast("timestamp")).alias("second")).agg(
         F.count(F.lit(1)).alias("attempts"), F.sum(tokens).alias("tokens"))
     minute = F.floor(F.col("second") / 60)
     seen_from = F.explode(F.array(F.struct(minute.alias("bucket"), F.lit(False).alias("earlier")),
