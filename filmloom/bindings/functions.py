@@ -9,7 +9,7 @@ from filmloom.bindings.registry import query
 from filmloom.functions import text as TX, vectors as V
 from filmloom.functions.cast import with_cast
 from filmloom.functions.guard import with_language_mismatch
-from filmloom.functions.normalize import CYRILLIC, LATIN, trim_space, with_nfc, with_serbian_latin
+from filmloom.functions.normalize import CYRILLIC, LATIN, with_nfc, with_serbian_latin
 from filmloom.functions.translation import is_approved_serbian, with_entry_flags
 from filmloom.operators import actors as AC, catalog as C, criteria as CR, dictionary as D, embedding as EM
 from filmloom.operators.rules import distinct_nonblank, failed_rules
@@ -103,13 +103,13 @@ def serbian_normalizer(spark, sf_dir):
     cyrillic = F.col("text")
     for latin, letter in (("lj", "љ"), ("nj", "њ"), ("dž", "џ")):
         cyrillic = F.replace(cyrillic, F.lit(latin), F.lit(letter))
-    docs = M.table(spark, sf_dir, "documents").select("doc_id", F.translate(cyrillic, LATIN, CYRILLIC).alias("text"))
+    docs = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.translate(cyrillic, LATIN, CYRILLIC).alias("text"))
     return with_serbian_latin(docs, "text", "latin").select("doc_id", "latin")
 
 
 @query("H9_nfc", "SELECT doc_id, md5(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS digest FROM documents")
 def nfc_text(spark, sf_dir):
-    docs = M.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("e"), F.lit("é")).alias("text"))
+    docs = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.replace("text", F.lit("e"), F.lit("é")).alias("text"))
     return with_nfc(docs, "text", "text").select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -223,7 +223,7 @@ def answers(spark, sf_dir):
             .when(c % 20 == 2, F.replace(body, F.lit('{"type":"query"'), F.lit('{"type":"query","type":"query"')))
             .when(c % 20 == 3, alert).when(c % 20 == 5, F.replace(body, F.lit('"genres":{'), F.lit('"genres":{"any":5,')))
             .when(c % 20 == 6, F.substr(body, F.lit(1), F.length(body) - 1)).otherwise(body))
-    return M.criteria(spark, sf_dir).select("query_id", "language", text.alias("answer"))
+    return M.spread(M.criteria(spark, sf_dir)).select("query_id", "language", text.alias("answer"))
 
 
 _EXPECTED = f"""judged AS (SELECT q.*, CASE WHEN c_custkey % 20 IN (1, 2, 5, 6) THEN 'invalid' WHEN c_custkey % 20 = 3 THEN 'alert'
@@ -301,7 +301,7 @@ def language_guard(spark, sf_dir):
     """Whole messages behind openings of known language; English openings are checked against Serbian and back."""
     clean = F.translate(F.col("text"), "\"“”«»'‘’", "        ")
     k = F.col("conv_id")
-    rows = M.table(spark, sf_dir, "conversations").select(
+    rows = M.spread(M.table(spark, sf_dir, "conversations")).select(
         "conv_id", "turn", F.concat(M.pick(_OPENERS, k), clean).alias("message"),
         F.when((k % 6).isin(1, 2, 5), "en").otherwise("sr").alias("selected"))
     return with_language_mismatch(rows, "message", "selected").select("conv_id", "turn", "mismatch")
@@ -350,7 +350,7 @@ def translation_flags(spark, sf_dir):
   FROM (SELECT doc_id, {_COLLAPSED} AS n, lang || ' ' || doc_id % 10 AS e FROM documents)""")
 def flags_on_texts(spark, sf_dir):
     """Whole documents as accepted texts of a short key."""
-    rows = M.table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit(" "), (F.col("doc_id") % 10).cast("string")).alias("en"),
+    rows = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.concat("lang", F.lit(" "), (F.col("doc_id") % 10).cast("string")).alias("en"),
                                                       F.lit("m").alias("machine"), F.col("text").alias("sr"))
     codes = F.transform("flags", lambda f: f["code"])
     has = lambda code: F.array_contains(codes, code)
@@ -380,14 +380,14 @@ def apply_review(spark, sf_dir):
   AND NOT regexp_matches(regexp_replace(t, '[A-Za-z\x{{c0}}-\x{{24f}}\x{{1e00}}-\x{{1eff}}\x{{ab30}}-\x{{ab6f}}]', '', 'g'), '\p{{L}}') AS ok
   FROM (SELECT doc_id, text AS t FROM documents)""")
 def approved_text(spark, sf_dir):
-    docs = M.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", "text")
     staged = with_serbian_latin(docs, "text", "normal")
     return staged.select("doc_id", is_approved_serbian(F.col("text"), F.col("normal")).alias("ok"))
 
 
 @query("H25_text_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def text_hash(spark, sf_dir):
-    return M.table(spark, sf_dir, "documents").select("doc_id", V.text_hash(F.col("text")).alias("hash"))
+    return M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", V.text_hash(F.col("text")).alias("hash"))
 
 
 @query("H26_document_fingerprint", M.with_sql(M.MOVIES) + """SELECT movie_id, sha256('{"fingerprintVersion":"multilingual-document-fingerprint-v1","language":"en","textFormatVersion":"v1","profileFingerprint":"profile","formattedInput":"passage: '
@@ -401,7 +401,7 @@ def document_fingerprint(spark, sf_dir):
   md5('title: ' || lang || ' | text: ' || text) AS titled FROM documents""")
 def encoder_inputs(spark, sf_dir):
     t = F.col("text")
-    return M.table(spark, sf_dir, "documents").select("doc_id", F.md5(TX.document_input(t)).alias("document"), F.md5(TX.query_input(t)).alias("query"),
+    return M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.md5(TX.document_input(t)).alias("document"), F.md5(TX.query_input(t)).alias("query"),
                                                       F.md5(TX.titled_input(F.col("lang"), t)).alias("titled"))
 
 
@@ -435,7 +435,7 @@ def mean_pool(spark, sf_dir):
 @query("H31_pseudo_vector", """SELECT doc_id, CAST(i AS BIGINT) AS dim, round(CAST(('0x' || substr(h, CAST((i % 32) * 2 + 1 AS BIGINT), 2)) AS BIGINT) / 127.5 - 1, 6) AS value
   FROM (SELECT doc_id, sha256(text) AS h, unnest(range(40)) AS i FROM documents)""")
 def pseudo_vector(spark, sf_dir):
-    rows = M.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(V.pseudo_vector(F.col("text"), 40)).alias("dim", "value"))
+    rows = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(V.pseudo_vector(F.col("text"), 40)).alias("dim", "value"))
     return rows
 
 

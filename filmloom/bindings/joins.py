@@ -177,7 +177,7 @@ def results_with_metadata(spark, sf_dir):
 
 def _texts(spark, sf_dir, edited: bool):
     """Documents as texts to embed; in the edited version each sixth one has changed."""
-    d = M.table(spark, sf_dir, "documents")
+    d = M.spread(M.table(spark, sf_dir, "documents"))
     text = F.when((F.col("doc_id") % 6 == 0) & F.lit(edited), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return d.select(F.col("doc_id").alias("movie_id"), F.lit("en").alias("language"), text.alias("text"))
 
@@ -190,9 +190,9 @@ def _prior(spark, sf_dir):
 
 @query("N14_vector_reuse", """SELECT doc_id AS movie_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 6 <> 0 THEN 'kept' ELSE 'pending' END AS state FROM documents""")
 def vector_reuse(spark, sf_dir):
-    prior, wanted = _prior(spark, sf_dir), EM.expected_vectors(_texts(spark, sf_dir, True), "profile-1")
-    kept = EM.reusable(prior, wanted, 16).select("movie_id", F.lit("kept").alias("state"))
-    return kept.unionByName(EM.pending(prior, wanted, 16).select("movie_id", F.lit("pending").alias("state")))
+    wanted = EM.expected_vectors(_texts(spark, sf_dir, True), "profile-1")
+    matched = EM.match_prior(_prior(spark, sf_dir), wanted, 16)
+    return matched.select("movie_id", F.when(F.col("vector").isNotNull(), "kept").otherwise("pending").alias("state"))
 
 
 @query("N15_review_contexts", M.with_sql(M.TAG_SCORES, FN._TOP) + """, listed AS (SELECT item_id, list(tag ORDER BY pos) AS tags FROM top GROUP BY 1),

@@ -64,7 +64,7 @@ def _malformed(raw: Column) -> Column:
 
 def _lost_numbers(en: Column, sr: Column) -> Column:
     numbers = lambda t: F.regexp_extract_all(t, F.lit(r"(\p{Nd}+)"), F.lit(1))
-    return F.size(F.array_except(numbers(en), numbers(sr))) > 0
+    return en.rlike(r"\p{Nd}") & (F.size(F.array_except(numbers(en), numbers(sr))) > 0)
 
 
 def entry_flags(en: Column, machine: Column, text: Column, en_normal: Column) -> Column:

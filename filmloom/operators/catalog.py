@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from filmloom import schemas
 from filmloom.functions.text import blank_to_null, canonical_digits, document_text, tag_names, title_parts
@@ -50,8 +50,15 @@ def source_counts(scored: DataFrame, metadata: DataFrame, key: str = "item_id")
 def rating_aggregates(ratings: DataFrame, members: DataFrame | None = None, key: str = "movieId") -> DataFrame:
     """(movie, rating_count, rating_sum): exact decimal sums with map-side partial aggregation."""
     rows = ratings if members is None else keep_members(ratings, members, key)
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("rating_count"),
-                                 F.sum(F.col("rating").cast("decimal(28,10)")).alias("rating_sum"))
+    kind = rows.schema["rating"].dataType
+    if isinstance(kind, T.DecimalType) and kind.precision <= 12:
+        # Whole units of the last decimal place sum as longs, which stay in generated code.
+        unit = F.lit(10 ** kind.scale)
+        units = F.sum((F.col("rating") * unit).cast("bigint"))
+        total = (units.cast("decimal(19,0)") / unit.cast("decimal(12,0)")).cast("decimal(28,10)")
+    else:
+        total = F.sum(F.col("rating").cast("decimal(28,10)"))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("rating_count"), total.alias("rating_sum"))
 
 
 def average_rating(total: Column, count: Column) -> Column:

@@ -33,14 +33,19 @@ def expected_vectors(texts: DataFrame, profile: str, text: str = "text") -> Data
 _IDENTITY = ["movie_id", "language", "fingerprint", "text_sha256"]
 
 
-def reusable(prior: DataFrame, expected: DataFrame, dimension: int, tolerance: float = 1e-4) -> DataFrame:
-    """Prior vectors whose id, language, fingerprint and text hash are all still expected and which are valid.
+def match_prior(prior: DataFrame, expected: DataFrame, dimension: int, tolerance: float = 1e-4) -> DataFrame:
+    """Expected rows with the prior vector of the same id, language, fingerprint and text hash, or null.
 
-    A repeated prior row counts once; the choice is a commutative minimum, never a list.
+    One join tells kept and pending rows apart. A repeated prior row counts once; the choice is a
+    commutative minimum, never a list.
     """
     valid = prior.where(is_valid_vector(F.col("vector"), dimension, tolerance))
-    kept = valid.join(expected.select(*_IDENTITY), _IDENTITY, "left_semi")
-    return kept.groupBy(*_IDENTITY).agg(F.min("vector").alias("vector"))
+    single = valid.groupBy(*_IDENTITY).agg(F.min("vector").alias("vector"))
+    return expected.join(single, _IDENTITY, "left")
+
+
+def reusable(prior: DataFrame, expected: DataFrame, dimension: int, tolerance: float = 1e-4) -> DataFrame:
+    return match_prior(prior, expected.select(*_IDENTITY), dimension, tolerance).where(F.col("vector").isNotNull())
 
 
 def pending(prior: DataFrame, expected: DataFrame, dimension: int, tolerance: float = 1e-4) -> DataFrame:

@@ -29,7 +29,7 @@ def tree_digest(df: DataFrame, key: str, payload: Column | None = None, fan_out:
     text = payload if payload is not None else F.col(key).cast("string")
     hashed = df.select(F.col(key).alias("_k"), F.sha2(text, 256).alias("_h"))
     entries = hashed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_low"), *_lane_sums("_h"))
-    lanes = F.concat_ws(":", *[F.col(f"_l{i}").cast("string") for i in range(_LANES)])
+    lanes = F.concat_ws(":", *_lanes())
     # A single row keeps its own hash; repeated ids get the hash of their combined lanes.
     level = entries.select("_k", F.when(F.col("_n") == 1, F.col("_low")).otherwise(F.sha2(lanes, 256)).alias("_h"), "_n")
     top = level.agg(F.max("_k")).first()[0]
@@ -45,10 +45,28 @@ def tree_digest(df: DataFrame, key: str, payload: Column | None = None, fan_out:
     return level.select(F.col("_n").alias("rows"), F.col("_h").alias("digest"))
 
 
+_PARTS = 3
+
+
 def _lane_sums(column: str) -> list[Column]:
-    """Four 60-bit lanes of a sha256, summed exactly."""
-    return [F.sum(F.conv(F.substr(F.col(column), F.lit(1 + 15 * i), F.lit(15)), 16, 10).cast("decimal(20,0)"))
-            .alias(f"_l{i}") for i in range(_LANES)]
+    """Four 60-bit lanes of a sha256, each summed as three 20-bit parts.
+
+    Such sums are longs, so they stay in generated code, and hold 8e12 rows before they could overflow.
+    """
+    sums = []
+    for lane in range(_LANES):
+        value = F.conv(F.substr(F.col(column), F.lit(1 + 15 * lane), F.lit(15)), 16, 10).cast("bigint")
+        sums += [F.sum(F.shiftright(value, 20 * part).bitwiseAND(F.lit(0xFFFFF))).alias(f"_l{lane}_{part}")
+                 for part in range(_PARTS)]
+    return sums
+
+
+def _lanes() -> list[Column]:
+    """The exact lane totals as text."""
+    total = lambda lane: sum((F.coalesce(F.col(f"_l{lane}_{p}"), F.lit(0)).cast("decimal(20,0)")
+                              * F.lit(1 << (20 * p)).cast("decimal(14,0)") for p in range(_PARTS)),
+                             F.lit(0).cast("decimal(38,0)"))
+    return [total(lane).cast("decimal(38,0)").cast("string") for lane in range(_LANES)]
 
 
 def bag_digest(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -58,8 +76,7 @@ def bag_digest(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence
     """
     hashed = df.select(*by, row_hash(list(columns or df.columns)).alias("_h"))
     sums = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *_lane_sums("_h"))
-    lanes = F.concat_ws(":", F.lit(BAG_DIGEST), F.col("rows").cast("string"),
-                        *[F.coalesce(F.col(f"_l{i}"), F.lit(0)).cast("string") for i in range(_LANES)])
+    lanes = F.concat_ws(":", F.lit(BAG_DIGEST), F.col("rows").cast("string"), *_lanes())
     return sums.select(*by, "rows", F.sha2(lanes, 256).alias("digest"))
 
 

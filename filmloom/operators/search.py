@@ -126,13 +126,23 @@ class _Block:
             used = sorted({x for f in fields if f for r in rows for x in (r[f] or [])})
             index = {x: i for i, x in enumerate(used)}
             self.labels[array] = pa.array(used, pa.string())
-            coded = lambda labels: None if labels is None else np.array([index[x] for x in labels], dtype=np.int64)
-            self.lists[array] = [[coded(r[f]) if f else None for f in fields] for r in rows]
+            self.lists[array] = [self._group(rows, f, index) for f in fields]
         if with_vector:
             self.language = np.array([r["language"] for r in rows], dtype=object)
             matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64)
             self.matrix = (matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))).T.copy()
 
+    @staticmethod
+    def _group(rows: list[dict], field: str | None, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(active queries, labels x queries indicator) of one filter group."""
+        on = np.array([q for q, r in enumerate(rows) if field and r[field] is not None], dtype=np.int64)
+        if not on.size:
+            return None
+        wanted = np.zeros((len(index), on.size), dtype=np.float32)
+        for column, q in enumerate(on):
+            wanted[[index[x] for x in rows[q][field]], column] = 1
+        return on, wanted
+
     def passes(self, batch: pa.Table) -> np.ndarray:
         """Boolean movies x queries: every active filter holds; unknown metadata fails."""
         mask = np.ones((batch.num_rows, len(self.ids)), dtype=bool)
@@ -151,24 +161,19 @@ class _Block:
             mine = np.array([wanted.index(c) if c is not None else -1 for c in self.codes])
             on = np.flatnonzero(mine >= 0)
             mask[:, on] &= code[:, None] == mine[on][None, :]
-        for array, lists in self.lists.items():
-            if any(x is not None for group in lists for x in group):
-                self._array_filters(mask, batch.column(array).combine_chunks(), array, lists)
+        for array, groups in self.lists.items():
+            if any(g is not None for g in groups):
+                self._array_filters(mask, batch.column(array).combine_chunks(), array, groups)
         return mask
 
-    def _array_filters(self, mask: np.ndarray, values: pa.ListArray, array: str, lists) -> None:
+    def _array_filters(self, mask: np.ndarray, values: pa.ListArray, array: str, groups) -> None:
+        """Counts of wanted labels per movie and query as one product per group."""
         held, known = _membership(values, self.labels[array])
-        for q, (every, some, none) in enumerate(lists):
-            if every is None and some is None and none is None:
-                continue
-            column = mask[:, q]
-            column &= known
-            if every is not None:
-                column &= held[:, every].all(axis=1)
-            if some is not None:
-                column &= held[:, some].any(axis=1)
-            if none is not None:
-                column &= ~held[:, none].any(axis=1)
+        every, some, none = groups
+        for group, passes in ((every, lambda n, want: n == want), (some, lambda n, want: n > 0), (none, lambda n, want: n == 0)):
+            if group is not None:
+                on, wanted = group
+                mask[:, on] &= known[:, None] & passes(held @ wanted, wanted.sum(axis=0)[None, :])
 
     def keys(self, batch: pa.Table) -> tuple[np.ndarray, ...]:
         """Candidate pairs (movie row, query) with their sort keys, at least the best `limit` per query."""
@@ -214,9 +219,9 @@ def _membership(values: pa.ListArray, labels: pa.Array) -> tuple[np.ndarray, np.
     lengths = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.fill_null(pc.index_in(values.flatten(), value_set=labels), -1).to_numpy(zero_copy_only=False)
     rows = np.repeat(np.arange(len(values)), lengths)
-    held = np.zeros((len(values), len(labels)), dtype=bool)
+    held = np.zeros((len(values), len(labels)), dtype=np.float32)
     hit = flat >= 0
-    held[rows[hit], flat[hit]] = True
+    held[rows[hit], flat[hit]] = 1
     return held, lengths > 0
 
 
