@@ -166,10 +166,10 @@ RATINGS = """ratings AS (SELECT l_orderkey AS user_id, l_partkey AS movie_id,
 
 def tag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, tag, score): price of a part at a supplier, as whole cents so that ties are exact."""
-    cents = F.col("l_extendedprice").cast("decimal(18,2)")
-    return table(spark, sf_dir, "lineitem").groupBy(
-        F.col("l_partkey").alias("item_id"), text("tag ", F.col("l_suppkey")).alias("tag")).agg(
-        F.sum(cents).cast("double").alias("score"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(cents).alias("cents"))
+    return sums.select(F.col("l_partkey").alias("item_id"), text("tag ", F.col("l_suppkey")).alias("tag"),
+                       (F.col("cents") / 100.0).alias("score"))
 
 
 TAG_SCORES = """tag_scores AS (SELECT l_partkey AS item_id, 'tag ' || l_suppkey AS tag,

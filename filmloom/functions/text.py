@@ -70,12 +70,11 @@ def title_url(imdb_id: Column) -> Column:
 
 
 def document_input(text: Column) -> Column:
-    return F.when(trim_space(text) != "", F.concat(F.lit("passage: "), text))
+    return F.when(~is_blank(text), F.concat(F.lit("passage: "), text))
 
 
 def query_input(text: Column) -> Column:
-    trimmed = trim_space(text)
-    return F.when(trimmed != "", F.concat(F.lit("query: "), trimmed))
+    return F.when(~is_blank(text), F.concat(F.lit("query: "), trim_space(text)))
 
 
 def titled_input(title: Column, text: Column) -> Column:
@@ -155,4 +154,4 @@ def local_day(ts: Column, zone: str = "America/Los_Angeles") -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | text.rlike(f"^{SPACE}*$")
+    return text.isNull() | ~text.rlike(f"[^{SPACE[1:-1]}]")
