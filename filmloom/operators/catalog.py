@@ -126,12 +126,14 @@ def attach_ratings(linked: DataFrame, aggregates: DataFrame) -> DataFrame:
 
 
 def attach_details(linked: DataFrame, details: DataFrame) -> DataFrame:
-    """Runtime, language and poster by tmdbId. Movies without a tmdbId skip the join, so nulls never pile up."""
-    side = details.select("tmdbId", "runtimeMinutes", "originalLanguage", "posterPath")
-    empty = {f: F.lit(None).cast(side.schema[f].dataType) for f in ("runtimeMinutes", "originalLanguage", "posterPath")}
-    with_id = linked.where(F.col("tmdbId").isNotNull()).join(side, "tmdbId", "left")
-    without = linked.where(F.col("tmdbId").isNull()).withColumns(empty)
-    return with_id.unionByName(without)
+    """Runtime, language and poster by tmdbId.
+
+    Movies without a tmdbId look up a key of their own that matches nothing, so null keys do not meet in
+    one task and the input is read once.
+    """
+    side = details.select(F.col("tmdbId").cast("bigint").alias("_key"), "runtimeMinutes", "originalLanguage", "posterPath")
+    lookup = F.coalesce(F.col("tmdbId").cast("bigint"), -1 - F.col("movieLensId"))
+    return linked.withColumn("_key", lookup).join(side, "_key", "left").drop("_key")
 
 
 def enriched_movies(base: DataFrame, links: DataFrame, genres: DataFrame, ratings: DataFrame,

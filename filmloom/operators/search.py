@@ -120,7 +120,10 @@ class _Block:
         self.rating_on = np.array([r["rating_min"] is not None for r in rows], dtype=bool)
         self.rating_min = np.array([r["rating_min"] or 0 for r in rows], dtype=np.int64)
         self.strict = np.array([bool(r["strict"]) for r in rows], dtype=bool)
-        self.codes = [r["original_language"] for r in rows]
+        wanted_codes = sorted({r["original_language"] for r in rows if r["original_language"] is not None})
+        place = {c: i for i, c in enumerate(wanted_codes)}
+        self.code_labels = pa.array(wanted_codes, pa.string())
+        self.codes = np.array([place.get(r["original_language"], -1) for r in rows], dtype=np.int64)
         self.lists, self.labels = {}, {}
         for array, fields in _ARRAYS.items():
             used = sorted({x for f in fields if f for r in rows for x in (r[f] or [])})
@@ -130,75 +133,82 @@ class _Block:
         if with_vector:
             self.language = np.array([r["language"] for r in rows], dtype=object)
             matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64)
-            self.matrix = (matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))).T.copy()
+            self.matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
     @staticmethod
     def _group(rows: list[dict], field: str | None, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray] | None:
-        """(active queries, labels x queries indicator) of one filter group."""
-        on = np.array([q for q, r in enumerate(rows) if field and r[field] is not None], dtype=np.int64)
-        if not on.size:
+        """(row of each query in the indicator or -1, queries x labels indicator) of one filter group."""
+        on = [q for q, r in enumerate(rows) if field and r[field] is not None]
+        if not on:
             return None
-        wanted = np.zeros((len(index), on.size), dtype=np.float32)
-        for column, q in enumerate(on):
-            wanted[[index[x] for x in rows[q][field]], column] = 1
-        return on, wanted
-
-    def passes(self, batch: pa.Table) -> np.ndarray:
-        """Boolean movies x queries: every active filter holds; unknown metadata fails."""
-        mask = np.ones((batch.num_rows, len(self.ids)), dtype=bool)
+        place, wanted = np.full(len(rows), -1), np.zeros((len(on), len(index)), dtype=np.float32)
+        for row, q in enumerate(on):
+            place[q] = row
+            wanted[row, [index[x] for x in rows[q][field]]] = 1
+        return place, wanted
+
+    def passes(self, batch: pa.Table, queries: np.ndarray) -> np.ndarray:
+        """Boolean queries x movies: every active filter holds; unknown metadata fails."""
+        mask = np.ones((queries.size, batch.num_rows), dtype=bool)
         for column, field, compare in _BOUNDS:
-            on = np.flatnonzero(~np.isnan(self.bounds[field]))
+            bound = self.bounds[field][queries]
+            on = np.flatnonzero(~np.isnan(bound))
             if on.size:
-                mask[:, on] &= compare(_doubles(batch, column)[:, None], self.bounds[field][on][None, :])
-        on = np.flatnonzero(self.rating_on)
+                mask[on] &= compare(_doubles(batch, column)[None, :], bound[on][:, None])
+        on = np.flatnonzero(self.rating_on[queries])
         if on.size:
             rating, known = _longs(batch, "rating")
-            low = self.rating_min[on] + self.strict[on]
-            mask[:, on] &= known[:, None] & (rating[:, None] >= low[None, :])
-        wanted = sorted({c for c in self.codes if c is not None})
-        if wanted:
-            code = _index_in(batch, "lang_code", pa.array(wanted, pa.string()))
-            mine = np.array([wanted.index(c) if c is not None else -1 for c in self.codes])
-            on = np.flatnonzero(mine >= 0)
-            mask[:, on] &= code[:, None] == mine[on][None, :]
+            low = (self.rating_min + self.strict)[queries[on]]
+            mask[on] &= known[None, :] & (rating[None, :] >= low[:, None])
+        mine = self.codes[queries]
+        on = np.flatnonzero(mine >= 0)
+        if on.size:
+            mask[on] &= _index_in(batch, "lang_code", self.code_labels)[None, :] == mine[on][:, None]
         for array, groups in self.lists.items():
             if any(g is not None for g in groups):
-                self._array_filters(mask, batch.column(array).combine_chunks(), array, groups)
+                self._array_filters(mask, batch.column(array).combine_chunks(), self.labels[array], groups, queries)
         return mask
 
-    def _array_filters(self, mask: np.ndarray, values: pa.ListArray, array: str, groups) -> None:
-        """Counts of wanted labels per movie and query as one product per group."""
-        held, known = _membership(values, self.labels[array])
-        every, some, none = groups
-        for group, passes in ((every, lambda n, want: n == want), (some, lambda n, want: n > 0), (none, lambda n, want: n == 0)):
-            if group is not None:
-                on, wanted = group
-                mask[:, on] &= known[:, None] & passes(held @ wanted, wanted.sum(axis=0)[None, :])
-
-    def keys(self, batch: pa.Table) -> tuple[np.ndarray, ...]:
-        """Candidate pairs (movie row, query) with their sort keys, at least the best `limit` per query."""
-        mask = self.passes(batch)
-        if self.with_vector:
-            mask &= batch.column("language").to_numpy()[:, None] == self.language[None, :]
-            scores = 1.0 - (_matrix(batch.column("vector")) @ self.matrix) / _doubles(batch, "norm")[:, None]
-            scores = np.round(scores, DISTANCE_DIGITS)
-            scores[~mask] = np.inf
-            if mask.shape[0] > self.limit:
-                worst = np.partition(scores, self.limit - 1, axis=0)[self.limit - 1]
-                mask &= scores <= worst[None, :]
-            rows, cols = np.nonzero(mask)
-            zero = np.zeros(rows.size, dtype=np.int64)
-            return rows, cols, scores[rows, cols], zero, zero
-        votes, votes_known = _longs(batch, "votes")
-        rating, rating_known = _longs(batch, "rating")
-        k2, k3 = np.where(votes_known, -votes, _BIG), np.where(rating_known, -rating, _BIG)
-        ids = batch.column("movie_id").to_numpy()
-        order = np.lexsort((ids, k3, k2))
-        cols, places = np.nonzero(mask[order].T)
-        starts = np.searchsorted(cols, np.arange(len(self.ids)))
-        keep = (np.arange(cols.size) - starts[cols]) < self.limit
-        rows = order[places[keep]]
-        return rows, cols[keep], np.zeros(rows.size), k2[rows], k3[rows]
+    @staticmethod
+    def _array_filters(mask: np.ndarray, values: pa.ListArray, labels: pa.Array, groups, queries: np.ndarray) -> None:
+        """Counts of wanted labels per query and movie as one product per group."""
+        held, known = _membership(values, labels)
+        tests = (lambda n, want: n == want, lambda n, want: n > 0, lambda n, want: n == 0)
+        for group, passes in zip(groups, tests):
+            if group is None:
+                continue
+            place, wanted = group
+            on = np.flatnonzero(place[queries] >= 0)
+            if on.size:
+                mine = wanted[place[queries[on]]]
+                mask[on] &= known[None, :] & passes(mine @ held.T, mine.sum(axis=1)[:, None])
+
+    def near(self, batch: pa.Table) -> tuple[np.ndarray, ...]:
+        """(movie row, query, distance) candidates: at least the nearest `limit` per query, all ties kept."""
+        everything = np.arange(len(self.ids))
+        mask = self.passes(batch, everything)
+        mask &= batch.column("language").to_numpy()[None, :] == self.language[:, None]
+        scores = 1.0 - (self.matrix @ _matrix(batch.column("vector")).T) / _doubles(batch, "norm")[None, :]
+        scores = np.round(scores, DISTANCE_DIGITS)
+        scores[~mask] = np.inf
+        if mask.shape[1] > self.limit:
+            worst = np.partition(scores, self.limit - 1, axis=1)[:, self.limit - 1]
+            mask &= scores <= worst[:, None]
+        cols, rows = np.nonzero(mask)
+        return rows, cols, scores[cols, rows]
+
+    def first(self, batch: pa.Table, queries: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(movie row, query): the first passing rows of an already ordered batch, `room` per query."""
+        cols, rows = np.nonzero(self.passes(batch, queries))
+        starts = np.searchsorted(cols, np.arange(queries.size))
+        keep = (np.arange(cols.size) - starts[cols]) < room[cols]
+        return rows[keep], queries[cols[keep]]
+
+
+def _hard_keys(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    votes, votes_known = _longs(batch, "votes")
+    rating, rating_known = _longs(batch, "rating")
+    return np.where(votes_known, -votes, _BIG), np.where(rating_known, -rating, _BIG)
 
 
 def _doubles(batch: pa.Table, column: str) -> np.ndarray:
@@ -255,21 +265,46 @@ class _Best:
              pa.array(k2, pa.int64()), pa.array(k3, pa.int64())], names=["query_id", "movie_id", "k1", "k2", "k3"])
 
 
+# Cells of the queries x movies matrices that are worked on at a time.
+_CELLS = 4_000_000
+
+
 def _scan(block: _Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     best = _Best(block.limit)
-    # Keeps movies x queries matrices near 4M cells whatever the size of the block.
-    step = max(256, 4_000_000 // max(1, len(block.ids)))
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        for start in range(0, table.num_rows, step):
-            part = table.slice(start, step)
-            rows, cols, k1, k2, k3 = block.keys(part)
-            best.add(part.column("movie_id").to_numpy()[rows], cols, k1, k2, k3)
+        if block.with_vector:
+            step = max(256, _CELLS // max(1, len(block.ids)))
+            for start in range(0, table.num_rows, step):
+                part = table.slice(start, step)
+                rows, cols, distance = block.near(part)
+                zero = np.zeros(rows.size, dtype=np.int64)
+                best.add(part.column("movie_id").to_numpy()[rows], cols, distance, zero, zero)
+        else:
+            _scan_ordered(block, table, best)
     result = best.to_batch(block.ids)
     if result is not None:
         yield result
 
 
+def _scan_ordered(block: _Block, table: pa.Table, best: _Best) -> None:
+    """The batch in hard order, in growing steps; a query leaves as soon as its list is full."""
+    k2, k3 = _hard_keys(table)
+    order = np.lexsort((table.column("movie_id").to_numpy(), k3, k2))
+    table, k2, k3 = table.take(pa.array(order)), k2[order], k3[order]
+    ids = table.column("movie_id").to_numpy()
+    open_queries, room = np.arange(len(block.ids)), np.full(len(block.ids), block.limit)
+    start, step = 0, 256
+    while start < table.num_rows and open_queries.size:
+        step = max(256, min(step, _CELLS // open_queries.size))
+        rows, cols = block.first(table.slice(start, step), open_queries, room[open_queries])
+        rows += start
+        best.add(ids[rows], cols, np.zeros(rows.size), k2[rows], k3[rows])
+        room -= np.bincount(cols, minlength=room.size)
+        open_queries = open_queries[room[open_queries] > 0]
+        start, step = start + step, step * 2
+
+
 def _rank_block(table: DataFrame, queries: DataFrame, limit: int, with_vector: bool, max_block: int,
                 movies_per_block: int) -> DataFrame:
     """Local top lists: broadcast kernel for a bounded set of queries, a grid of blocks beyond."""

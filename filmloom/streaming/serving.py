@@ -33,16 +33,22 @@ def serve(requests: DataFrame, movies: DataFrame, serving: DataFrame, out: str,
             .trigger(availableNow=True).start())
 
 
+_VECTORS = "movie_id long, language string, fingerprint string, text_sha256 string, vector array<float>"
+
+
 def serve_embeddings(versions: DataFrame, vectors_path: str, profile: str, dimension: int, checkpoint: str):
-    """New catalog texts in, missing vectors appended; rows that are already valid are left alone."""
+    """New catalog texts in, missing vectors appended; rows that are already valid are left alone.
+
+    Every batch owns the folder `batch=<id>` and reads only earlier ones, so a retried batch gives the same rows.
+    """
     from filmloom.operators.embedding import embed_incrementally
-    schema = "movie_id long, language string, fingerprint string, text_sha256 string, vector array<float>"
+    spark = versions.sparkSession
+    spark.createDataFrame([], _VECTORS).write.mode("ignore").parquet(f"{vectors_path}/batch=-1")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prior = (spark.read.schema(schema).option("ignoreMissingFiles", True).option("recursiveFileLookup", True)
-                 .parquet(vectors_path).where(F.lit(True)))
-        _, fresh = embed_incrementally(prior, batch, profile, dimension)
+        stored = spark.read.schema(f"{_VECTORS}, batch long").parquet(vectors_path)
+        prior = stored.where(F.col("batch") < batch_id).drop("batch")
+        _, fresh = embed_incrementally(prior, batch.dropDuplicates(["movie_id", "language"]), profile, dimension)
         fresh.write.mode("overwrite").parquet(f"{vectors_path}/batch={batch_id}")
 
     return (versions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

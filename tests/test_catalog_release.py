@@ -226,3 +226,28 @@ def test_dictionary_review(spark):
     assert {r.en: r.problems for r in D.decision_problems(full, base, new).collect()} == {"warm": ["approved_text"], "x": ["known_key", "disposition", "rationale"]}
     problems = D.lock_problems(D.analyze(d), spark.createDataFrame([("dark",), ("cold",)], "tag string"))
     assert {(r.en, r.problem) for r in problems.collect()} == {("warm", "blank or unresolved"), ("warm", "only in left"), ("cold", "only in right")}
+
+
+def test_embedding_stream_resumes(spark):
+    from filmloom.streaming import serving
+    source, out, marks = (new_dir(spark, n) for n in ("versions", "vectors", "marks"))
+    ddl = "movie_id long, language string, text string"
+    run = lambda: serving.serve_embeddings(spark.readStream.schema(ddl).parquet(source), out, "p1", 16, marks).awaitTermination()
+    stored = lambda: sorted((r.movie_id, r.batch) for r in spark.read.parquet(out).collect())
+    spark.createDataFrame([(1, "en", "a"), (2, "en", "b")], ddl).write.parquet(source)
+    run()
+    assert stored() == [(1, 0), (2, 0)]
+    spark.createDataFrame([(1, "en", "a"), (2, "en", "changed"), (3, "sr", "c")], ddl).write.mode("append").parquet(source)
+    run()
+    assert stored() == [(1, 0), (2, 0), (2, 1), (3, 1)]
+
+
+def test_vector_reuse_rules(spark):
+    from filmloom.operators import embedding as EM
+    texts = spark.createDataFrame([(1, "en", "a"), (2, "en", "b"), (3, "en", "c")], "movie_id long, language string, text string")
+    first = EM.embed_incrementally(texts.limit(0).withColumn("fingerprint", F.lit("")).withColumn("text_sha256", F.lit("")).withColumn(
+        "vector", F.array(F.lit(1.0).cast("float"))).drop("text"), texts, "p1", 16)[1]
+    torn = first.withColumn("vector", F.when(F.col("movie_id") == 3, F.slice("vector", 1, 3)).otherwise(F.col("vector")))
+    kept, fresh = EM.embed_incrementally(torn, texts, "p1", 16)
+    assert sorted(r.movie_id for r in kept.collect()) == [1, 2] and [r.movie_id for r in fresh.collect()] == [3]
+    assert EM.embed_incrementally(torn, texts, "p2", 16)[0].count() == 0
