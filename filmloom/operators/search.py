@@ -131,7 +131,8 @@ class _Block:
             self.labels[array] = pa.array(used, pa.string())
             self.lists[array] = [self._group(rows, f, index) for f in fields]
         if with_vector:
-            self.language = np.array([r["language"] for r in rows], dtype=object)
+            self.languages = pa.array(sorted({r["language"] for r in rows}), pa.string())
+            self.language = pc.index_in(pa.array([r["language"] for r in rows], pa.string()), value_set=self.languages).to_numpy()
             matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64)
             self.matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
@@ -187,7 +188,7 @@ class _Block:
         """(movie row, query, distance) candidates: at least the nearest `limit` per query, all ties kept."""
         everything = np.arange(len(self.ids))
         mask = self.passes(batch, everything)
-        mask &= batch.column("language").to_numpy()[None, :] == self.language[:, None]
+        mask &= _index_in(batch, "language", self.languages)[None, :] == self.language[:, None]
         scores = 1.0 - (self.matrix @ _matrix(batch.column("vector")).T) / _doubles(batch, "norm")[None, :]
         scores = np.round(scores, DISTANCE_DIGITS)
         scores[~mask] = np.inf
