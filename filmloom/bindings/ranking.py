@@ -113,10 +113,6 @@ def top_tags(spark, sf_dir):
     return rows.select("movie_id", (F.col("i") + 1).alias("pos"), F.col("t.name").alias("tag"), F.col("t.score").alias("score"))
 
 
-_STRATA = """strata AS (SELECT doc_id, CASE WHEN n_chars < 400 THEN '0' WHEN n_chars < 1500 THEN '1' ELSE '2' END || '|' || lang AS stratum
-  FROM documents)"""
-
-
 @query("W2_stratified_sample", M.with_sql(M.MOVIES) + """, keyed AS (SELECT movie_id, CASE WHEN year < 1960 THEN '0-pre1960'
   WHEN year <= 1979 THEN '1-1960-1979' WHEN year <= 1999 THEN '2-1980-1999' WHEN year <= 2009 THEN '3-2000-2009' ELSE '4-2010plus' END
   || '|' || coalesce(list_sort(genres)[1], '') AS stratum FROM movies), ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum

@@ -32,8 +32,8 @@ def missing_metadata(scored_ids: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Rows of known movies. Members are one narrow column, so Spark ships them when they are small."""
-    return rows.join(members.select(key).distinct(), key, "left_semi")
+    """Rows of known movies. Members are one narrow column of unique ids, which Spark ships when it is small."""
+    return rows.join(members.select(key), key, "left_semi")
 
 
 def source_counts(scored: DataFrame, metadata: DataFrame, key: str = "item_id") -> DataFrame:

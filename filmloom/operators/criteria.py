@@ -12,7 +12,7 @@ from filmloom import vocab
 from filmloom.functions.binding import let
 from filmloom.functions.normalize import trim_space
 from filmloom.functions.text import is_blank, is_semantic_text, rating_threshold
-from filmloom.operators.filters import FIELDS, contradicts, criteria_rules, has_active_filter
+from filmloom.operators.filters import FIELDS, criteria_rules, has_active_filter
 from filmloom.operators.rules import Rule, failed_rules
 
 _TEXT = "(?:VOID|STRING)"
@@ -256,7 +256,3 @@ def same_json(left: Column, right: Column) -> Column:
 
 def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
-
-
-def actor_contradiction() -> Column:
-    return contradicts(F.col("actors_all"), F.col("actors_any"), F.col("actors_exclude"))

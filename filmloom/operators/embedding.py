@@ -153,12 +153,3 @@ def canary_drift(stored: DataFrame, current: DataFrame, key: str = "movie_id") -
     a, b = stored.select(key, F.col("vector").alias("_a")), current.select(key, F.col("vector").alias("_b"))
     return a.join(b, key).select(key, max_abs_difference(F.col("_a"), F.col("_b")).alias("drift"),
                                  matches_canary(F.col("_a"), F.col("_b")).alias("ok"))
-
-
-def latest_rows(checkpoint: DataFrame, key: str, sequence: str, fields: list[str]) -> DataFrame:
-    """The last row of each key, as a mergeable maximum."""
-    return checkpoint.groupBy(key).agg(F.max_by(F.struct(*fields), sequence).alias("_v")).select(key, "_v.*")
-
-
-def blank_text_problems(texts: DataFrame, text: str = "text") -> DataFrame:
-    return texts.where(is_blank(F.col(text)))

@@ -171,7 +171,3 @@ def latency_percentiles(log: DataFrame, probabilities: list[float], group: str =
     walked = counts.join(holding, [group, "bucket"]).withColumn("seen", F.sum("n").over(inner))
     return walked.where((F.col("inside") <= F.col("seen")) & (F.col("inside") > F.col("seen") - F.col("n"))).select(
         group, "p", F.col(value).alias("value"))
-
-
-def has_filter_or_text() -> Column:
-    return has_active_filter() | (F.length(F.trim("semantic_query")) > 0)

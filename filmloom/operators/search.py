@@ -38,7 +38,11 @@ def search_hard_only(movies: DataFrame, criteria: Mapping[str, Any], limit: int
 
 def search_hybrid(movies: DataFrame, vectors: DataFrame, criteria: Mapping[str, Any], query_vector: Sequence[float],
                   language: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """All filters, then exact cosine distance and id. `vectors` is long: movie_id, language, vector[, norm]."""
+    """All filters, then exact cosine distance and id. `vectors` is long: movie_id, language, vector[, norm].
+
+    Plain expressions, so filters and columns are pushed down. `batch_hybrid` gives the same rows faster when
+    many vectors stay eligible, also for a one-row table of queries.
+    """
     checked = check_query_vector(query_vector)
     chosen = vectors if language is None else vectors.where(F.col("language") == language)
     norm = F.col("norm") if "norm" in vectors.columns else l2_norm(F.col("vector"))
@@ -48,7 +52,7 @@ def search_hybrid(movies: DataFrame, vectors: DataFrame, criteria: Mapping[str,
     length = float(np.sqrt(np.dot(checked, checked)))
     distance = cosine_distance(F.col("vector"), q, F.col("norm"), F.lit(length))
     return (scored.withColumn("distance", F.round(distance, DISTANCE_DIGITS)).drop("vector", "norm")
-            .orderBy("distance", "movie_id").limit(limit))
+            .where(F.col("distance").isNotNull()).orderBy("distance", "movie_id").limit(limit))
 
 
 def check_query_vector(vector: Sequence[float]) -> np.ndarray:
@@ -345,8 +349,10 @@ def batch_hybrid(serving: DataFrame, queries: DataFrame, limit: int = LIMIT, max
     """(query_id, rank, movie_id, distance) for a table of queries with a language and a query_vector.
 
     No pair of query and movie is ever a row: a task holds one block of queries and keeps ten per query.
+    Queries without a usable vector get nothing; `query_vector_rules` names them.
     """
-    found = _rank_block(serving, queries, limit, True, max_block, movies_per_block)
+    usable = queries.where(F.col("language").isNotNull() & (l2_norm(F.col("query_vector")) > 0))
+    found = _rank_block(serving, usable, limit, True, max_block, movies_per_block)
     return top_per_query(found, limit).select("query_id", "rank", "movie_id", F.col("k1").alias("distance"))
 
 

@@ -163,3 +163,27 @@ def test_single_search_equals_batch(spark):
         criteria = {f: x for f, x in zip(FL.FIELDS, q[2:-1]) if x is not None}
         got = S.search_hybrid(m, v, criteria, q[-1], "en").collect()
         assert {(q[0], i, r.movie_id) for i, r in enumerate(got, 1)} == {e for e in expected if e[0] == q[0]}
+
+
+@pytest.mark.parametrize("hybrid", [True, False])
+def test_kernel_in_small_steps(spark, monkeypatch, hybrid):
+    """The same lists when a task works through its movies in slices and batches."""
+    import pyarrow as pa
+    movies, vecs, queries = random_case(23, n_movies=900)
+    m = spark.createDataFrame(movies, MOVIE)
+    q = spark.createDataFrame(queries, "query_id string, language string, " + ", ".join(criteria_ddl()) + ", query_vector array<double>")
+    serving = S.serving_table(m, vectors(spark, [(r[0], v) for r, v in zip(movies, vecs)]))
+    side = S._movie_side(serving if hybrid else m, hybrid).toArrow()
+    asked = q if hybrid else q.where(FL.has_active_filter())
+    monkeypatch.setattr(S, "_CELLS", 1)
+    out = pa.Table.from_batches(list(S._scan(S._Block(S._query_side(asked, hybrid).toArrow(), 10, hybrid), iter(side.combine_chunks().to_batches(max_chunksize=350)))))
+    found = S.top_per_query(spark.createDataFrame(out.to_pandas(), S._TOP_SCHEMA))
+    assert {(r.query_id, r["rank"], r.movie_id) for r in found.collect()} == brute(movies, vecs, queries, hybrid)
+
+
+def test_unusable_vectors_give_nothing(spark):
+    movies, vecs, queries = random_case(3, n_movies=20, n_queries=3)
+    queries = [q[:-1] + (v,) for q, v in zip(queries, [None, [0.0] * 6, [1.0] * 6])]
+    serving = S.serving_table(spark.createDataFrame(movies, MOVIE), vectors(spark, [(r[0], v) for r, v in zip(movies, vecs)]))
+    q = spark.createDataFrame(queries, "query_id string, language string, " + ", ".join(criteria_ddl()) + ", query_vector array<double>")
+    assert {r.query_id for r in S.batch_hybrid(serving, q).collect()} <= {"q2"}
