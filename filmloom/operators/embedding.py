@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filmloom.functions.normalize import with_nfc
-from filmloom.functions.text import document_input, is_blank, query_input, token_estimate
+from filmloom.functions.text import document_input, query_input, token_estimate
 from filmloom.functions.vectors import document_fingerprint, is_valid_vector, pseudo_vector, text_hash, unit
 
 TEXT_FORMATS = {"en": "en-title-year-director-tags-v6", "sr": "sr-title-year-director-tags-v6"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmloom import vocab
-from filmloom.operators.filters import FIELDS, applicable_mode, columns_of, complies, criteria_rules, has_active_filter
+from filmloom.operators.filters import FIELDS, applicable_mode, columns_of, complies, criteria_rules
 from filmloom.operators.rules import Rule, failed_rules
 
 TOP = vocab.RESULT_LIMIT
