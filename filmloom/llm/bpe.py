@@ -13,7 +13,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,25 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+class Memory(dict):
+    """Remembers results of a function for short keys. When it is full, it starts anew and keeps the last filling."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file. It remembers words and fragments, each up to a bound."""
 
@@ -51,8 +71,6 @@ class Codec:
         self.tokens = [b""] * (1 + max([*vocabulary.values(), *self.special.values()]))
         for token, i in vocabulary.items():
             self.tokens[i] = bytes(letters[c] for c in token)
-        for token, i in self.special.items():
-            self.tokens[i] = token.encode()
         self.byte_ids = [0] * 256
         for token, i in vocabulary.items():
             if len(token) == 1:
@@ -63,19 +81,20 @@ class Codec:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocabulary[left] << 20 | vocabulary[right]] = rank
             self.merged.append(vocabulary[left + right])
-        self.joined = bytearray(1 << 16)  # 1 where the byte pair occurs inside a token
-        for token in vocabulary:
-            body = [letters[c] for c in token]
-            for a, b in zip(body, body[1:]):
-                self.joined[a << 8 | b] = 1
+        self.apart = {(a, b) for a in range(256) for b in range(256)}  # byte pairs that occur inside no token
+        for token in self.tokens:
+            self.apart.difference_update(zip(token, token[1:]))
+        for token, i in self.special.items():
+            self.tokens[i] = token.encode()
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.remembered, self.new, self.old, self.parts = remembered, {}, {}, {}
+        self.pieces = Memory(self._piece, remembered)
+        self.chunks = Memory(lambda chunk: self._chunk(" " + chunk), remembered)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece, cut wherever no token of the vocabulary could hold both neighbours."""
-        joined, start, out = self.joined, 0, []
-        for i in range(1, len(piece)):
-            if not joined[piece[i - 1] << 8 | piece[i]]:
+        apart, start, out = self.apart, 0, []
+        for i, pair in enumerate(zip(piece, piece[1:]), 1):
+            if pair in apart:
                 out.append(piece[start:i])
                 start = i
         out.append(piece[start:])
@@ -121,59 +140,42 @@ class Codec:
                     heapq.heappush(heap, (r, a))
         return [i for i in ids if i >= 0]
 
-    def _word(self, chunk: str) -> bytes:
-        packed, parts = b"", self.parts
-        if len(parts) >= self.remembered:
-            parts.clear()
-        for piece in WORDS.findall(chunk):
-            for part in self.fragments(piece.encode()):
-                ids = parts.get(part)
-                if ids is None:
-                    ids = np.array(self.merge(part), "<u4").tobytes()
-                    if len(part) <= 64:
-                        parts[part] = ids
-                packed += ids
-        if len(chunk) <= 64:
-            if len(self.new) >= self.remembered:
-                self.old, self.new = self.new, {}
-            self.new[chunk] = packed
-        return packed
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of a word: of its fragments, one after the other."""
+        fragments = self.fragments(piece)
+        if len(fragments) == 1:
+            return array("I", self.merge(piece)).tobytes()
+        return b"".join([self.pieces[f] for f in fragments])
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.pieces[p.encode()] for p in WORDS.findall(chunk)])
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens. A lone space between two visible characters always starts a word."""
-        if not text:
-            return b""
-        chunks = _LONE_SPACE.split(text) if _DOUBLE_SPACE.search(text) else text.split(" ")
-        first = chunks[0]
-        chunks = [" " + c for c in chunks]
-        chunks[0] = first
-        if len(self.new) >= self.remembered:
-            self.old, self.new = self.new, {}
-        packed = list(map(self.new.get, chunks))
-        if None in packed:
-            old = self.old
-            for i, p in enumerate(packed):
-                if p is None:
-                    chunk = chunks[i]
-                    p = self.new.get(chunk)
-                    if p is None:
-                        p = old.get(chunk)
-                        if p is None:
-                            p = self._word(chunk)
-                        else:
-                            self.new[chunk] = p
-                    packed[i] = p
-        return b"".join(packed)
+        first, *chunks = _LONE_SPACE.split(text) if _DOUBLE_SPACE.search(text) else text.split(" ")
+        return self._chunk(first) + b"".join(map(self.chunks.__getitem__, chunks))
+
+    def encode_all(self, texts_: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit numbers. A special token's own string is that token."""
+        if self.split is None or not any(map(self.split.search, texts_)):
+            return list(map(self._plain, texts_))
+        parts, owners = [], []
+        for i, text in enumerate(texts_):
+            start = 0
+            for m in self.split.finditer(text):
+                parts += [text[start:m.start()], m[0]]
+                owners += [i, i]
+                start = m.end()
+            parts.append(text[start:])
+            owners.append(i)
+        out: list[list[bytes]] = [[] for _ in texts_]
+        for i, p in zip(owners, parts):
+            out[i].append(array("I", [self.special[p]]).tobytes() if p in self.special else self._plain(p))
+        return list(map(b"".join, out))
 
     def encode(self, text: str) -> bytes:
-        """Ids of the text as little-endian unsigned 32-bit numbers. A special token's own string is that token."""
-        if self.split is None or not self.split.search(text):
-            return self._plain(text)
-        out, start = [], 0
-        for m in self.split.finditer(text):
-            out += [self._plain(text[start:m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
-            start = m.end()
-        return b"".join([*out, self._plain(text[start:])])
+        """Ids of one text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD."""
@@ -204,7 +206,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value)
         for batch in slices(batches, limit=2 << 20):
-            packed = [codec.encode(t) for t in batch.column("text").to_pylist()]
+            packed = codec.encode_all(batch.column("text").to_pylist())
             ends = np.cumsum([0, *(len(p) >> 2 for p in packed)], dtype=np.int64).astype("<i4")
             values = pa.py_buffer(b"".join(packed))
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, values]))

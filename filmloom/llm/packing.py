@@ -38,10 +38,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, last = codec_of(spec.value), np.array([end], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=4 << 20):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                packed = codec.encode(text) + last
+            encoded = codec.encode_all(batch.column("text").to_pylist())
+            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encoded):
+                packed += last
                 n = len(packed) >> 2
                 stops = list(range(n % capacity or capacity, n + 1, capacity))
                 for k, stop in enumerate(stops):

@@ -7,12 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filmloom.llm import bpe, packing
+from filmloom.llm import bpe, lm, packing, secret_scan, toxicity
 from filmloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and inferred secrets of every text, as counts, digest and spans."""
+    return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text after deobfuscation."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text under the n-gram trie, with exact counts behind the base score."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text that they give back, as digests."""
     path = public_tokenizers.path(VOCABULARY)
@@ -25,7 +40,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_toxicity": op3_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
