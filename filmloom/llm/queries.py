@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filmloom.llm import bpe, lm, packing, secret_scan, toxicity
+from filmloom.llm import bit_sliced, bpe, lm, packing, quality, secret_scan, toxicity
 from filmloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,6 +23,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by weighted rules."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of each hundredth vector."""
+    return bit_sliced.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every text under the n-gram trie, with exact counts behind the base score."""
     return lm.score(table(spark, sf_dir, "documents"))
@@ -43,8 +53,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
+    "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_bit_sliced_top_k": """
+        WITH parts AS (
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS p FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+                   CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.p, v.p)]) AS BIGINT) AS score
+            FROM parts q JOIN parts v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+        WHERE rank <= 10""",
+}
