@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filmloom.llm import bit_sliced, bpe, lm, packing, quality, secret_scan, toxicity
+from filmloom.llm import bit_sliced, bpe, lm, metric_join, packing, quality, secret_scan, toxicity
 from filmloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and survivor of every vector."""
+    return metric_join.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best other vectors of each hundredth vector."""
     return bit_sliced.search(table(spark, sf_dir, "embeddings"))
@@ -54,12 +59,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_metric_range_join": op5_metric_range_join,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_metric_range_join": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+              AND len([x FOR x IN embedding IF x <> 0]) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(id, low) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id),
+        counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT v.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
+        FROM embeddings v JOIN (SELECT id, min(low) AS component_id FROM reach GROUP BY id) r ON r.id = v.vec_id
+        LEFT JOIN counted c ON c.a = v.vec_id""",
     "op6_bit_sliced_top_k": """
         WITH parts AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS p FROM embeddings
