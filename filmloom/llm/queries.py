@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filmloom.llm import bit_sliced, bpe, lm, metric_join, packing, quality, secret_scan, toxicity
+from filmloom.llm import bit_sliced, bpe, lm, metric_join, minhash, packing, quality, secret_scan, toxicity
 from filmloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component and survivor of every document."""
+    return minhash.linked(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every text under the n-gram trie, with exact counts behind the base score."""
     return lm.score(table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_metric_range_join": op5_metric_range_join,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
+    "op8_tensored_minhash": op8_tensored_minhash,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
