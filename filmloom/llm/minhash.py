@@ -182,6 +182,7 @@ def _links(least: int):
             part[owner[lo:hi], ids[lo:hi] - start] = 1
             both += part @ part.T
         near = 100 * both >= least * (size[:, None] + size[None] - both)
+        np.fill_diagonal(near, True)  # shingles of one set alone were left out above
         low = nodes.copy()
         while True:
             new = np.where(near, low[None], np.iinfo(np.int64).max).min(1)
