@@ -14,14 +14,14 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import slices, texts
+from filmloom.llm.common import Memory, slices, texts
 
 # Fixed value: the word pattern of the byte-level vocabularies.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -41,25 +41,6 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
-class Memory(dict):
-    """Remembers results of a function for short keys. When it is full, it starts anew and keeps the last filling."""
-
-    def __init__(self, make: Callable, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Codec:
     """Encoder and decoder of one vocabulary file. It remembers words and fragments, each up to a bound."""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,3 +56,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
 def fresh_name(label: str) -> str:
     """A name that no other run uses."""
     return f"{label}-{uuid.uuid4().hex}"
+
+
+class Memory(dict):
+    """Remembers results of a function for short keys. When it is full, it starts anew and keeps the last filling."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import fold_of, fresh_name, saved, slices, texts
+from filmloom.llm.common import Memory, fold_of, fresh_name, saved, slices, texts
 
 SAMPLE = 20_000
 FEATURES = 400
@@ -38,7 +38,8 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 APART = ".-_*~'`^/\\"
 _TRIM = re.compile(r"^[^\w@$]+|[\W_]+$")
-_ODD = re.compile(r"[^\W\d_][^\w\s]|[^\W_]_|[^\W\d_]\d|\d[^\W\d_]|[@$!|+(€£][^\W\d_]|([^\W\d_])\1")
+_ODD = re.compile(r"[^\W\d_][^\w\s]|[^\W_]_|[^\W\d_]\d|\d[^\W\d_]|[@$!|+(€£][^\W\d_]|([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1+")
 _SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -121,29 +122,28 @@ def restore(token: str, model: CharacterModel) -> str:
 
 
 class Restorer:
-    """Restores the words of texts, remembering a bounded number of tokens."""
+    """Restores the words of texts, remembering a bounded number of tokens.
 
-    def __init__(self, model: CharacterModel | None):
-        self.model, self.known = model, {}
+    `starts` holds beginnings of the words that matter: a word with doubled letters and no other sign of a disguise is
+    decoded if it begins like one of them without the doubling.
+    """
+
+    def __init__(self, model: CharacterModel | None, starts: frozenset[str] = frozenset()):
+        self.model, self.starts, self.known = model, starts, Memory(self.words, _REMEMBERED)
+
+    def odd(self, core: str) -> bool:
+        if _ODD.search(core):
+            return True
+        return bool(self.starts and _DOUBLE.search(core)) and _DOUBLE.sub(r"\1", core)[:4] in self.starts
 
     def words(self, token: str) -> list[str]:
         core = _TRIM.sub("", token)
-        if self.model is not None and _ODD.search(core):
+        if self.model is not None and self.odd(core):
             core = restore(core, self.model)
         return _WORD.findall(core)
 
-    def token(self, token: str) -> list[str]:
-        words = self.known.get(token)
-        if words is None:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            words = self.words(token)
-            if len(token) <= 64:
-                self.known[token] = words
-        return words
-
-    def counts(self, text: str) -> Counter:
-        """How often each restored word occurs."""
+    def tokens(self, text: str) -> Counter:
+        """How often each token occurs, runs of single characters as tokens of their own besides."""
         text = text.lower()
         tokens = Counter(text.split())
         if self.model is not None:
@@ -151,16 +151,12 @@ class Restorer:
                 parts = m[0].split(" ")
                 if sum(map(str.isalpha, parts)) * 2 > len(parts):
                     tokens[m[0]] += 1
-        out: Counter = Counter()
-        for token, n in tokens.items():
-            for word in self.token(token):
-                out[word] += n
-        return out
+        return tokens
 
     def text(self, text: str) -> str:
         """The text, lower-cased, with its disguised tokens restored."""
         joined = _SPACED.sub(lambda m: " ".join(self.words(m[0])), text.lower())
-        return re.sub(r"\S+", lambda m: " ".join(self.token(m[0])) if _ODD.search(m[0]) else m[0], joined)
+        return re.sub(r"\S+", lambda m: " ".join(self.known[m[0]]) if self.odd(_TRIM.sub("", m[0])) else m[0], joined)
 
 
 def features(word: str) -> list[str]:
@@ -220,19 +216,25 @@ class Model:
     def __init__(self, characters: CharacterModel | None, places: dict[str, int], weights: np.ndarray):
         self.characters, self.places, self.weights = characters, places, weights
 
-    def vector(self, words: Counter, cache: dict[str, tuple[int, ...]]) -> np.ndarray:
+    def reader(self) -> tuple[Restorer, Memory]:
+        """A restorer and its memory of tokens: how many words a token holds and the places of their features."""
+        restorer = Restorer(self.characters, frozenset(f[:4] for f in self.places))
+
+        def read(token: str) -> tuple[int, tuple[int, ...]]:
+            words = restorer.words(token)
+            return len(words), tuple(self.places[f] for w in words for f in features(w) if f in self.places)
+
+        return restorer, Memory(read, _REMEMBERED)
+
+    def vector(self, text: str, restorer: Restorer, memory: Memory) -> np.ndarray:
         x = np.zeros(len(self.places) + 1)
-        for word, n in words.items():
-            at = cache.get(word)
-            if at is None:
-                if len(cache) >= _REMEMBERED:
-                    cache.clear()
-                at = tuple(self.places[f] for f in features(word) if f in self.places)
-                if len(word) <= 64:
-                    cache[word] = at
-            for k in at:
+        total = 0
+        for token, n in restorer.tokens(text).items():
+            words, places = memory[token]
+            total += words * n
+            for k in places:
                 x[k] += n
-        x[-1] = sum(words.values())
+        x[-1] = total
         return np.log1p(x)
 
 
@@ -252,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
         for batch in slices(batches, limit=2 << 20):
             held: list[Counter] = [Counter(), Counter()]
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                held[y].update({f for w in plain.counts(text) for f in features(w)})
+                held[y].update({f for token in plain.tokens(text) for w in plain.known[token] for f in features(w)})
             names = list(held[0].keys() | held[1].keys())
             yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([h[f] for f in names], pa.int64()) for h in held)],
                                   names=["feature", "clean", "toxic"])
@@ -270,9 +272,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
     sent, name = docs.sparkSession.sparkContext.broadcast(model), fresh_name("toxicity")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, cache = _worker(name, sent)
+        restorer, memory = _worker(name, sent)
         for batch in slices(batches, limit=2 << 20):
-            x = [sent.value.vector(restorer.counts(t), cache).astype(np.float32).tobytes()
+            x = [sent.value.vector(t, restorer, memory).astype(np.float32).tobytes()
                  for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("y"), pa.array(x, pa.binary())], names=["y", "x"])
 
@@ -282,14 +284,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
     return model
 
 
-_workers: dict[str, tuple[Restorer, dict]] = {}
+_workers: dict[str, tuple[Restorer, Memory]] = {}
 
 
-def _worker(name: str, sent) -> tuple[Restorer, dict]:
-    """The restorer and the cache of this worker for one model."""
+def _worker(name: str, sent) -> tuple[Restorer, Memory]:
+    """The restorer and the memory of this worker for one model."""
     if name not in _workers:
         _workers.clear()
-        _workers[name] = Restorer(sent.value.characters), {}
+        _workers[name] = sent.value.reader()
     return _workers[name]
 
 
@@ -299,10 +301,10 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     schema = docs.select(*columns).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, cache = _worker(name, sent)
+        restorer, memory = _worker(name, sent)
         known, w = sent.value, sent.value.weights
         for batch in slices(batches, limit=2 << 20):
-            x = np.array([known.vector(restorer.counts(t or ""), cache) for t in batch.column("text").to_pylist()])
+            x = np.array([known.vector(t or "", restorer, memory) for t in batch.column("text").to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
             yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(p)], names=[*columns, "score"])
 
