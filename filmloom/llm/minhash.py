@@ -120,8 +120,12 @@ def signed(docs: DataFrame, width: int = WIDTH, tables: int = TABLES, parts: int
         run, "doc_id long, n_shingles long, set1 long, set2 long, keys array<long>")
 
 
-def meetings(classes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """a, b: each set with the least one that it meets in a table."""
+def parties(classes: DataFrame, tables: int = TABLES) -> DataFrame:
+    """node, party: sets that meet in a table, or are connected by such meetings, have one party.
+
+    The tables of the diagonal go first; of the others only those whose sets still belong to several parties matter then,
+    so a large group of copies does not repeat its links table by table.
+    """
     posed = classes.select("node", F.posexplode("keys").alias("place", "value"))
     common = saved(posed.groupBy("place", "value").count().filter("count > 1").drop("count"), "keys")
     hits = posed.join(common, ["place", "value"]).select(
@@ -129,10 +133,25 @@ def meetings(classes: DataFrame, tables: int = TABLES) -> DataFrame:
     both = hits.groupBy("node").agg(F.collect_list(F.when(~F.col("second"), F.col("key"))).alias("left"),
                                     F.collect_list(F.when(F.col("second"), F.col("key"))).alias("right"))
     paired = saved(both.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r"))
-                   .select("node", F.xxhash64("l.place", "l.value", "r.place", "r.value").alias("table")), "tables")
-    first = saved(paired.groupBy("table").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"))
-                  .filter("n > 1").drop("n"), "firsts")
-    return paired.join(first, "table").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+                   .select("node", (F.col("l.place") + tables == F.col("r.place")).alias("diagonal"),
+                           F.xxhash64("l.place", "l.value", "r.place", "r.value").alias("table")), "tables")
+    near = components(_stars(paired.filter("diagonal").select("table", "node"))).withColumnRenamed("id", "node")
+    nodes = paired.select("node").distinct().join(near, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("label"))
+    nodes = saved(nodes, "parties")
+    labelled = saved(paired.filter("not diagonal").join(nodes, "node").select("table", F.col("label").alias("node")).distinct(),
+                     "tables")
+    joined = components(_stars(labelled)).withColumnRenamed("id", "label")
+    all_ = nodes.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("party"))
+    sizes = all_.groupBy("party").count().filter("count > 1").select("party")
+    return saved(all_.join(sizes, "party").select("node", "party"), "parties")
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """a, b: the nodes of each table and the table's least one, where it has several."""
+    first = saved(met.groupBy("table").agg(F.min("node").alias("b"), F.max("node").alias("last"))
+                  .filter("b < last").drop("last"), "firsts")
+    return met.join(first, "table").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
 
 
 def dealt(sets: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -211,7 +230,6 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST, tables: int
     some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     own = ["set1", "set2", "n_shingles"]
     classes = saved(rows.filter(some).groupBy(*own).agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")), "sets")
-    parties = components(meetings(classes, tables)).withColumnRenamed("component", "party")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -221,8 +239,9 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST, tables: int
                                    pa.array([h.tobytes() for h in found], pa.binary())],
                                   names=["node", "party", "size", "hashes"])
 
+    # Who is in a party grows with the texts: a merge join at every size, never a broadcast.
     chosen = texts(docs).select(F.col("doc_id").cast("bigint").alias("node"), "text").join(
-        parties.withColumnRenamed("id", "node"), "node")
+        parties(classes, tables).hint("merge"), "node")
     sets = saved(chosen.select("node", "party", "text").mapInArrow(run, "node long, party long, size long, hashes binary")
                  .filter("size > 0"), "shingles")
     links = dealt(sets, least).groupBy("team").applyInArrow(_links(least), "a long, b long")

@@ -84,7 +84,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m[1], len(m[0])
         if c in SIGNS:
-            options = [(c, -1.5)] + [(x * k, -1.0 - (n != k)) for x in SIGNS[c] for k in range(1, min(n, 2) + 1)]
+            options = [(c * n, -1.5)] + [(x * k, -1.0 - (n != k)) for x in SIGNS[c] for k in range(1, min(n, 2) + 1)]
             if not c.isdigit():
                 options.append(("", -2.0))
         elif c in APART or c == " ":
