@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filmloom.llm import bit_sliced, bpe, lm, metric_join, minhash, packing, quality, secret_scan, toxicity
+from filmloom.llm import bit_sliced, bpe, lm, metric_join, minhash, packing, quality, secret_scan, suffix_dedup, toxicity
 from filmloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 200 bytes take from every document."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component and survivor of every document."""
     return minhash.linked(table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_metric_range_join": op5_metric_range_join,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_tensored_minhash": op8_tensored_minhash,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
