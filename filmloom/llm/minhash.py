@@ -251,3 +251,18 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST, tables: int
     found = rows.filter(some).join(named, own).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def survivors(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """The same columns of one row of each component: of the row of its least id, and of one where rows repeat that id.
+
+    Rows without words stay as they are, and so do rows without id.
+    """
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = linked(docs, width, least)
+    kept = found.filter(F.col("kept") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("kept_id")).distinct()
+    marked = docs.withColumn("seal", own).withColumn("wordless", F.coalesce(~F.col("text").rlike(r"[^ \t-\r]"), F.lit(True)))
+    alone = marked.filter(F.col("doc_id").isNull() | F.col("wordless")).select(*docs.columns)
+    linked_rows = marked.filter(F.col("doc_id").isNotNull() & ~F.col("wordless")).join(
+        kept, F.col("doc_id") == F.col("kept_id")).dropDuplicates(["doc_id"])
+    return linked_rows.select(*docs.columns).unionByName(alone)

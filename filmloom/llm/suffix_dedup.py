@@ -323,7 +323,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("seal"), pa.array(left, pa.string())], names=["seal", "left"])
 
     cut = repeated.select("seal", "text", "spans").mapInArrow(run, "seal long, left string").dropDuplicates(["seal"])
-    marked = own.join(copies.withColumn("copied", F.lit(True)), ["seal", "other"], "left").join(cut, "seal", "left")
-    text = F.when(F.col("copied") & (F.octet_length("text") >= LENGTH), F.lit("")).otherwise(F.coalesce("left", "text"))
+    facts = cut.join(copies.select("seal", F.col("other").alias("copied")).dropDuplicates(["seal"]), "seal", "full")
+    marked = own.join(facts.hint("merge"), "seal", "left")
+    text = F.when((F.col("copied") == F.col("other")) & (F.octet_length("text") >= LENGTH), F.lit("")).otherwise(F.coalesce("left", "text"))
     out = marked.withColumn("after", text).filter(~((F.col("after") == "") & (F.col("text") != "")) | F.col("text").isNull())
     return out.select(*[F.col("after").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from filmloom.llm.common import Memory, fold_of, fresh_name, saved, slices, texts
 
@@ -295,10 +295,10 @@ def _worker(name: str, sent) -> tuple[Restorer, Memory]:
     return _workers[name]
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns of each row and its score."""
+def scored(docs: DataFrame, model: Model, columns: list[str], as_: str = "score") -> DataFrame:
+    """The named columns of each row and its score, as a column of the given name."""
     sent, name = docs.sparkSession.sparkContext.broadcast(model), fresh_name("toxicity")
-    schema = docs.select(*columns).schema.add("score", "double")
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(as_, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, memory = _worker(name, sent)
@@ -306,7 +306,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         for batch in slices(batches, limit=2 << 20):
             x = np.array([known.vector(t or "", restorer, memory) for t in batch.column("text").to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
-            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(p)], names=[*columns, "score"])
+            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(p)], names=[*columns, as_])
 
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
 
