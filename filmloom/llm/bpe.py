@@ -57,25 +57,26 @@ class Codec:
             if len(token) == 1:
                 self.byte_ids[letters[token]] = i
         self.merged: list[int] = []
-        self.ranks: dict[int, int] = {}
+        self.ranks: list[dict[int, int]] = [{} for _ in self.tokens]  # by the left token, of each right one
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocabulary[left] << 20 | vocabulary[right]] = rank
+            self.ranks[vocabulary[left]][vocabulary[right]] = rank
             self.merged.append(vocabulary[left + right])
-        self.apart = {(a, b) for a in range(256) for b in range(256)}  # byte pairs that occur inside no token
+        self.joined = [bytearray(256) for _ in range(256)]  # 1 where the byte pair occurs inside a token
         for token in self.tokens:
-            self.apart.difference_update(zip(token, token[1:]))
+            for a, b in zip(token, token[1:]):
+                self.joined[a][b] = 1
         for token, i in self.special.items():
             self.tokens[i] = token.encode()
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = Memory(self._piece, remembered)
-        self.chunks = Memory(lambda chunk: self._chunk(" " + chunk), remembered)
+        self.chunks = Memory(self._spaced, remembered)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece, cut wherever no token of the vocabulary could hold both neighbours."""
-        apart, start, out = self.apart, 0, []
-        for i, pair in enumerate(zip(piece, piece[1:]), 1):
-            if pair in apart:
+        joined, start, out = self.joined, 0, []
+        for i, (a, b) in enumerate(zip(piece, piece[1:]), 1):
+            if not joined[a][b]:
                 out.append(piece[start:i])
                 start = i
         out.append(piece[start:])
@@ -83,41 +84,42 @@ class Codec:
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the pair of least rank merges first, the leftmost of equals."""
-        ids = [self.byte_ids[b] for b in fragment]
+        byte_ids = self.byte_ids
+        ids = [byte_ids[b] for b in fragment]
         if len(ids) > _LIST_LIMIT:
             return self._merge_long(ids)
-        ranks, none = self.ranks, len(self.merged)
-        order = [ranks.get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        ranks, merged, none = self.ranks, self.merged, len(self.merged)
+        order = [ranks[a].get(b, none) for a, b in zip(ids, ids[1:])]
         while order:
             best = min(order)
             if best == none:
                 break
             i = order.index(best)
-            ids[i:i + 2] = [self.merged[best]]
-            del order[i]
+            ids[i] = new = merged[best]
+            del order[i], ids[i + 1]
             if i:
-                order[i - 1] = ranks.get(ids[i - 1] << 20 | ids[i], none)
+                order[i - 1] = ranks[ids[i - 1]].get(new, none)
             if i < len(order):
-                order[i] = ranks.get(ids[i] << 20 | ids[i + 1], none)
+                order[i] = ranks[new].get(ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, for fragments whose length would make list edits slow."""
         n, ranks = len(ids), self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(ids[i] << 20 | ids[i + 1])) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := ranks[ids[i]].get(ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else n
-            if j >= n or ranks.get(ids[i] << 20 | ids[j]) != rank:
+            if j >= n or ranks[ids[i]].get(ids[j]) != rank:
                 continue
             ids[i], ids[j] = self.merged[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a in (before[i], i):
-                if a >= 0 and after[a] < n and (r := ranks.get(ids[a] << 20 | ids[after[a]])) is not None:
+                if a >= 0 and after[a] < n and (r := ranks[ids[a]].get(ids[after[a]])) is not None:
                     heapq.heappush(heap, (r, a))
         return [i for i in ids if i >= 0]
 
@@ -128,6 +130,14 @@ class Codec:
             return array("I", self.merge(piece)).tobytes()
         return b"".join([self.pieces[f] for f in fragments])
 
+    def _spaced(self, chunk: str) -> bytes:
+        """Ids of a chunk with the space before it. Letters alone, or with one stop, are what the pattern would cut."""
+        if chunk.isalpha():
+            return self.pieces[b" " + chunk.encode()]
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return self.pieces[b" " + chunk[:-1].encode()] + self.pieces[chunk[-1].encode()]
+        return self._chunk(" " + chunk)
+
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.pieces[p.encode()] for p in WORDS.findall(chunk)])
 
