@@ -90,11 +90,12 @@ class EliasFano:
 
 
 def quantised(values: np.ndarray, codes: int = CODES) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and book: runs of equal numbers of values share their mean."""
+    """Codes and book: runs of equal numbers of different values share their mean."""
     if not len(values):
         return np.zeros(0, np.uint16), np.zeros(1)
-    order = np.argsort(values, kind="stable")
-    cut = np.unique(values[order[np.linspace(0, len(values) - 1, codes).astype(np.int64)]])
+    cut = np.unique(values)
+    if len(cut) > codes:
+        cut = cut[np.linspace(0, len(cut) - 1, codes).astype(np.int64)]
     code = np.searchsorted(cut, values, "right") - 1
     total, count = np.bincount(code, values, len(cut)), np.bincount(code, minlength=len(cut))
     return code.astype(np.uint16), total / np.maximum(count, 1)

@@ -132,7 +132,7 @@ class Restorer:
         self.model, self.starts, self.known = model, starts, Memory(self.words, _REMEMBERED)
 
     def odd(self, core: str) -> bool:
-        if _ODD.search(core):
+        if " " in core or _ODD.search(core):
             return True
         return bool(self.starts and _DOUBLE.search(core)) and _DOUBLE.sub(r"\1", core)[:4] in self.starts
 
