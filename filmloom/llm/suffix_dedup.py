@@ -32,8 +32,8 @@ from filmloom.llm.common import saved, slices, texts
 
 LENGTH = 200
 GRAM = 64
-HOT = 4096
-_CHUNK = 40_000
+HOT = 1 << 16  # suffixes of one gram that a task merges: some 100 MB and three seconds
+_CHUNK = 20_000
 _PLACE_BITS = 28
 _PLACE_MASK = (1 << _PLACE_BITS) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -124,7 +124,7 @@ def merged(gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, bytes_: list[bytes]
         body[i, reach - hi[i]:reach - hi[i] + len(b)] = np.frombuffer(b, np.uint8)
     _, start, counts = np.unique(gram, return_inverse=True, return_counts=True)
     start = np.where(counts[start] > 1, start, -1)
-    right, kept = start, np.full((reach + 1, n), -1, np.int64)
+    right, kept = start, np.full((reach + 1, n), -1, np.int32)
     for depth in range(1, length + 1):  # one symbol a round, for blocks that several suffixes still share
         right = refined(np.where(length - lo >= depth, right, -1), body[:, reach + depth - 1].astype(np.int64))
         if depth >= size:
@@ -135,7 +135,7 @@ def merged(gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, bytes_: list[bytes]
             left = refined(np.where(hi >= l, left, -1), body[:, reach - l].astype(np.int64))
         rows = np.flatnonzero((lo <= l) & (l <= hi) & (left >= 0) & (kept[l] >= 0))
         if rows.size:
-            _, inverse, counts = np.unique(left[rows] * (n + 1) + kept[l][rows], return_inverse=True, return_counts=True)
+            _, inverse, counts = np.unique(left[rows] * (n + 1) + kept[l, rows], return_inverse=True, return_counts=True)
             found[rows[counts[inverse] > 1], l] = True
     return found
 
