@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -21,14 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import Memory, slices, texts
+from filmloom.llm.common import Memory, slices, texts, worker_state
 
 # Fixed value: the word pattern of the byte-level vocabularies.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LIST_LIMIT = 48
-REMEMBERED = 400_000
+REMEMBERED = 700_000  # chunks of a worker, some 150 MB; fewer words and fragments
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,7 +70,7 @@ class Codec:
         for token, i in self.special.items():
             self.tokens[i] = token.encode()
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces = Memory(self._piece, remembered)
+        self.pieces = Memory(self._piece, remembered * 4 // 7)
         self.chunks = Memory(self._spaced, remembered)
 
     def fragments(self, piece: bytes) -> list[bytes]:
@@ -173,15 +174,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def codec_of(spec: str) -> Codec:
     """One codec per worker and vocabulary."""
-    key = hash(spec)
-    if key not in _codecs:
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    return worker_state(f"codec {len(spec)} {zlib.crc32(spec.encode())}", lambda: Codec(spec))
 
 
 def vocabulary_text(path: str) -> str:

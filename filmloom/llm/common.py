@@ -75,3 +75,14 @@ class Memory(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+_held: dict[str, object] = {}
+
+
+def worker_state(name: str, make: Callable):
+    """What a Python worker keeps between tasks: the state of one name alone, so that states of several steps never add up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import fold_of, fresh_name, saved, slices, texts
+from filmloom.llm.common import fold_of, fresh_name, saved, slices, texts, worker_state
 
 END = b" "  # no word holds a space
 CONTEXTS = 1 << 16
@@ -244,28 +244,14 @@ class Head:
         return before
 
 
-_heads: dict[str, Head] = {}
-_tries: dict[str, Trie] = {}
-
-
-def head_of(name: str, value: tuple[bytes, np.ndarray]) -> Head:
-    if name not in _heads:
-        _heads.clear()
-        _heads[name] = Head(*value)
-    return _heads[name]
-
-
-def trie_of(name: str) -> Trie:
-    if name not in _tries:
-        _tries.clear()
-        _tries[name] = Trie.map(SparkFiles.get(name))
-    return _tries[name]
+def head_of(name: str, head) -> Head:
+    return worker_state(name, lambda: Head(*head.value))
 
 
 def pair_counts(training: DataFrame, head, name: str) -> DataFrame:
     """pair (context << 16 | word), n of all training texts, for pairs of the first 65,536 words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head_of(name, head.value)
+        known = head_of(name, head)
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
@@ -310,7 +296,7 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
     unseen = float(np.log10(1.0 / (total + distinct + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = head_of(name, head.value), trie_of(name)
+        known, model = head_of(name, head), Trie.map(SparkFiles.get(name))
         exact = np.log10(known.counts + 1.0) + unseen
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, limit=2 << 20):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import saved, slices, texts
+from filmloom.llm.common import saved, slices, texts, worker_state
 from filmloom.llm.components import components
 
 WIDTH = 3
@@ -34,7 +34,7 @@ TABLES = 12  # keys of each of the two collections
 PARTS = 3  # hashes in a key
 BLOCK = 256
 BUNDLE = 2000
-_WORDS_REMEMBERED = 500_000
+_WORDS_REMEMBERED = 400_000
 
 
 def _odd(seed: str, n: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def signed(docs: DataFrame, width: int = WIDTH, tables: int = TABLES, parts: int
     multipliers = _odd("minhash", 2 * tables * parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = worker_state("minhash words", Words)
         for batch in slices(batches):
             sizes, one, two, near = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -232,7 +232,7 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST, tables: int
     classes = saved(rows.filter(some).groupBy(*own).agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = worker_state("minhash words", Words)
         for batch in slices(batches):
             found = [shingles(t, words, width) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("node"), batch.column("party"), pa.array([len(h) for h in found], pa.int64()),

@@ -23,7 +23,7 @@ from itertools import islice, takewhile
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import saved, slices, texts
+from filmloom.llm.common import saved, slices, texts, worker_state
 
 # The three plain patterns, and the letters that runs of credentials consist of.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -181,6 +181,7 @@ class Formats:
 def scan(docs: DataFrame) -> DataFrame:
     """row, doc_id, text, base spans (start, end, kind, value) and other runs (start, end, value), by one pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("secrets", dict)  # lets go of what earlier steps kept
         for batch in slices(batches):
             base, other = [], []
             for text in batch.column("text").to_pylist():

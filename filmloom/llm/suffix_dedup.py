@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import saved, slices, texts
+from filmloom.llm.common import saved, slices, texts, worker_state
 
 LENGTH = 200
 GRAM = 64
@@ -49,18 +49,16 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 _SALT = np.frombuffer(b"".join(hashlib.sha512(bytes([i])).digest() for i in range(32)), "<u8")
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse for texts of up to n bytes."""
+    tables = worker_state("suffix powers", dict)
     size = max(1 << 16, 1 << int(n).bit_length())
-    if size not in _tables:
+    if size not in tables:
         if size > 1 << 16:  # of long texts' tables, one stays
-            for k in [k for k in _tables if k > 1 << 16]:
-                del _tables[k]
-        _tables[size] = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
-    return _tables[size]
+            for k in [k for k in tables if k > 1 << 16]:
+                del tables[k]
+        tables[size] = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
+    return tables[size]
 
 
 def gram_hashes(body: np.ndarray, size: int) -> np.ndarray:

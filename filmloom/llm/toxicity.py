@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from filmloom.llm.common import Memory, fold_of, fresh_name, saved, slices, texts
+from filmloom.llm.common import Memory, fold_of, fresh_name, saved, slices, texts, worker_state
 
 SAMPLE = 20_000
 FEATURES = 400
@@ -284,15 +284,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
     return model
 
 
-_workers: dict[str, tuple[Restorer, Memory]] = {}
-
-
 def _worker(name: str, sent) -> tuple[Restorer, Memory]:
     """The restorer and the memory of this worker for one model."""
-    if name not in _workers:
-        _workers.clear()
-        _workers[name] = sent.value.reader()
-    return _workers[name]
+    return worker_state(name, lambda: sent.value.reader())
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str], as_: str = "score") -> DataFrame:
