@@ -8,7 +8,7 @@ from filmloom import vocab
 from filmloom.bindings import model as M
 from filmloom.bindings.registry import query
 from filmloom.operators import filters as FL
-from filmloom.operators.actors import vocabulary
+from filmloom.operators.actors import registry_rules, vocabulary
 from filmloom.operators.rules import with_failures
 
 _IDS = M.with_sql(M.MOVIES) + "SELECT movie_id FROM movies WHERE "
@@ -81,6 +81,16 @@ def unknown_actors(spark, sf_dir):
     return FL.unknown_actors(M.criteria(spark, sf_dir), names)
 
 
+@query("F15_registry_rules", """SELECT doc_id, NOT (doc_id % 8 IN (1, 2, 3)) AS ok FROM documents""")
+def registry_names(spark, sf_dir):
+    """Names with a space around them, with a control character, and not composed."""
+    k = F.col("doc_id")
+    name = (F.when(k % 8 == 1, F.lit(" Uma Berg")).when(k % 8 == 2, F.lit("Uma\u0007Berg")).when(k % 8 == 3, F.lit("Nu\u0301ria"))
+            .otherwise(F.concat(F.lit("N\u00faria "), k.cast("string"))))
+    rows = M.table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
+    return rows.select("doc_id", registry_rules()[0].ok.alias("ok"))
+
+
 @query("F16_applicable_modes", M.with_sql(M.CRITERIA) + f""", modes AS (SELECT unnest({M.sql_list(vocab.EVALUATION_MODES)}) AS mode)
 SELECT query_id, mode FROM criteria q CROSS JOIN modes WHERE CASE mode WHEN 'structured' THEN {M.ACTIVE}
   WHEN 'semantic' THEN semantic_query IS NOT NULL ELSE {M.ACTIVE} AND semantic_query IS NOT NULL END""")

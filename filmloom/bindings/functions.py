@@ -103,13 +103,13 @@ def serbian_normalizer(spark, sf_dir):
     cyrillic = F.col("text")
     for latin, letter in (("lj", "љ"), ("nj", "њ"), ("dž", "џ")):
         cyrillic = F.replace(cyrillic, F.lit(latin), F.lit(letter))
-    docs = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.translate(cyrillic, LATIN, CYRILLIC).alias("text"))
+    docs = M.table(spark, sf_dir, "documents").select("doc_id", F.translate(cyrillic, LATIN, CYRILLIC).alias("text"))
     return with_serbian_latin(docs, "text", "latin").select("doc_id", "latin")
 
 
 @query("H9_nfc", "SELECT doc_id, md5(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS digest FROM documents")
 def nfc_text(spark, sf_dir):
-    docs = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.replace("text", F.lit("e"), F.lit("é")).alias("text"))
+    docs = M.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("e"), F.lit("é")).alias("text"))
     return with_nfc(docs, "text", "text").select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -120,7 +120,7 @@ def nfc_text(spark, sf_dir):
   CASE WHEN "cast" IS NULL OR movie_id % 43 = 0 THEN '' ELSE array_to_string(list_filter([
     CASE WHEN movie_id % 41 = 0 THEN 'suffix-attachment' END, CASE WHEN movie_id % 37 = 0 THEN 'trailing-empty-separator' END,
     CASE WHEN movie_id % 10 = 3 AND movie_id % 41 <> 0 THEN 'exact-duplicate-suppression' END], lambda x: x IS NOT NULL), '|') END AS events
-FROM movies WHERE NOT (movie_id % 10 = 3 AND movie_id % 41 = 0)""")
+FROM (SELECT * REPLACE (CASE WHEN movie_id % 10 = 3 AND movie_id % 41 = 0 THEN list_append("cast", "cast"[1]) ELSE "cast" END AS "cast") FROM movies)""")
 def cast_parser(spark, sf_dir):
     k, names = F.col("movie_id"), F.col("cast")
     first = F.get(names, F.lit(0))
@@ -128,7 +128,7 @@ def cast_parser(spark, sf_dir):
     parts = F.when(k % 10 == 3, F.array_append(parts, first)).otherwise(parts)
     parts = F.when(k % 43 == 0, F.concat(F.array(F.lit(" ")), parts)).otherwise(parts)
     raw = F.concat(F.array_join(parts, " , "), F.when(k % 37 == 0, F.lit(", ")).otherwise(F.lit("")))
-    rows = M.movies(spark, sf_dir).where(~((k % 10 == 3) & (k % 41 == 0))).select("movie_id", raw.alias("starringRaw"))
+    rows = M.movies(spark, sf_dir).select("movie_id", raw.alias("starringRaw"))
     parsed = with_cast(rows, key="movie_id")
     kinds = F.coalesce(F.transform("cast_events", lambda e: e["kind"]), F.array().cast("array<string>"))
     return parsed.select("movie_id", "cast", F.col("cast_error").alias("error"), kinds.alias("events"))
@@ -223,7 +223,7 @@ def answers(spark, sf_dir):
             .when(c % 20 == 2, F.replace(body, F.lit('{"type":"query"'), F.lit('{"type":"query","type":"query"')))
             .when(c % 20 == 3, alert).when(c % 20 == 5, F.replace(body, F.lit('"genres":{'), F.lit('"genres":{"any":5,')))
             .when(c % 20 == 6, F.substr(body, F.lit(1), F.length(body) - 1)).otherwise(body))
-    return M.spread(M.criteria(spark, sf_dir)).select("query_id", "language", text.alias("answer"))
+    return M.criteria(spark, sf_dir).select("query_id", "language", text.alias("answer"))
 
 
 _EXPECTED = f"""judged AS (SELECT q.*, CASE WHEN c_custkey % 20 IN (1, 2, 5, 6) THEN 'invalid' WHEN c_custkey % 20 = 3 THEN 'alert'
@@ -301,7 +301,7 @@ def language_guard(spark, sf_dir):
     """Whole messages behind openings of known language; English openings are checked against Serbian and back."""
     clean = F.translate(F.col("text"), "\"“”«»'‘’", "        ")
     k = F.col("conv_id")
-    rows = M.spread(M.table(spark, sf_dir, "conversations")).select(
+    rows = M.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.concat(M.pick(_OPENERS, k), clean).alias("message"),
         F.when((k % 6).isin(1, 2, 5), "en").otherwise("sr").alias("selected"))
     return with_language_mismatch(rows, "message", "selected").select("conv_id", "turn", "mismatch")
@@ -350,7 +350,7 @@ def translation_flags(spark, sf_dir):
   FROM (SELECT doc_id, {_COLLAPSED} AS n, lang || ' ' || doc_id % 10 AS e FROM documents)""")
 def flags_on_texts(spark, sf_dir):
     """Whole documents as accepted texts of a short key."""
-    rows = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.concat("lang", F.lit(" "), (F.col("doc_id") % 10).cast("string")).alias("en"),
+    rows = M.table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit(" "), (F.col("doc_id") % 10).cast("string")).alias("en"),
                                                       F.lit("m").alias("machine"), F.col("text").alias("sr"))
     codes = F.transform("flags", lambda f: f["code"])
     has = lambda code: F.array_contains(codes, code)
@@ -380,14 +380,14 @@ def apply_review(spark, sf_dir):
   AND NOT regexp_matches(regexp_replace(t, '[A-Za-z\x{{c0}}-\x{{24f}}\x{{1e00}}-\x{{1eff}}\x{{ab30}}-\x{{ab6f}}]', '', 'g'), '\p{{L}}') AS ok
   FROM (SELECT doc_id, text AS t FROM documents)""")
 def approved_text(spark, sf_dir):
-    docs = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", "text")
+    docs = M.table(spark, sf_dir, "documents").select("doc_id", "text")
     staged = with_serbian_latin(docs, "text", "normal")
     return staged.select("doc_id", is_approved_serbian(F.col("text"), F.col("normal")).alias("ok"))
 
 
 @query("H25_text_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def text_hash(spark, sf_dir):
-    return M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", V.text_hash(F.col("text")).alias("hash"))
+    return M.table(spark, sf_dir, "documents").select("doc_id", V.text_hash(F.col("text")).alias("hash"))
 
 
 @query("H26_document_fingerprint", M.with_sql(M.MOVIES) + """SELECT movie_id, sha256('{"fingerprintVersion":"multilingual-document-fingerprint-v1","language":"en","textFormatVersion":"v1","profileFingerprint":"profile","formattedInput":"passage: '
@@ -401,7 +401,7 @@ def document_fingerprint(spark, sf_dir):
   md5('title: ' || lang || ' | text: ' || text) AS titled FROM documents""")
 def encoder_inputs(spark, sf_dir):
     t = F.col("text")
-    return M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.md5(TX.document_input(t)).alias("document"), F.md5(TX.query_input(t)).alias("query"),
+    return M.table(spark, sf_dir, "documents").select("doc_id", F.md5(TX.document_input(t)).alias("document"), F.md5(TX.query_input(t)).alias("query"),
                                                       F.md5(TX.titled_input(F.col("lang"), t)).alias("titled"))
 
 
@@ -435,7 +435,7 @@ def mean_pool(spark, sf_dir):
 @query("H31_pseudo_vector", """SELECT doc_id, CAST(i AS BIGINT) AS dim, round(CAST(('0x' || substr(h, CAST((i % 32) * 2 + 1 AS BIGINT), 2)) AS BIGINT) / 127.5 - 1, 6) AS value
   FROM (SELECT doc_id, sha256(text) AS h, unnest(range(40)) AS i FROM documents)""")
 def pseudo_vector(spark, sf_dir):
-    rows = M.spread(M.table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(V.pseudo_vector(F.col("text"), 40)).alias("dim", "value"))
+    rows = M.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(V.pseudo_vector(F.col("text"), 40)).alias("dim", "value"))
     return rows
 
 
@@ -452,11 +452,12 @@ def token_estimate(spark, sf_dir):
     return M.table(spark, sf_dir, "documents").select("doc_id", TX.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("H34_same_number", "SELECT o_orderkey, o_orderkey % 4 <> 3 AS same FROM orders")
+@query("H34_same_number", "SELECT o_orderkey, o_orderkey % 4 <> 3 AND o_orderkey % 9 <> 5 AS same FROM orders")
 def same_number(spark, sf_dir):
+    """The same order number written in other ways, another number, and texts that are no numbers."""
     k = F.col("o_orderkey")
-    whole = k.cast("string")
-    other = (F.when(k % 4 == 0, F.concat(whole, F.lit(".000"))).when(k % 4 == 1, F.concat(whole, F.lit("00e-2")))
+    whole = F.when(k % 9 == 5, F.lit("abc")).otherwise(k.cast("string"))
+    other = (F.when(k % 9 == 5, F.when(k % 2 == 0, F.lit("abc")).otherwise(F.lit("0"))).when(k % 4 == 0, F.concat(whole, F.lit(".000"))).when(k % 4 == 1, F.concat(whole, F.lit("00e-2")))
              .when(k % 4 == 2, F.concat(F.lit("0"), whole)).otherwise(F.concat(whole, F.lit("1"))))
     return M.table(spark, sf_dir, "orders").select("o_orderkey", TX.same_number(whole, other).alias("same"))
 
@@ -471,11 +472,11 @@ def same_json(spark, sf_dir):
 
 
 @query("H36_parser_comparison", M.with_sql(M.CRITERIA, _EXPECTED) + """SELECT query_id AS case_id, type <> 'invalid' AND NOT (c_custkey % 11 = 0 AND type = 'query') AS filters_match,
-  type = 'query' AND c_custkey % 13 <> 0 AS semantic_match FROM judged WHERE type <> 'invalid'""")
+  type = 'query' AND c_custkey % 13 <> 0 AS semantic_match FROM judged""")
 def parser_comparison(spark, sf_dir):
     """Answers compared with themselves after some years and some texts were changed."""
     parsed = materialize(CR.parse_criteria(answers(spark, sf_dir)), "parsed")
-    actual = parsed.where("type <> 'invalid'").withColumnRenamed("query_id", "case_id")
+    actual = parsed.withColumnRenamed("query_id", "case_id")
     c = F.col("case_id").cast("bigint")
     expected = actual.withColumn("year_min", F.when((c % 11 == 0) & (F.col("type") == "query"), F.coalesce("year_min", F.lit(0)) + 1).otherwise(F.col("year_min"))).withColumn(
         "semantic_query", F.when(c % 13 == 0, F.lit("other text")).otherwise(F.col("semantic_query")))

@@ -136,15 +136,15 @@ def merge_mismatches(spark, sf_dir):
     return C.merge_catalog(semantic, enriched)[1].select(F.col("movieLensId").alias("movie_id"), "differing")
 
 
-@query("N9_translate_tags", M.with_sql(M.TAG_SCORES, M.DICTIONARY) + """SELECT item_id AS movie_id, string_agg(CASE WHEN tag NOT LIKE '%7' THEN sr END, '|' ORDER BY score DESC, tag) AS tags_sr,
-  count(*) FILTER (WHERE tag LIKE '%7') AS missing FROM tag_scores LEFT JOIN dictionary ON en = tag GROUP BY 1
-  HAVING count(*) FILTER (WHERE tag NOT LIKE '%7') > 0""")
+@query("N9_translate_tags", M.with_sql(M.TAG_SCORES, M.DICTIONARY) + """SELECT item_id AS movie_id, coalesce(string_agg(CASE WHEN tag NOT LIKE '%7' THEN sr END, '|' ORDER BY score DESC, tag), '') AS tags_sr,
+  count(*) FILTER (WHERE tag LIKE '%7') AS missing FROM tag_scores LEFT JOIN dictionary ON en = tag GROUP BY 1""")
 def translate_tags(spark, sf_dir):
-    """All tags of a part in score order; tags that end in 7 have no translation."""
-    tags = C.top_tags(M.tag_scores(spark, sf_dir).withColumnRenamed("item_id", "movie_id"), "movie_id", 1000)
-    named = tags.select("movie_id", F.transform("relevantTags", lambda t: t["name"]).alias("tags"))
+    """All tags of a part in score order, whatever their number; tags that end in 7 have no translation."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "tag")))
+    lists = M.tag_scores(spark, sf_dir).groupBy(F.col("item_id").alias("movie_id")).agg(ordered.alias("listed"))
+    named = lists.select("movie_id", F.transform("listed", lambda t: t["tag"]).alias("tags"))
     out = C.translate_tags(named, M.dictionary(spark, sf_dir).where("en NOT LIKE '%7'"), "movie_id")
-    return out.where(F.size("tagsSr") > 0).select("movie_id", F.col("tagsSr").alias("tags_sr"), "missing")
+    return out.select("movie_id", F.col("tagsSr").alias("tags_sr"), "missing")
 
 
 @query("N10_language_vectors", M.with_sql(M.MOVIES, M.VECTORS) + """SELECT movie_id, title, round(vector[1], 6) AS first_value FROM movies JOIN vectors USING (movie_id) WHERE language = 'sr'""")
@@ -177,7 +177,7 @@ def results_with_metadata(spark, sf_dir):
 
 def _texts(spark, sf_dir, edited: bool):
     """Documents as texts to embed; in the edited version each sixth one has changed."""
-    d = M.spread(M.table(spark, sf_dir, "documents"))
+    d = M.table(spark, sf_dir, "documents")
     text = F.when((F.col("doc_id") % 6 == 0) & F.lit(edited), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return d.select(F.col("doc_id").alias("movie_id"), F.lit("en").alias("language"), text.alias("text"))
 
@@ -235,12 +235,14 @@ def protected_rows(spark, sf_dir):
     return D.changed_rows(rows, candidate, "en", ["machine", "sr", "reviewStatus", "manualOverride"])
 
 
-@query("N19_release_compare", """SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 1 THEN 'missing' WHEN o_orderkey % 100 = 2 THEN 'extra' ELSE 'o_totalprice' END AS differing
-  FROM orders WHERE o_orderkey % 100 IN (1, 2, 3)""")
+@query("N19_release_compare", """SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 1 THEN 'missing' WHEN o_orderkey % 100 = 2 THEN 'extra' WHEN o_orderkey % 100 = 3 THEN 'o_totalprice' ELSE 'repeated' END AS differing
+  FROM orders WHERE o_orderkey % 100 IN (1, 2, 3, 4)""")
 def release_compare(spark, sf_dir):
+    """Missing, extra and changed orders, and orders that are stored twice with equal content."""
     k = F.col("o_orderkey") % 100
     o = M.table(spark, sf_dir, "orders")
     stored = o.where(k != 1).withColumn("o_totalprice", F.when(k == 3, F.lit(-1.0)).otherwise(F.col("o_totalprice")))
+    stored = stored.unionByName(stored.where(k == 4))
     return R.compare_rows(stored, o.where(k != 2), "o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice"])
 
 
@@ -360,7 +362,8 @@ def status_counts(spark, sf_dir):
 
 
 _RUNS = f"""runs AS (SELECT q.* REPLACE (query_id AS query_id), mode FROM criteria q, (SELECT unnest(['structured', 'semantic']) AS mode)),
-  found AS (SELECT q.query_id, q.mode, m.movie_id, {M.MATCH_WITHOUT_ACTORS} AS ok FROM runs q JOIN movies m ON m.movie_id // 7 = q.c_custkey)"""
+  customers AS (SELECT count(*) AS n FROM criteria),
+  found AS (SELECT q.query_id, q.mode, m.movie_id, {M.MATCH_WITHOUT_ACTORS} AS ok FROM runs q JOIN movies m ON (m.movie_id // 7) % (SELECT n FROM customers) = q.c_custkey)"""
 
 
 def _runs(spark, sf_dir):
@@ -369,9 +372,11 @@ def _runs(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    """Seven neighbouring movies as the result of each run."""
+    """Sevens of neighbouring movies, dealt round the runs so that every movie is a result of one."""
     q = _runs(spark, sf_dir).select("query_id", "mode")
-    m = M.movies(spark, sf_dir).withColumn("query_id", F.floor(F.col("movie_id") / 7).cast("string"))
+    customers = M.table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("customers"))
+    m = M.movies(spark, sf_dir).join(F.broadcast(customers)).withColumn(
+        "query_id", (F.floor(F.col("movie_id") / 7) % F.col("customers")).cast("string")).drop("customers")
     return q.join(m, "query_id").select("query_id", "mode", "movie_id", "year", "runtime_minutes", "genres", "average_rating", "original_language")
 
 

@@ -16,15 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For row-local work on long texts: use all cores when the input is one file with one row group.
-
-    Inputs of many files are already spread and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
@@ -87,6 +78,28 @@ VECTORS = """vectors AS (SELECT vec_id AS movie_id, 'en' AS language, CAST(embed
   UNION ALL SELECT vec_id, 'sr', CAST(list_reverse(embedding) AS DOUBLE[]) FROM embeddings)"""
 
 
+def unclean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with zero, null, short, NaN and null-holding ones among them."""
+    k, v = F.col("movie_id") % 20, F.col("vector")
+    odd = (F.when(k == 0, F.transform(v, lambda x: F.lit(0.0).cast("float"))).when(k == 1, F.lit(None).cast("array<float>"))
+           .when(k == 2, F.slice(v, 1, 10)).when(k == 3, F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice(v, 2, 63)))
+           .when(k == 4, F.concat(F.array(F.lit(None).cast("float")), F.slice(v, 2, 63))).otherwise(v))
+    return vectors(spark, sf_dir).withColumn("vector", odd)
+
+
+def unclean_asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the same odd query vectors."""
+    k, v = F.col("query_id").cast("bigint") % 15, F.col("query_vector")
+    odd = (F.when(k == 0, F.transform(v, lambda x: F.lit(0.0).cast("float"))).when(k == 1, F.lit(None).cast("array<float>"))
+           .when(k == 2, F.slice(v, 1, 10)).when(k == 3, F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice(v, 2, 63))).otherwise(v))
+    return asking(spark, sf_dir).withColumn("query_vector", odd)
+
+
+# What the odd vectors leave: short ones meet only the short query vectors, which the request rules refuse.
+CLEAN_VECTORS = "clean_vectors AS (SELECT * FROM vectors WHERE movie_id % 20 > 4)"
+CLEAN_ASKING = "clean_asking AS (SELECT * FROM asking WHERE c_custkey % 15 > 3)"
+
+
 def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One filter row per customer."""
     c = F.col("c_custkey")
@@ -214,5 +227,11 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("value")).cast("bigint").alias("tokens"))
 
 
+def with_header(lines: DataFrame, header: str) -> DataFrame:
+    """A CSV folder's text files for lines of a `part` each: the header, then the lines of that part."""
+    body = lines.groupBy("part").agg(F.collect_list("value").alias("_l"))
+    return body.select(F.concat(F.lit(header + "\n"), F.array_join("_l", "\n")).alias("value"))
+
+
 def with_sql(*tables: str) -> str:
     return "WITH " + ",\n".join(tables) + "\n"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filmloom.bindings import model as M
 from filmloom.bindings.registry import query
+from filmloom.functions.cast import first_occurrences
 from filmloom.operators import catalog as C, dictionary as D, evaluate as E, sampling as SA, search as S
 from filmloom.operators.rules import split_quarantine
 
@@ -61,6 +62,25 @@ def batch_hybrid(spark, sf_dir):
     return S.batch_hybrid(_serving(spark, sf_dir), M.asking(spark, sf_dir))
 
 
+_CLEAN_NEAR = f"""near AS (SELECT q.query_id, m.movie_id, {_DISTANCE} AS d, row_number() OVER (PARTITION BY q.query_id
+  ORDER BY {_DISTANCE}, m.movie_id) AS rank FROM {{}} q JOIN clean_vectors v ON v.language = q.language
+  JOIN movies m USING (movie_id) WHERE {M.MATCH} QUALIFY rank <= 10)"""
+
+
+@query("N11_unclean_vectors", M.with_sql(M.MOVIES, M.VECTORS, M.CRITERIA, M.ASKING, M.CLEAN_VECTORS, M.CLEAN_ASKING, _CLEAN_NEAR.format("clean_asking"))
+       + "SELECT query_id, rank, movie_id, round(d, 6) + 0.0 AS distance FROM near")
+def unclean_vectors(spark, sf_dir):
+    """Zero, null, short and not finite vectors on both sides: full lists for all that can be compared."""
+    asking = M.unclean_asking(spark, sf_dir)
+    movies = S.serving_table(M.movies(spark, sf_dir), M.unclean_vectors(spark, sf_dir))
+    return S.batch_hybrid(movies, asking.where(S.can_ask(64)))
+
+
+@query("N11_unusable_vectors", "SELECT vec_id AS movie_id, language FROM embeddings, (SELECT unnest(['en', 'sr']) AS language) WHERE vec_id % 20 <= 4")
+def unusable_vectors(spark, sf_dir):
+    return S.unusable_vectors(M.unclean_vectors(spark, sf_dir), 64)
+
+
 @query("G3_batch_hard_only", M.with_sql(M.MOVIES, M.CRITERIA, _RANKED_HARD) + "SELECT query_id, rank, movie_id FROM hard")
 def batch_hard_only(spark, sf_dir):
     return S.batch_hard_only(M.movies(spark, sf_dir), M.criteria(spark, sf_dir))
@@ -158,12 +178,14 @@ def ideal_gain(spark, sf_dir):
     return E.ideal_gain(judgments(spark, sf_dir))
 
 
-@query("W6_first_occurrence", """SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(range(1, len(w) + 1),
-  lambda i: {'i': i, 'x': w[i]}), lambda e: list_position(w, e.x) = e.i), lambda e: e.x), '|') AS names
-  FROM (SELECT doc_id, string_split(text, ' ')[1:40] AS w FROM documents)""")
+@query("W6_first_occurrence", """WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+  e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i FROM e GROUP BY 1, 2)
+SELECT doc_id, md5(string_agg(x, '|' ORDER BY i)) AS names, count(*) AS kept FROM f GROUP BY 1""")
 def first_occurrence(spark, sf_dir):
-    words = F.slice(F.split("text", " ", -1), 1, 40)
-    return M.table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(words).alias("names"))
+    """Each word of whole texts where it occurs first, by the rule that removes repeats from a cast."""
+    texts = M.table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    kept = texts.select("doc_id", first_occurrences(F.col("words")).alias("names"))
+    return kept.select("doc_id", F.md5(F.array_join("names", "|")).alias("names"), F.size("names").alias("kept"))
 
 
 _PROPOSALS = """proposals AS (SELECT 'key ' || (event_id % 500) AS en, 'text ' || user_id AS machine, event_id AS seq,

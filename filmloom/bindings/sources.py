@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filmloom import schemas, vocab
-from filmloom.bindings import joins as J, model as M
+from filmloom.bindings import joins as J, model as M, ranking as K
 from filmloom.bindings.registry import query
 from filmloom.operators import catalog as C, embedding as EM, evaluate as E, filters as FL, release as R, rules as RU, search as S
 from filmloom.session import new_dir
@@ -37,56 +37,67 @@ def _documents(df, label: str) -> str:
 
 
 @query("A1_tag_scores", M.with_sql(M.TAG_SCORES) + """SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'a "q", ' || tag ELSE tag END AS tag,
-  CASE WHEN item_id % 7 <> 1 THEN round(score, 6) END AS score, CASE WHEN item_id % 7 = 1 THEN 'score' ELSE '' END AS failed FROM tag_scores WHERE item_id > 0""")
+  CASE WHEN item_id % 7 <> 1 THEN round(score, 6) END AS score, CASE WHEN item_id % 7 = 1 THEN 'score' ELSE '' END AS failed FROM tag_scores WHERE item_id > 0
+UNION ALL SELECT CASE WHEN item_id = 0 THEN item_id END, tag, score, 'item_id' FROM (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'a "q", ' || tag ELSE tag END AS tag, CAST(NULL AS DOUBLE) AS score FROM tag_scores WHERE item_id <= 0)
+UNION ALL SELECT NULL, NULL, NULL, 'blank' FROM part""")
 def tag_scores_file(spark, sf_dir):
-    """Quoted tags with quotes and commas; some scores are not finite."""
+    """Quoted tags with quotes and commas; some scores are not finite, the id 0 is no id, and there are blank lines."""
     k = F.col("item_id")
-    rows = M.tag_scores(spark, sf_dir).where(k > 0).select(
+    rows = M.tag_scores(spark, sf_dir).select(
         F.when(k % 5 == 0, F.concat(F.lit('a "q", '), "tag")).otherwise(F.col("tag")).alias("tag"), "item_id",
         F.when(k % 7 == 1, F.lit("NaN")).otherwise(F.col("score").cast("string")).alias("score"))
-    read = readers.read_tag_scores(spark, _csv(rows, "tag,item_id,score"))
+    path = _csv(rows, "tag,item_id,score")
+    # Files of blank lines below the header, as many lines as there are parts, ten thousand to a file.
+    blank = M.table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise(F.lit("  ")).alias("value"),
+                                                  F.floor(F.col("p_partkey") / 10000).alias("part"))
+    M.with_header(blank, "tag,item_id,score").write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    read = readers.read_tag_scores(spark, path)
     return read.select("item_id", "tag", F.when(F.size("failed_rules") == 0, F.col("score")).alias("score"), F.col("failed_rules").alias("failed"))
 
 
 @query("A2_metadata", M.with_sql(M.MOVIES) + """SELECT movie_id, CASE WHEN movie_id % 9 <> 2 THEN title END AS title, round(CAST(coalesce(average_rating, 0) AS DOUBLE), 6) AS rating,
-  CASE WHEN movie_id % 9 = 2 THEN 'title' ELSE '' END AS failed FROM movies WHERE movie_id > 0 AND movie_id % 9 <> 3""")
+  CASE WHEN movie_id <= 0 AND movie_id % 9 = 2 THEN 'item_id|title' WHEN movie_id <= 0 THEN 'item_id' WHEN movie_id % 9 = 2 THEN 'title' ELSE '' END AS failed FROM movies WHERE movie_id % 9 <> 3
+UNION ALL SELECT NULL, NULL, NULL, 'object|item_id|title|imdbId|avgRating|directedBy|starring' FROM movies WHERE movie_id % 9 = 3""")
 def metadata_file(spark, sf_dir):
-    """Some titles are numbers; lines with a repeated key do not parse and are left out here."""
+    """Some titles are numbers; lines with a repeated key do not parse and fail every rule; the id 0 is no id."""
     k = F.col("movie_id")
     line = F.to_json(F.struct(F.col("title"), F.col("director").alias("directedBy"), F.lit("").alias("starring"),
                               F.coalesce("average_rating", F.lit(0)).alias("avgRating"), F.col("imdb_id").alias("imdbId"), k.alias("item_id")))
     odd = (F.when(k % 9 == 2, F.regexp_replace(line, '^\\{"title":"[^"]*"', '{"title":5'))
            .when(k % 9 == 3, F.replace(line, F.lit('{"title"'), F.lit('{"title":"x","title"'))).otherwise(line))
-    path = _lines(M.movies(spark, sf_dir).where(k > 0).select(odd.alias("value")), "metadata")
-    read = readers.read_metadata(spark, path).where(F.col("item_id").isNotNull())
+    path = _lines(M.movies(spark, sf_dir).select(odd.alias("value")), "metadata")
+    read = readers.read_metadata(spark, path)
     return read.select(F.col("item_id").alias("movie_id"), "title", F.col("avgRating").alias("rating"), F.col("failed_rules").alias("failed"))
 
 
-@query("A3_links", M.with_sql(M.MOVIES) + "SELECT movie_id, imdb_id, coalesce(tmdb_id, -1) AS tmdb_id, CASE WHEN movie_id % 6 = 1 THEN 'imdbId' ELSE '' END AS failed FROM (SELECT * REPLACE (CASE WHEN movie_id % 6 = 1 THEN 'tt' || imdb_id ELSE imdb_id END AS imdb_id) FROM movies) WHERE movie_id > 0")
+@query("A3_links", M.with_sql(M.MOVIES) + "SELECT movie_id, imdb_id, coalesce(tmdb_id, -1) AS tmdb_id, CASE WHEN movie_id <= 0 THEN 'movieId' WHEN movie_id % 6 = 1 THEN 'imdbId' ELSE '' END AS failed FROM (SELECT * REPLACE (CASE WHEN movie_id % 6 = 1 THEN 'tt' || imdb_id ELSE imdb_id END AS imdb_id) FROM movies)")
 def links_file(spark, sf_dir):
     k = F.col("movie_id")
-    rows = M.movies(spark, sf_dir).where(k > 0).select(
+    rows = M.movies(spark, sf_dir).select(
         k.alias("movieId"), F.when(k % 6 == 1, F.concat(F.lit("tt"), "imdb_id")).otherwise(F.col("imdb_id")).alias("imdbId"), F.col("tmdb_id").alias("tmdbId"))
     read = readers.read_links(spark, _csv(rows, "movieId,imdbId,tmdbId"))
     return read.select(F.col("movieId").alias("movie_id"), F.col("imdbId").alias("imdb_id"), F.coalesce("tmdbId", F.lit(-1)).alias("tmdb_id"), F.col("failed_rules").alias("failed"))
 
 
 @query("A4_genres", M.with_sql(M.MOVIES) + """SELECT movie_id, title, CASE WHEN movie_id % 10 = 1 AND genres IS NOT NULL THEN array_to_string(list_concat(genres, genres), '|') ELSE array_to_string(genres, '|') END AS genres,
-  CASE WHEN movie_id % 10 = 1 AND genres IS NOT NULL THEN 'genres' ELSE '' END AS failed FROM movies WHERE movie_id > 0""")
+  CASE WHEN movie_id <= 0 THEN 'movieId' WHEN movie_id % 10 = 1 AND genres IS NOT NULL THEN 'genres' ELSE '' END AS failed FROM movies""")
 def genres_file(spark, sf_dir):
     k = F.col("movie_id")
     listed = F.when(k % 10 == 1, F.concat("genres", "genres")).otherwise(F.col("genres"))
-    rows = M.movies(spark, sf_dir).where(k > 0).select(k.alias("movieId"), "title", F.coalesce(F.array_join(listed, "|"), F.lit("(no genres listed)")).alias("genres"))
+    rows = M.movies(spark, sf_dir).select(k.alias("movieId"), "title", F.coalesce(F.array_join(listed, "|"), F.lit("(no genres listed)")).alias("genres"))
     read = readers.read_genres(spark, _csv(rows, "movieId,title,genres"))
     return read.select(F.col("movieId").alias("movie_id"), "title", "genres", F.col("failed_rules").alias("failed"))
 
 
-@query("A5_ratings", M.with_sql(M.RATINGS) + """SELECT movie_id, count(*) AS "rows", count(*) FILTER (WHERE user_id = 0) AS bad, CAST(sum(rating) AS DOUBLE) AS total FROM ratings WHERE movie_id > 0 GROUP BY 1""")
+@query("A5_ratings", M.with_sql(M.RATINGS) + """SELECT movie_id, count(*) AS "rows", count(*) FILTER (WHERE user_id = 0 OR movie_id = 0 OR movie_id % 12 IN (5, 7)) AS bad,
+  CAST(coalesce(sum(rating) FILTER (WHERE movie_id % 12 <> 7 AND NOT (movie_id % 12 = 5 AND rating >= 5)), 0) AS DOUBLE) AS total FROM ratings GROUP BY 1""")
 def ratings_file(spark, sf_dir):
-    """Order 0 is no valid user."""
-    rows = M.ratings(spark, sf_dir).where("movieId > 0").select("userId", "movieId", "rating", F.lit(100).alias("timestamp"))
+    """Order 0 and movie 0 are no ids; some ratings have more decimals than are kept, others lie just above five."""
+    k, text = F.col("movieId") % 12, F.col("rating").cast("string")
+    rows = M.ratings(spark, sf_dir).select("userId", "movieId", F.when(k == 5, F.concat(text, F.lit("4"))).when(k == 7, F.lit("5.0004")).otherwise(text).alias("rating"),
+                                           F.lit(100).alias("timestamp"))
     read = readers.read_ratings(spark, _csv(rows, "userId,movieId,rating,timestamp"))
-    return read.groupBy(F.col("movieId").alias("movie_id")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("failed_rules") > 0).alias("bad"), F.sum("rating").alias("total"))
+    return read.groupBy(F.col("movieId").alias("movie_id")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("failed_rules") > 0).alias("bad"), F.coalesce(F.sum("rating"), F.lit(0)).alias("total"))
 
 
 def _catalog_rows(spark, sf_dir):
@@ -100,12 +111,14 @@ def _catalog_rows(spark, sf_dir):
     return joined.withColumn("relevantTags", tags).withColumn("semanticText", F.lit("t")).select(*schemas.CATALOG_FIELDS)
 
 
-@query("A6_catalog_jsonl", M.with_sql(M.MOVIES) + """SELECT movie_id, movie_id % 25 <> 3 AS shape_ok, title, array_to_string(genres, '|') AS genres FROM movies""")
+@query("A6_catalog_jsonl", M.with_sql(M.MOVIES) + """SELECT movie_id, movie_id % 25 NOT IN (3, 4) AS shape_ok, title, array_to_string(genres, '|') AS genres FROM movies""")
 def catalog_file(spark, sf_dir):
-    """Each 25th line has its first two fields swapped."""
+    """Each 25th line has its first two fields swapped, another a text where a number belongs."""
     swapped = F.regexp_replace("value", r'^\{("movieLensId":\d+),("rawTitle":"[^"]*")', r"{$2,$1")
     lines = _catalog_rows(spark, sf_dir).select("movieLensId", F.to_json(F.struct(*schemas.CATALOG_FIELDS), _KEEP).alias("value"))
-    path = _lines(lines.withColumn("value", F.when(F.col("movieLensId") % 25 == 3, swapped).otherwise(F.col("value"))), "catalog")
+    mistyped = F.regexp_replace("value", r'"runtimeMinutes":(\d+|null)', '"runtimeMinutes":"abc"')
+    k = F.col("movieLensId") % 25
+    path = _lines(lines.withColumn("value", F.when(k == 3, swapped).when(k == 4, mistyped).otherwise(F.col("value"))), "catalog")
     read = readers.read_catalog(spark, path, schemas.CATALOG_FIELDS)
     return read.select(F.col("movieLensId").alias("movie_id"), "shape_ok", "title", "genres")
 
@@ -128,10 +141,14 @@ def tolerant_shapes(spark, sf_dir):
     records = M.table(spark, sf_dir, "supplier").select(s.alias("id"), inner.alias("inner"))
     compact = records.select(F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "inner": '), "inner", F.lit("}")).alias("value"))
     indented = records.select(F.concat(F.lit('{\n  "id": '), F.col("id").cast("string"), F.lit(',\n  "inner": '), "inner", F.lit("\n}")).alias("value"))
+    # A sequence may also hold several objects on one line.
+    pairs = compact.withColumn("pair", F.floor(F.get_json_object("value", "$.id").cast("bigint") / 2)).groupBy("pair").agg(F.array_join(F.collect_list("value"), " ").alias("value")).select("value")
+    odd_line = F.get_json_object("value", "$.id").cast("bigint") % 3 == 0
+    mixed = indented.where(~odd_line).unionByName(pairs.select(F.explode(F.split(F.replace("value", F.lit("}} {"), F.lit("}}\u0001{")), "\u0001")).alias("value")).where(odd_line))
     # One array file per fifty suppliers, as one file is one record of that shape.
     arrays = compact.withColumn("file", F.floor(F.get_json_object("value", "$.id").cast("bigint") / 50)).groupBy("file").agg(F.array_join(F.collect_list("value"), ",\n").alias("v")).select(F.concat(F.lit("["), "v", F.lit("]")).alias("value"))
     ddl, out = "id BIGINT, inner STRING", None
-    for shape, frame in (("jsonl", compact), ("sequence", indented), ("array", arrays)):
+    for shape, frame in (("jsonl", compact), ("sequence", mixed), ("array", arrays)):
         write = _documents if shape == "array" else _lines
         rows = readers.read_tolerant(spark, write(frame, shape), ddl, shape).select(F.lit(shape).alias("shape"), "id", "shape_ok")
         out = rows if out is None else out.unionByName(rows)
@@ -167,22 +184,25 @@ def movie_relation(spark, sf_dir):
     return readers.read_movies(spark, f"{sf_dir}/part.parquet", ["p_partkey", "p_name"])
 
 
-@query("A11_judgments", """SELECT 'Q' || doc_id // 10 AS query_id, doc_id AS movie_id, CAST(quality * 2 + 1 - toxic + CASE WHEN doc_id % 33 = 0 THEN 4 ELSE 0 END AS BIGINT) AS score, doc_id % 33 <> 0 AS ok FROM labels""")
+@query("A11_judgments", """SELECT 'Q' || doc_id // 10 AS query_id, doc_id AS movie_id, CASE WHEN doc_id % 35 <> 4 THEN CAST(quality * 2 + 1 - toxic + CASE WHEN doc_id % 33 = 0 THEN 4 ELSE 0 END AS BIGINT) END AS score, doc_id % 33 <> 0 AND doc_id % 35 <> 4 AS ok FROM labels
+UNION ALL SELECT 'bad ' || r_regionkey, NULL, NULL, false FROM region""")
 def judgment_files(spark, sf_dir):
-    """One judgment object per ten documents; some scores are out of range."""
+    """One judgment object per ten documents; some scores are out of range, some are texts, and some queries hold no object."""
     score = F.col("quality") * 2 + 1 - F.col("toxic") + F.when(F.col("doc_id") % 33 == 0, 4).otherwise(0)
-    pairs = M.table(spark, sf_dir, "labels").select(M.text("Q", F.floor(F.col("doc_id") / 10)).alias("q"), F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('":'), score.cast("string")).alias("pair"))
+    pairs = M.table(spark, sf_dir, "labels").select(M.text("Q", F.floor(F.col("doc_id") / 10)).alias("q"), F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('":'),
+                                                                 F.when(F.col("doc_id") % 35 == 4, F.concat(F.lit('"'), score.cast("string"), F.lit('"'))).otherwise(score.cast("string"))).alias("pair"))
     objects = pairs.groupBy("q").agg(F.array_join(F.collect_list("pair"), ",").alias("body")).select(F.concat(F.lit('{"'), "q", F.lit('":{'), "body", F.lit("}}")).alias("value"))
+    objects = objects.unionByName(M.table(spark, sf_dir, "region").select(F.concat(F.lit('{"bad '), F.col("r_regionkey").cast("string"), F.lit('":5}')).alias("value")))
     return E.judgments_from_json(spark.read.text(_lines(objects, "judgments")))
 
 
-@query("A12_evaluation_cases", M.with_sql(M.CRITERIA) + f"""SELECT query_id AS id, CASE WHEN c_custkey % 8 = 5 THEN 'language' WHEN semantic_query IS NULL OR NOT {M.ACTIVE} THEN 'applicable'
-  ELSE '' END AS failed FROM criteria q WHERE coalesce(year_min <= year_max, true) AND coalesce(runtime_min <= runtime_max, true)
-  AND NOT coalesce(list_has_any(actors_all, actors_exclude), false) AND NOT coalesce(list_has_all(actors_exclude, actors_any), false) AND NOT (c_custkey % 8 = 5 AND (semantic_query IS NULL OR NOT {M.ACTIVE}))""")
+@query("A12_evaluation_cases", M.with_sql(M.CRITERIA) + f"""SELECT query_id AS id, array_to_string(list_filter([CASE WHEN c_custkey % 8 = 5 THEN 'language' END,
+  CASE WHEN NOT coalesce(year_min <= year_max, true) OR NOT coalesce(runtime_min <= runtime_max, true) OR coalesce(list_has_any(actors_all, actors_exclude), false)
+    OR coalesce(list_has_all(actors_exclude, actors_any), false) THEN 'filters' END,
+  CASE WHEN semantic_query IS NULL OR NOT {M.ACTIVE} THEN 'applicable' END, CASE WHEN (c_custkey // 10) % 6 = 4 THEN 'schema' END], lambda x: x IS NOT NULL), '|') AS failed FROM criteria q""")
 def evaluation_cases(spark, sf_dir):
-    """Cases of hybrid mode in documents of ten, for criteria rows that are valid themselves."""
-    q = M.criteria(spark, sf_dir)
-    valid = q.where(F.size(RU.failed_rules(FL.criteria_rules())) == 0)
+    """Cases of hybrid mode in documents of ten, valid or not; some documents have another schema."""
+    valid = M.criteria(spark, sf_dir)
     filters = F.struct(F.col("year_min").alias("yearMin"), F.col("year_max").alias("yearMax"), F.col("runtime_min").alias("runtimeMin"), F.col("runtime_max").alias("runtimeMax"),
                        F.struct(F.col("genres_all").alias("all"), F.col("genres_any").alias("any")).alias("genres"), F.col("rating_min").cast("double").alias("ratingMin"),
                        F.col("original_language").alias("originalLanguage"), F.col("rating_operator").alias("ratingOperator"),
@@ -192,11 +212,16 @@ def evaluation_cases(spark, sf_dir):
                     F.struct(filters.alias("hardFilters"), F.col("semantic_query").alias("semanticQuery")).alias("retrievalQuery"), F.array(F.lit("hybrid")).alias("applicableModes"))
     texts = valid.select(F.floor(F.col("query_id").cast("bigint") / 10).alias("doc"), F.to_json(case).alias("case"))
     documents = texts.groupBy("doc").agg(F.array_join(F.collect_list("case"), ",").alias("body")).select(
-        F.concat(F.lit(f'{{"schemaVersion":"{vocab.EVALUATION_SCHEMA}","cases":['), "body", F.lit("]}")).alias("value"))
-    parsed = readers.read_cases(spark, _documents(documents, "cases")).drop("schemaVersion")
-    flat = E.flatten_cases(parsed)
-    odd = F.col("semantic_query").isNull() | ~FL.has_active_filter()
-    return RU.with_failures(flat, E.case_rules(), "failed").where(~((F.col("language") == "xx") & odd)).select("id", "failed")
+        F.concat(F.lit('{"schemaVersion":"'), F.when(F.col("doc") % 6 == 4, "other").otherwise(vocab.EVALUATION_SCHEMA), F.lit('","cases":['), "body", F.lit("]}")).alias("value"))
+    flat = E.flatten_cases(readers.read_cases(spark, _documents(documents, "cases")))
+    return RU.with_failures(flat, [*E.case_rules(), E.schema_rule()], "failed").select("id", "failed")
+
+
+@query("A12_case_ids", M.with_sql(M.CRITERIA) + "SELECT 'case ' || c_custkey // 2 AS id, count(*) AS cases FROM criteria GROUP BY 1 HAVING count(*) > 1")
+def case_ids(spark, sf_dir):
+    """Ids that stand for several cases."""
+    cases = M.criteria(spark, sf_dir).select(M.text("case ", F.floor(F.col("query_id").cast("bigint") / 2)).alias("id"))
+    return E.repeated_cases(cases)
 
 
 def _entries(spark, sf_dir):
@@ -213,14 +238,17 @@ def dictionary_document(spark, sf_dir):
     return readers.read_dictionary(spark, path).select("en", "sr", F.col("failed_rules").alias("failed"))
 
 
-@query("A14_review_document", "SELECT 'tag ' || s_suppkey AS en, 'oznaka ' || s_suppkey AS approved, true AS shape_ok FROM supplier")
+@query("A14_review_document", "SELECT 'tag ' || s_suppkey AS en, CASE WHEN s_suppkey % 6 <> 1 THEN 'oznaka ' || s_suppkey END AS approved, s_suppkey % 6 <> 1 AS shape_ok, CASE WHEN s_suppkey // 50 % 2 = 1 THEN 'baselineSha256' ELSE '' END AS other FROM supplier")
 def review_document(spark, sf_dir):
+    """Some approved texts are numbers; each second document was made for another baseline."""
     rows = M.table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 50).alias("g"), F.to_json(F.struct(M.text("tag ", F.col("s_suppkey")).alias("en"), M.text("oznaka ", F.col("s_suppkey")).alias("approvedSr"), F.lit("corrected").alias("disposition"),
-                                                                        F.lit("r").alias("rationale"), F.lit("high").alias("confidence"))).alias("d"))
+                                                                        F.lit("r").alias("rationale"), F.lit("high").alias("confidence"))).alias("d"), "s_suppkey").withColumn(
+        "d", F.when(F.col("s_suppkey") % 6 == 1, F.regexp_replace("d", '"approvedSr":"[^"]*"', '"approvedSr":7')).otherwise(F.col("d")))
     document = rows.groupBy("g").agg(F.array_join(F.collect_list("d"), ",").alias("body")).select(F.concat(
-        F.lit('{"schemaVersion":"v","candidateSha256":"a","baselineSha256":"b","proposalsSha256":"c","sourceTagsSha256":"d","decisions":['), "body", F.lit("]}")).alias("value"))
+        F.lit('{"schemaVersion":"v","candidateSha256":"a","baselineSha256":"'), F.when(F.col("g") % 2 == 1, "z").otherwise("b"), F.lit('","proposalsSha256":"c","sourceTagsSha256":"d","decisions":['), "body", F.lit("]}")).alias("value"))
     read = readers.read_review(spark, _documents(document, "review"), full=True)
-    return read.select("en", F.col("approvedSr").alias("approved"), "shape_ok")
+    checked = readers.review_identity(read, {"candidateSha256": "a", "baselineSha256": "b", "proposalsSha256": "c", "sourceTagsSha256": "d"})
+    return checked.select("en", F.when(F.col("shape_ok"), F.col("approvedSr")).alias("approved"), "shape_ok", F.col("made_for_other").alias("other"))
 
 
 @query("A15_tag_list", "SELECT DISTINCT p_name AS tag, false AS blank, count(*) OVER (PARTITION BY p_name) > 1 AS repeated FROM part")
@@ -242,19 +270,34 @@ def ordered_jsonl(spark, sf_dir):
     return RU.one_row(facts, readers.ascending_problems(rows).agg(F.count(F.lit(1)).alias("out_of_order")))
 
 
-@query("B2_manifest", """SELECT count(*) AS records, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, sha256('catalog-v1|abc') AS fingerprint, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS excluded
-  FROM orders WHERE o_orderstatus = 'F'""")
+@query("B2_manifest", f"""WITH kept AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS o_custkey FROM orders WHERE o_orderstatus = 'F'),
+  h AS (SELECT sha256('{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || coalesce(CAST(o_custkey AS VARCHAR), 'null') || '}}') AS h FROM kept)
+SELECT count(*) AS records, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, sha256('{{"p0":"catalog-v1","p1":"abc"}}') AS fingerprint, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS excluded,
+  count(o_custkey) AS present, count(*) - count(o_custkey) AS absent, (SELECT sha256('bag-sha256-lanes-v1:' || count(*) || ':' || {" || ':' || ".join(J._lane(i) for i in range(4))}) FROM h) AS digest FROM kept""")
 def manifest(spark, sf_dir):
+    """Counts, digest, exclusions and coverage of a release in one record."""
     o = M.table(spark, sf_dir, "orders")
-    row = sinks.manifest(o.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey"), "o_orderkey", {"catalog_version": "catalog-v1"}, {"input_sha256": "abc"}, o.where("o_orderstatus <> 'F'"))
-    return row.select("records", "first_id", "last_id", "fingerprint", "excluded")
+    kept = o.where("o_orderstatus = 'F'").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("o_custkey"))
+    row = sinks.full_manifest(kept, "o_orderkey", {"catalog_version": "catalog-v1"}, {"input_sha256": "abc"}, ["o_custkey"], o.where("o_orderstatus <> 'F'"))
+    return row.select("records", "first_id", "last_id", "fingerprint", "excluded", F.col("o_custkey_present").alias("present"), F.col("o_custkey_absent").alias("absent"), "digest")
+
+
+@query("B2_exclusions", "SELECT o_orderkey, o_orderstatus AS reason FROM orders WHERE o_orderstatus <> 'F'")
+def exclusions(spark, sf_dir):
+    o = M.table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
+    return sinks.exclusion_list(o.withColumnRenamed("o_orderstatus", "reason"), "o_orderkey")
 
 
 @query("B3_publish_once", "SELECT o_orderkey, o_orderstatus FROM orders")
 def publish_once(spark, sf_dir):
-    """Published, checked, and refused when published again."""
+    """A set that fails its check leaves no target; then published, checked, and refused when published again."""
     o = M.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     path = new_dir(spark, "published")
+    try:
+        sinks.publish_once(o.unionByName(o.where("o_orderkey % 50 = 1")), path, lambda d: RU.duplicate_report(d, {"id": ["o_orderkey"]}))
+        raise AssertionError("repeated ids were published")
+    except RU.GateError:
+        pass
     back = sinks.publish_once(o, path, lambda d: RU.duplicate_report(d, {"id": ["o_orderkey"]}))
     try:
         sinks.publish_once(o, path)
@@ -308,9 +351,26 @@ def report_rows(spark, sf_dir):
     return spark.read.schema(checked.schema).json(path).select("query_id", "mode", "results", "violations")
 
 
-@query("B9_paired_release", "SELECT count(*) AS en_rows, count(*) AS sr_rows, true AS complete FROM embeddings")
+@query("B9_paired_release", """SELECT 'all' AS kind, count(*) AS en_rows, count(*) AS sr_rows, true AS complete FROM embeddings
+UNION ALL SELECT 'disjoint', count(*) FILTER (WHERE vec_id % 2 = 0), count(*) FILTER (WHERE vec_id % 2 = 1), false FROM embeddings
+UNION ALL SELECT 'repeated', count(*) + count(*) FILTER (WHERE vec_id % 50 = 3), count(*) + count(*) FILTER (WHERE vec_id % 50 = 3), false FROM embeddings""")
 def paired_release(spark, sf_dir):
-    return R.paired_release(J.identified_vectors(spark, sf_dir)).select("en_rows", "sr_rows", "complete")
+    """A full pair, two halves of other ids, and sets in which the same vectors stand twice."""
+    v = J.identified_vectors(spark, sf_dir)
+    half = F.when(F.col("language") == "en", F.col("movie_id") % 2 == 0).otherwise(F.col("movie_id") % 2 == 1)
+    out = None
+    for kind, rows in (("all", v), ("disjoint", v.where(half)), ("repeated", v.unionByName(v.where("movie_id % 50 = 3")))):
+        row = R.paired_release(rows).select(F.lit(kind).alias("kind"), "en_rows", "sr_rows", "complete")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("B5_unpaired", """SELECT vec_id AS movie_id, CASE WHEN vec_id % 30 = 4 THEN 'repeated' ELSE 'no pair' END AS problem FROM embeddings WHERE vec_id % 30 IN (4, 5)""")
+def unpaired(spark, sf_dir):
+    """A vector that stands twice gives two pairs; one that is missing gives none."""
+    v = J.identified_vectors(spark, sf_dir)
+    rows = v.where("movie_id % 30 <> 5 OR language = 'en'").unionByName(v.where("movie_id % 30 = 4 AND language = 'sr'"))
+    return R.unpaired(M.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("movie_id")), R.pair_vectors(rows))
 
 
 # --- rules and gates ------------------------------------------------------------------------------------
@@ -322,11 +382,15 @@ def source_rules(spark, sf_dir):
     return RU.violations(broken, RU.base_rules())
 
 
-@query("J2_catalog_rules", M.with_sql(M.MOVIES) + """SELECT rule, violations FROM (SELECT unnest(['id', 'title', 'year', 'imdb', 'tmdb', 'runtime', 'language', 'poster', 'genres', 'rating_pair', 'rating', 'rating_count', 'details_need_tmdb']) AS rule,
-  unnest([count(*) FILTER (WHERE movie_id <= 0), 0, 0, 0, 0, 0, 0, count(*) FILTER (WHERE poster_path LIKE '//%' AND tmdb_id IS NOT NULL), 0, count(*) FILTER (WHERE movie_id % 14 = 1 AND average_rating IS NOT NULL), 0, 0, 0]) AS violations FROM movies)""")
+@query("J2_catalog_rules", M.with_sql(M.MOVIES) + """SELECT rule, violations FROM (SELECT unnest(['id', 'title', 'year', 'imdb', 'tmdb', 'runtime', 'language', 'poster', 'genres', 'rating_pair', 'rating', 'rating_count', 'details_need_tmdb', 'tags']) AS rule,
+  unnest([count(*) FILTER (WHERE movie_id <= 0), 0, 0, 0, 0, 0, 0, count(*) FILTER (WHERE poster_path LIKE '//%' AND tmdb_id IS NOT NULL), 0, count(*) FILTER (WHERE movie_id % 14 = 1 AND average_rating IS NOT NULL), 0, 0, 0, count(*) FILTER (WHERE movie_id % 16 = 2 AND len(genres) > 0)]) AS violations FROM movies)""")
 def catalog_rules(spark, sf_dir):
-    broken = _catalog_rows(spark, sf_dir).withColumn("ratingCount", F.when(F.col("movieLensId") % 14 != 1, F.col("ratingCount")))
-    return RU.violations(broken, RU.catalog_rules())
+    """Ratings without their count, and tags that stand twice."""
+    k = F.col("movieLensId")
+    broken = _catalog_rows(spark, sf_dir).withColumns({
+        "ratingCount": F.when(k % 14 != 1, F.col("ratingCount")),
+        "relevantTags": F.when(k % 16 == 2, F.concat("relevantTags", "relevantTags")).otherwise(F.col("relevantTags"))})
+    return RU.violations(broken, [*RU.catalog_rules(), RU.tag_rules()])
 
 
 @query("J3_table_constraints", M.with_sql(M.MOVIES) + """SELECT rule, violations FROM (SELECT unnest(['id_not_null', 'imdb_not_null', 'title', 'year', 'runtime', 'language', 'genres', 'average_rating', 'rating_count', 'rating_pair', 'poster', 'cast']) AS rule,
@@ -338,17 +402,33 @@ def table_constraints(spark, sf_dir):
     return RU.violations(rows, RU.movie_table_rules())
 
 
+@query("J3_vector_pair_rules", """SELECT rule, violations FROM (SELECT unnest(['embedding_not_null', 'fingerprint', 'serbian_pair', 'fingerprint_sr']) AS rule,
+  unnest([0, count(*) FILTER (WHERE vec_id % 12 = 5), count(*) FILTER (WHERE vec_id % 12 = 7), 0]) AS violations FROM embeddings)""")
+def vector_pair_rules(spark, sf_dir):
+    """Pairs with a short fingerprint and pairs that lost their second vector."""
+    k = F.col("movie_id") % 12
+    pairs = R.pair_vectors(J.identified_vectors(spark, sf_dir)).withColumns({
+        "document_fingerprint": F.when(k == 5, F.substr("document_fingerprint", F.lit(2))).otherwise(F.col("document_fingerprint")),
+        "embedding_sr": F.when(k != 7, F.col("embedding_sr"))})
+    return RU.violations(pairs, RU.vector_pair_rules())
+
+
 @query("J4_expected_counts", "SELECT 'joined' AS name, count(DISTINCT l_partkey) AS actual, CAST(7 AS BIGINT) AS expected, count(DISTINCT l_partkey) = 7 AS ok FROM lineitem WHERE l_partkey % 10 <> 0")
 def expected_counts(spark, sf_dir):
     return RU.expected_counts(C.source_counts(J._scored(spark, sf_dir), J._metadata(spark, sf_dir)), {"joined": 7})
 
 
-@query("J5_file_pins")
+@query("J5_file_pins", """SELECT sha256(n_name || chr(10)) AS sha256, length(n_name) + 1 AS bytes, n_nationkey % 4 <> 1 AS ok FROM nation""")
 def file_pins(spark, sf_dir):
-    """Hashes of the driver files against pins, one of them wrong."""
-    hashes = R.file_hashes(spark, [f"{sf_dir}/{n}.parquet" for n in ("part", "orders", "lineitem")])
-    pins = hashes.select("name", F.when(F.col("name") == "part.parquet", F.md5("sha256")).when(F.col("name") == "orders.parquet", F.col("md5")).otherwise(F.col("sha256")).alias("pin"))
-    return R.check_pins(hashes, pins)
+    """A file for each nation against pins: a sha256, an md5 or a wrong one."""
+    nations = M.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value"))
+    hashes = R.file_hashes(spark, _documents(nations, "nations")).where("bytes > 0")
+    text = F.concat("value", F.lit("\n"))
+    k = F.col("n_nationkey") % 4
+    # Files are told apart by their content; a pin is given to the file with that content.
+    wanted = nations.select(F.sha2(text, 256).alias("sha256"), F.when(k == 1, F.md5("value")).when(k == 2, F.md5(text)).otherwise(F.sha2(text, 256)).alias("pin"))
+    pins = hashes.join(wanted, "sha256").select("name", "pin")
+    return R.check_pins(hashes, pins).join(hashes, "name").select("sha256", "bytes", "ok")
 
 
 @query("J6_vector_set", """SELECT doc_id AS movie_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'fingerprint' END AS problem FROM documents WHERE doc_id % 5 = 0 OR doc_id % 6 = 0""")
@@ -357,28 +437,37 @@ def vector_set(spark, sf_dir):
     return R.vector_set_problems(wanted, J._prior(spark, sf_dir), 16)
 
 
-@query("J7_conservation", "SELECT o_orderkey, 'o_custkey' AS differing FROM orders WHERE o_orderkey % 200 = 9")
+@query("J7_conservation", "SELECT o_orderkey, CASE WHEN o_orderkey % 200 = 9 THEN 'o_custkey' ELSE 'repeated' END AS differing FROM orders WHERE o_orderkey % 200 IN (9, 10)")
 def conservation(spark, sf_dir):
+    """Changed orders, and orders that came out twice."""
     o = M.table(spark, sf_dir, "orders")
     after = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 200 == 9, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
-    return R.conserved(o, after, "o_orderkey", ["o_custkey", "o_orderstatus"])
+    return R.conserved(o, after.unionByName(after.where("o_orderkey % 200 = 10")), "o_orderkey", ["o_custkey", "o_orderstatus"])
 
 
-@query("J8_fingerprint_chain", "SELECT o_orderkey, o_orderkey % 3 <> 1 AS chain_ok FROM orders")
+@query("J8_fingerprint_chain", "SELECT o_orderkey, o_orderkey % 3 <> 1 AND o_orderkey % 5 <> 2 AS chain_ok FROM orders")
 def fingerprint_chain(spark, sf_dir):
-    """Each order as a release row: version and two inputs; each third fingerprint is of another version."""
-    o = M.table(spark, sf_dir, "orders")
-    version = F.when(F.col("o_orderkey") % 3 == 1, F.lit("v0")).otherwise(F.lit("v1"))
-    rows = o.select("o_orderkey", F.lit("v1").alias("version"), "o_orderstatus", "o_orderpriority", R.chain_fingerprint(version, F.col("o_orderstatus"), F.col("o_orderpriority")).alias("fingerprint"))
+    """Each order as a release row: version and two inputs. Each third fingerprint is of another version; in each fifth
+    row an input moved to the place of the other, which is null."""
+    k = F.col("o_orderkey")
+    version = F.when(k % 3 == 1, F.lit("v0")).otherwise(F.lit("v1"))
+    moved = F.when(k % 5 == 2, F.lit(None)).otherwise(F.col("o_orderpriority"))
+    rows = M.table(spark, sf_dir, "orders").select(
+        k, F.lit("v1").alias("version"), F.when(k % 5 != 2, F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(k % 5 == 2, F.col("o_orderstatus")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+        R.chain_fingerprint(version, F.col("o_orderstatus"), moved).alias("fingerprint"))
     return R.verify_chain(rows, "version", ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "chain_ok")
 
 
-@query("J9_language_readiness", """SELECT 'en' AS language, count(*) AS vectors, count(*) AS valid, true AS ready FROM embeddings UNION ALL SELECT 'sr', count(*), count(*) FILTER (WHERE vec_id % 20 <> 0), false FROM embeddings""")
+@query("J9_language_readiness", """SELECT 'en' AS language, count(*) AS vectors, count(*) AS valid, true AS ready FROM embeddings UNION ALL SELECT 'sr', count(*), count(*) FILTER (WHERE vec_id % 20 <> 0), false FROM embeddings
+UNION ALL SELECT 'de', count(*), count(*), false FROM embeddings""")
 def language_readiness(spark, sf_dir):
-    """Serbian has cut vectors; English stays ready on its own."""
+    """Serbian has cut vectors, German one vector twice and another one not at all; English stays ready on its own."""
     cut = (F.col("movie_id") % 20 == 0) & (F.col("language") == "sr")
     vectors = M.vectors(spark, sf_dir).withColumn("vector", F.when(cut, F.slice("vector", 1, 63)).otherwise(F.col("vector")))
     movies = M.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("movie_id"))
+    german = vectors.where("language = 'en'").withColumn("movie_id", F.when(F.col("movie_id") == 3, F.lit(2)).otherwise(F.col("movie_id")).cast("bigint"))
+    vectors = vectors.unionByName(german.withColumn("language", F.lit("de")))
     states = vectors.groupBy("language").agg(F.count(F.lit(1)).alias("embedded_count"))
     return R.language_readiness(movies, vectors, states, 64).select("language", "vectors", "valid", "ready")
 
@@ -455,6 +544,59 @@ def resumable_embedding(spark, sf_dir):
     return kept.unionByName(fresh).select("movie_id", "text_sha256", is_valid_vector(F.col("vector"), 16, 1e-4).alias("valid"))
 
 
+@query("K1_answers", M.with_sql(M.MOVIES, M.VECTORS, M.CRITERIA, M.ASKING, M.CLEAN_VECTORS) + f""", judged AS (SELECT *, CASE WHEN year_min > year_max OR runtime_min > runtime_max OR coalesce(list_has_any(actors_all, actors_exclude), false)
+  OR coalesce(list_has_all(actors_exclude, actors_any), false) OR (semantic_query IS NOT NULL AND c_custkey % 15 <= 3) THEN 'invalid' WHEN semantic_query IS NULL THEN 'hard_only' ELSE 'hybrid' END AS way FROM asking),
+  near AS (SELECT q.query_id, m.movie_id, {K._DISTANCE} AS d, row_number() OVER (PARTITION BY q.query_id ORDER BY {K._DISTANCE}, m.movie_id) AS rank FROM judged q JOIN clean_vectors v ON v.language = q.language
+  JOIN movies m USING (movie_id) WHERE q.way = 'hybrid' AND {M.MATCH} QUALIFY rank <= 10),
+  hard AS (SELECT q.query_id, m.movie_id, row_number() OVER (PARTITION BY q.query_id ORDER BY m.rating_count DESC NULLS LAST, m.average_rating DESC NULLS LAST, m.movie_id) AS rank FROM judged q, movies m
+  WHERE q.way = 'hard_only' AND {M.ACTIVE} AND {M.MATCH} QUALIFY rank <= 10),
+  listed AS (SELECT query_id, 'hybrid' AS route, rank, movie_id, round(d, 6) + 0.0 AS distance FROM near UNION ALL SELECT query_id, 'hard_only', rank, movie_id, NULL FROM hard)
+SELECT * FROM listed UNION ALL SELECT query_id, CASE WHEN way = 'invalid' THEN 'invalid' ELSE 'no_results' END, 0, NULL, NULL FROM judged WHERE query_id NOT IN (SELECT query_id FROM listed)""")
+def stream_answers(spark, sf_dir):
+    """Full answers of the stream for requests and movies with unusable vectors among them."""
+    requests = M.unclean_asking(spark, sf_dir)
+    source, out, marks = new_dir(spark, "requests"), new_dir(spark, "answers"), new_dir(spark, "marks")
+    requests.write.parquet(source)
+    movies = M.movies(spark, sf_dir)
+    stream = spark.readStream.schema(requests.schema).parquet(source)
+    serving.serve(stream, movies, S.serving_table(movies, M.unclean_vectors(spark, sf_dir)), out, marks, 64).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "route", "rank", "movie_id", "distance")
+
+
+@query("K4_newest_version", "SELECT doc_id AS movie_id, sha256(text || CASE WHEN doc_id % 3 = 0 THEN ' new' ELSE '' END) AS text_sha256 FROM documents")
+def newest_version(spark, sf_dir):
+    """Two versions of each third text in one batch of the stream: the newer one is embedded."""
+    d = M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("movie_id"), F.lit("en").alias("language"), "text", F.lit(1).alias("version"))
+    newer = d.where("movie_id % 3 = 0").select("movie_id", "language", F.concat("text", F.lit(" new")).alias("text"), F.lit(2).alias("version"))
+    source, out, marks = new_dir(spark, "versions"), new_dir(spark, "store"), new_dir(spark, "marks")
+    newer.unionByName(d).write.parquet(source)
+    serving.serve_embeddings(spark.readStream.schema(d.schema).parquet(source), out, "p1", 16, marks).awaitTermination()
+    return spark.read.parquet(out).select("movie_id", "text_sha256")
+
+
+@query("U1_chunk_commits", "SELECT doc_id AS movie_id, true AS valid, true AS kept_by_first_run FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, true, false FROM documents WHERE doc_id % 2 = 1")
+def chunk_commits(spark, sf_dir):
+    """An encoder that fails at one chunk loses that chunk alone; the next run encodes only what is missing."""
+    from filmloom.functions.vectors import is_valid_vector
+    texts, path = J._texts(spark, sf_dir, False), new_dir(spark, "chunks")
+    parity = F.pmod(F.col("movie_id"), F.lit(2)).cast("int")
+    EM.embed_in_chunks(texts.where(parity == 0), path, "p1", 8, length_encoder, 2, chunk=parity)
+    try:
+        EM.embed_in_chunks(texts, path, "p1", 8, failing_encoder, 2, chunk=parity)
+        raise AssertionError("the failing encoder did not fail")
+    except Exception as e:
+        if "cannot encode" not in str(e):
+            raise
+    first = spark.read.parquet(path).select("movie_id", F.lit(True).alias("early"))
+    EM.embed_in_chunks(texts, path, "p1", 8, length_encoder, 2, chunk=parity)
+    rows = spark.read.parquet(path).join(first, "movie_id", "left")
+    return rows.select("movie_id", is_valid_vector(F.col("vector"), 8, 1e-4).alias("valid"), F.coalesce("early", F.lit(False)).alias("kept_by_first_run"))
+
+
+def failing_encoder(texts):
+    raise ValueError("cannot encode")
+
+
 def length_encoder(texts):
     """A stand-in encoder: unit vectors from text lengths."""
     import numpy as np

@@ -89,6 +89,11 @@ def parse_cast(raw: Column, composed: Column, overrides: dict[str, Column] | Non
     return F.aggregate(tokens, empty, _step(raw, **given))
 
 
+def first_occurrences(names: Column) -> Column:
+    """A list without repeats, each entry where it occurred first."""
+    return F.array_distinct(names)
+
+
 def with_cast(df: DataFrame, raw: str = "starringRaw", key: str = "movieLensId",
               overrides: DataFrame | None = None) -> DataFrame:
     """Adds `cast`, `cast_events` and `cast_error`.
@@ -109,7 +114,7 @@ def with_cast(df: DataFrame, raw: str = "starringRaw", key: str = "movieLensId",
     repeat_events = F.transform(repeats, lambda n: _event("exact-duplicate-suppression", n, n).cast(_EVENT))
     out = parsed.select(
         *[c for c in df.columns if not (overrides is not None and c[1:] in OVERRIDE_FIELDS)],
-        F.when(~bad, F.array_distinct(names)).alias("cast"),
+        F.when(~bad, first_occurrences(names)).alias("cast"),
         F.when(~bad, F.concat(F.col("_parsed.events"), repeat_events)).alias("cast_events"),
         F.col("_parsed.error").alias("cast_error"))
     return out

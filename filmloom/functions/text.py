@@ -131,8 +131,11 @@ def rating_threshold(value: Column, scale: Column) -> Column:
 
 
 def same_number(left: Column, right: Column) -> Column:
-    """Null-safe equality of two decimal texts, whatever their scale or exponent."""
-    return _number_key(left).eqNullSafe(_number_key(right))
+    """Equality of two decimal texts, whatever their scale or exponent. Two nulls are equal; a text that is no number
+    equals nothing, not even itself."""
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    fine = lambda c: c.isNull() | c.rlike(number)
+    return fine(left) & fine(right) & _number_key(left).eqNullSafe(_number_key(right))
 
 
 def _number_key(text: Column) -> Column:

@@ -59,17 +59,21 @@ def stand_in_vectors(rows: DataFrame, dimension: int) -> DataFrame:
 
 
 def encode(rows: DataFrame, encoder: Encoder, dimension: int, input_column: str = "input",
-           batch_size: int = 32, out: str = "vector") -> DataFrame:
-    """Run a user encoder over Arrow batches. Every text of a batch must get a vector of the right size."""
+           batch_size: int = 32, out: str = "vector", factory: Callable[[], Encoder] | None = None) -> DataFrame:
+    """Run a user encoder over Arrow batches. Every text of a batch must get a vector of the right size.
+
+    With a `factory` each task makes its encoder once, so a model is loaded by the workers and never sent to them.
+    """
     if not 1 <= batch_size <= MAX_BATCH:
         raise ValueError(f"batch size must be between 1 and {MAX_BATCH}")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` array<float>"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use = factory() if factory is not None else encoder
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start:start + batch_size]
-                vectors = np.asarray(encoder(part[input_column].tolist()), dtype=np.float32)
+                vectors = np.asarray(use(part[input_column].tolist()), dtype=np.float32)
                 if vectors.shape != (len(part), dimension):
                     raise ValueError(f"encoder returned shape {vectors.shape}, expected {(len(part), dimension)}")
                 yield part.assign(**{out: list(vectors)})
@@ -121,6 +125,31 @@ def embed_incrementally(prior: DataFrame, texts: DataFrame, profile: str, dimens
     return kept, fresh.select(*_IDENTITY, "vector")
 
 
+def embed_in_chunks(texts: DataFrame, path: str, profile: str, dimension: int, encoder: Encoder | None = None, chunks: int = 16,
+                    batch_size: int = 32, chunk: Column | None = None) -> None:
+    """Encode what `path` lacks, chunk by chunk; each chunk is committed by a write of its own.
+
+    A run that fails keeps the chunks it has committed. The next run reads them as prior vectors and encodes the rest.
+    """
+    spark = texts.sparkSession
+    place = chunk if chunk is not None else F.pmod(F.xxhash64("movie_id", "language"), F.lit(chunks)).cast("int")
+    ddl = "movie_id long, language string, fingerprint string, text_sha256 string, vector array<float>"
+    spark.createDataFrame([], ddl).write.mode("ignore").parquet(f"{path}/chunk=-1")
+    for k in range(chunks):
+        prior = spark.read.schema(f"{ddl}, chunk int").parquet(path).where(F.col("chunk") == k).drop("chunk")
+        _, fresh = embed_incrementally(prior, texts.where(place == k), profile, dimension, encoder, batch_size)
+        fresh.select("movie_id", "language", "fingerprint", "text_sha256", F.col("vector").cast("array<float>")).write.mode(
+            "append").parquet(f"{path}/chunk={k}")
+
+
+def refuse_truncated(audit: DataFrame) -> None:
+    """Refuse to publish vectors of texts that the encoder would cut."""
+    from filmloom.operators.rules import GateError
+    cut = audit.where("truncated > 0").collect()  # one row for each language
+    if cut:
+        raise GateError("texts are cut: " + ", ".join(f"{r[0]}={r['truncated']}" for r in cut))
+
+
 def token_audit(documents: DataFrame, tokens: Column | None = None, text: str = "text",
                 by: str = "language", limit: int = MAX_TOKENS) -> DataFrame:
     """(language, documents, truncated, longest). `tokens` is the plug-in count; the default is the estimate."""

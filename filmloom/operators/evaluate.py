@@ -13,13 +13,23 @@ RUN = ["query_id", "mode"]
 
 
 def judgments_from_json(files: DataFrame, text: str = "value") -> DataFrame:
-    """(query_id, movie_id, score, ok) of `{query: {movie: score}}`. Keys may repeat in no object."""
-    raw = files.withColumn("_v", F.try_parse_json(F.col(text)))
-    outer = F.from_json(F.col(text), "map<string,string>")
-    queries = raw.select(F.col("_v").isNotNull().alias("_unique"), F.explode(outer).alias("query_id", "_scores"))
-    rows = queries.select("query_id", "_unique", F.explode(F.from_json("_scores", "map<string,string>")).alias("_m", "_s"))
-    score = F.when(F.col("_s").rlike("^-?[0-9]+$"), F.expr("try_cast(_s AS INT)"))
-    movie = F.expr("try_cast(_m AS BIGINT)")
+    """(query_id, movie_id, score, ok) of `{query: {movie: score}}`. Keys may repeat in no object.
+
+    A query whose value is no object, and a document that is none, give one failing row. Scores are JSON numbers, and a
+    movie's key is its number as it is written, without leading zeros.
+    """
+    raw = files.select(text).withColumn("_v", F.try_parse_json(F.col(text)))
+    outer = F.coalesce(F.from_json(F.col(text), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    queries = raw.select("_v", F.explode_outer(outer).alias("query_id", "_scores"))
+    inner = F.when(F.col("_scores").rlike(r"^\s*\{"), F.from_json("_scores", "map<string,string>"))
+    rows = queries.withColumn("_w", F.try_parse_json("_scores")).select(
+        "query_id", F.col("_v").isNotNull().alias("_unique"), "_w", F.explode_outer(inner).alias("_m", "_s"))
+    plain = F.coalesce(F.col("_m").rlike("^(0|[1-9][0-9]*)$"), F.lit(False))
+    movie = F.when(plain, F.expr("try_cast(_m AS BIGINT)"))
+    kind = F.schema_of_variant(F.try_parse_json("_s"))
+    # Texts lose their quotes in a map of texts, so the kind is taken from the document of the query itself.
+    quoted = F.regexp_like(F.to_json("_w"), F.concat(F.lit('"'), F.coalesce("_m", F.lit("-")), F.lit('":"')))
+    score = F.when((kind == "BIGINT") & ~F.coalesce(quoted, F.lit(False)), F.expr("try_cast(_s AS INT)"))
     ok = F.col("_unique") & movie.isNotNull() & F.coalesce(score.between(0, 3), F.lit(False))
     return rows.select("query_id", movie.alias("movie_id"), score.alias("score"), ok.alias("ok"))
 
@@ -46,6 +56,16 @@ def case_rules() -> list[Rule]:
     ]
 
 
+def schema_rule() -> Rule:
+    """The document that a case stands in names the known schema."""
+    return Rule("schema", F.col("schemaVersion") == vocab.EVALUATION_SCHEMA)
+
+
+def repeated_cases(cases: DataFrame) -> DataFrame:
+    """(id, cases) of ids that stand for more than one case."""
+    return cases.groupBy("id").agg(F.count(F.lit(1)).alias("cases")).where("cases > 1")
+
+
 def flatten_cases(cases: DataFrame) -> DataFrame:
     """Nested retrievalQuery to filter columns."""
     h = "retrievalQuery.hardFilters"
@@ -139,26 +159,33 @@ def report(compliance_rows: DataFrame, relevance_rows: DataFrame) -> DataFrame:
     return compliance_rows.join(relevance_rows, RUN, "left")
 
 
-def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """The report as a table. For reading, so at most `limit` runs; the full report is the written table."""
+def markdown(rows: DataFrame) -> DataFrame:
+    """(value): the lines of the report as a table, all runs in order; `sinks.write_markdown` writes them from the executors."""
     columns = ["query_id", "mode", "results", "partial", "violations", "percent", "mean_relevance",
                "precision_at_10", "ndcg_at_10"]
-    cell = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|")
-    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    lines += ["| " + " | ".join(cell(r[c]) for c in columns) + " |"
-              for r in rows.select(*columns).orderBy("query_id", "mode").limit(limit).collect()]
-    return "\n".join(lines) + "\n"
+    kinds = dict(rows.dtypes)
+    cell = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c))) if kinds[c] == "double" else
+                                F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    first = rows.sparkSession.createDataFrame([(i, "", "", line) for i, line in enumerate(head)], "part int, query_id string, mode string, value string")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
+    body = rows.select(F.lit(2).alias("part"), F.col("query_id").cast("string").alias("query_id"), "mode", line.alias("value"))
+    return first.unionByName(body).orderBy("part", "query_id", "mode").select("value")
 
 
 def latency_percentiles(log: DataFrame, probabilities: list[float], group: str = "stage", value: str = "millis",
-                        width: float = 1.0) -> DataFrame:
+                        ranges: int = 100) -> DataFrame:
     """(group, p, value) by nearest rank, exact.
 
-    Values are counted first. Bucket totals tell which bucket holds each rank; only that bucket's distinct
-    values are then walked, so no task orders a whole group.
+    Values are counted first and dealt to ranges of about equal numbers of different values, whose bounds come from a
+    sketch of each group. Totals of the ranges tell which one holds each rank; only that range is then walked, so no
+    task orders a whole group, however its values lie.
     """
-    counts = log.groupBy(group, value).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "bucket", F.floor(F.col(value) / width))
+    counts = log.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = counts.groupBy(group).agg(F.percentile_approx(F.col(value).cast("double"), steps, F.lit(100 * ranges)).alias("_bounds"))
+    below = F.size(F.filter("_bounds", lambda b: b < F.col(value).cast("double"))).cast("long")
+    counts = counts.join(bounds, group).select(group, value, "n", below.alias("bucket"))
     buckets = counts.groupBy(group, "bucket").agg(F.sum("n").alias("bn"))
     w = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     all_rows = Window.partitionBy(group)

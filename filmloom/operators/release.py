@@ -25,9 +25,12 @@ def tree_digest(df: DataFrame, key: str, payload: Column | None = None, fan_out:
 
     A range holds at most `fan_out` entries, whatever the skew: rows of one id are first reduced to a
     commutative sum, so that even a repeated id stays one entry. Levels end when one range is left.
+    Ids below zero and null ids have no range of their own and are refused.
     """
     text = payload if payload is not None else F.col(key).cast("string")
-    hashed = df.select(F.col(key).alias("_k"), F.sha2(text, 256).alias("_h"))
+    bad = F.col(key).isNull() | (F.col(key) < 0)
+    key_ok = F.when(bad, F.raise_error(F.concat(F.lit("tree digest: bad id "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    hashed = df.select(F.coalesce(key_ok.cast("bigint"), F.col(key)).alias("_k"), F.sha2(text, 256).alias("_h"))
     entries = hashed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_low"), *_lane_sums("_h"))
     lanes = F.concat_ws(":", *_lanes())
     # A single row keeps its own hash; repeated ids get the hash of their combined lanes.
@@ -89,41 +92,62 @@ def vector_readiness(vectors: DataFrame, dimension: int, tolerance: float = 1e-4
     return vectors.groupBy("language").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(ok).alias("valid"))
 
 
+def _covered(movies: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(language, covered): how many movies have exactly one vector of a language; counts alone could hide a repeat."""
+    single = vectors.groupBy("language", "movie_id").count().where("count = 1")
+    return single.join(movies.select("movie_id").distinct(), "movie_id", "left_semi").groupBy("language").agg(
+        F.count(F.lit(1)).alias("covered"))
+
+
 def language_readiness(movies: DataFrame, vectors: DataFrame, states: DataFrame, dimension: int,
                        tolerance: float = 1e-4) -> DataFrame:
     """(language, movies, vectors, valid, state_count, ready). Each language stands for itself; none borrows."""
     counted = movies.agg(F.count(F.lit(1)).alias("movies")).first()["movies"]
-    found = vector_readiness(vectors, dimension, tolerance)
+    found = vector_readiness(vectors, dimension, tolerance).join(_covered(movies, vectors), "language", "left")
     listed = states.groupBy("language").agg(F.count(F.lit(1)).alias("state_rows"),
                                             F.max("embedded_count").alias("state_count"))
     joined = listed.join(found, "language", "full_outer").withColumn("movies", F.lit(counted).cast("bigint"))
     n = F.col("movies")
-    ready = ((F.col("state_rows") == 1) & (F.col("vectors") == n) & (F.col("valid") == n) & (F.col("state_count") == n))
+    ready = ((F.col("state_rows") == 1) & (F.col("vectors") == n) & (F.col("valid") == n) & (F.col("state_count") == n)
+             & (F.col("covered") == n))
     return joined.select("language", "movies", F.coalesce("vectors", F.lit(0)).alias("vectors"),
                          F.coalesce("valid", F.lit(0)).alias("valid"), "state_count",
                          F.coalesce(ready, F.lit(False)).alias("ready"))
 
 
 def compare_rows(stored: DataFrame, expected: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(key, differing) for rows that are missing, extra or unequal in any field."""
-    a = stored.select(key, *[F.col(f).alias(f"_a_{f}") for f in fields], F.lit(True).alias("_a"))
-    b = expected.select(key, *[F.col(f).alias(f"_b_{f}") for f in fields], F.lit(True).alias("_b"))
-    joined = a.join(b, key, "full_outer")
+    """(key, differing) for keys that are missing, extra, repeated on one side or unequal in any field.
+
+    Rows are counted by key and content first, so a repeated row is never hidden behind its equal.
+    """
+    a, b = _counted(stored, key, fields, "a"), _counted(expected, key, fields, "b")
+    joined = a.join(b, a["_ka"].eqNullSafe(b["_kb"]), "full_outer").withColumn(key, F.coalesce("_ka", "_kb"))
     unequal = F.array_compact(F.array(*[F.when(~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}")), F.lit(f))
                                         for f in fields]))
-    differing = (F.when(F.col("_b").isNull(), F.array(F.lit("extra"))).when(F.col("_a").isNull(), F.array(F.lit("missing")))
-                 .otherwise(unequal))
+    more = F.col("_rows_a") != F.col("_rows_b")
+    repeated = F.when(more | (F.greatest("_kinds_a", "_kinds_b") > 1), F.array(F.lit("repeated"))).otherwise(F.array().cast("array<string>"))
+    differing = (F.when(F.col("_rows_b").isNull(), F.array(F.lit("extra")))
+                 .when(F.col("_rows_a").isNull(), F.array(F.lit("missing"))).otherwise(F.concat(unequal, repeated)))
     return joined.select(key, differing.alias("differing")).where(F.size("differing") > 0)
 
 
+def _counted(rows: DataFrame, key: str, fields: Sequence[str], side: str) -> DataFrame:
+    """One row per key: its rows, its different contents and the fields of its least content."""
+    content = F.struct(*[F.col(f) for f in fields])
+    kinds = rows.select(F.col(key).alias(f"_k{side}"), content.alias("_c")).groupBy(f"_k{side}", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    one = kinds.groupBy(f"_k{side}").agg(F.sum("_n").alias(f"_rows_{side}"), F.count(F.lit(1)).alias(f"_kinds_{side}"), F.min("_c").alias("_c"))
+    return one.select(f"_k{side}", f"_rows_{side}", f"_kinds_{side}", *[F.col(f"_c.{f}").alias(f"_{side}_{f}") for f in fields])
+
+
 def conserved(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Rows of `before` whose fields did not survive a transformation; empty when all is kept."""
     return compare_rows(after, before, key, fields)
 
 
 def chain_fingerprint(version: Column, *inputs: Column) -> Column:
-    """Identity of an output: hash over its version and its input hashes."""
-    return F.sha2(F.concat_ws("|", version, *inputs), 256)
+    """Identity of an output: hash over its version and its input hashes, nulls and separators written out."""
+    parts = [c.cast("string").alias(f"p{i}") for i, c in enumerate((version, *inputs))]
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
 
 
 def verify_chain(release: DataFrame, version: str, inputs: Sequence[str], stored: str = "fingerprint") -> DataFrame:
@@ -146,15 +170,17 @@ def check_pins(hashes: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def vector_set_problems(expected: DataFrame, vectors: DataFrame, dimension: int, tolerance: float = 1e-4) -> DataFrame:
-    """(movie_id, problem): missing or extra ids, other fingerprint or text hash, bad vector.
+    """(movie_id, problem): missing, extra or repeated ids, other fingerprint or text hash, bad vector.
 
     `expected` holds movie_id, fingerprint and text_sha256.
     """
     a = expected.select("movie_id", F.col("fingerprint").alias("_fp"), F.col("text_sha256").alias("_sha"),
                         F.lit(True).alias("_e"))
-    b = vectors.select("movie_id", "fingerprint", "text_sha256", F.lit(True).alias("_v"),
-                       is_valid_vector(F.col("vector"), dimension, tolerance).alias("_ok"))
-    problem = (F.when(F.col("_v").isNull(), "missing").when(F.col("_e").isNull(), "extra")
+    b = vectors.select("movie_id", "fingerprint", "text_sha256",
+                       is_valid_vector(F.col("vector"), dimension, tolerance).alias("_ok")).groupBy("movie_id").agg(
+        F.count(F.lit(1)).alias("_v"), F.min("fingerprint").alias("fingerprint"), F.min("text_sha256").alias("text_sha256"),
+        F.min("_ok").alias("_ok"))
+    problem = (F.when(F.col("_v").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("_v") > 1, "repeated")
                .when(~F.col("fingerprint").eqNullSafe(F.col("_fp")), "fingerprint")
                .when(~F.col("text_sha256").eqNullSafe(F.col("_sha")), "text hash").when(~F.col("_ok"), "vector"))
     return a.join(b, "movie_id", "full_outer").select("movie_id", problem.alias("problem")).where(
@@ -162,32 +188,40 @@ def vector_set_problems(expected: DataFrame, vectors: DataFrame, dimension: int,
 
 
 def pair_vectors(vectors: DataFrame) -> DataFrame:
-    """One row per movie with both languages; movies that lack one are left out and counted by `unpaired`."""
+    """One row per pair of vectors of both languages; movies without exactly one pair are reported by `unpaired`."""
     side = lambda language, suffix: vectors.where(F.col("language") == language).select(
         "movie_id", F.col("vector").alias(f"embedding{suffix}"), F.col("fingerprint").alias(f"document_fingerprint{suffix}"))
     return side("en", "").join(side("sr", "_sr"), "movie_id")
 
 
 def unpaired(movies: DataFrame, paired: DataFrame) -> DataFrame:
-    """Movies without a pair and pairs without a movie."""
-    ids = paired.select("movie_id")
+    """Movies without a pair, pairs without a movie, and movies with several pairs."""
+    ids = paired.select("movie_id").distinct()
+    several = paired.groupBy("movie_id").count().where("count > 1").select("movie_id", F.lit("repeated").alias("problem"))
     return (movies.select("movie_id").join(ids, "movie_id", "left_anti").withColumn("problem", F.lit("no pair"))
             .unionByName(ids.join(movies.select("movie_id"), "movie_id", "left_anti")
-                         .withColumn("problem", F.lit("no movie"))))
+                         .withColumn("problem", F.lit("no movie"))).unionByName(several))
 
 
 def paired_release(vectors: DataFrame, languages: Sequence[str] = ("en", "sr")) -> DataFrame:
-    """One row binding all language sets: counts and digests per language, complete only when counts agree."""
-    digests = bag_digest(vectors, ["movie_id", "fingerprint", "text_sha256"], by=["language"])
+    """One row binding all language sets: counts, digests of ids and of contents; complete only when all id sets agree.
+
+    A repeated id changes the digest of its set, so equal counts of other ids are not taken for a pair.
+    """
+    digests = bag_digest(vectors, ["movie_id", "fingerprint", "text_sha256"], by=["language"]).join(
+        bag_digest(vectors, ["movie_id"], by=["language"]).select("language", F.col("digest").alias("ids")).join(
+            vectors.groupBy("language", "movie_id").count().groupBy("language").agg(F.max("count").alias("most")), "language"), "language")
     parts = [digests.where(F.col("language") == lang).agg(
-        F.max("rows").alias(f"{lang}_rows"), F.max("digest").alias(f"{lang}_digest")) for lang in languages]
+        F.max("rows").alias(f"{lang}_rows"), F.max("digest").alias(f"{lang}_digest"), F.max("ids").alias(f"_{lang}_ids"),
+        F.max("most").alias(f"_{lang}_most")) for lang in languages]
     row = one_row(*parts)
-    first = F.col(f"{languages[0]}_rows")
+    first = F.col(f"_{languages[0]}_ids")
     complete = F.lit(True)
     for lang in languages:
-        complete = complete & F.coalesce(F.col(f"{lang}_rows") == first, F.lit(False))
+        complete = complete & F.coalesce((F.col(f"_{lang}_ids") == first) & (F.col(f"_{lang}_most") == 1), F.lit(False))
+    held = [x for lang in languages for x in (f"_{lang}_ids", f"_{lang}_most")]
     return row.withColumn("complete", complete).withColumn(
-        "pair_fingerprint", chain_fingerprint(F.lit("paired-release-v1"), *[F.col(f"{x}_digest") for x in languages]))
+        "pair_fingerprint", chain_fingerprint(F.lit("paired-release-v2"), *[F.col(f"{x}_digest") for x in languages])).drop(*held)
 
 
 def cast_readiness(movies: DataFrame) -> DataFrame:

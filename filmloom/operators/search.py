@@ -1,4 +1,6 @@
-"""Filter first, then rank exactly: one query with Catalyst, many queries with a block kernel."""
+"""Filter first, then rank exactly: one query with Catalyst, many queries with a block kernel.
+
+Vectors and query vectors that cannot be compared never reach a kernel, in whatever table they come."""
 
 from __future__ import annotations
 
@@ -14,7 +16,8 @@ from filmloom import vocab
 from filmloom.functions.text import is_blank
 from filmloom.functions.vectors import cosine_distance, is_valid_vector, l2_norm
 from filmloom.operators.filters import ARRAY_FIELDS, FIELDS, filter_movies, has_active_filter
-from filmloom.operators.rules import Rule
+from filmloom.operators.release import language_readiness
+from filmloom.operators.rules import GateError, Rule
 
 LIMIT = vocab.RESULT_LIMIT
 # Summation order differs between kernels; equal vectors must still tie, so distances are rounded before ranking.
@@ -44,7 +47,8 @@ def search_hybrid(movies: DataFrame, vectors: DataFrame, criteria: Mapping[str,
     many vectors stay eligible, also for a one-row table of queries.
     """
     checked = check_query_vector(query_vector)
-    chosen = vectors if language is None else vectors.where(F.col("language") == language)
+    chosen = vectors.where(is_valid_vector(F.col("vector"), int(checked.size)))
+    chosen = chosen if language is None else chosen.where(F.col("language") == language)
     norm = F.col("norm") if "norm" in vectors.columns else l2_norm(F.col("vector"))
     q = F.array(*[F.lit(float(x)) for x in checked])
     eligible = filter_movies(movies, criteria)
@@ -70,14 +74,35 @@ def query_vector_rules(dimension: int, column: str = "query_vector") -> list[Rul
 def serving_table(movies: DataFrame, vectors: DataFrame) -> DataFrame:
     """Filter columns beside the vector and its norm, one row per movie and language.
 
-    Built once per release and written with partitionBy('language'): searches then read it without any join.
+    Built once per release and written with partitionBy('language'): searches then read it without any join. Vectors
+    that are null, zero or not finite, or hold null elements, are left out; `unusable_vectors` reports them.
     """
     wanted = ["movie_id", "year", "runtime_minutes", "genres", "average_rating", "rating_count",
               "original_language", "cast"]
-    long = vectors.select("movie_id", "language", "vector", l2_norm(F.col("vector")).alias("norm"))
+    long = vectors.where(usable_vector(F.col("vector"))).select(
+        "movie_id", "language", "vector", l2_norm(F.col("vector")).alias("norm"))
     return movies.select(*wanted).join(long, "movie_id")
 
 
+def usable_vector(v: Column) -> Column:
+    """Whether a vector of its own length can be compared: no null, finite, not zero."""
+    return is_valid_vector(v, F.size(v))
+
+
+def unusable_vectors(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
+    """(movie_id, language) of vectors that no search can use."""
+    good = usable_vector(F.col("vector")) if dimension is None else is_valid_vector(F.col("vector"), dimension)
+    return vectors.where(~good).select("movie_id", "language")
+
+
+def ready_for_search(movies: DataFrame, vectors: DataFrame, states: DataFrame, dimension: int) -> DataFrame:
+    """Refuse to search a release in which any listed language lacks a vector, holds a bad one, or has a wrong state."""
+    bad = language_readiness(movies, vectors, states, dimension).where(~F.col("ready")).select("language").collect()
+    if bad:
+        raise GateError("languages not ready: " + ", ".join(sorted(str(r["language"]) for r in bad)))
+    return serving_table(movies, vectors)
+
+
 # --- many queries ---------------------------------------------------------------------------------------
 
 _TOP_SCHEMA = "query_id string, movie_id long, k1 double, k2 long, k3 long"
@@ -91,6 +116,13 @@ def _fixed_point(column: str) -> Column:
     return (F.col(column).cast("decimal(16,12)") * F.lit(_SCALE)).cast("long")
 
 
+def _least_units() -> Column:
+    """The least rating in whole units that passes: at least the bound rounded up, or above it rounded down."""
+    units = F.col("rating_min").cast("decimal(20,18)").cast("decimal(38,18)") * F.lit(_SCALE).cast("decimal(13,0)")
+    above = F.floor(units).cast("long") + 1
+    return F.when(F.col("rating_operator") == "gt", above).otherwise(F.ceil(units).cast("long"))
+
+
 def _movie_side(table: DataFrame, with_vector: bool) -> DataFrame:
     columns = [F.col("movie_id").cast("long"), F.col("year").cast("double"),
                F.col("runtime_minutes").cast("double").alias("runtime"), "genres", "cast",
@@ -105,8 +137,7 @@ def _movie_side(table: DataFrame, with_vector: bool) -> DataFrame:
 def _query_side(queries: DataFrame, with_vector: bool) -> DataFrame:
     columns = [F.col("query_id").cast("string"), *[F.col(f).cast("double") for f in
                                                    ("year_min", "year_max", "runtime_min", "runtime_max")],
-               *ARRAY_FIELDS, _fixed_point("rating_min").alias("rating_min"),
-               (F.col("rating_operator") == "gt").alias("strict"), "original_language"]
+               *ARRAY_FIELDS, _least_units().alias("rating_min"), "original_language"]
     if with_vector:
         columns += ["language", F.col("query_vector").cast("array<double>").alias("query_vector")]
     return queries.select(*columns)
@@ -123,7 +154,6 @@ class _Block:
         self.bounds = {f: number(f) for _, f, _ in _BOUNDS}
         self.rating_on = np.array([r["rating_min"] is not None for r in rows], dtype=bool)
         self.rating_min = np.array([r["rating_min"] or 0 for r in rows], dtype=np.int64)
-        self.strict = np.array([bool(r["strict"]) for r in rows], dtype=bool)
         wanted_codes = sorted({r["original_language"] for r in rows if r["original_language"] is not None})
         place = {c: i for i, c in enumerate(wanted_codes)}
         self.code_labels = pa.array(wanted_codes, pa.string())
@@ -135,8 +165,6 @@ class _Block:
             self.labels[array] = pa.array(used, pa.string())
             self.lists[array] = [self._group(rows, f, index) for f in fields]
         if with_vector:
-            self.languages = pa.array(sorted({r["language"] for r in rows}), pa.string())
-            self.language = pc.index_in(pa.array([r["language"] for r in rows], pa.string()), value_set=self.languages).to_numpy()
             matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64)
             self.matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
@@ -163,7 +191,7 @@ class _Block:
         on = np.flatnonzero(self.rating_on[queries])
         if on.size:
             rating, known = _longs(batch, "rating")
-            low = (self.rating_min + self.strict)[queries[on]]
+            low = self.rating_min[queries[on]]
             mask[on] &= known[None, :] & (rating[None, :] >= low[:, None])
         mine = self.codes[queries]
         on = np.flatnonzero(mine >= 0)
@@ -188,14 +216,16 @@ class _Block:
                 mine = wanted[place[queries[on]]]
                 mask[on] &= known[None, :] & passes(mine @ held.T, mine.sum(axis=1)[:, None])
 
-    def near(self, batch: pa.Table) -> tuple[np.ndarray, ...]:
+    def near(self, batch: pa.Table, known: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """(movie row, query, distance) candidates: at least the nearest `limit` per query, all ties kept."""
         everything = np.arange(len(self.ids))
         mask = self.passes(batch, everything)
-        mask &= _index_in(batch, "language", self.languages)[None, :] == self.language[:, None]
         scores = 1.0 - (self.matrix @ _matrix(batch.column("vector")).T) / _doubles(batch, "norm")[None, :]
         scores = np.round(scores, DISTANCE_DIGITS)
+        mask &= np.isfinite(scores)
         scores[~mask] = np.inf
+        if known is not None:  # lists that are full take nothing beyond their last distance
+            mask &= scores <= known[:, None]
         if mask.shape[1] > self.limit:
             worst = np.partition(scores, self.limit - 1, axis=1)[:, self.limit - 1]
             mask &= scores <= worst[:, None]
@@ -261,6 +291,17 @@ class _Best:
         keep = order[(np.arange(order.size) - first) < self.limit]
         self.state = tuple(p[keep] for p in merged)
 
+    def last(self, queries: int) -> np.ndarray:
+        """The last first key of each full list, infinity for the others."""
+        out = np.full(queries, np.inf)
+        if self.state is not None:
+            cols, k1 = self.state[:2]
+            worst = np.full(queries, -np.inf)
+            np.maximum.at(worst, cols, k1)
+            full = np.bincount(cols, minlength=queries) >= self.limit
+            out[full] = worst[full]
+        return out
+
     def to_batch(self, query_ids: np.ndarray) -> pa.RecordBatch | None:
         if self.state is None or not self.state[0].size:
             return None
@@ -282,7 +323,7 @@ def _scan(block: _Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             step = max(256, _CELLS // max(1, len(block.ids)))
             for start in range(0, table.num_rows, step):
                 part = table.slice(start, step)
-                rows, cols, distance = block.near(part)
+                rows, cols, distance = block.near(part, best.last(len(block.ids)))
                 zero = np.zeros(rows.size, dtype=np.int64)
                 best.add(part.column("movie_id").to_numpy()[rows], cols, distance, zero, zero)
         else:
@@ -310,32 +351,39 @@ def _scan_ordered(block: _Block, table: pa.Table, best: _Best) -> None:
         start, step = start + step, step * 2
 
 
-def _rank_block(table: DataFrame, queries: DataFrame, limit: int, with_vector: bool, max_block: int,
-                movies_per_block: int) -> DataFrame:
-    """Local top lists: broadcast kernel for a bounded set of queries, a grid of blocks beyond."""
+def _rank_block(table: DataFrame, queries: DataFrame, limit: int, with_vector: bool, max_block: int) -> DataFrame:
+    """Local top lists. Queries go in blocks of bounded size, each sent once to the movies, which never move.
+
+    With vectors a block holds one language and one length of vector, so a pass reads that language alone and every
+    cell of its matrix product counts.
+    """
     movie_side, query_side = _movie_side(table, with_vector), _query_side(queries, with_vector)
-    head = query_side.limit(max_block + 1).toArrow()
-    if head.num_rows == 0:
-        return table.sparkSession.createDataFrame([], _TOP_SCHEMA)
-    if head.num_rows <= max_block:
-        shared = table.sparkSession.sparkContext.broadcast(_Block(head, limit, with_vector))
-        return movie_side.mapInArrow(lambda batches: _scan(shared.value, batches), _TOP_SCHEMA)
-    query_blocks = -(-queries.count() // max_block)
-    movie_blocks = max(1, -(-table.count() // movies_per_block))
-    left = movie_side.withColumn("mb", F.pmod(F.xxhash64("movie_id"), F.lit(movie_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = query_side.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn(
-        "mb", F.explode(F.sequence(F.lit(0), F.lit(movie_blocks - 1))))
-
-    def grid_cell(movies: pa.Table, cell_queries: pa.Table) -> pa.Table:
-        empty = pa.schema([("query_id", pa.string()), ("movie_id", pa.int64()), ("k1", pa.float64()),
-                           ("k2", pa.int64()), ("k3", pa.int64())]).empty_table()
-        if movies.num_rows == 0 or cell_queries.num_rows == 0:
-            return empty
-        found = list(_scan(_Block(cell_queries, limit, with_vector), iter(movies.combine_chunks().to_batches())))
-        return pa.Table.from_batches(found) if found else empty
-
-    return (left.groupBy("qb", "mb").cogroup(right.groupBy("qb", "mb")).applyInArrow(grid_cell, _TOP_SCHEMA))
+    kind = [F.col("language"), F.size("query_vector").alias("d")] if with_vector else [F.lit(None).alias("language"), F.lit(0).alias("d")]
+    counts = query_side.groupBy(*kind).count().orderBy("language", "d").collect()
+    context, found = table.sparkSession.sparkContext, None
+    for row in counts:
+        asked, movies = query_side, movie_side
+        if with_vector:
+            asked = asked.where((F.col("language") == row["language"]) & (F.size("query_vector") == row["d"]))
+            movies = movies.where((F.col("language") == row["language"]) & (F.size("vector") == row["d"]))
+        # Wide query vectors make smaller blocks: a block is bounded in bytes, not in rows alone.
+        most = max(1, min(max_block, _BLOCK_BYTES // (8 * (row["d"] + 64))))
+        parts = -(-row["count"] // most)
+        cell = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        for part in range(parts):
+            head = asked.where(cell == part).toArrow() if parts > 1 else asked.toArrow()
+            if head.num_rows:
+                shared = context.broadcast(_Block(head, limit, with_vector))
+                top = movies.mapInArrow(_scanner(shared), _TOP_SCHEMA)
+                found = top if found is None else found.unionByName(top)
+    return found if found is not None else table.sparkSession.createDataFrame([], _TOP_SCHEMA)
+
+
+_BLOCK_BYTES = 64 << 20
+
+
+def _scanner(shared):
+    return lambda batches: _scan(shared.value, batches)
 
 
 def top_per_query(candidates: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -344,23 +392,27 @@ def top_per_query(candidates: DataFrame, limit: int = LIMIT) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def batch_hybrid(serving: DataFrame, queries: DataFrame, limit: int = LIMIT, max_block: int = 4096,
-                 movies_per_block: int = 65536) -> DataFrame:
+def can_ask(dimension: int | None = None) -> Column:
+    """Whether a query row has a language and a vector that can be compared; of a given length, if one is given."""
+    v = F.col("query_vector")
+    good = usable_vector(v) if dimension is None else is_valid_vector(v, dimension)
+    return F.coalesce(F.col("language").isNotNull() & good, F.lit(False))
+
+
+def batch_hybrid(serving: DataFrame, queries: DataFrame, limit: int = LIMIT, max_block: int = 4096) -> DataFrame:
     """(query_id, rank, movie_id, distance) for a table of queries with a language and a query_vector.
 
     No pair of query and movie is ever a row: a task holds one block of queries and keeps ten per query.
-    Queries without a usable vector get nothing; `query_vector_rules` names them.
+    Queries without a usable vector get nothing; `query_vector_rules` names them. A vector meets those of its own length.
     """
-    usable = queries.where(F.col("language").isNotNull() & (l2_norm(F.col("query_vector")) > 0))
-    found = _rank_block(serving, usable, limit, True, max_block, movies_per_block)
+    found = _rank_block(serving.where(usable_vector(F.col("vector"))), queries.where(can_ask()), limit, True, max_block)
     return top_per_query(found, limit).select("query_id", "rank", "movie_id", F.col("k1").alias("distance"))
 
 
-def batch_hard_only(movies: DataFrame, queries: DataFrame, limit: int = LIMIT, max_block: int = 4096,
-                    movies_per_block: int = 65536) -> DataFrame:
+def batch_hard_only(movies: DataFrame, queries: DataFrame, limit: int = LIMIT, max_block: int = 4096) -> DataFrame:
     """(query_id, rank, movie_id) by rating count, average and id. Queries without a filter get nothing."""
     active = queries.where(has_active_filter())
-    found = _rank_block(movies, active, limit, False, max_block, movies_per_block)
+    found = _rank_block(movies, active, limit, False, max_block)
     return top_per_query(found, limit).select("query_id", "rank", "movie_id")
 
 

@@ -23,7 +23,7 @@ def _csv(spark: SparkSession, path, schema: str) -> DataFrame:
 
 def blank_lines(spark: SparkSession, path) -> DataFrame:
     """Blank data lines, which the CSV reader would skip silently."""
-    return spark.read.text(path).where(F.length("value") == 0)
+    return spark.read.text(path).where(F.length(F.trim("value")) == 0)
 
 
 def _whole(column: str) -> Column:
@@ -35,13 +35,18 @@ def _safe_id(column: Column) -> Column:
 
 
 def read_tag_scores(spark: SparkSession, path) -> DataFrame:
-    """(tag, item_id, score, failed_rules) of `tag,item_id,score`."""
+    """(tag, item_id, score, failed_rules) of `tag,item_id,score`. A blank data line is a row that fails `blank`."""
     raw = _csv(spark, path, schemas.TAG_SCORES_RAW)
     item = _whole("item_id")
     score = F.expr("try_cast(trim(score) AS DOUBLE)")
     rules = [Rule("fields", F.col(CORRUPT).isNull()), Rule("tag", F.length("tag") > 0),
              Rule("item_id", _safe_id(item)), Rule("score", is_finite(score))]
-    return raw.select("tag", item.alias("item_id"), score.alias("score"), failed_rules(rules).alias("failed_rules"))
+    rows = raw.select("tag", item.alias("item_id"), score.alias("score"), failed_rules(rules).alias("failed_rules"))
+    # Lines of one field that hold nothing or spaces come back from the text reader; the other reader skips them.
+    blanks = blank_lines(spark, path).select(
+        F.lit(None).cast("string").alias("tag"), F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("double").alias("score"),
+        F.array(F.lit("blank")).alias("failed_rules"))
+    return rows.where(~(F.col("tag").isNotNull() & (F.trim("tag") == "") & item.isNull() & F.col("score").isNull())).unionByName(blanks)
 
 
 def read_links(spark: SparkSession, path) -> DataFrame:
@@ -69,10 +74,12 @@ def read_ratings(spark: SparkSession, path, rating_type: str = "DECIMAL(10,3)")
     """(userId, movieId, rating, timestamp, failed_rules); every row is checked, selected or not."""
     raw = _csv(spark, path, schemas.RATINGS_RAW)
     user, movie, at = _whole("userId"), _whole("movieId"), _whole("timestamp")
-    rating = F.when(F.col("rating").rlike(r"^[0-9]*\.?[0-9]*$") & (F.col("rating") != ""),
-                    F.expr(f"try_cast(rating AS {rating_type})"))
+    wide = F.when(F.col("rating").rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.expr("try_cast(rating AS DECIMAL(38,18))"))
+    rating = F.when(wide.between(0, 5), wide.cast(rating_type))
+    # A rating with more decimals than the type keeps is refused, not rounded into the range.
+    exact = wide.between(0, 5) & (rating.cast("DECIMAL(38,18)") == wide) & (F.length(F.regexp_extract("rating", r"\.([0-9]*)", 1)) <= 18)
     rules = [Rule("fields", F.col(CORRUPT).isNull()), Rule("userId", user > 0), Rule("movieId", movie > 0),
-             Rule("rating", rating.between(0, 5)), Rule("timestamp", at >= 0)]
+             Rule("rating", exact), Rule("timestamp", at >= 0)]
     return raw.select(user.alias("userId"), movie.alias("movieId"), rating.alias("rating"), at.alias("timestamp"),
                       failed_rules(rules).alias("failed_rules"))
 
@@ -109,11 +116,34 @@ def read_metadata(spark: SparkSession, path) -> DataFrame:
 
 def _ordered_objects(texts: DataFrame, schema: str, text: str = "value") -> DataFrame:
     """Columns of the schema plus `shape_ok`: exactly its fields, in its order, none twice at any depth."""
-    fields = F.array(*[F.lit(f.name) for f in T.StructType.fromDDL(schema).fields])
-    ok = F.coalesce((F.json_object_keys(text) == fields) & F.try_parse_json(text).isNotNull(), F.lit(False))
+    declared = T.StructType.fromDDL(schema).fields
+    fields = F.array(*[F.lit(f.name) for f in declared])
     others = [c for c in texts.columns if c != text]
-    return texts.select(*others, F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"}).alias("_r"),
-                        ok.alias("shape_ok")).select(*others, "_r.*", "shape_ok")
+    parsed = texts.withColumn("_v", F.try_parse_json(text)).withColumn(
+        "_r", F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"}))
+    ok = (F.json_object_keys(text) == fields) & F.col("_v").isNotNull()
+    for f in declared:
+        ok = ok & _typed(F.col("_v"), f"$.{f.name}", f.dataType, F.col(f"_r.{f.name}"))
+    return parsed.select(*others, "_r", F.coalesce(ok, F.lit(False)).alias("shape_ok")).select(
+        *others, "_r.*", "shape_ok")
+
+
+def _typed(document: Column, path: str, kind: T.DataType, value: Column) -> Column:
+    """Whether the JSON value at a path is null or of the declared type; a wrong type must not become a null."""
+    found = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    absent = F.coalesce(found == "VOID", F.lit(True))
+    if isinstance(kind, T.StringType):
+        # Nested documents are kept as text on purpose.
+        return absent | found.startswith("STRING") | found.startswith("OBJECT") | found.startswith("ARRAY")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return absent | ((found == "BIGINT") & value.isNotNull())
+    if isinstance(kind, T.BooleanType):
+        return absent | (found == "BOOLEAN")
+    if isinstance(kind, (T.DecimalType, T.FloatType, T.DoubleType)):
+        return absent | (found.rlike(_NUMBER) & value.isNotNull())
+    if isinstance(kind, T.ArrayType):
+        return absent | (found.startswith("ARRAY") & value.isNotNull())
+    return absent | (found.startswith("OBJECT") & value.isNotNull())
 
 
 def read_catalog(spark: SparkSession, path, fields: Sequence[str]) -> DataFrame:
@@ -143,14 +173,18 @@ def ascending_problems(rows: DataFrame, key: str = "movieLensId") -> DataFrame:
 def read_tolerant(spark: SparkSession, path, schema: str, shape: str) -> DataFrame:
     """One JSON array ('array'), indented objects one after another ('sequence') or 'jsonl'.
 
-    Indented objects end with a brace in the first column, which serves as the record separator, so the
-    file is still read in splits.
+    Objects of a sequence may stand anywhere, several on a line or one over many. A sequence is cut at every line that
+    begins with a brace or ends one, so a file is read in splits, and each piece is then taken apart into its objects.
     """
     if shape == "jsonl":
         return _ordered_objects(spark.read.text(path), schema)
     if shape == "sequence":
-        chunks = spark.read.option("lineSep", "\n}").text(path).where(~is_blank(F.col("value")))
-        return _ordered_objects(chunks.select(F.concat("value", F.lit("\n}")).alias("value")), schema)
+        chunks = spark.read.option("lineSep", "\n}").text(path)
+        # The separator takes the closing brace of an indented object with it; what lacks one gets it back.
+        texts = chunks.select(F.explode(F.split(F.concat(F.regexp_replace("value", r"\}\s*\{", "}\u0001{"), F.lit("\n}")), "\u0001")).alias("value"))
+        whole = F.when(F.try_parse_json("value").isNull() & F.try_parse_json(F.regexp_replace("value", r"\s*\}$", "")).isNotNull(),
+                       F.regexp_replace("value", r"\s*\}$", "")).otherwise(F.col("value"))
+        return _ordered_objects(texts.select(whole.alias("value")).where(~F.col("value").rlike(r"^\s*\}?\s*$")), schema)
     if shape == "array":
         whole = spark.read.text(path, wholetext=True)
         items = F.from_json(F.col("value"), "array<string>")
@@ -277,6 +311,12 @@ def read_review(spark: SparkSession, path, full: bool = False) -> DataFrame:
     return rows.withColumn("shape_ok", F.col("shape_ok") & F.col("document_ok")).drop("document_ok")
 
 
+def review_identity(decisions: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """Adds made_for_other: the names of the hashes for which a decision's document was not made."""
+    wrong = F.array_compact(F.array(*[F.when(~F.col(n).eqNullSafe(F.lit(v)), F.lit(n)) for n, v in expected.items()]))
+    return decisions.withColumn("made_for_other", wrong)
+
+
 def read_tags(spark: SparkSession, path) -> DataFrame:
     """(tag, blank, repeated) of a JSON string array."""
     whole = spark.read.text(path, wholetext=True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filmloom.operators.catalog import coverage
+from filmloom.operators.evaluate import markdown
 from filmloom.operators.release import bag_digest, chain_fingerprint, load_decision, pair_vectors, unpaired
 from filmloom.operators.rules import GateError, one_row
 
@@ -41,24 +43,57 @@ def manifest(df: DataFrame, key: str, versions: dict[str, str], inputs: dict[str
     return row.withColumn("fingerprint", chain_fingerprint(*identity))
 
 
+def exclusion_list(excluded: DataFrame, key: str, reason: str = "reason") -> DataFrame:
+    """(key, reason) of what a release leaves out, in order; a table beside the manifest's count."""
+    why = F.col(reason) if reason in excluded.columns else F.lit("excluded")
+    return excluded.select(key, why.cast("string").alias("reason")).orderBy(key)
+
+
+def full_manifest(df: DataFrame, key: str, versions: dict[str, str], inputs: dict[str, str], columns: Sequence[str],
+                  excluded: DataFrame | None = None) -> DataFrame:
+    """The manifest with, for each named column, how many records have it and how many lack it."""
+    present = [F.count(c).alias(f"{c}_present") for c in columns]
+    row = one_row(manifest(df, key, versions, inputs, excluded), df.agg(*present))
+    return row.withColumns({f"{c}_absent": F.col("records") - F.col(f"{c}_present") for c in columns})
+
+
 def manifest_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return coverage(df, columns)
 
 
 def publish_once(df: DataFrame, path: str, check: Check | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write to a new folder, read it back and check it. An existing target is refused and left as it is.
+    """Write to a staging folder, check what was written, then move it to its place by one rename.
 
-    `check` returns a (rule, violations) report. Readers do not look at the folder until a release row
-    names it, so a folder that fails its check is never seen.
+    An existing target is refused and left as it is. `check` returns a (rule, violations) report; if it fails, or
+    anything else does, the staging folder goes, the target does not appear, and a later call may try again.
     """
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
-    if check is not None:
-        bad = check(back).where(F.col("violations") > 0).limit(20).collect()
-        if bad:
-            raise GateError(", ".join(f"{r['rule']}={r['violations']}" for r in bad))
-    return back
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(f"{path} exists already")
+    staging = jvm.org.apache.hadoop.fs.Path(f"{path}.staging-{uuid.uuid4().hex}")
+    try:
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staging.toString())
+        if check is not None:
+            _refuse(check(spark.read.schema(df.schema).parquet(staging.toString()).select(*df.columns)))
+        files.mkdirs(target.getParent())
+        if files.exists(target) or not files.rename(staging, target):
+            raise FileExistsError(f"{path} exists already")
+    finally:
+        if files.exists(staging):
+            files.delete(staging, True)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _refuse(report: DataFrame) -> None:
+    """Raise if any rule is broken; the message shows some and says how many there are."""
+    bad = report.where(F.col("violations") > 0)
+    some = bad.limit(20).collect()
+    if some:
+        raise GateError(f"{bad.count()} rules broken, among them " + ", ".join(f"{r['rule']}={r['violations']}" for r in some))
 
 
 _RELEASES = "name string, version bigint, path string, records bigint, digest string, fingerprint string"
@@ -103,9 +138,10 @@ def write_vectors(vectors: DataFrame, path: str) -> DataFrame:
 def replace_vectors(movies: DataFrame, vectors: DataFrame, root: str, version: int, fingerprint: str) -> str:
     """Publish a full paired set: every movie with both languages, or nothing at all."""
     paired = pair_vectors(vectors)
-    problems = unpaired(movies, paired).limit(20).collect()
-    if problems:
-        raise GateError(", ".join(f"{r['movie_id']}: {r['problem']}" for r in problems))
+    problems = unpaired(movies, paired)
+    some = problems.limit(20).collect()
+    if some:
+        raise GateError(f"{problems.count()} problems, among them " + ", ".join(f"{r['movie_id']}: {r['problem']}" for r in some))
     return publish_release(paired, root, "movie_embeddings", version, fingerprint)
 
 
@@ -120,5 +156,10 @@ def load_idempotent(target: DataFrame, source: DataFrame, path: str) -> str:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """The evaluation report as JSON lines; `evaluate.markdown` gives the readable table."""
+    """The evaluation report as JSON lines; `write_markdown` gives the readable table."""
     rows.write.mode("errorifexists").json(path)
+
+
+def write_markdown(rows: DataFrame, path: str) -> None:
+    """The readable table as text, in order over the part files; every run is in it."""
+    markdown(rows).write.mode("errorifexists").text(path)

@@ -6,26 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from filmloom.operators.filters import criteria_rules
 from filmloom.operators.rules import failed_rules
-from filmloom.operators.search import recommend, route
+from filmloom.operators.search import can_ask, recommend, route
 
 
-def answer(requests: DataFrame, movies: DataFrame, serving: DataFrame) -> DataFrame:
-    """Ranked rows for valid requests and one row with rank 0 for each refused or alert row."""
-    checked = requests.withColumn("_failed", F.size(failed_rules(criteria_rules())) > 0)
-    asks = checked.where(~F.col("_failed")).drop("_failed")
-    ranked = recommend(movies, serving, asks)
-    silent = checked.where(F.col("_failed") | (route(checked) == "none")).select(
-        "query_id", F.when(F.col("_failed"), "invalid").otherwise("alert").alias("route"), F.lit(0).alias("rank"),
-        F.lit(None).cast("long").alias("movie_id"), F.lit(None).cast("double").alias("distance"))
-    return ranked.unionByName(silent)
+def answer(requests: DataFrame, movies: DataFrame, serving: DataFrame, dimension: int | None = None) -> DataFrame:
+    """Ranked rows of valid requests, and one row with rank 0 for each other: `invalid`, `alert` or `no_results`.
+
+    A request is invalid when its criteria break a rule, or when it asks for a semantic search without a language or
+    with a vector that cannot be compared (of the wrong length, if `dimension` is given).
+    """
+    way = route(requests)
+    broken = F.size(failed_rules(criteria_rules())) > 0
+    unasked = (way == "hybrid") & ~can_ask(dimension)
+    checked = requests.withColumn("_route", F.when(broken | unasked, "invalid").when(way == "none", "alert").otherwise(way))
+    asks = checked.where(~F.col("_route").isin("invalid", "alert"))
+    ranked = recommend(movies, serving, asks.drop("_route"))
+    silent = checked.where(F.col("_route").isin("invalid", "alert")).select("query_id", F.col("_route").alias("route"))
+    empty = asks.select(F.col("query_id").cast("string").alias("query_id")).join(
+        ranked.where("rank = 1").select("query_id"), "query_id", "left_anti").select("query_id", F.lit("no_results").alias("route"))
+    rows = silent.select(F.col("query_id").cast("string").alias("query_id"), "route").unionByName(empty)
+    return ranked.unionByName(rows.select("query_id", "route", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("movie_id"),
+                                          F.lit(None).cast("double").alias("distance")))
 
 
-def serve(requests: DataFrame, movies: DataFrame, serving: DataFrame, out: str, checkpoint: str):
+def serve(requests: DataFrame, movies: DataFrame, serving: DataFrame, out: str, checkpoint: str, dimension: int | None = None):
     """Start the stream. A batch writes its own folder with overwrite, so a retried batch gives the same rows."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            answer(held, movies, serving).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            answer(held, movies, serving, dimension).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         finally:
             held.unpersist()
 
@@ -36,10 +45,19 @@ def serve(requests: DataFrame, movies: DataFrame, serving: DataFrame, out: str,
 _VECTORS = "movie_id long, language string, fingerprint string, text_sha256 string, vector array<float>"
 
 
+def newest(batch: DataFrame) -> DataFrame:
+    """The row of the highest `version` of each movie and language; of equal versions that of the greater text."""
+    fields = [c for c in batch.columns if c not in ("movie_id", "language")]
+    order = F.struct(*[c for c in ("version", "text") if c in fields])
+    best = batch.groupBy("movie_id", "language").agg(F.max_by(F.struct(*fields), order).alias("r"))
+    return best.select("movie_id", "language", "r.*")
+
+
 def serve_embeddings(versions: DataFrame, vectors_path: str, profile: str, dimension: int, checkpoint: str):
     """New catalog texts in, missing vectors appended; rows that are already valid are left alone.
 
-    Every batch owns the folder `batch=<id>` and reads only earlier ones, so a retried batch gives the same rows.
+    Of several versions of a text in a batch the newest is embedded. Every batch owns the folder `batch=<id>` and reads
+    only earlier ones, and of those only the movies of the batch, so a retried batch gives the same rows.
     """
     from filmloom.operators.embedding import embed_incrementally
     spark = versions.sparkSession
@@ -47,9 +65,14 @@ def serve_embeddings(versions: DataFrame, vectors_path: str, profile: str, dimen
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = spark.read.schema(f"{_VECTORS}, batch long").parquet(vectors_path)
-        prior = stored.where(F.col("batch") < batch_id).drop("batch")
-        _, fresh = embed_incrementally(prior, batch.dropDuplicates(["movie_id", "language"]), profile, dimension)
-        fresh.write.mode("overwrite").parquet(f"{vectors_path}/batch={batch_id}")
+        held = newest(batch).persist()
+        try:
+            ids = held.select("movie_id", "language")
+            prior = stored.where(F.col("batch") < batch_id).drop("batch").join(ids, ["movie_id", "language"], "left_semi")
+            _, fresh = embed_incrementally(prior, held, profile, dimension)
+            fresh.write.mode("overwrite").parquet(f"{vectors_path}/batch={batch_id}")
+        finally:
+            held.unpersist()
 
     return (versions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

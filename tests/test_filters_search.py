@@ -21,30 +21,49 @@ def movie(i, year=2000, runtime=100, lang="en", genres=("Drama",), avg="4", coun
 
 @pytest.fixture(scope="module")
 def truth(spark):
-    rows = [movie(1, genres=["Drama", "Sci-Fi"], avg="0", count=0), movie(2, year=1999, avg="3.5"), movie(3, year=2001), movie(4, runtime=99),
-            movie(5, runtime=101, genres=["Thriller"]), movie(6, lang="ja", genres=["Drama", "Thriller"]), movie(7, avg=None, count=None),
-            movie(8, runtime=None), movie(9, genres=None), movie(10, lang=None), movie(11, lang="cn"), movie(12, lang="sh"), movie(13, avg="4.5")]
+    """One movie for each combination of a low, middle or high year, runtime and rating, and some with unknown fields."""
+    rows = [movie(1 + 9 * y + 3 * r + a, year=1970 + 20 * y, runtime=80 + 20 * r, avg=str(1 + 1.5 * a), lang=("de", "it", "fi")[(y + r) % 3],
+                  genres=(["War"], ["War", "Noir"], ["Noir", "Western"])[(r + a) % 3]) for y in range(3) for r in range(3) for a in range(3)]
+    rows += [movie(28, avg=None, count=None), movie(29, runtime=None), movie(30, genres=None), movie(31, lang=None)]
     return spark.createDataFrame(rows, MOVIE).persist()
 
 
-@pytest.mark.parametrize("criteria,expected", [
-    ({}, list(range(1, 14))), ({"year_min": 2000, "year_max": 2000}, [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13]),
-    ({"runtime_min": 100}, [1, 2, 3, 5, 6, 7, 9, 10, 11, 12, 13]), ({"runtime_max": 100}, [1, 2, 3, 4, 6, 7, 9, 10, 11, 12, 13]),
-    ({"rating_min": 0}, [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13]), ({"rating_min": 4}, [3, 4, 5, 6, 8, 9, 10, 11, 12, 13]),
-    ({"rating_min": 4, "rating_operator": "gte"}, [3, 4, 5, 6, 8, 9, 10, 11, 12, 13]), ({"rating_min": 4, "rating_operator": "gt"}, [13]),
-    ({"genres_all": ["Drama"]}, [1, 2, 3, 4, 6, 7, 8, 10, 11, 12, 13]), ({"genres_any": ["Thriller"]}, [5, 6]),
-    ({"genres_all": ["Drama"], "genres_any": ["Thriller"]}, [6]),
-    ({"year_min": 2000, "year_max": 2000, "runtime_min": 100, "runtime_max": 100, "genres_all": ["Drama"], "genres_any": ["Thriller"],
-      "rating_min": 4, "original_language": "ja"}, [6]),
-    ({"original_language": "en"}, [1, 2, 3, 4, 5, 7, 8, 9, 13]), ({"original_language": "zh"}, [])])
-def test_truth_table(spark, truth, criteria, expected):
+TESTS = {
+    "year_min": lambda m, x: m["year"] >= x, "year_max": lambda m, x: m["year"] <= x,
+    "runtime_min": lambda m, x: m["runtime_minutes"] is not None and m["runtime_minutes"] >= x,
+    "runtime_max": lambda m, x: m["runtime_minutes"] is not None and m["runtime_minutes"] <= x,
+    "genres_all": lambda m, x: m["genres"] is not None and set(x) <= set(m["genres"]),
+    "genres_any": lambda m, x: m["genres"] is not None and bool(set(x) & set(m["genres"])),
+    "original_language": lambda m, x: m["original_language"] == x}
+
+
+def passing_by_hand(rows, criteria):
+    def ok(m):
+        for field, x in criteria.items():
+            if field == "rating_min":
+                above = criteria.get("rating_operator") == "gt"
+                if m["average_rating"] is None or not (m["average_rating"] > x if above else m["average_rating"] >= x):
+                    return False
+            elif field != "rating_operator" and not TESTS[field](m, x):
+                return False
+        return True
+    return sorted(m["movie_id"] for m in rows if ok(m))
+
+
+@pytest.mark.parametrize("criteria", [
+    {}, {"year_min": 1990, "year_max": 1990}, {"year_min": 1971}, {"runtime_min": 100}, {"runtime_max": 99}, {"rating_min": 1}, {"rating_min": Decimal("2.5")},
+    {"rating_min": Decimal("2.5"), "rating_operator": "gte"}, {"rating_min": Decimal("2.5"), "rating_operator": "gt"}, {"genres_all": ["War", "Noir"]},
+    {"genres_any": ["Western", "War"]}, {"genres_all": ["Noir"], "genres_any": ["Western"]}, {"original_language": "fi"}, {"original_language": "zh"},
+    {"rating_min": Decimal("2.4999999999999"), "rating_operator": "gt"}, {"rating_min": Decimal("2.5000000000000001"), "rating_operator": "gte"},
+    {"year_min": 1970, "year_max": 1990, "runtime_min": 80, "runtime_max": 100, "genres_all": ["War"], "rating_min": 1, "original_language": "de"}])
+def test_filters_by_hand(spark, truth, criteria):
+    expected = passing_by_hand([r.asDict() for r in truth.collect()], criteria)
     assert sorted(r.movie_id for r in FL.filter_movies(truth, criteria).collect()) == expected
     # the same through column operands and through the block kernel
     q = spark.createDataFrame([("q", *[criteria.get(f) if f != "rating_min" or f not in criteria else Decimal(criteria[f]) for f in FL.FIELDS])],
                               "query_id string, " + ", ".join(f"{f.strip()}" for f in criteria_ddl()))
     renamed = truth.withColumnRenamed("original_language", "lang").withColumn("query_id", F.lit("q"))
-    joined = renamed.join(q, "query_id")
-    passing = joined.where(FL.matches(FL.columns_of(), {"language": "lang"}))
+    passing = renamed.join(q, "query_id").where(FL.matches(FL.columns_of(), {"language": "lang"}))
     assert sorted(r.movie_id for r in passing.collect()) == expected
     if criteria:
         ranked = S.batch_hard_only(truth, q, limit=100)
@@ -144,14 +163,14 @@ def brute(movies, vecs, queries, hybrid):
 
 @pytest.mark.parametrize("max_block", [4096, 16])
 def test_batch_search_equals_brute_force(spark, max_block):
-    """max_block 4096 takes the broadcast kernel, 16 the grid of blocks."""
+    """max_block 4096 sends one block of queries, 16 several."""
     movies, vecs, queries = random_case(7)
     m = spark.createDataFrame(movies, MOVIE)
     serving = S.serving_table(m, vectors(spark, [(r[0], v) for r, v in zip(movies, vecs)]))
     q = spark.createDataFrame(queries, "query_id string, language string, " + ", ".join(criteria_ddl()) + ", query_vector array<double>")
-    near = S.batch_hybrid(serving, q, max_block=max_block, movies_per_block=100)
+    near = S.batch_hybrid(serving, q, max_block=max_block)
     assert {(r.query_id, r["rank"], r.movie_id) for r in near.collect()} == brute(movies, vecs, queries, True)
-    hard = S.batch_hard_only(m, q, max_block=max_block, movies_per_block=100)
+    hard = S.batch_hard_only(m, q, max_block=max_block)
     assert {(r.query_id, r["rank"], r.movie_id) for r in hard.collect()} == brute(movies, vecs, queries, False)
 
 
@@ -187,3 +206,34 @@ def test_unusable_vectors_give_nothing(spark):
     serving = S.serving_table(spark.createDataFrame(movies, MOVIE), vectors(spark, [(r[0], v) for r, v in zip(movies, vecs)]))
     q = spark.createDataFrame(queries, "query_id string, language string, " + ", ".join(criteria_ddl()) + ", query_vector array<double>")
     assert {r.query_id for r in S.batch_hybrid(serving, q).collect()} <= {"q2"}
+
+
+def test_unusable_movie_vectors_leave_the_others(spark):
+    """Zero, short, null and NaN vectors neither answer nor disturb their neighbours; ragged requests harm nobody else."""
+    movies = spark.createDataFrame([movie(i) for i in range(1, 15)], MOVIE)
+    odd = {3: [0.0, 0.0], 5: [1.0], 7: None, 9: [float("nan"), 1.0], 11: [1.0, None], 13: [1.0, 2.0, 3.0]}
+    rows = [(i, odd.get(i, [1.0, i / 10])) for i in range(1, 15)]
+    serving = S.serving_table(movies, vectors(spark, rows))
+    assert {r.movie_id for r in S.unusable_vectors(vectors(spark, rows), 2).collect()} == set(odd)
+    nothing = [None] * len(criteria_ddl())
+    asked = [("good", "en", *nothing, [1.0, 0.0]), ("short", "en", *nothing, [1.0]), ("long", "en", *nothing, [0.0, 0.0, 1.0]), ("nan", "en", *nothing, [float("nan"), 1.0])]
+    q = spark.createDataFrame(asked, "query_id string, language string, " + ", ".join(criteria_ddl()) + ", query_vector array<double>")
+    got = {}
+    for r in S.batch_hybrid(serving, q).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.movie_id)
+    assert got == {"good": [1, 2, 4, 6, 8, 10, 12, 14], "short": [5], "long": [13]}
+    assert [r.movie_id for r in S.search_hybrid(movies, vectors(spark, rows), {}, [1.0, 0.0], "en").collect()] == got["good"]
+
+
+def test_answers_of_every_kind(spark):
+    from filmloom.streaming.serving import answer
+    movies = spark.createDataFrame([movie(i) for i in range(1, 4)], MOVIE)
+    serving = S.serving_table(movies, vectors(spark, [(i, [1.0, i / 10]) for i in range(1, 4)]))
+    base = dict.fromkeys(FL.FIELDS)
+    rows = [("near", "en", *base.values(), "words", [1.0, 0.0]), ("ragged", "en", *base.values(), "words", [1.0]), ("mute", None, *base.values(), "words", [1.0, 0.0]),
+            ("none", "en", *(base | {"year_min": 2050}).values(), "words", [1.0, 0.0]), ("hard", "en", *(base | {"year_min": 1990}).values(), None, None),
+            ("order", "en", *(base | {"year_min": 2001, "year_max": 2000}).values(), None, None)]
+    q = spark.createDataFrame(rows, "query_id string, language string, " + ", ".join(criteria_ddl()) + ", semantic_query string, query_vector array<double>")
+    got = {(r.query_id, r.route, r["rank"]) for r in answer(q, movies, serving, 2).collect()}
+    lists = {(name, route, k) for name, route in (("near", "hybrid"), ("hard", "hard_only")) for k in (1, 2, 3)}
+    assert got == lists | {("ragged", "invalid", 0), ("mute", "invalid", 0), ("none", "no_results", 0), ("order", "invalid", 0)}
