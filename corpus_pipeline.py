@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filmloom.llm import minhash, packing, secret_scan, suffix_dedup, toxicity
-from filmloom.llm.common import saved
-from filmloom.session import ship_package
+from filmloom.llm.common import ready, saved
 
 TOXIC = 0.5
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,7 +14,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from `labels` outside its held-out fold."""
-    ship_package(spark)
+    ready(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = "_".join(["toxic", *docs.columns])  # no column's own name, whatever they are called
     scored = toxicity.scored(docs, model, list(docs.columns), name)
@@ -24,25 +23,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the group's least id, once."""
-    ship_package(spark)
+    ready(spark)
     return minhash.survivors(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur more than once are cut out of every document."""
-    ship_package(spark)
+    ready(spark)
     return suffix_dedup.cleaned(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of a secret is replaced by a mark; all documents stay."""
-    ship_package(spark)
+    ready(spark)
     return secret_scan.redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 1024 tokens."""
-    ship_package(spark)
+    ready(spark)
     return packing.packed(docs, public_tokenizers.path(VOCABULARY))
 
 
@@ -60,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`, each written to the shared folder and read again."""
-    ship_package(spark)
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)

@@ -14,15 +14,28 @@ from filmloom.session import new_dir, ship_package
 BATCH_BYTES = 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; also gives the Python workers this package."""
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Give the Python workers this package, and keep the batches that go to them small unless the session sets their size.
+
+    Texts are long: ten thousand of them, Spark's default, would be tens of MB in each direction and task.
+    """
     ship_package(spark)
+    if spark.conf.get(_BATCH_ROWS, None) is None:
+        spark.conf.set(_BATCH_ROWS, "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, in a session that is ready for these operators."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns cannot clash; a null text is empty."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

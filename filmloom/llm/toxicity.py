@@ -31,7 +31,7 @@ SAMPLE = 20_000
 FEATURES = 400
 SHARE = 0.02  # of the character model, for the words that mark toxic labels
 _LETTERS = 28  # 0: no letter, 1 to 26: a to z, 27: a byte of any other letter
-_REMEMBERED = 200_000
+_REMEMBERED = 150_000
 
 # What signs may stand for, and signs that may only set letters apart.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
