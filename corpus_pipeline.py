@@ -42,7 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 1024 tokens."""
     ready(spark)
-    return packing.packed(docs, public_tokenizers.path(VOCABULARY))
+    return packing.packed(docs, public_tokenizers.path(VOCABULARY), remembered=200_000)  # workers also serve the other stages
 
 
 STAGES = [

@@ -174,9 +174,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def codec_of(spec: str) -> Codec:
+def codec_of(spec: str, remembered: int = REMEMBERED) -> Codec:
     """One codec per worker and vocabulary."""
-    return worker_state(f"codec {len(spec)} {zlib.crc32(spec.encode())}", lambda: Codec(spec))
+    return worker_state(f"codec {len(spec)} {zlib.crc32(spec.encode())} {remembered}", lambda: Codec(spec, remembered))
 
 
 def vocabulary_text(path: str) -> str:

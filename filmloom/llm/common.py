@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -93,9 +95,18 @@ class Memory(dict):
 _held: dict[str, object] = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system where the C library can (glibc); elsewhere it stays with the process."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def worker_state(name: str, make: Callable):
     """What a Python worker keeps between tasks: the state of one name alone, so that states of several steps never add up."""
     if name not in _held:
         _held.clear()
+        gc.collect()
+        _give_back()
         _held[name] = make()
     return _held[name]

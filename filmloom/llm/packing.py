@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from filmloom.llm.bpe import codec_of, vocabulary_text
+from filmloom.llm.bpe import REMEMBERED, codec_of, vocabulary_text
 from filmloom.llm.common import saved, slices, texts
 
 CAPACITY = 1024
@@ -32,12 +32,12 @@ SALTS = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, seat long"
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, remembered: int = REMEMBERED) -> DataFrame:
     """The pieces of all documents. `seat` is a hash that spreads equal lengths over many tasks."""
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, last = codec_of(spec.value), np.array([end], "<u4").tobytes()
+        codec, last = codec_of(spec.value, remembered), np.array([end], "<u4").tobytes()
         for batch in slices(batches, limit=4 << 20):
             rows: list[tuple] = []
             encoded = codec.encode_all(batch.column("text").to_pylist())
@@ -171,6 +171,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFr
     return ranked.mapInArrow(run, out)
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Cut and pack whole documents."""
-    return pack(saved(pieces(docs, path, capacity, end), "pieces"), capacity)
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, remembered: int = REMEMBERED) -> DataFrame:
+    """Cut and pack whole documents. A worker remembers the ids of so many chunks of text; fewer take more time."""
+    return pack(saved(pieces(docs, path, capacity, end, remembered), "pieces"), capacity)

@@ -106,4 +106,25 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
         WHERE rank <= 10""",
+    "op7_suffix_dedup": """
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+          strings AS (SELECT r, s, md5(substr(h, 2 * s - 1, 400)) AS k FROM (SELECT r, h, unnest(range(1, length(h) // 2 - 198)) AS s FROM texts WHERE length(h) >= 400)),
+          often AS (SELECT k FROM strings GROUP BY k HAVING count(*) > 1),
+          starts AS (SELECT r, s, lag(s + 199) OVER (PARTITION BY r ORDER BY s) AS before FROM strings SEMI JOIN often USING (k)),
+          runs AS (SELECT r, s, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS run FROM starts),
+          spans AS (SELECT r, min(s) AS a, max(s) + 199 AS b FROM runs GROUP BY r, run),
+          parts AS (SELECT t.r, a, b, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - 1 - coalesce(lag(b) OVER w, 0))) AS part FROM spans s JOIN texts t ON t.r = s.r WINDOW w AS (PARTITION BY s.r ORDER BY a)),
+          cut AS (SELECT r, sum(b - a + 1) AS gone, count(*) AS n, max(b) AS stop, string_agg(part, '' ORDER BY a) AS head FROM parts GROUP BY r)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+          sha256(unhex(coalesce(head || substr(h, 2 * stop + 1), h))) AS kept_sha256 FROM texts LEFT JOIN cut USING (r)""",
+    "op8_tensored_minhash": r"""
+        WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+          shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM words WHERE len(w) > 0)),
+          sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+          shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+          links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+          reach(id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN (SELECT id, min(low) AS component_id FROM reach GROUP BY 1) ON id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
 }
