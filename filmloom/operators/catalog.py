@@ -87,8 +87,12 @@ def top_tags(scores: DataFrame, key: str = "movieLensId", limit: int = TOP_TAGS)
 
 
 def semantic_movies(base: DataFrame, scores: DataFrame) -> DataFrame:
-    """Base record plus top tags (an empty list when there are none) and the English document text."""
-    tags = top_tags(keep_members(scores.withColumnRenamed("item_id", "movieLensId"), base, "movieLensId"))
+    """Base record plus top tags (an empty list when there are none) and the English document text.
+
+    Tags of unknown movies are cut to ten before the shuffle like all others and find no base record; a semi-join ahead
+    of that would read and move the base once more.
+    """
+    tags = top_tags(scores.withColumnRenamed("item_id", "movieLensId"))
     none = F.array().cast("array<struct<name:string,score:double>>")
     joined = base.join(tags, "movieLensId", "left").withColumn("relevantTags", F.coalesce("relevantTags", none))
     text = document_text("en", F.col("title"), F.col("year"), F.col("directedByRaw"),
@@ -138,10 +142,13 @@ def attach_details(linked: DataFrame, details: DataFrame) -> DataFrame:
 
 def enriched_movies(base: DataFrame, links: DataFrame, genres: DataFrame, ratings: DataFrame,
                     details: DataFrame) -> DataFrame:
-    """The enriched record together with its check columns matched, imdb_ok and genre_row_ok."""
+    """The enriched record together with its check columns matched, imdb_ok and genre_row_ok.
+
+    Ratings are summed for all movies, one row per movie and task before the shuffle, and join once; only matched movies
+    take them. Reading the members first would plan the links and genres twice.
+    """
     linked = attach_genres(link_movies(base, links), genres)
-    members = linked.where("matched").select(F.col("movieLensId").alias("movieId"))
-    rated = attach_ratings(linked, rating_aggregates(ratings, members))
+    rated = attach_ratings(linked, rating_aggregates(ratings))
     return attach_details(rated, details).select(*schemas.ENRICHED_FIELDS, "matched", "imdb_ok", "genre_row_ok")
 
 

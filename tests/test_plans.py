@@ -45,3 +45,22 @@ def test_nothing_is_crossed(spark):
     serving = S.serving_table(movies, M.vectors(spark, SF))
     for df in (S.batch_hybrid(serving, M.asking(spark, SF)), S.batch_hybrid(serving, M.asking(spark, SF), max_block=8)):
         assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
+
+
+def test_catalog_merge_moves_each_source_once(spark):
+    """Base and links are read once for the enriched record; the summed ratings and genres join on the same key."""
+    from filmloom.bindings import joins as J
+    text = plan(J._enriched(spark, SF))
+    assert text.count("FileScan") <= 5 and text.count("Exchange") <= 8, text
+
+
+def test_query_blocks_leave_movies_in_place(spark):
+    """More queries than a block holds: movies are scanned again, never exchanged with their vectors."""
+    serving = spark.read.parquet(f"{SF}/embeddings.parquet")
+    from pyspark.sql import functions as F
+    serving = serving.select(F.col("vec_id").alias("movie_id"), F.lit("en").alias("language"), F.col("embedding").alias("vector"), F.lit(1.0).alias("norm"),
+                             *[F.lit(None).cast(t).alias(n) for n, t in (("year", "int"), ("runtime_minutes", "int"), ("genres", "array<string>"), ("cast", "array<string>"),
+                                                                          ("original_language", "string"), ("average_rating", "decimal(16,12)"), ("rating_count", "long"))])
+    asked = M.asking(spark, SF).where("language = 'en'")
+    text = plan(S.batch_hybrid(serving, asked, max_block=8))
+    assert text.count("FileScan") > 1 and "embedding" not in "".join(x for x in text.splitlines() if "Exchange" in x)
