@@ -28,6 +28,7 @@ from filmloom.llm.common import Memory, slices, texts, worker_state
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 _LIST_LIMIT = 48
 REMEMBERED = 700_000  # chunks of a worker, some 150 MB; fewer words and fragments
 
@@ -132,12 +133,12 @@ class Codec:
         return b"".join([self.pieces[f] for f in fragments])
 
     def _spaced(self, chunk: str) -> bytes:
-        """Ids of a chunk with the space before it. Letters alone, or with one stop, are what the pattern would cut."""
-        if chunk.isalpha():
-            return self.pieces[b" " + chunk.encode()]
-        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-            return self.pieces[b" " + chunk[:-1].encode()] + self.pieces[chunk[-1].encode()]
-        return self._chunk(" " + chunk)
+        """Ids of a chunk with the space before it. Letters, and then marks, are two words of the pattern; no need to ask it."""
+        letters = chunk.rstrip(_MARKS)
+        if not letters.isalpha():
+            return self._chunk(" " + chunk)
+        ids, marks = self.pieces[b" " + letters.encode()], chunk[len(letters):]
+        return ids + self.pieces[marks.encode()] if marks else ids
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.pieces[p.encode()] for p in WORDS.findall(chunk)])
