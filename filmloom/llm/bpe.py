@@ -202,6 +202,24 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return texts(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, text: each whole text's ids and the text that these ids give back, by one worker a task."""
+    spec = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(spec.value)
+        for batch in slices(batches, limit=2 << 20):
+            packed = codec.encode_all(batch.column("text").to_pylist())
+            ids = [np.frombuffer(p, "<u4") for p in packed]
+            back = [codec.decode(i.tolist()) for i in ids]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype("<i4")
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(back, pa.string())],
+                                  names=["doc_id", "ids", "text"])
+
+    return texts(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text: the text of each row's ids; null ids give the empty text."""
     spec = encoded.sparkSession.sparkContext.broadcast(vocabulary_text(path))

@@ -55,8 +55,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text that they give back, as digests."""
-    path = public_tokenizers.path(VOCABULARY)
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
