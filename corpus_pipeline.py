@@ -10,6 +10,8 @@ from filmloom.llm.common import ready, saved
 
 TOXIC = 0.5
 VOCABULARY = "byte_bpe_50k.json"
+# The stage's own measure of near copies: at least 80 per cent of all shingles of five words; op8 has one of its own.
+NEAR = {"width": 5, "least": 80, "tables": 16}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the group's least id, once."""
     ready(spark)
-    return minhash.survivors(docs)
+    return minhash.survivors(docs, **NEAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

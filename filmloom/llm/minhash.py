@@ -2,7 +2,8 @@
 
 A plain banding of t tables needs t keys of 2r hashes. Here two collections of c keys of r hashes are drawn, and a table
 belongs to each pair of them: c * c tables from 2 * c * r hashes. Two sets meet in some table exactly when they agree on
-a key of each collection; with r = 3 and c = 12, sets at the threshold of 0.85 miss each other with a chance of 2e-5.
+a key of each collection; with r = 3 and c = 12, sets at the threshold of 0.85 miss each other with a chance of 2e-5,
+with c = 16 those at 0.80.
 Keys that only one set has cannot meet and are dropped before the pairs are formed.
 
 The tables only say which sets may be linked: sets that meet in a table, and sets connected by such meetings, form a
@@ -253,13 +254,13 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST, tables: int
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def survivors(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+def survivors(docs: DataFrame, width: int = WIDTH, least: int = LEAST, tables: int = TABLES, parts: int = PARTS) -> DataFrame:
     """The same columns of one row of each component: of the row of its least id, and of one where rows repeat that id.
 
     Rows without words stay as they are, and so do rows without id.
     """
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = linked(docs, width, least)
+    found = linked(docs, width, least, tables, parts)
     kept = found.filter(F.col("kept") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("kept_id")).distinct()
     marked = docs.withColumn("seal", own).withColumn("wordless", F.coalesce(~F.col("text").rlike(r"[^ \t-\r]"), F.lit(True)))
     alone = marked.filter(F.col("doc_id").isNull() | F.col("wordless")).select(*docs.columns)

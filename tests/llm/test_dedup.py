@@ -297,3 +297,25 @@ def test_pipeline_on_odd_rows(spark, odd, nothing):
             assert out.columns == docs.columns
             docs = out
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+
+
+def jaccard(one, other, width):
+    a, b = ({tuple(w[k:k + width]) for k in range(len(w) - width + 1)} for w in (one.split(), other.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(12)
+    short, long = words(rng, 200), words(rng, 1000)
+    block = short + " " + words(rng, 44)
+    scattered = long.split(" ")
+    for k in range(20, 1000, 40):
+        scattered[k] = words(rng, 1) + "q"
+    scattered = " ".join(scattered)
+    assert 0.8 < jaccard(short, block, 5) < 0.85 and jaccard(short, block, 3) < 0.85
+    assert jaccard(long, scattered, 3) > 0.85 and jaccard(long, scattered, 5) < 0.8
+    docs = documents(spark, [(1, short), (2, block), (3, long), (4, scattered)])
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == [1, 3, 4]
+    miss = 1 - (1 - (1 - 0.8 ** minhash.PARTS) ** corpus_pipeline.NEAR["tables"]) ** 2
+    assert miss < 2.5e-5
