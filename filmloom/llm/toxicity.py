@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,17 +124,26 @@ def restore(token: str, model: CharacterModel) -> str:
 class Restorer:
     """Restores the words of texts, remembering a bounded number of tokens.
 
-    `starts` holds beginnings of the words that matter: a word with doubled letters and no other sign of a disguise is
-    decoded if it begins like one of them without the doubling.
+    `marks` are the features that matter: a word with doubled letters and no other sign of a disguise is decoded if it is
+    one of them, or begins like one, when the doubling is taken from both. No other reading of it can have a feature.
     """
 
-    def __init__(self, model: CharacterModel | None, starts: frozenset[str] = frozenset()):
-        self.model, self.starts, self.known = model, starts, Memory(self.words, _REMEMBERED)
+    def __init__(self, model: CharacterModel | None, marks: Iterable[str] = ()):
+        self.model, self.known = model, Memory(self.words, _REMEMBERED)
+        single = [_DOUBLE.sub(r"\1", f) for f in marks]
+        self.whole = frozenset(f[:-1] for f in single if f.endswith("$"))
+        self.starts = frozenset(f for f in single if not f.endswith("$"))
+        self.lengths = sorted({len(f) for f in self.starts})
 
     def odd(self, core: str) -> bool:
         if " " in core or _ODD.search(core):
             return True
-        return bool(self.starts and _DOUBLE.search(core)) and _DOUBLE.sub(r"\1", core)[:4] in self.starts
+        return bool(self.whole or self.starts) and bool(_DOUBLE.search(core)) and any(map(self.meant, _WORD.findall(core)))
+
+    def meant(self, word: str) -> bool:
+        """Whether a word without its doubling is, or begins like, a feature without its own."""
+        word = _DOUBLE.sub(r"\1", word)
+        return word in self.whole or any(word[:n] in self.starts for n in self.lengths)
 
     def words(self, token: str) -> list[str]:
         core = _TRIM.sub("", token)
@@ -218,7 +227,7 @@ class Model:
 
     def reader(self) -> tuple[Restorer, Memory]:
         """A restorer and its memory of tokens: how many words a token holds and the places of their features."""
-        restorer = Restorer(self.characters, frozenset(f[:4] for f in self.places))
+        restorer = Restorer(self.characters, self.places)
 
         def read(token: str) -> tuple[int, tuple[int, ...]]:
             words = restorer.words(token)

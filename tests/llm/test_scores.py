@@ -58,6 +58,21 @@ def test_disguised_words_are_restored():
         assert toxicity.restore(disguised, model) == plain, disguised
 
 
+def character_model(text, own):
+    s = toxicity._SYMBOL[np.frombuffer(b"   " + text.encode() * 50, np.uint8)]
+    counts = np.bincount(((s[:-3] * 28 + s[1:-2]) * 28 + s[2:-1]) * 28 + s[3:], minlength=28 ** 4)
+    return toxicity.CharacterModel(counts, own)
+
+
+def test_doubled_letters_of_marked_words_are_decoded():
+    model = character_model("he can kill and they kill a pussy cat that is fat in the house of the man ", ["kill", "pussy", "fat"])
+    marks = [f for word in ("kill", "pussy", "fat") for f in toxicity.features(word)]
+    restorer = toxicity.Restorer(model, marks)
+    for disguised, plain in {"kiill": "kill", "puussy": "pussy", "faat": "fat", "kkill": "kill"}.items():
+        assert restorer.words(disguised) == [plain], disguised
+    assert restorer.odd("kiillers") and not restorer.odd("faaster") and not restorer.odd("moon")
+
+
 def test_disguised_documents_score_as_toxic(spark):
     rng = random.Random(2)
     rows, labels = [], []
