@@ -37,7 +37,8 @@ _REMEMBERED = 150_000
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 APART = ".-_*~'`^/\\"
-_TRIM = re.compile(r"^[^\w@$]+|[\W_]+$")
+NEVER_LAST = "@$€£"  # seldom written behind a word for their own sake
+_TRIM = re.compile(r"^[^\w@$!|+(€£]+|(?:(?![@$!|+(€£])[\W_])+$")  # plain punctuation: signs at the ends may be letters
 _ODD = re.compile(r"[^\W\d_][^\w\s]|[^\W_]_|[^\W\d_]\d|\d[^\W\d_]|[@$!|+(€£][^\W\d_]|([^\W\d_])\1\1")
 _DOUBLE = re.compile(r"([^\W\d_])\1+")
 _SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
@@ -87,6 +88,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [(c * n, -1.5)] + [(x * k, -1.0 - (n != k)) for x in SIGNS[c] for k in range(1, min(n, 2) + 1)]
             if not c.isdigit():
                 options.append(("", -2.0))
+            if c in NEVER_LAST and 0 < m.start() and m.end() == len(token):
+                options = [(x, cost if x.isalpha() else -5.0) for x, cost in options]
         elif c in APART or c == " ":
             options = [(c, -0.5), ("", -1.0)]
         elif c.isalpha():

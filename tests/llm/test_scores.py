@@ -73,6 +73,15 @@ def test_doubled_letters_of_marked_words_are_decoded():
     assert restorer.odd("kiillers") and not restorer.odd("faaster") and not restorer.odd("moon")
 
 
+def test_signs_at_the_ends_of_words_are_decoded():
+    text = "he is an ass and an idiot and a loser and the bitches run to the house of the man and it is a taxi tax "
+    restorer = toxicity.Restorer(character_model(text, ["ass", "bitches", "idiot", "loser"]))
+    for disguised, plain in {"a$$": "ass", "bitche$": "bitches", "!diot": "idiot", "|oser": "loser", "(a$$)": "ass",
+                             "\"!d!ot\".": "idiot", "idiot!!!": "idiot", "house!": "house", "(house)": "house",
+                             "$100": None, "man,": "man"}.items():
+        assert restorer.words(disguised) == ([plain] if plain else []), disguised
+
+
 def test_disguised_documents_score_as_toxic(spark):
     rng = random.Random(2)
     rows, labels = [], []
