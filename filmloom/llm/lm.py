@@ -1,16 +1,18 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Word counts of the training texts are exact and complete, in a table of the shared folder. The model on top of them is a
-trie of two levels: the most frequent words with their probabilities, and behind each of the first 65,536 words its kept
-successors. Pointers between the levels and the successors' ids are monotone sequences in Elias-Fano form, probabilities
-are codes into a quantised book, and a pair is found by a successor search relative to its context. The file of the trie
-is bounded by `head` and `pairs`, is sent to the executors once and read there through a memory map.
+Word counts of the training texts are exact and complete, in a table of the shared folder. The frequent part of the model
+is a trie of two levels: the most frequent words with their probabilities, and behind each of the first 65,536 words its
+most frequent successors. Pointers between the levels and the successors' ids are monotone sequences in Elias-Fano form,
+probabilities are codes into a quantised book, and a pair is found by a successor search relative to its context. The
+file of the trie is bounded by `head` and `pairs`, is sent to the executors once and read there through a memory map.
 
     p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | v) = (c(v w) + mu p(w)) / (C(v) + mu), where c(v w) counts the kept pairs and C(v) is their sum
+    p(w | v) = (c(v w) + mu p(w)) / (c(v) + mu)
 
-So every context sums to one, an unkept pair costs mu / (C(v) + mu), and words beyond the head keep their exact counts:
-they are joined to the table of counts. The first word's context is the end of a text.
+Every pair counts, also one seen once or of rare words: those that are not in the trie are brought together with their
+occurrences in all texts by a shuffle on the pair and counted there. So the bounds of the trie say only where a pair is
+looked up. Each word and each end is followed by one token, so c(v) is the sum over all pairs of v and every context sums
+to one. Words beyond the head are counted in the same way. The first word's context is the end of a text.
 
 Rows: a null or empty text is its end token alone; null ids count as the empty id text; repeated rows count and are
 scored row by row; texts are scored whole; without training rows every count is 0; further columns are not looked at.
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmloom.llm.common import fold_of, fresh_name, saved, slices, texts, worker_state
 
@@ -112,12 +114,13 @@ class Trie:
 
     @classmethod
     def build(cls, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, distinct: int,
-              mu: float = MU) -> Trie:
-        """counts: of the head words by id; pairs: sorted context << 16 | word."""
+              mu: float = MU, held: np.ndarray | None = None) -> Trie:
+        """counts: of the head words by id; pairs: sorted context << 16 | word; held: C(v), else the sums of the pairs."""
         unigram = (counts + 1.0) / (total + distinct + 1.0)
         context, word = pairs >> 16, pairs & 0xFFFF
         starts = np.searchsorted(context, np.arange(CONTEXTS + 1))
-        held = np.bincount(context, pair_counts, CONTEXTS) if len(pairs) else np.zeros(CONTEXTS)
+        if held is None:
+            held = np.bincount(context, pair_counts, CONTEXTS) if len(pairs) else np.zeros(CONTEXTS)
         joint = np.log10((pair_counts + mu * unigram[word]) / (held[context] + mu)) if len(pairs) else np.zeros(0)
         last = word[np.maximum(starts[1:] - 1, 0)] if len(pairs) else np.zeros(CONTEXTS, np.int64)
         lasts = np.where(starts[1:] > starts[:-1], last, 0)
@@ -272,6 +275,12 @@ def pair_counts(training: DataFrame, head, name: str) -> DataFrame:
     return training.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def _lists(ends: np.ndarray, at: np.ndarray, columns: dict[str, pa.Array]) -> pa.ListArray:
+    """For each text that ends at one of `ends`, the rows of the columns that belong to its places among `at` (in order)."""
+    stops = np.concatenate([[0], np.searchsorted(at, ends, "right")])
+    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
 def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int = HEAD, pairs: int = PAIRS,
           mu: float = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row, learnt from the other folds."""
@@ -288,8 +297,11 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
     counts = top.column("n").to_numpy().astype(np.float64)
     name = fresh_name("trie")
     head = context.broadcast((listed, counts))  # bounded by head_words
-    kept = most_frequent(saved(pair_counts(training, head, name), "pairs"), pairs, 2).toArrow().sort_by("pair")
-    trie = Trie.build(counts, kept.column("pair").to_numpy(), kept.column("n").to_numpy(), total, distinct, mu)
+    often = saved(pair_counts(training, head, name).filter("n > 1"), "pairs")  # all others are counted below
+    kept = most_frequent(often, pairs).toArrow().sort_by("pair")
+    held = np.zeros(CONTEXTS)
+    held[:len(counts)] = counts[:CONTEXTS]
+    trie = Trie.build(counts, kept.column("pair").to_numpy(), kept.column("n").to_numpy(), total, distinct, mu, held)
     path = os.path.join(tempfile.mkdtemp(), name)
     trie.write(path)
     context.addFile(path)
@@ -307,41 +319,57 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
             base[inside] = exact[ids[inside]]
             value = np.zeros(len(ids))
             value[inside] = model.word(ids[inside])
-            after = (before >= 0) & (before < CONTEXTS)
-            value[after] += model.penalty(before[after])
-            near = np.flatnonzero(after & inside & (ids < CONTEXTS))
+            after = before >= 0
+            first = after & (before < CONTEXTS)
+            value[first] += model.penalty(before[first])
+            value[after & ~first] += np.log10(mu / (known.counts[before[after & ~first]] + mu))
+            near = np.flatnonzero(first & inside & (ids < CONTEXTS))
             distinct_pairs, back = np.unique(before[near] << 16 | ids[near], return_inverse=True)
             places = model.find(distinct_pairs)[back]
             value[near[places >= 0]] = model.pair(places[places >= 0])
             starts = np.concatenate([[0], ends[:-1] + 1])
-            tail, tail_ends = [], [0]
-            for i, ws in enumerate(split):
-                at = starts[i] + np.flatnonzero(~inside[starts[i]:ends[i]])
-                rare = Counter(ws[k - starts[i]] for k in at.tolist())
-                if not inside[ends[i]]:
-                    rare[END] += 1
-                tail += rare.items()
-                tail_ends.append(len(tail))
-            tails = pa.ListArray.from_arrays(
-                pa.array(tail_ends, pa.int32()),
-                pa.StructArray.from_arrays([pa.array([w for w, _ in tail], pa.binary()),
-                                            pa.array([n for _, n in tail], pa.int64())], ["word", "times"]))
+            open_ = inside & after
+            tail = [(END if k == start else ws[k - start - 1], END if k == end else ws[k - start], k)
+                    for start, end, ws in zip(starts.tolist(), ends.tolist(), split)
+                    for k in (start + np.flatnonzero(~open_[start:end + 1])).tolist()]
+            at = np.array([k for _, _, k in tail], np.int64)
+            tails = _lists(ends, at, {
+                "before": pa.array([v for v, _, _ in tail], pa.binary()), "word": pa.array([w for _, w, _ in tail], pa.binary()),
+                "n": pa.array(known.counts[ids[at]].astype(np.int64) if len(known.counts) else np.zeros(len(at), np.int64),
+                              mask=~inside[at])})
+            open_[near[places >= 0]] = False
+            at = np.flatnonzero(open_)
+            pairs_ = _lists(ends, at, {"pair": pa.array(before[at] << 32 | ids[at]),
+                                       "n": pa.array(known.counts[ids[at]].astype(np.int64))})
             yield pa.record_batch(
                 [pa.array(row + np.arange(len(ends))), batch.column("doc_id"), batch.column("held_out"),
                  pa.array(ends + 1 - starts), pa.array(np.add.reduceat(inside, starts, dtype=np.int64)),
-                 pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(value, starts)), tails],
-                names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail"])
+                 pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(value, starts)), tails, pairs_],
+                names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail", "pairs"])
             row += len(ends)
 
     schema = ("row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, "
-              "head_score double, tail array<struct<word: binary, times: long>>")
+              "head_score double, tail array<struct<before: binary, word: binary, n: long>>, "
+              "pairs array<struct<pair: long, n: long>>")
     scored = saved(rows.mapInArrow(run, schema), "scored")
-    log = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1.0) + unseen
-    tails = (scored.select("row", F.inline("tail")).join(vocabulary, "word", "left").groupBy("row")
-             .agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-                  F.sum(F.col("times") * log).alias("rest")))
-    known, rest = (F.coalesce(F.col(c), F.lit(0)) for c in ("known", "rest"))
-    return scored.drop("tail").join(tails, "row", "left").select(
+    listed_ = lambda column: scored.select("row", (~F.col("held_out")).cast("int").alias("trained"), F.inline(column))
+    trained = lambda *by: F.sum("trained").over(Window.partitionBy(*by))
+
+    def gain(*pair: str) -> Column:
+        """What a pair adds to the log-probability of its word after a context in which it is not seen."""
+        return F.log10(1 + trained(*pair) / (mu * (F.col("n") + 1.0) / (total + distinct + 1.0)))
+
+    # All occurrences of a word beyond the head are here, so they give its count, and one shuffle on words serves both windows.
+    rare = listed_("tail").filter("n is null").withColumn("n", trained("word"))
+    log = F.log10(F.col("n") + 1.0) + unseen
+    rare = rare.select("row", (F.col("n") > 0).cast("bigint").alias("known"), log.alias("base"),
+                       (log + F.log10(mu / (F.col("n") + mu)) + gain("word", "before")).alias("value"))
+    zero = [F.lit(0).cast("bigint").alias("known"), F.lit(0.0).alias("base")]
+    other = listed_("tail").filter("n is not null").select("row", *zero, gain("before", "word").alias("value"))
+    plain = listed_("pairs").select("row", *zero, gain("pair").alias("value"))
+    rest = rare.unionByName(other).unionByName(plain).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "value")))
+    known, base, value = (F.coalesce(F.col(c), F.lit(0)) for c in ("known", "base", "value"))
+    return scored.drop("tail", "pairs").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + known).alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"), (F.col("head_base") + rest).alias("base_score"),
-        (F.col("head_score") + rest).alias("score"))
+        F.lit(total).cast("bigint").alias("train_tokens"), (F.col("head_base") + base).alias("base_score"),
+        (F.col("head_score") + value).alias("score"))

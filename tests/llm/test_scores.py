@@ -158,6 +158,24 @@ def test_scores_by_brute_force(spark, odd, head):
     assert all(r["score"] < 0 for r in rows)
 
 
+@pytest.mark.parametrize("head, pairs", [(8, 4), (1 << 18, 0), (1 << 18, 1 << 21)])
+def test_all_pairs_count_by_brute_force(spark, odd, head, pairs):
+    """Pairs seen once and pairs of rare words too; the bounds of the trie change no score."""
+    rows = lm.score(odd, head_words=head, pairs=pairs).collect()
+    ids = [i for i, _ in odd_texts()]
+    token = [(t or "").encode().lower().split() + [b" "] for _, t in odd_texts()]
+    follow = [list(zip([b" ", *ws[:-1]], ws)) for ws in token]
+    learnt = [k for k in range(len(ids)) if fold(ids[k], 7) != 2]
+    one, two = Counter(w for k in learnt for w in token[k]), Counter(p for k in learnt for p in follow[k])
+    n, v = sum(one.values()), len(one)
+    want = [(ids[k], sum(math.log10((two[a, w] + lm.MU * (one[w] + 1) / (n + v + 1)) / (one[a] + lm.MU)) for a, w in follow[k]))
+            for k in range(len(ids))]
+    order = lambda x: (x[0] is None, x[0], x[1]) if x[0] is not None else (True, 0, x[1])
+    got = sorted(((r["doc_id"], r["score"]) for r in rows), key=order)
+    for (i, x), (j, y) in zip(got, sorted(want, key=order), strict=True):
+        assert i == j and math.isclose(x, y, rel_tol=1e-4, abs_tol=1e-6)
+
+
 def test_lm_without_training_rows(spark, nothing):
     assert lm.score(nothing).count() == 0
     alone = next(i for i in range(100) if fold(i, 7) == 2)
