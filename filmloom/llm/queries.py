@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filmloom.llm import bit_sliced, bpe, lm, metric_join, minhash, packing, quality, secret_scan, suffix_dedup, toxicity
+from filmloom.llm import (bit_sliced, bpe, collocations, conversations, lm, metric_join, minhash, packing, piece_bpe, quality, secret_scan,
+                          suffix_dedup, toxicity)
 from filmloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the given damage."""
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text under a model of BPE pieces and the text that they give back, as digests."""
+    return bpe.digests(piece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -74,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tensored_minhash": op8_tensored_minhash,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_sentencepiece_round_trip": op13_sentencepiece_round_trip,
 }
 
 ORACLES: dict[str, str] = {
@@ -126,4 +146,21 @@ ORACLES: dict[str, str] = {
           reach(id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM documents d JOIN (SELECT id, min(low) AS component_id FROM reach GROUP BY 1) ON id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
+    "op11_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS p FROM documents),
+          words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+          grams AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS t(k))),
+          counts AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL),
+          totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+          longer AS (SELECT lang, h, max(f) AS f FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS h, f FROM counts WHERE k = 3 AND f >= 10) GROUP BY ALL),
+          cuts AS (SELECT c.lang, c.g, c.f AS a, x.f AS l, y.f AS r, s.s,
+              CAST(1000000 * CAST(c.f AS HUGEINT) * c.f // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM counts c JOIN (VALUES (1), (2)) AS s(s) ON s.s < c.k
+            JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:s.s] JOIN counts y ON y.lang = c.lang AND y.g = c.g[s.s + 1:c.k]
+            LEFT JOIN longer m ON m.lang = c.lang AND m.h = c.g
+            WHERE c.k > 1 AND c.f >= 10 AND (m.f IS NULL OR 100 * m.f < 50 * c.f)),
+          least AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, s) AS o FROM cuts),
+          ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+              row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM least WHERE o = 1)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
