@@ -9,8 +9,8 @@ from filmloom.bindings import joins as J, model as M, ranking as K
 from filmloom.bindings.registry import query
 from filmloom.operators import catalog as C, embedding as EM, evaluate as E, filters as FL, release as R, rules as RU, search as S
 from filmloom.session import new_dir
-from filmloom.sources import readers, sinks
-from filmloom.streaming import limits, serving
+from filmloom.sources import commit_log, readers, sinks, vector_store
+from filmloom.streaming import admission, budgets, limits, serving
 
 _KEEP = {"ignoreNullFields": "false"}
 
@@ -331,6 +331,33 @@ def release_pointer(spark, sf_dir):
     return sinks.current_release(spark, root).select("name", "version", "records")
 
 
+_SETS = [commit_log.LanguageSet("en", "en-v6", "p1"), commit_log.LanguageSet("sr", "sr-v6", "p1")]
+
+
+@query("B6_release_commit", """WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT CAST(2 AS BIGINT) AS version, 'catalog' AS kind, 'none' AS language, n AS records, 'c2' AS fingerprint, 'none' AS format FROM n UNION ALL SELECT 2, 'language', 'en', n, 'p1', 'en-v6' FROM n
+UNION ALL SELECT 2, 'language', 'sr', n, 'p1', 'sr-v6' FROM n UNION ALL SELECT 1, 'refused', 'conflict', n, 'c3', 'none' FROM n UNION ALL SELECT 2, 'refused', 'sr', n, 'c4', 'none' FROM n""")
+def release_commit(spark, sf_dir):
+    """Two releases, a writer that still has the first one in mind, and one whose second language lacks a vector."""
+    v, root = J.identified_vectors(spark, sf_dir), new_dir(spark, "store")
+    movies = v.where("language = 'en'").select("movie_id")
+    commit_log.publish(movies.where("movie_id % 2 = 0"), v.where("movie_id % 2 = 0"), root, "c1", _SETS, 64)
+    commit_log.publish(movies, v, root, "c2", _SETS, 64)
+    refused = []
+    try:
+        commit_log.publish(movies, v, root, "c3", _SETS, 64, read_version=1)
+    except commit_log.ConflictError:
+        refused.append((1, "refused", "conflict", "c3"))
+    try:
+        commit_log.publish(movies, v.where("movie_id <> 5 OR language = 'en'"), root, "c4", _SETS, 64)
+    except RU.GateError:
+        refused.append((2, "refused", "sr", "c4"))
+    rows = commit_log.state(spark, root).select("version", "kind", F.coalesce("language", F.lit("none")).alias("language"), "records", "fingerprint", F.coalesce("format", F.lit("none")).alias("format"))
+    said = spark.createDataFrame(refused, "version long, kind string, language string, fingerprint string")
+    n = commit_log.read_catalog(spark, root).agg(F.count(F.lit(1)).alias("records"))
+    return rows.unionByName(said.join(n, F.lit(True)).withColumn("format", F.lit("none")).select(*rows.columns))
+
+
 @query("B7_load_decision", """SELECT 'same' AS target, count(*) AS target_rows, 'skip' AS decision FROM orders UNION ALL SELECT 'empty', 0, 'insert' UNION ALL SELECT 'other', count(*), 'refuse' FROM orders WHERE o_orderkey > 5""")
 def load_decision(spark, sf_dir):
     o = M.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -365,6 +392,26 @@ def paired_release(spark, sf_dir):
     return out
 
 
+@query("B9_bound_descriptor", """WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT 'first' AS attempt, 'written' AS outcome, n AS records FROM n UNION ALL SELECT 'equal', 'kept', n FROM n UNION ALL SELECT 'other format', 'refused', n FROM n UNION ALL SELECT 'other vector', 'refused', n FROM n
+UNION ALL SELECT 'other catalog', 'refused', n FROM n UNION ALL SELECT 'other ids', 'refused', n FROM n""")
+def bound_descriptor(spark, sf_dir):
+    """One descriptor stands; the same again is no change, any other is refused, and so is an incomplete one."""
+    v, root = J.identified_vectors(spark, sf_dir), new_dir(spark, "pair")
+    movies, formats = v.where("language = 'en'").select("movie_id", F.lit("t").alias("title")), {"en": "en-v6", "sr": "sr-v6"}
+    turned = v.withColumn("vector", F.when(F.col("movie_id") == 3, F.reverse("vector")).otherwise(F.col("vector")))
+    attempts = {"first": (movies, v, formats), "equal": (movies, v.repartition(3), formats), "other format": (movies, v, {**formats, "sr": "sr-v7"}),
+                "other vector": (movies, turned, formats), "other catalog": (movies.withColumn("title", F.lit("u")), v, formats),
+                "other ids": (movies, v.where("movie_id <> 5 OR language = 'en'"), formats)}
+    said = []
+    for name, (catalog, vectors, kinds) in attempts.items():
+        try:
+            said.append((name, sinks.publish_pair(R.paired_descriptor(catalog, vectors, kinds, "p1", "v6"), root)))
+        except RU.GateError:
+            said.append((name, "refused"))
+    return spark.createDataFrame(said, "attempt string, outcome string").join(movies.agg(F.count(F.lit(1)).alias("records")), F.lit(True))
+
+
 @query("B5_unpaired", """SELECT vec_id AS movie_id, CASE WHEN vec_id % 30 = 4 THEN 'repeated' ELSE 'no pair' END AS problem FROM embeddings WHERE vec_id % 30 IN (4, 5)""")
 def unpaired(spark, sf_dir):
     """A vector that stands twice gives two pairs; one that is missing gives none."""
@@ -528,6 +575,36 @@ def window_stream(spark, sf_dir):
     return spark.read.schema(counted.schema).parquet(out).select("client", "window_start", "requests")
 
 
+@query("K2_stream_admission", M.with_sql(_WINDOWED) + """SELECT event_id AS request_id, row_number() OVER (PARTITION BY client, window_start ORDER BY ts, event_id) <= 2 AS admitted FROM windowed""")
+def stream_admission(spark, sf_dir):
+    """Every request admitted or rejected in a stream of one file a batch, stopped and started again before the last."""
+    log = M.request_log(spark, sf_dir).drop("tokens")
+    source, out, marks = new_dir(spark, "requests"), new_dir(spark, "admission"), new_dir(spark, "marks")
+    cuts = [r for r in log.select(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), F.array(F.lit(0.3), F.lit(0.6))).alias("p")).first()["p"]]
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    for k, part in enumerate([micros < cuts[0], (micros >= cuts[0]) & (micros < cuts[1]), micros >= cuts[1]]):
+        log.where(part).coalesce(1).write.mode("append").parquet(source)
+        if k:  # the first start takes two files
+            stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            admission.serve_admission(stream, out, marks, permits=2, seconds=600).awaitTermination()
+    return admission.answers(spark, out).select("request_id", "admitted")
+
+
+_BUDGET = budgets.Caps(per_minute=2, tokens_per_minute=150, per_day=200, attempts=5000, tokens=150_000, window=600)
+
+
+@query("K3_enforced_budgets", """WITH RECURSIVE log AS MATERIALIZED (SELECT row_number() OVER (ORDER BY floor(epoch(ts)), event_id) AS i, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(value) AS BIGINT) AS t,
+    CAST(to_timestamp(CAST(floor(epoch(ts)) AS BIGINT) - 28800) AT TIME ZONE 'UTC' AS DATE) AS d FROM events),
+  run AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, false AS ok, CAST([] AS STRUCT(s BIGINT, t BIGINT)[]) AS recent, CAST(NULL AS DATE) AS d, 0 AS in_day, 0 AS n, CAST(0 AS BIGINT) AS used
+    UNION ALL SELECT i, event_id, ok, CASE WHEN ok THEN list_append(left_over, {'s': s, 't': t}) ELSE left_over END, d, in_day + CAST(ok AS INTEGER), n + CAST(ok AS INTEGER), used + CASE WHEN ok THEN t ELSE 0 END
+    FROM (SELECT *, n < 5000 AND in_day < 200 AND used + t <= 150000 AND len(left_over) < 2 AND coalesce(list_sum([x.t FOR x IN left_over]), 0) + t <= 150 AS ok
+      FROM (SELECT l.i, l.event_id, l.s, l.t, l.d, [x FOR x IN r.recent IF x.s > l.s - 600] AS left_over, CASE WHEN r.d = l.d THEN r.in_day ELSE 0 END AS in_day, r.n, r.used FROM run r JOIN log l ON l.i = r.i + 1)))
+SELECT event_id AS request_id, ok AS admitted FROM run WHERE i > 0""")
+def enforced_budgets(spark, sf_dir):
+    """Attempts that the caps let through when only admitted attempts count."""
+    return budgets.admitted(M.request_log(spark, sf_dir), _BUDGET)
+
+
 @query("K3_usage_budgets", """WITH s AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS attempts, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1)
 SELECT second, CAST(sum(attempts) OVER w AS BIGINT) AS attempts_60s, CAST(sum(tokens) OVER w AS BIGINT) AS tokens_60s,
   CAST(sum(attempts) OVER (PARTITION BY CAST(to_timestamp(second - 28800) AT TIME ZONE 'UTC' AS DATE) ORDER BY second) AS BIGINT) AS attempts_day,
@@ -574,6 +651,26 @@ def newest_version(spark, sf_dir):
     return spark.read.parquet(out).select("movie_id", "text_sha256")
 
 
+@query("K4_versions_over_batches", """SELECT doc_id AS movie_id, 'en' AS language, CAST(CASE WHEN doc_id % 2 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version,
+  sha256(text || CASE WHEN doc_id % 2 = 0 THEN ' third' WHEN doc_id % 3 = 0 THEN ' second' ELSE '' END) AS text_sha256, true AS valid, CAST(1 AS BIGINT) AS stored FROM documents""")
+def versions_over_batches(spark, sf_dir):
+    """Three batches in the wrong order: the third versions of even ids, the first of all, the second of each third id.
+
+    `stored` counts the rows that the store holds of a movie: stale versions are not embedded.
+    """
+    from filmloom.functions.vectors import is_valid_vector
+    d = M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("movie_id"), F.lit("en").alias("language"), "text")
+    version = lambda rows, n, more: rows.select("movie_id", "language", F.concat("text", F.lit(more)).alias("text"), F.lit(n).alias("version"))
+    source, out, marks = new_dir(spark, "versions"), new_dir(spark, "store"), new_dir(spark, "marks")
+    batches = [version(d.where("movie_id % 2 = 0"), 3, " third"), version(d.where("movie_id % 6 <> 3"), 1, ""), version(d.where("movie_id % 3 = 0"), 2, " second")]
+    for batch in batches:
+        batch.write.mode("append").parquet(source)
+        serving.serve_embeddings(spark.readStream.schema(batch.schema).parquet(source), out, "p1", 16, marks).awaitTermination()
+    stored = vector_store.rows(spark, out).groupBy("movie_id").agg(F.count(F.lit(1)).alias("stored"))
+    rows = vector_store.current(spark, out).join(stored, "movie_id")
+    return rows.select("movie_id", "language", "version", "text_sha256", is_valid_vector(F.col("vector"), 16, 1e-4).alias("valid"), "stored")
+
+
 @query("U1_chunk_commits", "SELECT doc_id AS movie_id, true AS valid, true AS kept_by_first_run FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, true, false FROM documents WHERE doc_id % 2 = 1")
 def chunk_commits(spark, sf_dir):
     """An encoder that fails at one chunk loses that chunk alone; the next run encodes only what is missing."""

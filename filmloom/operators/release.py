@@ -224,6 +224,48 @@ def paired_release(vectors: DataFrame, languages: Sequence[str] = ("en", "sr"))
         "pair_fingerprint", chain_fingerprint(F.lit("paired-release-v2"), *[F.col(f"{x}_digest") for x in languages])).drop(*held)
 
 
+def paired_problems(movies: DataFrame, vectors: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """(language, movie_id, problem): per language, movies without a vector or with several, and vectors without a movie."""
+    spark = movies.sparkSession
+    named = spark.createDataFrame([(x,) for x in languages], "language string")
+    wanted = movies.select("movie_id").distinct().join(F.broadcast(named), F.lit(True)).withColumn("_wanted", F.lit(True))
+    held = vectors.groupBy("language", "movie_id").agg(F.count(F.lit(1)).alias("_n"))
+    problem = (F.when(F.col("_n").isNull(), "missing").when(F.col("_wanted").isNull(), "extra").when(F.col("_n") > 1, "repeated"))
+    return wanted.join(held, ["language", "movie_id"], "full_outer").select("language", "movie_id", problem.alias("problem")).where(
+        F.col("problem").isNotNull())
+
+
+def paired_descriptor(catalog: DataFrame, vectors: DataFrame, formats: dict[str, str], profile: str, version: str) -> DataFrame:
+    """One row that binds all language sets to one catalog: its digest and id set, and of each language the count, digests
+    of ids, texts and vectors, and the text format. `complete` if every set has each catalog id once and no other.
+
+    `identity` is the hash of all of it but `complete`: any other catalog, format, profile or set gives another one.
+    """
+    facts = bag_digest(catalog).select(F.col("rows").alias("records"), F.col("digest").alias("catalog_digest"))
+    ids = bag_digest(catalog.select("movie_id")).select(F.col("digest").alias("ids_digest"))
+    kinds = {"ids": ["movie_id"], "texts": ["movie_id", "fingerprint", "text_sha256"], "vectors": ["movie_id", "vector"]}
+    columns, complete = [], F.lit(True)
+    row = one_row(facts, ids)
+    for name, held in kinds.items():
+        found = bag_digest(vectors, held, by=["language"])
+        sets = [F.max(F.when(F.col("language") == x, F.col("digest"))).alias(f"{x}_{name}") for x in formats]
+        counts = [F.max(F.when(F.col("language") == x, F.col("rows"))).alias(f"{x}_rows") for x in formats] if name == "ids" else []
+        others = [F.count_if(~F.col("language").isin(list(formats))).alias("_others")] if name == "ids" else []
+        row = one_row(row, found.agg(*counts, *sets, *others))
+    # The id set of the catalog has the same digest as that of a language only if each id stands once in both.
+    single = catalog.groupBy("movie_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("_most"))
+    row = one_row(row, single)
+    for x in formats:
+        complete = complete & F.coalesce(F.col(f"{x}_ids") == F.col("ids_digest"), F.lit(False))
+        columns += [f"{x}_rows", f"{x}_ids", f"{x}_texts", f"{x}_vectors"]
+    row = row.withColumn("complete", complete & (F.col("_others") == 0) & (F.col("_most") == 1))
+    fixed = {"descriptor": "paired-release-v3", "version": version, "profile": profile, **{f"{x}_format": f for x, f in formats.items()}}
+    for name, value in fixed.items():
+        row = row.withColumn(name, F.lit(value))
+    bound = [*fixed, "records", "catalog_digest", "ids_digest", *columns]
+    return row.select(*bound, "complete", F.sha2(F.to_json(F.struct(*bound), {"ignoreNullFields": "false"}), 256).alias("identity"))
+
+
 def cast_readiness(movies: DataFrame) -> DataFrame:
     """One row: digest of the cast mapping and of the actor vocabulary, to compare with pinned values."""
     from filmloom.operators.actors import vocabulary

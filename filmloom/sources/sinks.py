@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -11,6 +12,7 @@ from filmloom.operators.catalog import coverage
 from filmloom.operators.evaluate import markdown
 from filmloom.operators.release import bag_digest, chain_fingerprint, load_decision, pair_vectors, unpaired
 from filmloom.operators.rules import GateError, one_row
+from filmloom.sources.folders import create_once, read_text
 
 Check = Callable[[DataFrame], DataFrame]
 
@@ -135,6 +137,20 @@ def write_vectors(vectors: DataFrame, path: str) -> DataFrame:
     return publish_once(ordered, path, partition_by=["language"])
 
 
+def publish_pair(descriptor: DataFrame, root: str) -> str:
+    """Write a paired descriptor once: `written`, `kept` where the same one stands already; a different one is refused."""
+    spark = descriptor.sparkSession
+    row = descriptor.first().asDict()
+    if not row.pop("complete"):
+        raise GateError("a language set is not that of the catalog")
+    path, text = f"{root}/paired-release.json", json.dumps(row, sort_keys=True)
+    if create_once(spark, path, text):
+        return "written"
+    if read_text(spark, path) != text:
+        raise GateError("another paired release stands there and is not overwritten")
+    return "kept"
+
+
 def replace_vectors(movies: DataFrame, vectors: DataFrame, root: str, version: int, fingerprint: str) -> str:
     """Publish a full paired set: every movie with both languages, or nothing at all."""
     paired = pair_vectors(vectors)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from filmloom.operators.filters import criteria_rules
 from filmloom.operators.rules import failed_rules
 from filmloom.operators.search import can_ask, recommend, route
+from filmloom.sources import vector_store
 
 
 def answer(requests: DataFrame, movies: DataFrame, serving: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -42,9 +43,6 @@ def serve(requests: DataFrame, movies: DataFrame, serving: DataFrame, out: str,
             .trigger(availableNow=True).start())
 
 
-_VECTORS = "movie_id long, language string, fingerprint string, text_sha256 string, vector array<float>"
-
-
 def newest(batch: DataFrame) -> DataFrame:
     """The row of the highest `version` of each movie and language; of equal versions that of the greater text."""
     fields = [c for c in batch.columns if c not in ("movie_id", "language")]
@@ -53,26 +51,17 @@ def newest(batch: DataFrame) -> DataFrame:
     return best.select("movie_id", "language", "r.*")
 
 
-def serve_embeddings(versions: DataFrame, vectors_path: str, profile: str, dimension: int, checkpoint: str):
-    """New catalog texts in, missing vectors appended; rows that are already valid are left alone.
+def serve_embeddings(versions: DataFrame, vectors_path: str, profile: str, dimension: int, checkpoint: str,
+                     buckets: int = vector_store.BUCKETS):
+    """New catalog texts in, missing vectors added to a store; `vector_store.current` reads one vector per movie and language.
 
-    Of several versions of a text in a batch the newest is embedded. Every batch owns the folder `batch=<id>` and reads
-    only earlier ones, and of those only the movies of the batch, so a retried batch gives the same rows.
+    The newest version of a text wins, in whatever order versions arrive: an older one that comes later is neither
+    embedded nor stored. Without a `version` column, the later batch is newer. A batch owns the folder `batch=<id>` and
+    looks only at earlier ones, so a retried batch gives the same rows.
     """
-    from filmloom.operators.embedding import embed_incrementally
-    spark = versions.sparkSession
-    spark.createDataFrame([], _VECTORS).write.mode("ignore").parquet(f"{vectors_path}/batch=-1")
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.schema(f"{_VECTORS}, batch long").parquet(vectors_path)
-        held = newest(batch).persist()
-        try:
-            ids = held.select("movie_id", "language")
-            prior = stored.where(F.col("batch") < batch_id).drop("batch").join(ids, ["movie_id", "language"], "left_semi")
-            _, fresh = embed_incrementally(prior, held, profile, dimension)
-            fresh.write.mode("overwrite").parquet(f"{vectors_path}/batch={batch_id}")
-        finally:
-            held.unpersist()
+        vector_store.add(newest(batch), vectors_path, batch_id, profile, dimension, buckets)
 
+    vector_store.create(versions.sparkSession, vectors_path, buckets)
     return (versions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
