@@ -134,11 +134,11 @@ def test_cut_texts(spark, odd, nothing):
 
 # ---- MinHash
 
-def brute_components(rows):
+def brute_components(rows, width=3, least=85):
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
-        sets.append({tuple(w)} if 0 < len(w) < 3 else {tuple(w[k:k + 3]) for k in range(len(w) - 2)})
+        sets.append({tuple(w)} if 0 < len(w) < width else {tuple(w[k:k + width]) for k in range(len(w) - width + 1)})
     ids = [i for i, _ in rows]
     low = list(ids)
     good = [k for k in range(len(rows)) if sets[k] and ids[k] is not None]
@@ -148,7 +148,7 @@ def brute_components(rows):
         for a in good:
             for b in good:
                 n = len(sets[a] & sets[b])
-                linked = ids[a] == ids[b] or 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)
+                linked = ids[a] == ids[b] or 100 * n >= least * (len(sets[a]) + len(sets[b]) - n)
                 if linked and low[b] < low[a]:
                     low[a], changed = low[b], True
     return [(ids[k], len(sets[k]), low[k], ids[k] is None or ids[k] == low[k]) for k in range(len(rows))]
@@ -276,7 +276,7 @@ def test_pipeline_on_a_small_table(spark):
         assert docs.columns == before.columns and 0 < docs.count() <= before.count()
         if name == "minhash_near_dedup":
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            kept = {i for i, n, low, keep in brute_components(rows) if keep}
+            kept = {i for i, n, low, keep in brute_components(rows, corpus_pipeline.NEAR["width"], corpus_pipeline.NEAR["least"]) if keep}
             assert {r["doc_id"] for r in docs.select("doc_id").collect()} == kept
         if name == "suffix_array_dedup":
             texts = {r["doc_id"]: r["text"] for r in before.collect()}
