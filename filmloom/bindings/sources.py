@@ -39,9 +39,10 @@ def _documents(df, label: str) -> str:
 @query("A1_tag_scores", M.with_sql(M.TAG_SCORES) + """SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'a "q", ' || tag ELSE tag END AS tag,
   CASE WHEN item_id % 7 <> 1 THEN round(score, 6) END AS score, CASE WHEN item_id % 7 = 1 THEN 'score' ELSE '' END AS failed FROM tag_scores WHERE item_id > 0
 UNION ALL SELECT CASE WHEN item_id = 0 THEN item_id END, tag, score, 'item_id' FROM (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'a "q", ' || tag ELSE tag END AS tag, CAST(NULL AS DOUBLE) AS score FROM tag_scores WHERE item_id <= 0)
-UNION ALL SELECT NULL, NULL, NULL, 'blank' FROM part""")
+UNION ALL SELECT NULL, NULL, NULL, 'blank' FROM part UNION ALL SELECT NULL, ' ', NULL, 'item_id|score' FROM supplier""")
 def tag_scores_file(spark, sf_dir):
-    """Quoted tags with quotes and commas; some scores are not finite, the id 0 is no id, and there are blank lines."""
+    """Quoted tags with quotes and commas; some scores are not finite, the id 0 is no id, there are blank lines and lines
+    whose tag is a space and whose numbers are none."""
     k = F.col("item_id")
     rows = M.tag_scores(spark, sf_dir).select(
         F.when(k % 5 == 0, F.concat(F.lit('a "q", '), "tag")).otherwise(F.col("tag")).alias("tag"), "item_id",
@@ -51,6 +52,8 @@ def tag_scores_file(spark, sf_dir):
     blank = M.table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise(F.lit("  ")).alias("value"),
                                                   F.floor(F.col("p_partkey") / 10000).alias("part"))
     M.with_header(blank, "tag,item_id,score").write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    M.with_header(M.table(spark, sf_dir, "supplier").select(F.lit(" ,abc,zzz").alias("value"), F.floor(F.col("s_suppkey") / 10000).alias("part")),
+                  "tag,item_id,score").write.option("maxRecordsPerFile", 1).mode("append").text(path)
     read = readers.read_tag_scores(spark, path)
     return read.select("item_id", "tag", F.when(F.size("failed_rules") == 0, F.col("score")).alias("score"), F.col("failed_rules").alias("failed"))
 
@@ -137,14 +140,14 @@ def ascending_ids(spark, sf_dir):
 def tolerant_shapes(spark, sf_dir):
     """The same records in three shapes; each fourth has a repeated key inside a nested object."""
     s = F.col("s_suppkey")
-    inner = F.when(s % 4 == 1, F.lit('{"name": 1, "name": 2}')).otherwise(F.lit('{"name": 1}'))
+    inner = F.when(s % 4 == 1, F.lit('{"name": 1, "name": 2}')).when(s % 4 == 2, F.lit('{"name": "x} {y", "k": "\\\\", "q": "\\"} {"}')).otherwise(F.lit('{"name": 1}'))
     records = M.table(spark, sf_dir, "supplier").select(s.alias("id"), inner.alias("inner"))
     compact = records.select(F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "inner": '), "inner", F.lit("}")).alias("value"))
     indented = records.select(F.concat(F.lit('{\n  "id": '), F.col("id").cast("string"), F.lit(',\n  "inner": '), "inner", F.lit("\n}")).alias("value"))
     # A sequence may also hold several objects on one line.
     pairs = compact.withColumn("pair", F.floor(F.get_json_object("value", "$.id").cast("bigint") / 2)).groupBy("pair").agg(F.array_join(F.collect_list("value"), " ").alias("value")).select("value")
     odd_line = F.get_json_object("value", "$.id").cast("bigint") % 3 == 0
-    mixed = indented.where(~odd_line).unionByName(pairs.select(F.explode(F.split(F.replace("value", F.lit("}} {"), F.lit("}}\u0001{")), "\u0001")).alias("value")).where(odd_line))
+    mixed = indented.where(~odd_line).unionByName(pairs.select(F.explode(F.split(F.replace("value", F.lit("}} {\"id"), F.lit("}}\u0001{\"id")), "\u0001")).alias("value")).where(odd_line))
     # One array file per fifty suppliers, as one file is one record of that shape.
     arrays = compact.withColumn("file", F.floor(F.get_json_object("value", "$.id").cast("bigint") / 50)).groupBy("file").agg(F.array_join(F.collect_list("value"), ",\n").alias("v")).select(F.concat(F.lit("["), "v", F.lit("]")).alias("value"))
     ddl, out = "id BIGINT, inner STRING", None
@@ -467,9 +470,9 @@ def expected_counts(spark, sf_dir):
 
 @query("J5_file_pins", """SELECT sha256(n_name || chr(10)) AS sha256, length(n_name) + 1 AS bytes, n_nationkey % 4 <> 1 AS ok FROM nation""")
 def file_pins(spark, sf_dir):
-    """A file for each nation against pins: a sha256, an md5 or a wrong one."""
+    """A file for each nation against pins: a sha256, an md5 or a wrong one. Files above eight bytes are read as streams."""
     nations = M.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value"))
-    hashes = R.file_hashes(spark, _documents(nations, "nations")).where("bytes > 0")
+    hashes = R.file_hashes(spark, _documents(nations, "nations"), limit=8).where("bytes > 0")
     text = F.concat("value", F.lit("\n"))
     k = F.col("n_nationkey") % 4
     # Files are told apart by their content; a pin is given to the file with that content.

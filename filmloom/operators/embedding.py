@@ -36,12 +36,21 @@ _IDENTITY = ["movie_id", "language", "fingerprint", "text_sha256"]
 def match_prior(prior: DataFrame, expected: DataFrame, dimension: int, tolerance: float = 1e-4) -> DataFrame:
     """Expected rows with the prior vector of the same id, language, fingerprint and text hash, or null.
 
-    One join tells kept and pending rows apart. A repeated prior row counts once; the choice is a
-    commutative minimum, never a list.
+    A repeated prior row counts once: of different vectors of one identity that of the least hash.
     """
-    valid = prior.where(is_valid_vector(F.col("vector"), dimension, tolerance))
-    single = valid.groupBy(*_IDENTITY).agg(F.min("vector").alias("vector"))
-    return expected.join(single, _IDENTITY, "left")
+    valid = prior.where(is_valid_vector(F.col("vector"), dimension, tolerance)).select(*_IDENTITY, "vector", F.xxhash64("vector").alias("_h"))
+    # Identities and a hash decide; vectors are then streamed past the decisions and never sorted.
+    copies = valid.groupBy(*_IDENTITY, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    picked = copies.groupBy(*_IDENTITY).agg(F.min("_h").alias("_h"), F.max("_n").alias("_n"))
+    columns = [*_IDENTITY, *[c for c in expected.columns if c not in _IDENTITY]]
+    asked = expected.join(picked, _IDENTITY, "left").select(*columns, "_h", "_n")
+    single = valid.join(asked.where("_n = 1").drop("_n").hint("shuffle_hash"), [*_IDENTITY, "_h"]).select(*columns, "vector")
+    # Copies of a prior row are equal but for collisions of the hash, so the set of one identity is one vector.
+    several = valid.join(asked.where("_n > 1").select(*_IDENTITY, "_h").distinct().hint("shuffle_hash"), [*_IDENTITY, "_h"], "left_semi")
+    least = several.groupBy(*_IDENTITY).agg(F.array_min(F.collect_set("vector")).alias("vector"))
+    repeated = least.join(asked.where("_n > 1").drop("_h", "_n").hint("shuffle_hash"), _IDENTITY).select(*columns, "vector")
+    rest = asked.where("_n IS NULL").select(*columns, F.lit(None).cast(prior.schema["vector"].dataType).alias("vector"))
+    return single.unionByName(repeated).unionByName(rest)
 
 
 def reusable(prior: DataFrame, expected: DataFrame, dimension: int, tolerance: float = 1e-4) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filmloom.functions.vectors import is_valid_vector
@@ -155,11 +158,34 @@ def verify_chain(release: DataFrame, version: str, inputs: Sequence[str], stored
     return release.withColumn("chain_ok", F.col(stored).eqNullSafe(recomputed))
 
 
-def file_hashes(spark, paths: str | list[str]) -> DataFrame:
-    """(name, bytes, sha256, md5) of whole files below 2 GB; larger inputs use a row digest."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
-                        F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+LARGEST_ROW = 1 << 30  # files beyond this many bytes are read as a stream
+_READ = 8 << 20
+
+
+def file_hashes(spark, paths: str | list[str], limit: int = LARGEST_ROW) -> DataFrame:
+    """(name, bytes, sha256, md5) of whole files of any size, each hashed by one task.
+
+    Files up to `limit` bytes are rows of the binary source. Larger ones, which no row could hold, are read by the tasks
+    in pieces of 8 MB, so memory does not grow with the file.
+    """
+    listed = spark.read.format("binaryFile").load(paths)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    small = listed.where(F.col("length") <= limit).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
+                                                         F.md5("content").alias("md5"))
+    large = listed.where(F.col("length") > limit).select(name, F.col("length").alias("bytes"), "path")
+    return small.unionByName(large.repartition("path").mapInArrow(_streamed_hashes, "name string, bytes long, sha256 string, md5 string"))
+
+
+def _streamed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            sums = hashlib.sha256(), hashlib.md5()
+            files, place = pafs.FileSystem.from_uri(row["path"])
+            with files.open_input_stream(place) as stream:
+                while piece := stream.read(_READ):
+                    for s in sums:
+                        s.update(piece)
+            yield pa.RecordBatch.from_pylist([{"name": row["name"], "bytes": row["bytes"], "sha256": sums[0].hexdigest(), "md5": sums[1].hexdigest()}])
 
 
 def check_pins(hashes: DataFrame, pins: DataFrame) -> DataFrame:

@@ -41,12 +41,14 @@ def read_tag_scores(spark: SparkSession, path) -> DataFrame:
     score = F.expr("try_cast(trim(score) AS DOUBLE)")
     rules = [Rule("fields", F.col(CORRUPT).isNull()), Rule("tag", F.length("tag") > 0),
              Rule("item_id", _safe_id(item)), Rule("score", is_finite(score))]
-    rows = raw.select("tag", item.alias("item_id"), score.alias("score"), failed_rules(rules).alias("failed_rules"))
+    # A line of spaces has too few fields; one with commas is a data line, whatever its fields hold.
+    spaces = F.coalesce(F.col(CORRUPT).rlike(r"^\s*$"), F.lit(False))
+    rows = raw.select("tag", item.alias("item_id"), score.alias("score"), failed_rules(rules).alias("failed_rules"), spaces.alias("_blank"))
     # Lines of one field that hold nothing or spaces come back from the text reader; the other reader skips them.
     blanks = blank_lines(spark, path).select(
         F.lit(None).cast("string").alias("tag"), F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("double").alias("score"),
         F.array(F.lit("blank")).alias("failed_rules"))
-    return rows.where(~(F.col("tag").isNotNull() & (F.trim("tag") == "") & item.isNull() & F.col("score").isNull())).unionByName(blanks)
+    return rows.where(~F.col("_blank")).drop("_blank").unionByName(blanks)
 
 
 def read_links(spark: SparkSession, path) -> DataFrame:
@@ -170,6 +172,17 @@ def ascending_problems(rows: DataFrame, key: str = "movieLensId") -> DataFrame:
     return within.unionByName(across)
 
 
+def _between_objects(text: Column) -> Column:
+    """The text with a mark between objects that follow each other; braces inside strings are left alone.
+
+    Escaped backslashes and quotes are set aside first, so that a string is a run between two quotes.
+    """
+    aside = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\u0002")), F.lit('\\"'), F.lit("\u0003"))
+    tokens = F.regexp_extract_all(aside, F.lit(r'"[^"]*+"|\}\s*\{|[^"}]++|\}|"'), F.lit(0))
+    joined = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\}\s*\{$"), F.lit("}\u0001{")).otherwise(t)), "")
+    return F.replace(F.replace(joined, F.lit("\u0003"), F.lit('\\"')), F.lit("\u0002"), F.lit("\\\\"))
+
+
 def read_tolerant(spark: SparkSession, path, schema: str, shape: str) -> DataFrame:
     """One JSON array ('array'), indented objects one after another ('sequence') or 'jsonl'.
 
@@ -181,7 +194,7 @@ def read_tolerant(spark: SparkSession, path, schema: str, shape: str) -> DataFra
     if shape == "sequence":
         chunks = spark.read.option("lineSep", "\n}").text(path)
         # The separator takes the closing brace of an indented object with it; what lacks one gets it back.
-        texts = chunks.select(F.explode(F.split(F.concat(F.regexp_replace("value", r"\}\s*\{", "}\u0001{"), F.lit("\n}")), "\u0001")).alias("value"))
+        texts = chunks.select(F.explode(F.split(F.concat(_between_objects(F.col("value")), F.lit("\n}")), "\u0001")).alias("value"))
         whole = F.when(F.try_parse_json("value").isNull() & F.try_parse_json(F.regexp_replace("value", r"\s*\}$", "")).isNotNull(),
                        F.regexp_replace("value", r"\s*\}$", "")).otherwise(F.col("value"))
         return _ordered_objects(texts.select(whole.alias("value")).where(~F.col("value").rlike(r"^\s*\}?\s*$")), schema)
