@@ -10,6 +10,8 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmloom import vocab
@@ -18,6 +20,8 @@ from filmloom.functions.vectors import cosine_distance, is_valid_vector, l2_norm
 from filmloom.operators.filters import ARRAY_FIELDS, FIELDS, filter_movies, has_active_filter
 from filmloom.operators.release import language_readiness
 from filmloom.operators.rules import GateError, Rule
+from filmloom.session import new_dir
+from filmloom.sources.folders import names_in
 
 LIMIT = vocab.RESULT_LIMIT
 # Summation order differs between kernels; equal vectors must still tie, so distances are rounded before ranking.
@@ -352,10 +356,11 @@ def _scan_ordered(block: _Block, table: pa.Table, best: _Best) -> None:
 
 
 def _rank_block(table: DataFrame, queries: DataFrame, limit: int, with_vector: bool, max_block: int) -> DataFrame:
-    """Local top lists. Queries go in blocks of bounded size, each sent once to the movies, which never move.
+    """Local top lists. Queries go in blocks of bounded size to the movies, which never move and are read once.
 
     With vectors a block holds one language and one length of vector, so a pass reads that language alone and every
-    cell of its matrix product counts.
+    cell of its matrix product counts. Queries of one block are sent out; more are written as blocks to the shared
+    folder, and tasks read them from there, one after the other, so neither the driver nor a task ever holds all.
     """
     movie_side, query_side = _movie_side(table, with_vector), _query_side(queries, with_vector)
     kind = [F.col("language"), F.size("query_vector").alias("d")] if with_vector else [F.lit(None).alias("language"), F.lit(0).alias("d")]
@@ -369,23 +374,54 @@ def _rank_block(table: DataFrame, queries: DataFrame, limit: int, with_vector: b
         # Wide query vectors make smaller blocks: a block is bounded in bytes, not in rows alone.
         most = max(1, min(max_block, _BLOCK_BYTES // (8 * (row["d"] + 64))))
         parts = -(-row["count"] // most)
-        cell = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        for part in range(parts):
-            head = asked.where(cell == part).toArrow() if parts > 1 else asked.toArrow()
-            if head.num_rows:
-                shared = context.broadcast(_Block(head, limit, with_vector))
-                top = movies.mapInArrow(_scanner(shared), _TOP_SCHEMA)
-                found = top if found is None else found.unionByName(top)
+        if parts == 1:
+            scan = _scanner(context.broadcast(_Block(asked.toArrow(), limit, with_vector)))
+        else:
+            scan = _folder_scanner(_written_blocks(asked, parts), limit, with_vector)
+        top = movies.mapInArrow(scan, _TOP_SCHEMA)
+        found = top if found is None else found.unionByName(top)
     return found if found is not None else table.sparkSession.createDataFrame([], _TOP_SCHEMA)
 
 
 _BLOCK_BYTES = 64 << 20
+_PASS_BYTES = 64 << 20
 
 
 def _scanner(shared):
     return lambda batches: _scan(shared.value, batches)
 
 
+def _written_blocks(asked: DataFrame, parts: int) -> list[str]:
+    """Folders of the query blocks in the shared folder, which tasks must be able to open by Arrow's file systems."""
+    folder = new_dir(asked.sparkSession, "queries")
+    (asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts))).repartition(parts, "part")
+     .write.partitionBy("part").parquet(folder))
+    return [f"{folder}/{name}" for name in names_in(asked.sparkSession, folder)]
+
+
+def _folder_scanner(folders: list[str], limit: int, with_vector: bool):
+    """Holds some MB of movies at a time and passes all blocks by them; each pass leaves its own top lists."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _PASS_BYTES:
+                yield from _passes(folders, limit, with_vector, held)
+                held, size = [], 0
+        if held:
+            yield from _passes(folders, limit, with_vector, held)
+
+    return scan
+
+
+def _passes(folders: list[str], limit: int, with_vector: bool, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for folder in folders:
+        files, place = pafs.FileSystem.from_uri(folder)
+        block = pq.read_table(place, filesystem=files, partitioning=None)
+        yield from _scan(_Block(block, limit, with_vector), iter(held))
+
+
 def top_per_query(candidates: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Merge the local lists. The limit is applied before and after the shuffle."""
     w = Window.partitionBy("query_id").orderBy("k1", "k2", "k3", "movie_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from filmloom.bindings import model as M
 from filmloom.operators import catalog as C, filters as FL, release as R, sampling as SA, search as S
 from filmloom.streaming import limits
@@ -55,7 +57,7 @@ def test_catalog_merge_moves_each_source_once(spark):
 
 
 def test_query_blocks_leave_movies_in_place(spark):
-    """More queries than a block holds: movies are scanned again, never exchanged with their vectors."""
+    """More queries than a block holds: movies are scanned once, never exchanged with their vectors."""
     serving = spark.read.parquet(f"{SF}/embeddings.parquet")
     from pyspark.sql import functions as F
     serving = serving.select(F.col("vec_id").alias("movie_id"), F.lit("en").alias("language"), F.col("embedding").alias("vector"), F.lit(1.0).alias("norm"),
@@ -63,4 +65,24 @@ def test_query_blocks_leave_movies_in_place(spark):
                                                                           ("original_language", "string"), ("average_rating", "decimal(16,12)"), ("rating_count", "long"))])
     asked = M.asking(spark, SF).where("language = 'en'")
     text = plan(S.batch_hybrid(serving, asked, max_block=8))
-    assert text.count("FileScan") > 1 and "embedding" not in "".join(x for x in text.splitlines() if "Exchange" in x)
+    assert text.count("FileScan") == 1 and "embedding" not in "".join(x for x in text.splitlines() if "Exchange" in x)
+
+
+def test_many_queries_never_pass_the_driver(spark, monkeypatch):
+    """20,000 queries in some dozens of blocks: one scan of the movies, and nothing is collected but counts."""
+    from pyspark.sql import DataFrame, functions as F
+    serving = S.serving_table(M.movies(spark, SF), M.vectors(spark, SF))
+    asked = M.asking(spark, SF).withColumn("query_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20_000 // 150)), lambda k: F.concat("query_id", F.lit("-"), k.cast("string")))))
+    assert asked.count() >= 20_000
+    few = S.batch_hybrid(serving, asked.where("query_id LIKE '%-7'")).withColumn("query_id", F.split("query_id", "-")[0])
+    want = Counter((r.query_id, r["rank"], r.movie_id) for r in few.collect())
+
+    def refused(self):
+        raise AssertionError("queries pass the driver")
+
+    monkeypatch.setattr(type(asked), "toArrow", refused)
+    found = S.batch_hybrid(serving, asked, max_block=512)
+    assert plan(found).count("FileScan") <= 2 * plan(serving).count("FileScan")  # once for each language
+    rows = Counter((r.query_id.split("-")[0], r["rank"], r.movie_id) for r in found.collect())
+    copies = asked.count() // M.asking(spark, SF).count()
+    assert rows == Counter({k: n * copies for k, n in want.items()})
