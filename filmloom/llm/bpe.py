@@ -64,18 +64,23 @@ class Codec:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocabulary[left]][vocabulary[right]] = rank
             self.merged.append(vocabulary[left + right])
+        pairs = [(a, b) for a in self.byte_ids for b in self.byte_ids]
+        self.first = {(a, b): self.ranks[a].get(b, len(self.merged)) for a, b in pairs}  # before any merge
         self.joined = [bytearray(256) for _ in range(256)]  # 1 where the byte pair occurs inside a token
         for token in self.tokens:
             for a, b in zip(token, token[1:]):
                 self.joined[a][b] = 1
+        self.close = frozenset((a, b) for a in range(256) for b in range(256) if self.joined[a][b])
         for token, i in self.special.items():
             self.tokens[i] = token.encode()
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces = Memory(self._piece, remembered * 4 // 7)
-        self.chunks = Memory(self._spaced, remembered)
+        self.pieces = Memory(self._piece, remembered // 7)
+        self.chunks = Memory(self._spaced, remembered * 10 // 7)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece, cut wherever no token of the vocabulary could hold both neighbours."""
+        if self.close.issuperset(zip(piece, piece[1:])):
+            return [piece]
         joined, start, out = self.joined, 0, []
         for i, (a, b) in enumerate(zip(piece, piece[1:]), 1):
             if not joined[a][b]:
@@ -87,11 +92,11 @@ class Codec:
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the pair of least rank merges first, the leftmost of equals."""
         byte_ids = self.byte_ids
-        ids = [byte_ids[b] for b in fragment]
+        ids = list(map(byte_ids.__getitem__, fragment))
         if len(ids) > _LIST_LIMIT:
             return self._merge_long(ids)
         ranks, merged, none = self.ranks, self.merged, len(self.merged)
-        order = [ranks[a].get(b, none) for a, b in zip(ids, ids[1:])]
+        order = list(map(self.first.__getitem__, zip(ids, ids[1:])))
         while order:
             best = min(order)
             if best == none:
@@ -137,8 +142,9 @@ class Codec:
         letters = chunk.rstrip(_MARKS)
         if not letters.isalpha():
             return self._chunk(" " + chunk)
-        ids, marks = self.pieces[b" " + letters.encode()], chunk[len(letters):]
-        return ids + self.pieces[marks.encode()] if marks else ids
+        if len(letters) < len(chunk):
+            return self.chunks[letters] + self.pieces[chunk[len(letters):].encode()]
+        return self._piece(b" " + letters.encode())  # remembered as a chunk, and nowhere else
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.pieces[p.encode()] for p in WORDS.findall(chunk)])
