@@ -6,12 +6,14 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filmloom.session import new_dir, ship_package
+from filmloom.sources.folders import remove
 
 BATCH_BYTES = 8 << 20
 
@@ -41,6 +43,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def keeping_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage over documents that never meets its own column names: others than doc_id and text get plain names for its
+    duration, and all come back under their own, dots and helpers' names included."""
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        ready(docs.sparkSession)
+        plain = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)]
+        return stage(docs.toDF(*plain), *args, **kwargs).toDF(*docs.columns)
+
+    return run
+
+
 def fold_of(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds
@@ -54,6 +68,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Give the disk of a `saved` table back once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text, so that results of long texts stay small in memory."""
     for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filmloom.llm.common import fold_of, fresh_name, saved, slices, texts, worker_state
+from filmloom.llm.common import discarded, fold_of, fresh_name, saved, slices, texts, worker_state
 
 END = b" "  # no word holds a space
 CONTEXTS = 1 << 16
@@ -292,6 +292,7 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
     vocabulary = saved(word_counts(training), "words")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = most_frequent(vocabulary, head_words).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    discarded(vocabulary)
     # The end's own space would vanish among the separators, so it is written as the empty word.
     listed = b" ".join(b"" if w == END else w for w in top.column("word").to_pylist())
     counts = top.column("n").to_numpy().astype(np.float64)
@@ -299,6 +300,7 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
     head = context.broadcast((listed, counts))  # bounded by head_words
     often = saved(pair_counts(training, head, name).filter("n > 1"), "pairs")  # all others are counted below
     kept = most_frequent(often, pairs).toArrow().sort_by("pair")
+    discarded(often)
     held = np.zeros(CONTEXTS)
     held[:len(counts)] = counts[:CONTEXTS]
     trie = Trie.build(counts, kept.column("pair").to_numpy(), kept.column("n").to_numpy(), total, distinct, mu, held)
@@ -339,8 +341,8 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
                               mask=~inside[at])})
             open_[near[places >= 0]] = False
             at = np.flatnonzero(open_)
-            pairs_ = _lists(ends, at, {"pair": pa.array(before[at] << 32 | ids[at]),
-                                       "n": pa.array(known.counts[ids[at]].astype(np.int64))})
+            stops = pa.array(np.concatenate([[0], np.searchsorted(at, ends, "right")]), pa.int32())
+            pairs_ = pa.ListArray.from_arrays(stops, pa.array(before[at] << 32 | ids[at]))
             yield pa.record_batch(
                 [pa.array(row + np.arange(len(ends))), batch.column("doc_id"), batch.column("held_out"),
                  pa.array(ends + 1 - starts), pa.array(np.add.reduceat(inside, starts, dtype=np.int64)),
@@ -350,9 +352,10 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
 
     schema = ("row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, "
               "head_score double, tail array<struct<before: binary, word: binary, n: long>>, "
-              "pairs array<struct<pair: long, n: long>>")
+              "pairs array<long>")
     scored = saved(rows.mapInArrow(run, schema), "scored")
-    listed_ = lambda column: scored.select("row", (~F.col("held_out")).cast("int").alias("trained"), F.inline(column))
+    fold = (~F.col("held_out")).cast("int")
+    listed_ = lambda column: scored.select("row", fold.alias("trained"), F.inline(column))
     trained = lambda *by: F.sum("trained").over(Window.partitionBy(*by))
 
     def gain(*pair: str) -> Column:
@@ -366,7 +369,14 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
                        (log + F.log10(mu / (F.col("n") + mu)) + gain("word", "before")).alias("value"))
     zero = [F.lit(0).cast("bigint").alias("known"), F.lit(0.0).alias("base")]
     other = listed_("tail").filter("n is not null").select("row", *zero, gain("before", "word").alias("value"))
-    plain = listed_("pairs").select("row", *zero, gain("pair").alias("value"))
+    # Two numbers go with each occurrence: the pair, and the row with its fold; the word's count joins them afterwards.
+    marked = scored.select((2 * F.col("row") + fold).alias("marked"), F.explode("pairs").alias("pair")).repartition("pair")
+    listed_counts = spark.createDataFrame(pa.table([pa.array(np.arange(len(counts))), pa.array(counts.astype(np.int64))], names=["word", "n"]),
+                                          "word long, n long")  # bounded by head_words
+    plain = (marked.select(F.shiftright("marked", 1).alias("row"), F.col("marked").bitwiseAND(1).alias("trained"), "pair")
+             .withColumn("seen", trained("pair")).withColumn("word", F.col("pair").bitwiseAND((1 << 32) - 1))
+             .join(F.broadcast(listed_counts), "word")
+             .select("row", *zero, F.log10(1 + F.col("seen") / (mu * (F.col("n") + 1.0) / (total + distinct + 1.0))).alias("value")))
     rest = rare.unionByName(other).unionByName(plain).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "value")))
     known, base, value = (F.coalesce(F.col(c), F.lit(0)) for c in ("known", "base", "value"))
     return scored.drop("tail", "pairs").join(rest, "row", "left").select(
