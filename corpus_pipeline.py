@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filmloom.llm import minhash, packing, secret_scan, suffix_dedup, toxicity
-from filmloom.llm.common import ready, saved
+from filmloom.llm.common import keeping_columns, ready, saved
 
 TOXIC = 0.5
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,9 +18,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from `labels` outside its held-out fold."""
     ready(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = "_".join(["toxic", *docs.columns])  # no column's own name, whatever they are called
-    scored = toxicity.scored(docs, model, list(docs.columns), name)
-    return scored.filter(F.col(name) < TOXIC).select(*docs.columns)
+
+    @keeping_columns
+    def clean(rows: DataFrame) -> DataFrame:
+        return toxicity.scored(rows, model, rows.columns, "toxic").filter(F.col("toxic") < TOXIC).drop("toxic")
+
+    return clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
