@@ -11,9 +11,10 @@ is resolved exactly by scores and ids.
 Queries go in blocks of bounded size against all rows, so what is sent to the tasks does not grow with the data; each
 task gives k rows per query, and k of those stay.
 
-Rows: vectors that are null, or hold null or non-finite components, or have another number of components than the most
-frequent one, take no part; repeated vectors tie and the smaller id comes first; a row never answers itself, and of
+Rows: vectors that are null, or hold null or non-finite components, take no part; vectors answer those of their own
+length, and empty ones score 0; repeated vectors tie and the smaller id comes first; a row never answers itself, and of
 rows that repeat an id none answers another, and the least vector asks; null ids take no part; an empty table gives an empty table.
+Components so large that a sum of products could pass 64 bits are refused by an error.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from filmloom.llm.common import saved
+from filmloom.llm.common import ready, saved
 
 SCALE = 1024
 EVERY = 100
@@ -39,8 +40,13 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
     good = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
-                                                        & (F.size("embedding") > 0)).filter(F.coalesce(fine, F.lit(False)))
-    return good.select(F.col("vec_id").cast("bigint"), F.transform(x, lambda v: F.floor(v * scale).cast("bigint")).alias("parts"))
+                                                        ).filter(F.coalesce(fine, F.lit(False)))
+    # Any two vectors of such components have a product below 2 ** 62.
+    most = F.sqrt(F.lit(2.0 ** 62) / F.greatest(F.size("embedding"), F.lit(1))) / scale - 1
+    large = F.exists(x, lambda v: F.abs(v) > most)
+    parts = F.when(large, F.raise_error(F.lit("components are too large for sums of 64 bits"))).otherwise(
+        F.transform(x, lambda v: F.floor(v * scale).cast("bigint")))
+    return good.select(F.col("vec_id").cast("bigint"), parts.cast("array<bigint>").alias("parts"))
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, int]:
@@ -137,22 +143,22 @@ class Index:
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k best other rows."""
     spark = vectors.sparkSession
-    rows = saved(quantised(vectors, scale), "quantised")
-    sizes = rows.groupBy(F.size("parts").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.filter(F.size("parts") == sizes[0]["d"])
-    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("parts").alias("parts"))
-    cell = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // query_block))))
-    blocks = asked.groupBy(cell.alias("cell")).count().orderBy("cell").collect()
+    ready(spark)
+    table = saved(quantised(vectors, scale), "quantised")
     found = None
-    for block in blocks:
-        got = asked.filter(cell == block["cell"]).toArrow()
-        ids = got.column("vec_id").to_numpy()
-        values = np.array(got.column("parts").to_pylist(), np.int64)
-        sent = spark.sparkContext.broadcast((ids, values))  # bounded by about query_block rows
-        part = saved(rows.mapInArrow(_answers(sent, k), ANSWER), "answers")
-        found = part if found is None else found.unionByName(part)
+    for size in [r["d"] for r in table.select(F.size("parts").alias("d")).distinct().orderBy("d").collect()]:
+        rows = table.filter(F.size("parts") == size)
+        if not size:
+            rows = rows.withColumn("parts", F.array(F.lit(0).cast("bigint")))
+        asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("parts").alias("parts"))
+        cell = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // query_block))))
+        for block in asked.groupBy(cell.alias("cell")).count().orderBy("cell").collect():
+            got = asked.filter(cell == block["cell"]).toArrow()
+            ids = got.column("vec_id").to_numpy()
+            values = np.array(got.column("parts").to_pylist(), np.int64)
+            sent = spark.sparkContext.broadcast((ids, values))  # bounded by about query_block rows
+            part = saved(rows.mapInArrow(_answers(sent, k), ANSWER), "answers")
+            found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filmloom.llm.common import saved
+from filmloom.llm.common import ready, saved
 from filmloom.llm.components import components
 
 LEAST = 0.98
@@ -42,7 +42,7 @@ def usable() -> Column:
 
 def linked(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; rows link when labels are equal and the cosine reaches `least`."""
-    spark = vectors.sparkSession
+    ready(vectors.sparkSession)
     rows = saved(vectors.select(F.col("vec_id").cast("bigint"), "embedding", "label").withColumn("good", usable())
                  .withColumn("key1", F.xxhash64("embedding")).withColumn("key2", F.xxhash64(F.lit("second"), "embedding")),
                  "vectors")
@@ -83,6 +83,14 @@ def linked(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. A power of two, which changes no digit, first brings each row to where squares are finite."""
+    if not x.size:
+        return x
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _dealt(classes: DataFrame, pivots: list[np.ndarray], least: float) -> DataFrame:
     """label, width, cell, home, class, copies, embedding: each vector in its cell and copied to those near by."""
     far = math.sqrt(2 - 2 * least) + _SLACK
@@ -100,8 +108,8 @@ def _dealt(classes: DataFrame, pivots: list[np.ndarray], least: float) -> DataFr
         for width in np.unique(widths):
             rows = np.flatnonzero(widths == width)
             x = flat[starts[rows][:, None] + np.arange(width)]
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            p = np.array([v / np.linalg.norm(v) for v in pivots if len(v) == width]).reshape(-1, width)
+            x = _unit(x)
+            p = _unit(np.array([v for v in pivots if len(v) == width]).reshape(-1, width))
             if not len(p):  # vectors of a rare length share one cell
                 p = np.zeros((1, width))
             d2 = np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T, 0)
@@ -118,9 +126,11 @@ def _dealt(classes: DataFrame, pivots: list[np.ndarray], least: float) -> DataFr
                  pa.array(own[i] == cell), *columns[1:]],
                 names=["label", "width", "cell", "home", "class", "copies", "embedding"])
 
-    source = classes.select("label", "class", "copies", F.col("embedding").cast("array<float>"))
+    # Components keep their own precision: floats as they are, all else as doubles.
+    own = "float" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    source = classes.select("label", "class", "copies", F.col("embedding").cast(f"array<{own}>"))
     kind = classes.schema["label"].dataType.simpleString()
-    return source.mapInArrow(run, f"label {kind}, width int, cell int, home boolean, class long, copies long, embedding array<float>")
+    return source.mapInArrow(run, f"label {kind}, width int, cell int, home boolean, class long, copies long, embedding array<{own}>")
 
 
 def _cell(least: float):
@@ -128,7 +138,7 @@ def _cell(least: float):
         asks = block.column("asks").to_numpy()
         width = block.column("width")[0].as_py()
         x = block.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(x)
         ids, copies = block.column("class").to_numpy(), block.column("copies").to_numpy()
         homes, members = np.flatnonzero(asks), np.flatnonzero(~asks)
         near = x[homes] @ x[members].T >= least

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import saved, slices, texts, worker_state
+from filmloom.llm.common import keeping_columns, saved, slices, texts, worker_state
 from filmloom.llm.components import components
 
 WIDTH = 3
@@ -254,16 +254,18 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST, tables: int
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@keeping_columns
 def survivors(docs: DataFrame, width: int = WIDTH, least: int = LEAST, tables: int = TABLES, parts: int = PARTS) -> DataFrame:
-    """The same columns of one row of each component: of the row of its least id, and of one where rows repeat that id.
+    """The same columns of one row of each component: of the row of its least id. Rows that repeat that id stay once per text.
 
     Rows without words stay as they are, and so do rows without id.
     """
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
     found = linked(docs, width, least, tables, parts)
     kept = found.filter(F.col("kept") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("kept_id")).distinct()
-    marked = docs.withColumn("seal", own).withColumn("wordless", F.coalesce(~F.col("text").rlike(r"[^ \t-\r]"), F.lit(True)))
+    marked = docs.withColumn("wordless", F.coalesce(~F.col("text").rlike(r"[^ \t-\r]"), F.lit(True)))
     alone = marked.filter(F.col("doc_id").isNull() | F.col("wordless")).select(*docs.columns)
+    # Two hashes stand for the text among rows of one id.
+    own = {"seal": F.xxhash64("text"), "second": F.xxhash64(F.lit("second"), "text")}
     linked_rows = marked.filter(F.col("doc_id").isNotNull() & ~F.col("wordless")).join(
-        kept, F.col("doc_id") == F.col("kept_id")).dropDuplicates(["doc_id"])
+        kept, F.col("doc_id") == F.col("kept_id")).withColumns(own).dropDuplicates(["doc_id", *own])
     return linked_rows.select(*docs.columns).unionByName(alone)

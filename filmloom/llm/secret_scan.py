@@ -23,7 +23,7 @@ from itertools import islice, takewhile
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import saved, slices, texts, worker_state
+from filmloom.llm.common import keeping_columns, saved, slices, texts, worker_state
 
 # The three plain patterns, and the letters that runs of credentials consist of.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -253,6 +253,7 @@ def digests(found: DataFrame) -> DataFrame:
                         written(F.col("spans")).alias("spans"), count(ADDED).alias("n_format"))
 
 
+@keeping_columns
 def redacted(docs: DataFrame, sample: int = SAMPLE, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with every span of a text replaced by the mark; a null text stays null."""
     formats = docs.sparkSession.sparkContext.broadcast(fit(saved(scan(docs), "spans"), sample))

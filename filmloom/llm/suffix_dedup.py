@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmloom.llm.common import saved, slices, texts, worker_state
+from filmloom.llm.common import keeping_columns, saved, slices, texts, worker_state
 
 LENGTH = 200
 GRAM = 64
@@ -304,6 +304,7 @@ def removed(docs: DataFrame) -> DataFrame:
                     pick(F.sha2(F.lit(""), 256), F.col("rest"), F.col("whole")).alias("kept_sha256")))
 
 
+@keeping_columns
 def cleaned(docs: DataFrame) -> DataFrame:
     """The same columns with the repeats cut out of every text; rows of which nothing is left go, others all stay.
 
