@@ -353,9 +353,12 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
     schema = ("row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, "
               "head_score double, tail array<struct<before: binary, word: binary, n: long>>, "
               "pairs array<long>")
-    scored = saved(rows.mapInArrow(run, schema), "scored")
+    scored = saved(rows.mapInArrow(run, schema), "scored", "zstd")
     fold = (~F.col("held_out")).cast("int")
-    listed_ = lambda column: scored.select("row", fold.alias("trained"), F.inline(column))
+    # One number goes with each occurrence for its row and its fold; each is brought together by its word or pair.
+    own = (2 * F.col("row") + fold).alias("marked")
+    opened = lambda df: df.select("*", F.shiftright("marked", 1).alias("row"), F.col("marked").bitwiseAND(1).alias("trained"))
+    tails = scored.select(own, F.inline("tail"))
     trained = lambda *by: F.sum("trained").over(Window.partitionBy(*by))
 
     def gain(*pair: str) -> Column:
@@ -363,18 +366,17 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
         return F.log10(1 + trained(*pair) / (mu * (F.col("n") + 1.0) / (total + distinct + 1.0)))
 
     # All occurrences of a word beyond the head are here, so they give its count, and one shuffle on words serves both windows.
-    rare = listed_("tail").filter("n is null").withColumn("n", trained("word"))
+    rare = opened(tails.filter("n is null").select("marked", "before", "word").repartition("word")).withColumn("n", trained("word"))
     log = F.log10(F.col("n") + 1.0) + unseen
     rare = rare.select("row", (F.col("n") > 0).cast("bigint").alias("known"), log.alias("base"),
                        (log + F.log10(mu / (F.col("n") + mu)) + gain("word", "before")).alias("value"))
     zero = [F.lit(0).cast("bigint").alias("known"), F.lit(0.0).alias("base")]
-    other = listed_("tail").filter("n is not null").select("row", *zero, gain("before", "word").alias("value"))
-    # Two numbers go with each occurrence: the pair, and the row with its fold; the word's count joins them afterwards.
-    marked = scored.select((2 * F.col("row") + fold).alias("marked"), F.explode("pairs").alias("pair")).repartition("pair")
+    other = opened(tails.filter("n is not null").repartition("before", "word")).select("row", *zero, gain("before", "word").alias("value"))
+    # Of a pair of head words, the word's count joins after the shuffle.
+    marked = scored.select(own, F.explode("pairs").alias("pair")).repartition("pair")
     listed_counts = spark.createDataFrame(pa.table([pa.array(np.arange(len(counts))), pa.array(counts.astype(np.int64))], names=["word", "n"]),
                                           "word long, n long")  # bounded by head_words
-    plain = (marked.select(F.shiftright("marked", 1).alias("row"), F.col("marked").bitwiseAND(1).alias("trained"), "pair")
-             .withColumn("seen", trained("pair")).withColumn("word", F.col("pair").bitwiseAND((1 << 32) - 1))
+    plain = (opened(marked).withColumn("seen", trained("pair")).withColumn("word", F.col("pair").bitwiseAND((1 << 32) - 1))
              .join(F.broadcast(listed_counts), "word")
              .select("row", *zero, F.log10(1 + F.col("seen") / (mu * (F.col("n") + 1.0) / (total + distinct + 1.0))).alias("value")))
     rest = rare.unionByName(other).unionByName(plain).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "value")))
