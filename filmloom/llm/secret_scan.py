@@ -1,13 +1,14 @@
 """Secret scans by grammar inference.
 
 Fixed patterns find the plain secrets of a text. Their values are labelled credentials: for each kind a prefix tree of
-their symbol classes is built and its statistically compatible states are merged into a probabilistic automaton; one
-more automaton is inferred from ordinary long runs. Every other run of credential letters is then scored by how much
-likelier its format is under a credential automaton than under the ordinary one, and likely ones are added as spans of
-kind `format`. Patterns' own spans always stay.
+their symbol classes is built and its statistically compatible states are merged into a probabilistic automaton; three
+more are inferred from ordinary runs: those without a digit, and short and long ones with a digit, so that rare sorts
+are learnt too. Every run of six credential letters or more, words included, is then scored by how much likelier its
+format is under a credential automaton than under any ordinary one, and likely ones are added as spans of kind `format`. A run that holds a pattern's span and more is scored whole,
+and where that is not likely, in its parts outside the span. Patterns' own spans always stay.
 
-The automata are fitted on at most `sample` different values of each kind and twice as many ordinary runs, those of
-smallest hash among all; patterns and scoring cover all rows and whole texts.
+The automata are fitted on at most `sample` different values of each kind and twice as many ordinary runs of each sort,
+those of smallest hash among all; patterns and scoring cover all rows and whole texts, in two passes that shuffle samples alone.
 
 Rows: a null or empty text has no spans; repeated rows and null ids give a row each; texts are scanned whole; with no
 credential of a kind in the table that kind adds nothing; an empty table gives an empty table.
@@ -17,30 +18,37 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from itertools import islice, takewhile
+import string
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from filmloom.llm.common import keeping_columns, saved, slices, texts, worker_state
+from filmloom.llm.common import Memory, fresh_name, keeping_columns, slices, texts, worker_state
 
 # The three plain patterns, and the letters that runs of credentials consist of.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.=-]{4,}[A-Za-z0-9]")
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
+ORDINARY = ("words", "short", "long")
 
 SAMPLE = 2000
+# A likely run is likelier by MARGIN a symbol and by EVIDENCE as a whole, so that a short one has to be clearer.
 MARGIN = 0.25
+EVIDENCE = 17 * MARGIN
+REMEMBERED = 100_000
 _CONFIDENCE = 0.05
 _SMALL = 12
-_CLASSES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "H" for c in "ABCDEF"},
-                          **{chr(c): "l" for c in range(ord("g"), ord("z") + 1)},
-                          **{chr(c): "U" for c in range(ord("G"), ord("Z") + 1)}})
+_LETTERS = string.digits + string.ascii_letters
+_CLASSES = bytes.maketrans(_LETTERS.encode(), "".join(
+    "d" if c.isdigit() else "h" if c in "abcdef" else "H" if c in "ABCDEF" else "l" if c.islower() else "U" for c in _LETTERS).encode())
+_DIGIT = re.compile("[0-9]")
+_SHAPE = re.compile(rb"[dhHlU][dhHlU+/_.=-]{4,}[dhHlU]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -54,31 +62,52 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def runs(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Other runs of credential letters with a digit in them, without punctuation at their ends."""
-    found, k = [], 0
+def runs(text: str, taken: list[tuple[int, int, str, str]]) -> Iterator[tuple[bool, tuple[int, int], list[tuple[int, int]]]]:
+    """Every run of credential letters that is not inside a span: whether spans cut it, the run, its parts outside them."""
+    k, last = 0, len(taken)
     for m in RUN.finditer(text):
-        body = m[0].strip("._=+/-")
-        start = m.start() + m[0].index(body) if body else m.end()
-        end = start + len(body)
-        while k < len(taken) and taken[k][1] <= start:
+        start, end = m.span()
+        while k < last and taken[k][1] <= start:
             k += 1
-        clash = any(s[1] > start for s in takewhile(lambda s: s[0] < end, islice(taken, k, None)))
-        if len(body) >= 16 and any(c.isdigit() for c in body) and not clash:
-            found.append((start, end, body))
-    return found
+        parts, at, j = [], start, k
+        while j < last and taken[j][0] < end:
+            parts += [p.span() for p in RUN.finditer(text, at, max(at, taken[j][0]))]
+            at = max(at, taken[j][1])
+            j += 1
+        if j == k:
+            yield False, (start, end), []
+        elif at < end or taken[k][0] > start:
+            yield True, (start, end), parts + [p.span() for p in RUN.finditer(text, at, max(at, end))]
+
+
+def added(text: str, taken: list[tuple[int, int, str, str]], likely: Callable[[bytes], bool]) -> list[tuple[int, int]]:
+    """The runs that are likely, each whole; of one that is not likely whole, the likely parts."""
+    if not taken and not any(map(likely, set(_SHAPE.findall(shape_of(text))))):
+        return []
+    spans = []
+    for _, whole, parts in runs(text, taken):
+        if likely(shape_of(text[slice(*whole)])):
+            spans.append(whole)
+        else:
+            spans += [p for p in parts if likely(shape_of(text[slice(*p)]))]
+    return spans
+
+
+def shape_of(value: str) -> bytes:
+    """The symbol classes of a value, which are all that an automaton reads."""
+    return value.encode().translate(_CLASSES)
 
 
 class Automaton:
     """A probabilistic automaton: transition counts and end counts of each state."""
 
     def __init__(self, values: list[str]):
-        self.next: list[dict[str, int]] = [{}]
-        self.count: list[dict[str, int]] = [{}]
+        self.next: list[dict[int, int]] = [{}]
+        self.count: list[dict[int, int]] = [{}]
         self.ends: list[int] = [0]
         for value in values:
             state = 0
-            for symbol in value.translate(_CLASSES):
+            for symbol in shape_of(value):
                 self.count[state][symbol] = self.count[state].get(symbol, 0) + 1
                 if symbol not in self.next[state]:
                     self.next[state][symbol] = len(self.next)
@@ -93,6 +122,7 @@ class Automaton:
         for counts in self.count:
             for symbol, n in counts.items():
                 self.all[symbol] = self.all.get(symbol, 0) + n
+        self.total = sum(self.all.values())
 
     def _seen(self, state: int) -> int:
         return self.ends[state] + sum(self.count[state].values())
@@ -145,10 +175,12 @@ class Automaton:
                 self.next[state][symbol] = red
                 self._fold(red, blue)
 
-    def score(self, value: str) -> float:
+        self.total = sum(self.all.values())
+
+    def score(self, shape: bytes) -> float:
         """Mean log-likelihood of a symbol, the end included. Unseen steps fall back to the symbols of all states."""
-        total, kinds, state, sum_ = sum(self.all.values()), len(self.all) + 1, 0, 0.0
-        for symbol in value.translate(_CLASSES):
+        total, kinds, state, sum_ = self.total, len(self.all) + 1, 0, 0.0
+        for symbol in shape:
             general = (self.all.get(symbol, 0) + 0.01) / (total + 0.01 * (kinds + 16))
             if state is None:
                 sum_ += math.log(general)
@@ -156,91 +188,118 @@ class Automaton:
             sum_ += math.log((self.count[state].get(symbol, 0) + general) / (self._seen(state) + 1))
             state = self.next[state].get(symbol)
         end = self.ends[state] / (self._seen(state) + 1) if state is not None else 0.0
-        return (sum_ + math.log(end + 0.01)) / (len(value) + 1)
+        return (sum_ + math.log(end + 0.01)) / (len(shape) + 1)
 
 
 class Formats:
-    """Automata of the kinds and of ordinary runs, and each kind's least likely score among its own credentials."""
+    """Automata of the kinds and of ordinary runs, and each kind's least likely score.
+
+    That is the score that all but one in fifty credentials of the kind reach under an automaton of the other half of them.
+    """
 
-    def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, credentials: dict[str, list[str]], ordinary: list[list[str]]):
         self.kinds = {}
         for kind, values in credentials.items():
             if values:
-                automaton = Automaton(values)
-                scores = sorted(map(automaton.score, values))
-                self.kinds[kind] = (automaton, scores[len(scores) // 50])
-        self.ordinary = Automaton(ordinary)
+                halves = values[::2], values[1::2]
+                scores = sorted(automaton.score(shape_of(v)) for learnt, held in (halves, halves[::-1])
+                                for automaton in [Automaton(learnt or held)] for v in held)
+                self.kinds[kind] = (Automaton(values), scores[len(scores) // 50])
+        self.ordinary = [Automaton(values) for values in ordinary if values]
+
+    def likely(self, shape: bytes) -> bool:
+        """Whether some kind's format explains the shape well, and better by the margins than ordinary runs do."""
+        ahead = max(MARGIN, EVIDENCE / (len(shape) + 1))
+        plain = max((a.score(shape) for a in self.ordinary), default=-math.inf)
+        return any(s >= least and s - plain >= ahead
+                   for s, least in ((a.score(shape), least) for a, least in self.kinds.values()))
+
+
+class Smallest:
+    """The `most` different values of smallest hash among those that are offered."""
+
+    def __init__(self, most: int):
+        self.most, self.bound, self.values = most, 1 << 32, set()
+
+    def offer(self, value: str) -> None:
+        if crc32(value.encode()) <= self.bound:
+            self.values.add(value)
+            if len(self.values) > 2 * self.most:
+                self.kept()
+
+    def kept(self) -> set[str]:
+        ranked = sorted((crc32(v.encode()), v) for v in self.values)[:self.most]
+        self.values = {v for _, v in ranked}
+        if len(ranked) == self.most:
+            self.bound = ranked[-1][0]
+        return self.values
+
+
+def _sort(value: str) -> str:
+    if not _DIGIT.search(value):
+        return "words"
+    return "short" if len(value) < 16 else "long"
 
-    def likely(self, value: str) -> bool:
-        """Whether some kind's format explains the value well, and better by the margin than ordinary runs do."""
-        plain = self.ordinary.score(value)
-        return any(s >= least and s - plain >= MARGIN
-                   for s, least in ((a.score(value), least) for a, least in self.kinds.values()))
 
+def _others(text: str, taken: list[tuple[int, int, str, str]]) -> set[str]:
+    """The different runs, and parts of runs, that no span touches."""
+    if not taken:
+        return set(RUN.findall(text))
+    free = [parts if cut else [whole] for cut, whole, parts in runs(text, taken)]
+    return {text[slice(*c)] for candidates in free for c in candidates}
 
-def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text, base spans (start, end, kind, value) and other runs (start, end, value), by one pass."""
+
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """kind, value: each task's values of smallest hash, of credentials and of ordinary runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("secrets", dict)  # lets go of what earlier steps kept
+        found = {**{k: Smallest(sample) for k in KINDS}, **{k: Smallest(2 * sample) for k in ORDINARY}}
         for batch in slices(batches):
-            base, other = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
-                base.append([dict(zip(("start", "end", "kind", "value"), s)) for s in spans])
-                other.append([dict(zip(("start", "end", "value"), s)) for s in runs(text, spans)])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("seal"), pa.array(base, _BASE), pa.array(other, _OTHER)],
-                                  names=["doc_id", "seal", "base", "other"])
-
-    # Only `seal` of the text goes on: the spans are all that the next steps need.
-    return texts(docs).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("seal")).mapInArrow(
-        run, "doc_id long, seal long, base array<struct<start: int, end: int, kind: string, value: string>>, "
-             "other array<struct<start: int, end: int, value: string>>")
+                for _, _, kind, value in spans:
+                    found[kind].offer(value)
+                for value in _others(text, spans):
+                    found[_sort(value)].offer(value)
+        for kind, values in found.items():
+            kept = sorted(values.kept())
+            yield pa.record_batch([pa.array([kind] * len(kept), pa.string()), pa.array(kept, pa.string())], names=["kind", "value"])
 
+    return texts(docs).select("text").mapInArrow(run, "kind string, value string")
 
-_BASE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-_OTHER = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Formats:
+    """Automata from the values of smallest hash of each kind, and from twice as many ordinary runs of each sort."""
+    order = Window.partitionBy("kind").orderBy(F.crc32("value"), "value")
+    most = F.when(F.col("kind").isin(*ORDINARY), 2 * sample).otherwise(sample)
+    ranked = sampled(docs, sample).distinct().withColumn("rank", F.row_number().over(order))
+    rows = ranked.filter((F.col("rank") <= 2 * sample) & (F.col("rank") <= most)).select("kind", "value").collect()
+    values = {k: sorted(r["value"] for r in rows if r["kind"] == k) for k in (*KINDS, *ORDINARY)}
+    return Formats({k: values[k] for k in KINDS}, [values[k] for k in ORDINARY])
 
-def fit(scanned: DataFrame, sample: int = SAMPLE) -> Formats:
-    """Automata from the values of smallest hash of each kind, and from as many ordinary runs."""
-    def smallest(values: DataFrame, n: int) -> list[str]:
-        rows = values.distinct().orderBy(F.xxhash64("value"), "value").limit(n).collect()
-        return sorted(r["value"] for r in rows)
 
-    known = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value")
-    other = scanned.select(F.explode("other").alias("s")).select("s.value")
-    return Formats({k: smallest(known.filter(F.col("kind") == k).select("value"), sample) for k in KINDS},
-                   smallest(other, 2 * sample))
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())]))
 
 
 def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, spans: array of (start, end, kind, base), by start and then in the order of the kinds."""
-    scanned = saved(scan(docs), "spans")
-    return marked(scanned, fit(scanned, sample)).select("doc_id", "spans")
-
-
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())]))
-
-
-def marked(scanned: DataFrame, formats: Formats) -> DataFrame:
-    """doc_id, seal, spans of scanned rows."""
-    model = scanned.sparkSession.sparkContext.broadcast(formats)  # bounded by the sample
+    model, name = docs.sparkSession.sparkContext.broadcast(fit(docs, sample)), fresh_name("formats")  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats = model.value
+        likely = worker_state(name, lambda: Memory(model.value.likely, REMEMBERED))
         order = {k: i for i, k in enumerate((*KINDS, ADDED))}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for base, other in zip(batch.column("base").to_pylist(), batch.column("other").to_pylist()):
-                spans = [(s["start"], s["end"], s["kind"], True) for s in base]
-                spans += [(s["start"], s["end"], ADDED, False) for s in other if formats.likely(s["value"])]
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text)
+                spans = [(start, end, kind, True) for start, end, kind, _ in base]
+                spans += [(start, end, ADDED, False) for start, end in added(text, base, likely.__getitem__)]
                 spans.sort(key=lambda s: (s[0], order[s[2]]))
                 out.append([dict(zip(("start", "end", "kind", "base"), s)) for s in spans])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("seal"), pa.array(out, _SPANS)],
-                                  names=["doc_id", "seal", "spans"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(out, _SPANS)], names=["doc_id", "spans"])
 
-    return scanned.mapInArrow(
-        run, "doc_id long, seal long, spans array<struct<start: int, end: int, kind: string, base: boolean>>")
+    return texts(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+        run, "doc_id long, spans array<struct<start: int, end: int, kind: string, base: boolean>>")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -256,13 +315,14 @@ def digests(found: DataFrame) -> DataFrame:
 @keeping_columns
 def redacted(docs: DataFrame, sample: int = SAMPLE, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with every span of a text replaced by the mark; a null text stays null."""
-    formats = docs.sparkSession.sparkContext.broadcast(fit(saved(scan(docs), "spans"), sample))
+    model, name = docs.sparkSession.sparkContext.broadcast(fit(docs, sample)), fresh_name("formats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likely = worker_state(name, lambda: Memory(model.value.likely, REMEMBERED))
         at = None
         for batch in slices(batches):
             at = batch.schema.get_field_index("text") if at is None else at
-            out = [None if t is None else _masked(t, formats.value, mark) for t in batch.column(at).to_pylist()]
+            out = [None if t is None else _masked(t, likely.__getitem__, mark) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema.set(at, pa.field("text", pa.string())))
@@ -270,9 +330,9 @@ def redacted(docs: DataFrame, sample: int = SAMPLE, mark: str = "[secret]") -> D
     return docs.mapInArrow(run, docs.schema)
 
 
-def _masked(text: str, formats: Formats, mark: str) -> str:
+def _masked(text: str, likely: Callable[[str], bool], mark: str) -> str:
     base = base_spans(text)
-    cuts = [(s[0], s[1]) for s in base] + [(s[0], s[1]) for s in runs(text, base) if formats.likely(s[2])]
+    cuts = [(s[0], s[1]) for s in base] + added(text, base, likely)
     out, done = [], 0
     for start, end in sorted(cuts):
         if start >= done:

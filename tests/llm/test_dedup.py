@@ -64,13 +64,48 @@ def test_masking_keeps_rows_and_columns(spark, odd, nothing):
     assert secret_scan.redacted(nothing).count() == 0 and secret_scan.find(nothing).count() == 0
 
 
+def test_runs_without_labels_are_found():
+    """Planted credentials of learnt formats, bare and short ones, are found; ordinary runs are left alone."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, weights=[9, 2, 3, 4, 12, 2, 2, 5, 7, 1, 1, 4, 3, 7, 8, 2, 1, 6, 6, 9, 3, 1, 2, 1, 2, 1],
+                                       k=rng.randint(3, 11)))
+    live = lambda: "sk-" + "".join(rng.choices(letters + letters.upper() + "0123456789", k=20))
+    pin = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=6)) + "-" + "".join(rng.choices("0123456789", k=5))
+    ordinary = [[word() for _ in range(40)] + [f"4{rng.randrange(10 ** 15):015}", f"19{rng.randrange(100):02}-0{rng.randrange(1, 9)}-11"]
+                for _ in range(400)]
+    values = [live() for _ in range(150)] + [pin() for _ in range(150)]
+    base = [w for words in ordinary for w in words]
+    formats = secret_scan.Formats({"assign": values, "access": [], "hex": []},
+                                  [[w for w in set(base) if len(w) >= 6 and secret_scan._sort(w) == k] for k in secret_scan.ORDINARY])
+    for make in (live, pin):
+        planted = [" ".join([*rng.choices(base, k=5), make(), *rng.choices(base, k=5)]) for _ in range(200)]
+        hits = sum(any(" " not in t[a:b] and len(t[a:b]) >= 12 and "-" in t[a:b] for a, b in
+                       secret_scan.added(t, [], formats.likely)) for t in planted)
+        assert hits >= 180
+    clean = [" ".join(w) for w in ordinary]
+    assert sum(len(secret_scan.added(t, [], formats.likely)) for t in clean) <= len(base) // 1000
+
+
+def test_runs_around_plain_spans():
+    text = "abcdefg.token=hunter2000 Qz9" + "0123456789abcdef" * 2 + "GHIJKLMN zzzzzz"
+    spans = secret_scan.base_spans(text)
+    assert [(cut, text[slice(*w)], [text[slice(*p)] for p in parts]) for cut, w, parts in secret_scan.runs(text, spans)] == [
+        (True, "abcdefg.token=hunter2000", ["abcdefg"]),
+        (True, "Qz9" + "0123456789abcdef" * 2 + "GHIJKLMN", ["GHIJKLMN"]), (False, "zzzzzz", [])]
+    whole = [text[a:b] for a, b in secret_scan.added(text, spans, lambda shape: len(shape) > 30)]
+    assert whole == ["Qz9" + "0123456789abcdef" * 2 + "GHIJKLMN"]
+    assert [text[a:b] for a, b in secret_scan.added(text, spans, lambda shape: len(shape) < 9)] == ["abcdefg", "GHIJKLMN", "zzzzzz"]
+
+
 def test_automata_tell_formats_apart():
     rng = random.Random(4)
     ids = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(300)]
     numbers = ["".join(rng.choices("0123456789", k=16)) for _ in range(300)]
-    formats = secret_scan.Formats({"hex": ids, "access": []}, numbers)
-    assert formats.likely("".join(rng.choices("0123456789abcdef", k=32)))
-    assert not formats.likely("".join(rng.choices("0123456789", k=16))) and not formats.likely("mail7.example.com")
+    formats = secret_scan.Formats({"hex": ids, "access": []}, [numbers, []])
+    likely = lambda value: formats.likely(secret_scan.shape_of(value))
+    assert likely("".join(rng.choices("0123456789abcdef", k=32)))
+    assert not likely("".join(rng.choices("0123456789", k=16))) and not likely("mail7.example.com")
 
 
 # ---- suffix arrays
