@@ -713,6 +713,21 @@ def encoder_plugin(spark, sf_dir):
     return rows.select("movie_id", F.size("vector").alias("size"), is_valid_vector(F.col("vector"), 8, 1e-4).alias("valid"))
 
 
+def word_counts(texts):
+    """A stand-in token counter: words between single spaces."""
+    return [t.count(" ") + 1 for t in texts]
+
+
+@query("U1_encoder_contract", """SELECT doc_id AS movie_id, 'profile-1' AS profile, tokens, coalesce(tokens > 150, false) AS truncated, true AS valid FROM (SELECT doc_id,
+  CASE WHEN trim(text) <> '' THEN length(text) - length(replace(text, ' ', '')) + 2 END AS tokens FROM documents WHERE doc_id % 5 = 0 OR doc_id % 6 = 0)""")
+def encoder_contract(spark, sf_dir):
+    """Texts without a vector of an earlier run, each with profile, the encoder's own token count and whether it was cut."""
+    from filmloom.functions.vectors import is_valid_vector
+    model = EM.Model("profile-1", 16, counter=word_counts, limit=150)
+    _, fresh = EM.embed_with(J._prior(spark, sf_dir), J._texts(spark, sf_dir, True), model)
+    return fresh.select("movie_id", "profile", "tokens", "truncated", is_valid_vector(F.col("vector"), 16, 1e-4).alias("valid"))
+
+
 def word_translator(words):
     """Answers all words but those that end in 3."""
     return [None if w.endswith("3") else w.replace("tag", "oznaka") for w in words]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,17 +12,52 @@ from pyspark.sql import Column, DataFrame, functions as F
 from filmloom.functions.normalize import with_nfc
 from filmloom.functions.text import document_input, query_input, token_estimate
 from filmloom.functions.vectors import document_fingerprint, is_valid_vector, pseudo_vector, text_hash, unit
+from filmloom.session import new_dir
 
 TEXT_FORMATS = {"en": "en-title-year-director-tags-v6", "sr": "sr-title-year-director-tags-v6"}
 MAX_TOKENS = 512
 MAX_BATCH = 128
+CHUNK_ROWS = 1_000_000
 
 # encode(list of texts) -> array of shape (texts, dimension)
 Encoder = Callable[[list[str]], np.ndarray]
+# count(list of texts) -> how many tokens the encoder makes of each before it cuts
+TokenCounter = Callable[[list[str]], list[int]]
 # translate(list of words) -> list of texts, None where no answer was completed
 Translator = Callable[[list[str]], list[str | None]]
 
 
+@dataclass(frozen=True)
+class Model:
+    """What a vector depends on: the encoder, the profile that names it and its settings, its size and what it reads.
+
+    `factory` makes the encoder once in each task; with neither it nor `encoder`, vectors are those of `stand_in_vectors`.
+    Without `counter`, tokens are estimated. A text of more than `limit` tokens is one that the encoder cuts.
+    """
+    profile: str
+    dimension: int
+    encoder: Encoder | None = None
+    factory: Callable[[], Encoder] | None = None
+    counter: TokenCounter | None = None
+    limit: int = MAX_TOKENS
+    batch_size: int = 32
+
+    def tokens(self, text: Column) -> Column:
+        """The encoder's own count of an input text, or the estimate; null for a null text."""
+        if self.counter is None:
+            return F.when(text.isNotNull(), token_estimate(text))
+        counter = self.counter
+
+        def count(inputs: pd.Series) -> pd.Series:
+            known = inputs[inputs.notna()]
+            numbers = list(counter(known.tolist())) if len(known) else []
+            if len(numbers) != len(known):
+                raise ValueError(f"counter returned {len(numbers)} numbers for {len(known)} texts")
+            return pd.Series(numbers, index=known.index, dtype="Int64").reindex(inputs.index)
+
+        return F.pandas_udf(count, "long")(text)
+
+
 def expected_vectors(texts: DataFrame, profile: str, text: str = "text") -> DataFrame:
     """Adds fingerprint and text_sha256 to (movie_id, language, text)."""
     formats = F.create_map(*[F.lit(x) for pair in TEXT_FORMATS.items() for x in pair])
@@ -90,6 +126,21 @@ def encode(rows: DataFrame, encoder: Encoder, dimension: int, input_column: str
     return rows.mapInPandas(run, schema)
 
 
+def encode_with(rows: DataFrame, model: Model, input_column: str = "input") -> DataFrame:
+    """Adds vector, profile, tokens and truncated, so that each vector says what made it and whether its text was cut."""
+    counted = rows.withColumn("profile", F.lit(model.profile)).withColumn("tokens", model.tokens(F.col(input_column)))
+    marked = counted.withColumn("truncated", F.coalesce(F.col("tokens") > model.limit, F.lit(False)))
+    if model.encoder is None and model.factory is None:
+        return stand_in_vectors(marked, model.dimension)
+    return encode(marked, model.encoder, model.dimension, input_column, model.batch_size, factory=model.factory)
+
+
+def model_audit(texts: DataFrame, model: Model, text: str = "text", by: str = "language") -> DataFrame:
+    """(language, documents, truncated, longest) by the model's own count of its inputs, before anything is encoded."""
+    inputs = document_inputs(texts, text)
+    return token_audit(inputs, model.tokens(F.col("input")), by=by, limit=model.limit)
+
+
 def translate(tags: DataFrame, translator: Translator, batch_size: int = 32) -> DataFrame:
     """(en, machine, completed, error) for pending tags. A failing batch is reported, not raised."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,21 +185,36 @@ def embed_incrementally(prior: DataFrame, texts: DataFrame, profile: str, dimens
     return kept, fresh.select(*_IDENTITY, "vector")
 
 
-def embed_in_chunks(texts: DataFrame, path: str, profile: str, dimension: int, encoder: Encoder | None = None, chunks: int = 16,
-                    batch_size: int = 32, chunk: Column | None = None) -> None:
+def embed_with(prior: DataFrame, texts: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """`embed_incrementally` by a model; fresh rows also have profile, tokens and truncated."""
+    expected = expected_vectors(texts, model.profile)
+    fresh = encode_with(document_inputs(pending(prior, expected, model.dimension)), model)
+    return reusable(prior, expected, model.dimension), fresh.select(*_IDENTITY, "vector", "profile", "tokens", "truncated")
+
+
+def embed_in_chunks(texts: DataFrame, path: str, profile: str, dimension: int, encoder: Encoder | None = None,
+                    chunks: int | None = None, batch_size: int = 32, chunk: Column | None = None, rows: int = CHUNK_ROWS) -> None:
     """Encode what `path` lacks, chunk by chunk; each chunk is committed by a write of its own.
 
     A run that fails keeps the chunks it has committed. The next run reads them as prior vectors and encodes the rest.
+    What is missing is found once, with all fingerprints, and written by chunks of about `rows` rows, or by `chunks` of them.
     """
     spark = texts.sparkSession
-    place = chunk if chunk is not None else F.pmod(F.xxhash64("movie_id", "language"), F.lit(chunks)).cast("int")
     ddl = "movie_id long, language string, fingerprint string, text_sha256 string, vector array<float>"
     spark.createDataFrame([], ddl).write.mode("ignore").parquet(f"{path}/chunk=-1")
-    for k in range(chunks):
-        prior = spark.read.schema(f"{ddl}, chunk int").parquet(path).where(F.col("chunk") == k).drop("chunk")
-        _, fresh = embed_incrementally(prior, texts.where(place == k), profile, dimension, encoder, batch_size)
-        fresh.select("movie_id", "language", "fingerprint", "text_sha256", F.col("vector").cast("array<float>")).write.mode(
-            "append").parquet(f"{path}/chunk={k}")
+    prior = spark.read.schema(f"{ddl}, chunk int").parquet(path)
+    missing = pending(prior, expected_vectors(texts, profile), dimension)
+    n = chunks if chunks is not None else -(-missing.count() // rows)
+    place = chunk if chunk is not None else F.pmod(F.xxhash64("movie_id", "language"), F.lit(max(n, 1))).cast("int")
+    placed, todo = missing.withColumn("chunk", place.cast("int")), new_dir(spark, "pending")
+    # A chunk is spread over a few tasks, so that none holds all its texts and its files stay few.
+    spread = F.pmod(F.xxhash64("text_sha256", "movie_id"), F.lit(8))
+    placed.repartition("chunk", spread).write.partitionBy("chunk").parquet(todo)
+    for k in range(n):
+        rest = spark.read.schema(placed.schema).parquet(todo).where(F.col("chunk") == k).drop("chunk")
+        fresh = stand_in_vectors(rest, dimension) if encoder is None else encode(
+            document_inputs(rest), encoder, dimension, batch_size=batch_size)
+        fresh.select(*_IDENTITY, F.col("vector").cast("array<float>")).write.mode("append").parquet(f"{path}/chunk={k}")
 
 
 def refuse_truncated(audit: DataFrame) -> None:

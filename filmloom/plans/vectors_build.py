@@ -11,9 +11,12 @@ from filmloom.sources import sinks
 
 
 def build(movies: DataFrame, texts: DataFrame, prior: DataFrame, profile: str, dimension: int, root: str, version: int,
-          encoder: EM.Encoder | None = None) -> str:
-    """Path of the new release. Texts that would be cut, and vectors that do not match them, stop the build."""
-    EM.refuse_truncated(EM.token_audit(texts))
+          encoder: EM.Encoder | None = None, counter: EM.TokenCounter | None = None) -> str:
+    """Path of the new release. Texts that would be cut, and vectors that do not match them, stop the build.
+
+    With a `counter`, the encoder's own count decides what would be cut, else an estimate.
+    """
+    EM.refuse_truncated(EM.model_audit(texts, EM.Model(profile, dimension, encoder, counter=counter)))
     expected = EM.expected_vectors(texts, profile)
     kept, fresh = EM.embed_incrementally(prior, texts, profile, dimension, encoder)
     vectors = materialize(kept.select(*fresh.columns).unionByName(fresh), "vectors")

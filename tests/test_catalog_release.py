@@ -321,3 +321,35 @@ def test_vector_release_plan(spark):
     with pytest.raises(GateError, match="cut"):
         vectors_build.build(movies, texts.withColumn("text", F.repeat("text", F.lit(900))), none, "p1", 8, root, 2)
     assert sinks.current_release(spark, root).first().version == 1
+
+
+def test_a_model_says_what_made_a_vector(spark, tmp_path):
+    from filmloom.operators import embedding as EM
+    texts = spark.createDataFrame([(1, "en", "a b c"), (2, "en", "a b c d e"), (3, "en", None), (4, "en", " "), (5, "sr", "a"), (5, "sr", "a")],
+                                  "movie_id long, language string, text string")
+    model = EM.Model("words", 2, encoder=lambda batch: [[0.6, 0.8]] * len(batch),
+                     counter=lambda batch: [t.count(" ") + 1 for t in batch], limit=5)
+    audit = {r["language"]: tuple(r)[1:] for r in EM.model_audit(texts, model).collect()}
+    assert audit == {"en": (4, 1, 6), "sr": (2, 0, 2)}  # the input's own first word counts
+    empty = spark.createDataFrame([], "movie_id long, language string, fingerprint string, text_sha256 string, vector array<float>")
+    kept, fresh = EM.embed_with(empty, texts.where("text > ' '"), model)
+    assert kept.count() == 0
+    assert sorted((r["movie_id"], r["profile"], r["tokens"], r["truncated"]) for r in fresh.collect()) == [
+        (1, "words", 4, False), (2, "words", 6, True), (5, "words", 2, False), (5, "words", 2, False)]
+    short = EM.Model("words", 2, counter=lambda batch: [1], limit=5)
+    with pytest.raises(Exception, match="counter returned"):
+        texts.where("movie_id < 3").coalesce(1).select(short.tokens(F.col("text"))).collect()
+
+
+def test_chunks_are_bounded_in_rows(spark, tmp_path):
+    from filmloom.operators import embedding as EM
+    texts = spark.range(100).select(F.col("id").alias("movie_id"), F.lit("en").alias("language"), F.concat(F.lit("text "), "id").alias("text"))
+    path = str(tmp_path / "vectors")
+    EM.embed_in_chunks(texts.where("movie_id < 60"), path, "p", 4, rows=20)
+    first = spark.read.parquet(path)
+    assert first.count() == 60 and first.where("chunk >= 0").select("chunk").distinct().count() == 3
+    EM.embed_in_chunks(texts, path, "p", 4, rows=20)
+    EM.embed_in_chunks(texts, path, "p", 4, rows=20)  # nothing is missing
+    rows = spark.read.parquet(path)
+    assert rows.count() == 100 and rows.select("movie_id").distinct().count() == 100
+    assert rows.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 60
