@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from filmloom.llm.common import Memory, fold_of, fresh_name, saved, slices, text
 SAMPLE = 20_000
 FEATURES = 400
 SHARE = 0.02  # of the character model, for the words that mark toxic labels
-_LETTERS = 28  # 0: no letter, 1 to 26: a to z, 27: a byte of any other letter
+_LETTERS = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
 _REMEMBERED = 150_000
 
 # What signs may stand for, and signs that may only set letters apart.
@@ -44,13 +45,20 @@ _DOUBLE = re.compile(r"([^\W\d_])\1+")
 _SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[ord("a"):ord("z") + 1] = np.arange(1, 27)
-_SYMBOL[0x80:] = 27
-
 
 def _symbol(c: str) -> int:
-    return int(_SYMBOL[ord(c)]) if ord(c) < 128 else 27 if c.isalpha() else 0
+    return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+
+
+@cache
+def _symbols() -> np.ndarray:
+    """The symbol of each code point."""
+    return np.fromiter((_symbol(chr(c)) for c in range(0x110000)), np.int8, 0x110000)
+
+
+def spelt(text: str) -> np.ndarray:
+    """The symbols of a text's characters, in lower case."""
+    return _symbols()[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)].astype(np.int64)
 
 
 class CharacterModel:
@@ -183,8 +191,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in slices(batches, limit=1 << 20):
-            text = " ".join(batch.column("text").to_pylist()).lower().encode()
-            s = _SYMBOL[np.frombuffer(b"   " + text + b" ", np.uint8)]
+            s = spelt(f"   {' '.join(batch.column('text').to_pylist())} ")
             total += np.bincount(((s[:-3] * _LETTERS + s[1:-2]) * _LETTERS + s[2:-1]) * _LETTERS + s[3:], minlength=size)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["gram", "n"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import zlib
@@ -36,6 +37,26 @@ def test_held_out_accuracy(spark, tables):
     assert accuracy(quality.score(docs, labels), labels, "quality") > 0.95
 
 
+def test_rules_as_a_column_and_by_hand(spark, tables):
+    """The compiled expression against the rules read one by one over the same statistics, and the folds and cut."""
+    docs, labels = tables
+    measured = quality.statistics(docs)
+    rules = quality.fit(measured, labels)
+    assert len(rules.weighted) > 3
+    rows = measured.toPandas().sort_values("doc_id")
+    total = np.full(len(rows), rules.intercept)
+    for weight, rule in rules.weighted:
+        holds = np.ones(len(rows), bool)
+        for name, bound, below in rule:
+            holds &= (rows[name] <= bound).to_numpy() if below else (rows[name] > bound).to_numpy()
+        total += weight * holds
+    got = quality.score(docs, labels).toPandas().sort_values("doc_id")
+    assert got["doc_id"].tolist() == rows["doc_id"].tolist()
+    assert np.allclose(got["score"], 1 / (1 + np.exp(-total)), atol=1e-9)
+    assert got["held_out"].tolist() == [fold(i, 5) == 0 for i in got["doc_id"]]
+    assert got["predicted"].tolist() == (got["score"] >= 0.3).astype(int).tolist()
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_scores_of_odd_rows_and_missing_labels(spark, odd, nothing, no_labels, module):
     rows = module.score(odd, no_labels).collect()
@@ -49,21 +70,57 @@ def test_scores_of_odd_rows_and_missing_labels(spark, odd, nothing, no_labels, m
 
 def test_disguised_words_are_restored():
     text = "the idiot and the moron are stupid trash in the house of the other man "
-    body = text.encode() * 50
-    s = toxicity._SYMBOL[np.frombuffer(b"   " + body, np.uint8)]
-    counts = np.bincount(((s[:-3] * 28 + s[1:-2]) * 28 + s[2:-1]) * 28 + s[3:], minlength=28 ** 4)
-    model = toxicity.CharacterModel(counts, ["idiot", "moron", "stupid", "trash"])
+    model = character_model(text, ["idiot", "moron", "stupid", "trash"])
     for disguised, plain in {"1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "$tupid": "stupid", "stuuupid": "stupid",
                              "tr@sh": "trash", "m.o.r.o.n": "moron", "idioot": "idiot", "10.2": "10.2", "house": "house"}.items():
         assert toxicity.restore(disguised, model) == plain, disguised
 
 
 def character_model(text, own):
-    s = toxicity._SYMBOL[np.frombuffer(b"   " + text.encode() * 50, np.uint8)]
+    s = toxicity.spelt("   " + text * 50)
     counts = np.bincount(((s[:-3] * 28 + s[1:-2]) * 28 + s[2:-1]) * 28 + s[3:], minlength=28 ** 4)
     return toxicity.CharacterModel(counts, own)
 
 
+def test_viterbi_finds_the_best_of_all_readings():
+    """Against every path of the lattice, with letters beyond ASCII, signs at both ends and letters set apart."""
+    model = character_model("the idiot and the moron are stupid trash, émile идиот in the house of the other man ", ["idiot", "идиот"])
+
+    def value(path):
+        total, history = 0.0, (0,)
+        for text, cost in path:
+            total += cost
+            for c in text:
+                symbol = toxicity._symbol(c)
+                if symbol or history[-1]:
+                    total += model.step(history, symbol)
+                    history = (*history, symbol)[-3:] if symbol else (0,)
+        return total + (model.step(history, 0) if history[-1] else 0.0)
+
+    rng = random.Random(8)
+    tokens = ["1d10t", "!d!0t", "$tup1d", "i d i o t", "m.0.r", "ид1от", "éé", "a$$", "10.2", "...", "0"]
+    tokens += ["".join(rng.choices("aiotéи10!$|. ", k=rng.randint(1, 7))) for _ in range(120)]
+    for token in tokens:
+        values = {}
+        for path in itertools.product(*toxicity.lattice(token)):
+            text = "".join(t for t, _ in path)
+            values[text] = max(values.get(text, -math.inf), value(path))
+        assert math.isclose(values[toxicity.restore(token, model)], max(values.values()), abs_tol=1e-9), token
+
+
+def test_character_model_counts_letters(spark):
+    """Each text between spaces, letters beyond ASCII as one symbol, over several tasks."""
+    held = ["Émile", "идиот и я", None, "", "a—b", "1d10t"]
+    docs = spark.createDataFrame([(k, t, *[None] * 11) for k, t in enumerate(held)], DOCS).repartition(1)
+    counts = toxicity.character_counts(docs).reshape((28,) * 4)
+    want = Counter()
+    order = [r["text"] or "" for r in docs.collect()]
+    s = [toxicity._symbol(c) for c in "   " + " ".join(order).lower() + " "]
+    want.update(zip(s, s[1:], s[2:], s[3:]))
+    assert {tuple(map(int, at)): int(counts[tuple(at)]) for at in np.argwhere(counts)} == dict(want)
+    assert want[27, 27, 27, 27] == 2 and want[0, 27, 13, 9] == 1
+
+
 def test_doubled_letters_of_marked_words_are_decoded():
     model = character_model("he can kill and they kill a pussy cat that is fat in the house of the man ", ["kill", "pussy", "fat"])
     marks = [f for word in ("kill", "pussy", "fat") for f in toxicity.features(word)]
