@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from filmloom import schemas, vocab
 from filmloom.functions.text import is_blank
 from filmloom.operators.rules import Rule, distinct_nonblank, failed_rules, is_finite
+from filmloom.sources import json_arrays
 
 CORRUPT = "_corrupt_record"
 
@@ -188,6 +189,7 @@ def read_tolerant(spark: SparkSession, path, schema: str, shape: str) -> DataFra
 
     Objects of a sequence may stand anywhere, several on a line or one over many. A sequence is cut at every line that
     begins with a brace or ends one, so a file is read in splits, and each piece is then taken apart into its objects.
+    Arrays are read in splits too; an element that is none, or a missing bracket at an end, is a row that is not shape_ok.
     """
     if shape == "jsonl":
         return _ordered_objects(spark.read.text(path), schema)
@@ -199,9 +201,7 @@ def read_tolerant(spark: SparkSession, path, schema: str, shape: str) -> DataFra
                        F.regexp_replace("value", r"\s*\}$", "")).otherwise(F.col("value"))
         return _ordered_objects(texts.select(whole.alias("value")).where(~F.col("value").rlike(r"^\s*\}?\s*$")), schema)
     if shape == "array":
-        whole = spark.read.text(path, wholetext=True)
-        items = F.from_json(F.col("value"), "array<string>")
-        return _ordered_objects(whole.select(F.explode(items).alias("value")), schema)
+        return _ordered_objects(json_arrays.read_elements(spark, path), schema)
     raise ValueError(f"unknown shape {shape}")
 
 
@@ -278,10 +278,14 @@ def read_movies(spark: SparkSession, path, columns: Sequence[str] | None = None)
     return table.select(*columns) if columns else table
 
 
-def _document(spark: SparkSession, path, fields: dict[str, str]) -> DataFrame:
-    """A small multi-line JSON document, its ordered keys checked on the raw text."""
-    whole = spark.read.text(path, wholetext=True)
-    return _ordered_objects(whole, ", ".join(f"{k} {t}" for k, t in fields.items()))
+def _document(spark: SparkSession, path, fields: dict[str, str], entries: str) -> DataFrame:
+    """The objects of a document's last field as `value`, beside its other fields and document_ok.
+
+    Documents are read in splits; ordered keys are checked on the text of the other fields.
+    """
+    frames, items = json_arrays.read_document(spark, path, entries)
+    header = _ordered_objects(frames, ", ".join(f"{k} {t}" for k, t in {**fields, entries: "ARRAY<STRING>"}.items()), "frame")
+    return items.join(header.drop(entries).withColumnRenamed("shape_ok", "document_ok"), "_file").drop("_file")
 
 
 def read_cases(spark: SparkSession, path) -> DataFrame:
@@ -295,11 +299,9 @@ def read_cases(spark: SparkSession, path) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path) -> DataFrame:
     """Entries of a dictionary, proposal or baseline document with header fields and failed_rules."""
-    whole = _document(spark, path, {"schemaVersion": "STRING", "sourceTagsSha256": "STRING", "translator": "STRING",
-                                    "normalizationVersion": "STRING", "entries": "ARRAY<STRING>"})
-    entries = whole.select("schemaVersion", "sourceTagsSha256", "normalizationVersion",
-                           F.col("shape_ok").alias("document_ok"), F.explode("entries").alias("value"))
-    rows = _ordered_objects(entries, schemas.DICTIONARY_ENTRY)
+    entries = _document(spark, path, {"schemaVersion": "STRING", "sourceTagsSha256": "STRING", "translator": "STRING",
+                                      "normalizationVersion": "STRING"}, "entries")
+    rows = _ordered_objects(entries.drop("translator"), schemas.DICTIONARY_ENTRY)
     return with_entry_rules(rows)
 
 
@@ -315,12 +317,10 @@ def read_review(spark: SparkSession, path, full: bool = False) -> DataFrame:
     """Decisions of a review document with shape_ok. The full form names the hashes it was made for."""
     if full:
         fields = {"schemaVersion": "STRING", "candidateSha256": "STRING", "baselineSha256": "STRING",
-                  "proposalsSha256": "STRING", "sourceTagsSha256": "STRING", "decisions": "ARRAY<STRING>"}
+                  "proposalsSha256": "STRING", "sourceTagsSha256": "STRING"}
     else:
-        fields = {"decisions": "ARRAY<STRING>"}
-    whole = _document(spark, path, fields).withColumnRenamed("shape_ok", "document_ok")
-    items = whole.select(*[f for f in fields if f != "decisions"], "document_ok", F.explode("decisions").alias("value"))
-    rows = _ordered_objects(items, schemas.REVIEW_FULL if full else schemas.REVIEW_SIMPLE)
+        fields = {}
+    rows = _ordered_objects(_document(spark, path, fields, "decisions"), schemas.REVIEW_FULL if full else schemas.REVIEW_SIMPLE)
     return rows.withColumn("shape_ok", F.col("shape_ok") & F.col("document_ok")).drop("document_ok")
 
 
@@ -331,8 +331,7 @@ def review_identity(decisions: DataFrame, expected: dict[str, str]) -> DataFrame
 
 
 def read_tags(spark: SparkSession, path) -> DataFrame:
-    """(tag, blank, repeated) of a JSON string array."""
-    whole = spark.read.text(path, wholetext=True)
-    tags = whole.select(F.explode(F.from_json(F.col("value"), "array<string>")).alias("tag"))
+    """(tag, blank, repeated) of a JSON string array, read in splits; what is no element of one is a null tag."""
+    tags = json_arrays.read_elements(spark, path, json_arrays.VALUES).withColumnRenamed("value", "tag")
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).select(
         "tag", is_blank(F.col("tag")).alias("blank"), (F.col("n") > 1).alias("repeated"))
