@@ -6,9 +6,10 @@ texts than chains of JVM regular expressions. ASCII texts need no composition an
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -21,10 +22,11 @@ DIGRAPHS = {"љ": "lj", "њ": "nj", "џ": "dž"}
 
 SPACE = r"[\t-\r\x{85}\p{Z}]"
 
-_LETTERS = str.maketrans({**dict(zip(CYRILLIC + CYRILLIC.upper(), LATIN + LATIN.upper())), **DIGRAPHS})
 _IN_CAPITALS = str.maketrans({c.upper(): l.upper() for c, l in DIGRAPHS.items()})
 _ELSEWHERE = str.maketrans({c.upper(): l[0].upper() + l[1:] for c, l in DIGRAPHS.items()})
-_CAPITAL_DIGRAPHS = frozenset(c.upper() for c in DIGRAPHS)
+_CAPITAL_DIGRAPH = re.compile(f"[{''.join(DIGRAPHS).upper()}]")
+_TABLE = np.zeros(1 + max(map(ord, CYRILLIC)) + 1, np.uint32)  # 0: written as it is, also whatever lies beyond
+_TABLE[[ord(c) for c in CYRILLIC + CYRILLIC.upper()]] = [ord(c) for c in LATIN + LATIN.upper()]
 # str.split also breaks at these controls, which are no white space here.
 _SEPARATOR_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -37,23 +39,36 @@ def _collapse(text: str) -> str:
 
 
 def _capital_digraphs(text: str) -> str:
-    """LJ inside a letter run that is all upper case, Lj in any other."""
-    out = []
-    for is_word, run in groupby(text, str.isalpha):
-        word = "".join(run)
-        if is_word and not _CAPITAL_DIGRAPHS.isdisjoint(word):
-            capitals = all(unicodedata.category(c) == "Lu" for c in word)
-            word = word.translate(_IN_CAPITALS if capitals else _ELSEWHERE)
-        out.append(word)
-    return "".join(out)
+    """LJ inside a letter run that is all upper case, Lj in any other. Only words that hold one are looked at."""
+    out, done = [], 0
+    for found in _CAPITAL_DIGRAPH.finditer(text):
+        start, stop = found.span()
+        if start < done:  # in a word already written
+            continue
+        while start > done and text[start - 1].isalpha():
+            start -= 1
+        while stop < len(text) and text[stop].isalpha():
+            stop += 1
+        word = text[start:stop]
+        capitals = all(unicodedata.category(c) == "Lu" for c in word)
+        out += text[done:start], word.translate(_IN_CAPITALS if capitals else _ELSEWHERE)
+        done = stop
+    return "".join([*out, text[done:]])
+
+
+def _letters(text: str) -> str:
+    """Cyrillic letters to Latin: two-letter ones first, all others by one look into a table of code points."""
+    for letter, pair in DIGRAPHS.items():
+        text = text.replace(letter, pair)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    written = _TABLE[np.minimum(points, len(_TABLE) - 1)]
+    return np.where(written, written, points).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _to_normal_form(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-        if not _CAPITAL_DIGRAPHS.isdisjoint(text):
-            text = _capital_digraphs(text)
-        text = unicodedata.normalize("NFC", _collapse(text.translate(_LETTERS)))
+        text = unicodedata.normalize("NFC", _collapse(_letters(_capital_digraphs(text))))
         return text
     return _collapse(text)
 

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from filmloom.functions import text as TX
+from filmloom.functions import normalize, text as TX
 from filmloom.functions.cast import with_cast
 from filmloom.functions.guard import with_language_mismatch
 from filmloom.functions.normalize import with_serbian_latin
@@ -131,3 +134,22 @@ def test_scalar_edges(spark):
                ("abc", "0", False), ("abc", "abc", False), ("", "0", False), ("1e", "1", False), (".5", "0.5", True)]
     for a, b, same in numbers:
         assert one(spark, TX.same_number(lit(a).cast("string"), lit(b).cast("string"))) is same, (a, b)
+
+
+def test_serbian_letters_one_by_one():
+    """Against a reading letter by letter, with capital digraphs in words of capitals and in others."""
+    rng = random.Random(7)
+    pairs = {"љ": "lj", "њ": "nj", "џ": "dž"}
+    single = dict(zip(normalize.CYRILLIC, normalize.LATIN))
+
+    def word(w):
+        capitals = all(unicodedata.category(c) == "Lu" for c in w)
+        both = lambda c: pairs[c.lower()].upper() if capitals else pairs[c.lower()].capitalize()
+        return "".join(pairs.get(c) or (both(c) if c.lower() in pairs else single.get(c) or (single[c.lower()].upper() if c.lower() in single else c)) for c in w)
+
+    for _ in range(3000):
+        words = ["".join(rng.choices("абљЉњЊџЏЂШžÉ漢", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 4))]
+        signs = [rng.choice([" ", "-", "1", "²", "_"]) for _ in words]
+        text = "".join(w + s for w, s in zip(words, signs))
+        want = "".join(word(w) + s for w, s in zip(words, signs)).strip(" ")
+        assert normalize._to_normal_form(text) == " ".join(want.split(" ")), text
