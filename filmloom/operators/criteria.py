@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filmloom import vocab
-from filmloom.functions.binding import let
 from filmloom.functions.normalize import trim_space
 from filmloom.functions.text import is_blank, is_semantic_text, rating_threshold
 from filmloom.operators.filters import FIELDS, criteria_rules, has_active_filter
@@ -45,10 +44,6 @@ def _answer_shape(with_actors: bool, with_language: bool) -> str:
     return "^" + _object(type="STRING", alertCode=_TEXT, query=query, **extra) + "$"
 
 
-def _extend(bound: Column, names: list[str], **more: Column) -> Column:
-    return F.struct(*[bound[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
-
-
 _TEXTS = {"year_status": "year.status", "runtime_status": "runtime.status", "genres_status": "genres.status",
           "rating_status": "rating.status", "rating_operator": "rating.operator", "rating_scale": "rating.scale",
           "language_status": "originalLanguage.status", "language": "originalLanguage.value",
@@ -56,8 +51,6 @@ _TEXTS = {"year_status": "year.status", "runtime_status": "runtime.status", "gen
 _WHOLES = {"year_min": "year.min", "year_max": "year.max", "runtime_min": "runtime.min", "runtime_max": "runtime.max"}
 _LISTS = {"genres_all": "genres.all", "genres_any": "genres.any"}
 _ACTOR_LISTS = {"actors_all": "actors.all", "actors_any": "actors.any", "actors_exclude": "actors.exclude"}
-_HEAD = ["type", "alert", "check", "is_query"]
-_BODY = [*_TEXTS, *_WHOLES, *_LISTS, *_ACTOR_LISTS, "actors_status", "rating_value"]
 _GROUPS = ["year", "runtime", "genres", "rating", "language", "actors"]
 
 
@@ -171,29 +164,27 @@ def parse_criteria(answers: DataFrame, json: str = "answer", with_actors: bool =
     the result, so write it once (`session.materialize`) rather than filter the unparsed answers again.
     """
     shape = _answer_shape(with_actors, with_language)
-    fields = let(F.try_parse_json(F.col(json)), lambda a: F.when(
-        F.coalesce(F.schema_of_variant(a).rlike(shape), F.lit(False)), _fields(a, with_actors, with_language)))
-    judged = let(fields, lambda q: F.when(q.isNotNull(), _extend(
-        q, _HEAD + _BODY, failed=failed_rules(_rules(q)), **{f"out_{n}": c for n, c in _outcome(q).items()})))
-
-    def result(q: Column) -> Column:
-        f = {n: q[f"out_{n}"] for n in FIELDS}
-        ok = q.isNotNull() & (F.size(q["failed"]) == 0)
-        alerting = q["is_query"] & (q["out_unsupported"] | q["out_unscaled"])
-        nothing = q["is_query"] & ~alerting & q["out_semantic_query"].isNull() & ~has_active_filter(f)
-        good = F.coalesce(ok & ~nothing, F.lit(False))
-        is_row = good & q["is_query"] & ~alerting
-        broken = (F.when(q.isNull(), F.array(F.lit("shape"))).when(ok & nothing, F.array(F.lit("nothing_asked")))
-                  .otherwise(q["failed"]))
-        return F.struct(
-            F.when(~good, "invalid").when(alerting, "alert").otherwise(q["type"]).alias("type"),
-            F.when(good, F.when(alerting, "UNSUPPORTED_REQUEST").otherwise(q["alert"])).alias("alert_code"),
-            F.when(good, q["check"]).alias("language_check"),
-            *[F.when(is_row, f[n]).alias(n) for n in FIELDS],
-            F.when(is_row, q["out_semantic_query"]).alias("semantic_query"),
-            F.when(good, _checklist(q, with_actors)).alias("checklist"), broken.alias("failed"))
-
-    return answers.withColumn("_r", let(judged, result)).select(*answers.columns, "_r.*")
+    # One step reads the answer, one takes its fields, one judges them: each value is computed once, in generated code.
+    read = answers.select("*", F.try_parse_json(F.col(json)).alias("_answer"))
+    typed = read.select(*answers.columns, F.when(F.coalesce(F.schema_of_variant("_answer").rlike(shape), F.lit(False)),
+                                                 _fields(F.col("_answer"), with_actors, with_language)).alias("_q"))
+    q, f = F.col("_q"), F.col("_out")
+    outcome = F.struct(*[c.alias(n) for n, c in _outcome(q).items()])
+    judged = typed.select("*", F.when(q.isNotNull(), failed_rules(_rules(q))).alias("_failed"), F.when(q.isNotNull(), outcome).alias("_out"))
+    ok = q.isNotNull() & (F.size("_failed") == 0)
+    alerting = q["is_query"] & (f["unsupported"] | f["unscaled"])
+    nothing = q["is_query"] & ~alerting & f["semantic_query"].isNull() & ~has_active_filter({n: f[n] for n in FIELDS})
+    flagged = judged.select("*", alerting.alias("_alerting"), F.coalesce(ok & ~nothing, F.lit(False)).alias("_good"),
+                            F.when(q.isNull(), F.array(F.lit("shape"))).when(ok & nothing, F.array(F.lit("nothing_asked")))
+                            .otherwise(F.col("_failed")).alias("_broken"))
+    alerting, good = F.col("_alerting"), F.col("_good")
+    is_row = good & q["is_query"] & ~alerting
+    return flagged.select(
+        *answers.columns, F.when(~good, "invalid").when(alerting, "alert").otherwise(q["type"]).alias("type"),
+        F.when(good, F.when(alerting, "UNSUPPORTED_REQUEST").otherwise(q["alert"])).alias("alert_code"),
+        F.when(good, q["check"]).alias("language_check"), *[F.when(is_row, f[n]).alias(n) for n in FIELDS],
+        F.when(is_row, f["semantic_query"]).alias("semantic_query"),
+        F.when(good, _checklist(q, with_actors)).alias("checklist"), F.col("_broken").alias("failed"))
 
 
 # The language checks and alert codes that may stand together.
